@@ -17,17 +17,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webloom.dom.shred import slice_text
+from webloom.functions.binding import let
 
 COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[[\w:-]+\])*)$")
 QUALIFIER = re.compile(r"([.#])([\w-]+)|\[([\w:-]+)\]")
 SLIM = ("pre", "last", "parent", "text_start", "text_len")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def parse(selector: str) -> list[list[tuple[str, dict]]]:
     """Alternatives; each is a list of (combinator, compound) from left to right."""
     alternatives = []

@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webloom.dom.css import let, matches, nearest_ancestor, texts, within
+from webloom.dom.css import matches, nearest_ancestor, texts, within
 from webloom.dom.shred import slice_text
+from webloom.functions.binding import let
 from webloom.functions.text import signature, unicode_trim
 
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# URL schemes begin with a letter; these two prefixes count as absolute already.
+from webloom.functions.binding import let
+
+# Links that count as absolute already, the shape of a scheme, a link attribute,
+# and the characters a URL path keeps unescaped.
 ABSOLUTE = r"^(?:http|//)"
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
+LINK_ATTRIBUTE = r'(?:src|href)="[^"]*"'
+UNESCAPED = r"[\x21-\x7e&&[^\x22<>`{}]]"
 
 
 def origin(url: Column) -> Column:
@@ -14,20 +19,35 @@ def origin(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+", 0)
 
 
+def escaped(link: Column) -> Column:
+    """Percent-escape what a URL path does not keep, as its UTF-8 bytes; clean links pass as they are."""
+    def escape(char: Column) -> Column:
+        code = F.regexp_replace(F.hex(F.encode(char, "UTF-8")), "(..)", "%$1")
+        return F.when(char.rlike(f"^{UNESCAPED}$"), char).otherwise(code)
+
+    return F.when(link.rlike(f"^{UNESCAPED}*$"), link).otherwise(
+        F.array_join(F.transform(F.split(link, ""), escape), ""))
+
+
 def absolute_link(link: Column, base: Column) -> Column:
     """One link resolved against an origin: rooted and relative forms both land under it."""
+    inside = F.regexp_replace(link, F.lit(r"^(?:\.{1,2}/)+"), F.lit(""))
     return (F.when(link.rlike(ABSOLUTE) | link.rlike(SCHEME), link)
-            .when(link.startswith("/"), F.concat(base, link))
-            .otherwise(F.concat(base, F.lit("/"), link)))
+            .when(link.startswith("/"), F.concat(base, escaped(link)))
+            .otherwise(F.concat(base, F.lit("/"), escaped(inside))))
 
 
 def absolute_links_in(html: Column, base: Column) -> Column:
     """SCL-4 on page text: rewrite double-quoted ``src`` and ``href`` values.
 
-    Two passes, one per form; ``quote`` keeps ``$`` and ``\\`` in the origin literal.
+    The text is cut at the link attributes, each is rewritten, and the parts are joined again:
+    one pass over the text, whatever its length.
     """
-    quoted = F.regexp_replace(base, F.lit(r"([\\$])"), F.lit(r"\\$1"))
-    rooted = F.regexp_replace(html, F.lit(r'(src|href)="/(?!/)([^"]*)"'),
-                              F.concat(F.lit('$1="'), quoted, F.lit('/$2"')))
-    relative = r'(src|href)="(?!http|/|[a-zA-Z][a-zA-Z0-9+.\-]*:)([^"]*)"'
-    return F.regexp_replace(rooted, F.lit(relative), F.concat(F.lit('$1="'), quoted, F.lit('/$2"')))
+    def rewrite(attribute: Column) -> Column:
+        return let(F.split(attribute, '"', 3), lambda cut: F.concat(
+            F.get(cut, F.lit(0)), F.lit('"'), absolute_link(F.get(cut, F.lit(1)), base), F.lit('"')))
+
+    attributes = F.transform(F.regexp_extract_all(html, F.lit(LINK_ATTRIBUTE), F.lit(0)), rewrite)
+    between = F.split(html, LINK_ATTRIBUTE, -1)
+    return F.array_join(F.flatten(F.zip_with(
+        between, attributes, lambda text, link: F.array(text, F.coalesce(link, F.lit(""))))), "")

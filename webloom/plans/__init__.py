@@ -1,0 +1,16 @@
+"""Registered queries by area; importing an area registers its queries."""
+
+from __future__ import annotations
+
+import importlib
+
+AREAS = ("extraction",)
+
+
+def load():
+    """(queries, SQL checks) by name."""
+    from webloom.plans import registry
+
+    for area in AREAS:
+        importlib.import_module(f"webloom.plans.{area}")
+    return dict(registry.QUERIES), dict(registry.ORACLE)
