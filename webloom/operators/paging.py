@@ -45,10 +45,9 @@ def cap_pages(df: DataFrame, pages: Column, page_no: str = "page_no") -> DataFra
     return df.filter(F.col(page_no) <= pages)
 
 
-def storage_order(df: DataFrame, day: Column, scraped_at: str = "scraped_at") -> DataFrame:
-    """SRT-1: rows clustered by day and sorted by time inside each file.
+def storage_order(df: DataFrame, scraped_at: str = "scraped_at", clustered: bool = False) -> DataFrame:
+    """SRT-1: rows sorted by time inside each written file, without a shuffle.
 
-    Range partitioning splits a day with very many rows over several files.
+    ``clustered`` first gives each file its own time range, for rewriting a table.
     """
-    return (df.withColumn("day", day).repartitionByRange("day", scraped_at)
-            .sortWithinPartitions("day", scraped_at))
+    return (df.repartitionByRange(scraped_at) if clustered else df).sortWithinPartitions(scraped_at)

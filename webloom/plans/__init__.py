@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("extraction",)
+AREAS = ("extraction", "messages", "records", "credits", "streams", "scalars")
 
 
 def load():

@@ -13,7 +13,7 @@ from webloom.dom.extract import (
     joined_text, link_titles, longest_field, page_fields, page_record, page_selectors, pages_without_matches,
     parent_records, positional_zip, raw_selectors, repeated_containers, single_field_rows, single_match_records,
 )
-from webloom.dom.shred import node_rows, register_dom_nodes
+from webloom.dom.shred import register_dom_nodes, slice_text
 from webloom.functions.text import signature
 from webloom.functions.urls import absolute_link, absolute_links_in, origin
 from webloom.plans.registry import query, shredded_pages, table
@@ -83,7 +83,7 @@ def node_table(spark, sf_dir):
     kept = F.filter("nodes", lambda n: n["tag"].isin(*tags))
     rows = F.transform(kept, lambda n: F.struct(
         n["tag"].alias("tag"), n["pre"].alias("pre"), n["last"].alias("last"),
-        F.substring("text", n["text_start"] + 1, n["text_len"]).cast("string").alias("content")))
+        slice_text(F.col("text"), n).alias("content")))
     return shredded.select("page_id", F.inline(rows))
 
 
@@ -349,15 +349,15 @@ def absolute_html_query(spark, sf_dir):
     return pages.select("page_id", F.md5(absolute_links_in(F.col("html"), origin(F.col("url")))).alias("html_md5"))
 
 
-@query("scl13_signatures", FACTS + """
-, cells as (
-  select 'div.ad' as signature, count(*) as n from facts
-  union all select 'li', sum(len(links))::bigint from facts
-  union all select 'h1', count(*) from facts)
-select signature, n from cells
+@query("scl13_signatures", """
+with tags as (
+  select unnest(regexp_extract_all(
+    regexp_replace(html, '<script>.*?</script>', '<script></script>', 'gs'),
+    '<([a-z][a-z0-9]*(?: class="[^"]*")?)', 1)) as tag
+  from pages)
+select replace(replace(tag, ' class="', '.'), '"', '') as signature, count(*) as n from tags where tag <> 'b' group by 1
 """)
 def signatures(spark, sf_dir):
     nodes = shredded_pages(spark, sf_dir).select(F.explode(F.transform(
         F.col("nodes"), lambda n: signature(n["tag"], n["classes"]))).alias("signature"))
-    return (nodes.filter(F.col("signature").isin("div.ad", "li", "h1"))
-            .groupBy("signature").agg(F.count(F.lit(1)).alias("n")))
+    return nodes.filter(F.col("signature") != "b").groupBy("signature").agg(F.count(F.lit(1)).alias("n"))

@@ -18,9 +18,9 @@ def stamped(df: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def append_long(rows: DataFrame, path: str) -> None:
-    """SNK-6: append ``(url, field, content, scraped_at)``, in folders by day, sorted by time in each file."""
-    ready = storage_order(rows.select("url", "field", "content", "scraped_at"), F.to_date("scraped_at"))
-    ready.write.mode("append").partitionBy("day").parquet(path)
+    """SNK-6: append ``(url, field, content, scraped_at)``; each file is sorted by time, so its
+    column statistics prune time filters."""
+    storage_order(rows.select("url", "field", "content", "scraped_at")).write.mode("append").parquet(path)
 
 
 def document_rows(records: DataFrame, url: str, fields: Sequence[str], at: Column) -> DataFrame:
@@ -30,9 +30,8 @@ def document_rows(records: DataFrame, url: str, fields: Sequence[str], at: Colum
 
 
 def append_documents(rows: DataFrame, path: str) -> None:
-    """SNK-7: append document rows, in folders by day."""
-    ready = storage_order(rows.select("url", "content", "scraped_at"), F.to_date("scraped_at"))
-    ready.write.mode("append").partitionBy("day").parquet(path)
+    """SNK-7: append document rows, each file sorted by time."""
+    storage_order(rows.select("url", "content", "scraped_at")).write.mode("append").parquet(path)
 
 
 def append_collection(rows: DataFrame, path: str) -> None:

@@ -13,10 +13,10 @@ def number_rows(df: DataFrame, count: Column, name: str) -> DataFrame:
     Two levels, so one very large count never becomes one very large array.
     """
     rows = df.withColumn("_total", count.cast("bigint")).filter(F.col("_total") > 0)
-    rows = rows.withColumn("_from", F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_total") - 1) / BLOCK).cast("bigint"))) * BLOCK)
-    upto = F.least(F.col("_from") + BLOCK, F.col("_total"))
-    return rows.withColumn(name, F.explode(F.sequence(F.col("_from") + 1, upto))).drop("_from", "_total")
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_total") - 1) / BLOCK).cast("bigint"))
+    rows = rows.withColumn("_block", F.explode(blocks))
+    inside = F.sequence(F.col("_block") * BLOCK + 1, F.least((F.col("_block") + 1) * BLOCK, F.col("_total")))
+    return rows.withColumn(name, F.explode(inside)).drop("_block", "_total")
 
 
 def page_urls(specs: DataFrame, url: str = "url", pages: str = "page_num") -> DataFrame:
