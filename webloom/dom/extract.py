@@ -60,21 +60,24 @@ def _present(entry: Column, fields: Mapping[str, str]) -> Column:
     return result
 
 
-def _record_rows(shredded: DataFrame, containers: Column, fields: Mapping[str, str], value, keep,
-                 drop_empty: bool) -> DataFrame:
+def _records(containers: Column, fields: Mapping[str, str], value, drop_empty: bool) -> Column:
     _check(fields)
     entries = let(containers, lambda c: _container_entries(c, fields))
     records = F.transform(entries, lambda e: F.struct(
         e["container_pre"].alias("container_pre"), *[value(e[name]).alias(name) for name in fields]))
     if drop_empty:
         records = F.filter(records, lambda r: _present(r, fields))
-    return shredded.select(*keep, F.inline(records))
+    return records
+
+
+def _present_text(field: Column) -> Column:
+    return F.when(field["raw"] != "", unicode_trim(field["raw"]))
 
 
 def container_rows(shredded: DataFrame, container: str, fields: Mapping[str, str], *keep: str) -> DataFrame:
     """EXT-3: one row per container; a field without text is ''."""
-    return _record_rows(shredded, matches(container), fields,
-                        lambda f: unicode_trim(f["raw"]), keep, drop_empty=False)
+    rows = _records(matches(container), fields, lambda f: unicode_trim(f["raw"]), drop_empty=False)
+    return shredded.select(*keep, F.inline(rows))
 
 
 def container_records(shredded: DataFrame, container: str, fields: Mapping[str, str], *keep: str) -> DataFrame:
@@ -82,15 +85,20 @@ def container_records(shredded: DataFrame, container: str, fields: Mapping[str,
 
     A field is present when its raw text is not empty, so white space alone gives ''.
     """
-    return _record_rows(shredded, matches(container), fields,
-                        lambda f: F.when(f["raw"] != "", unicode_trim(f["raw"])), keep, drop_empty=True)
+    return shredded.select(*keep, F.inline(_records(matches(container), fields, _present_text, drop_empty=True)))
+
+
+def record_arrays(shredded: DataFrame, container: str, fields: Mapping[str, str], *keep: str) -> DataFrame:
+    """SNK-10: the EXT-7 records of a page as one JSON array; built in the page row, so no grouping."""
+    records = _records(matches(container), fields, _present_text, drop_empty=True)
+    bare = F.transform(records, lambda r: F.struct(*[r[name].alias(name) for name in fields]))
+    return shredded.select(*keep, F.to_json(bare).alias("records"))
 
 
 def single_match_records(shredded: DataFrame, container: str, fields: Mapping[str, str], *keep: str) -> DataFrame:
     """EXT-8: as EXT-7, but a field counts only when exactly one element matches in the container."""
-    return _record_rows(shredded, matches(container), fields,
-                        lambda f: F.when((f["n"] == 1) & (f["raw"] != ""), unicode_trim(f["raw"])),
-                        keep, drop_empty=True)
+    rows = _records(matches(container), fields, lambda f: F.when(f["n"] == 1, _present_text(f)), drop_empty=True)
+    return shredded.select(*keep, F.inline(rows))
 
 
 def parent_records(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -> DataFrame:
@@ -106,7 +114,7 @@ def parent_records(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -
         trimmed = unicode_trim(field["raw"])
         return F.when(trimmed != "", trimmed)
 
-    return _record_rows(shredded, parents, fields, value, keep, drop_empty=True)
+    return shredded.select(*keep, F.inline(_records(parents, fields, value, drop_empty=True)))
 
 
 def positional_zip(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -> DataFrame:

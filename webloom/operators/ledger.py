@@ -8,7 +8,7 @@ from webloom.operators.ordered import HOT_ROWS, Ordered, has_hot_key
 from webloom.runtime import cut
 
 CHUNK_ROWS = 20_000
-RUN_CHUNKS = 32
+RUN_CHUNKS = 256
 
 
 def enrich_payments(sessions: DataFrame, intents: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +92,8 @@ def guarded_ledger(events: DataFrame, key: str, order: list[str], amount: str, o
                  .withColumn("_start", F.coalesce("_open", F.lit(0).cast("bigint"))).drop("_open"))
     if several_chunks:
         start = cut(start)
-        start = start.drop("_start").join(_chunk_openings(start, key), [key, "_chunk"])
+        found = _chunk_openings(start, key)
+        start = start.join(found, [key, "_chunk"], "left").withColumn("_start", F.coalesce("_opening", "_start"))
     return _fold_rows(start, key, columns)
 
 
@@ -124,7 +125,7 @@ def _fold_rows(chunks: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def _chunk_openings(chunks: DataFrame, key: str) -> DataFrame:
-    """Opening balance of every chunk of every key: ``(key, _chunk, _start)``.
+    """Opening balance of every chunk of the keys that have several: ``(key, _chunk, _opening)``.
 
     A chunk that rejects nothing only shifts the balance by its net sum, and whether it rejects
     is known from its lowest prefix sum.  Each round passes all such chunks with one window over
@@ -132,41 +133,44 @@ def _chunk_openings(chunks: DataFrame, key: str) -> DataFrame:
     reject.  Order decides which debits fit, so rejecting stretches of one key are sequential by
     nature; what each task holds stays bounded.
     """
-    lowest = F.aggregate(
-        F.col("_amounts"), F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("low")),
+    several = chunks.filter(F.col("_chunk") == 1).select(key)
+    amounts = cut(chunks.join(several, key, "left_semi").select(key, "_chunk", "_start", "_amounts"))
+    zero = F.lit(0).cast("bigint")
+    prefix = F.aggregate(
+        F.col("_amounts"), F.struct(zero.alias("sum"), zero.alias("low")),
         lambda s, a: F.struct((s["sum"] + a).alias("sum"), F.least(s["low"], s["sum"] + a).alias("low")))
-    summary = cut(chunks.select(key, "_chunk", "_start", lowest.alias("_p")).select(
+    summary = cut(amounts.select(key, "_chunk", "_start", prefix.alias("_p")).select(
         key, "_chunk", "_start", F.col("_p.sum").alias("_net"), (-F.col("_p.low")).alias("_need")))
-    at = cut(summary.filter(F.col("_chunk") == 0).select(key, F.col("_chunk").alias("_next"), "_start"))
+    last = summary.groupBy(key).agg(F.max("_chunk").alias("_last"))
+    at = summary.filter(F.col("_chunk") == 0).select(key, F.col("_chunk").alias("_next"), "_start")
+    by_chunk = Window.partitionBy(key).orderBy("_chunk")
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    upto = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     done: list[DataFrame] = []
     while not at.isEmpty():
-        before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        upto = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ahead = (summary.select(key, "_chunk", "_net", "_need").join(at, key).filter(F.col("_chunk") >= F.col("_next"))
+        ahead = (summary.drop("_start").join(at, key).filter(F.col("_chunk") >= F.col("_next"))
                  .withColumn("_open", F.col("_start") + F.coalesce(F.sum("_net").over(before), F.lit(0)))
                  .withColumn("_ok", F.min((F.col("_open") >= F.col("_need")).cast("int")).over(upto) == 1)
-                 .withColumn("_before_ok", F.coalesce(F.lag("_ok").over(
-                     Window.partitionBy(key).orderBy("_chunk")), F.lit(True))))
-        ahead = cut(ahead.select(key, "_chunk", "_open", "_ok", "_before_ok"))
-        done.append(ahead.filter("_ok").select(key, "_chunk", F.col("_open").alias("_start")))
-        stuck = ahead.filter(~F.col("_ok") & F.col("_before_ok")).select(
-            key, F.col("_chunk").alias("_from"), F.col("_open").alias("_start"))
-        run = (chunks.select(key, "_chunk", "_amounts").join(stuck, key)
+                 .withColumn("_was_ok", F.coalesce(F.lag("_ok").over(by_chunk), F.lit(True))))
+        ahead = cut(ahead.select(key, "_chunk", "_open", "_ok", "_was_ok"))
+        done.append(ahead.filter("_ok").select(key, "_chunk", F.col("_open").alias("_opening")))
+        stuck = ahead.filter(~F.col("_ok") & F.col("_was_ok")).select(
+            key, F.col("_chunk").alias("_from"), F.col("_open").alias("_at"))
+        run = (amounts.join(stuck, key)
                .filter((F.col("_chunk") >= F.col("_from")) & (F.col("_chunk") < F.col("_from") + RUN_CHUNKS))
-               .groupBy(key, "_from", "_start")
+               .groupBy(key, "_at")
                .agg(F.array_sort(F.collect_list(F.struct("_chunk", "_amounts"))).alias("_run")))
         replay = F.aggregate(
             F.col("_run"),
-            F.struct(F.col("_start").alias("balance"), F.array().cast("array<bigint>").alias("openings")),
+            F.struct(F.col("_at").alias("balance"), F.array().cast("array<bigint>").alias("openings")),
             lambda s, c: F.struct(_closing(s["balance"], c["_amounts"]).alias("balance"),
                                   F.array_append(s["openings"], s["balance"]).alias("openings")))
-        played = cut(run.select(key, "_from", "_run._chunk", replay.alias("_s")))
+        played = cut(run.select(key, "_run._chunk", replay.alias("_s")))
         done.append(played.select(key, F.explode(F.arrays_zip("_chunk", "_s.openings")).alias("_o")).select(
-            key, F.col("_o._chunk").alias("_chunk"), F.col("_o.openings").alias("_start")))
-        more = summary.groupBy(key).agg(F.max("_chunk").alias("_end"))
+            key, F.col("_o._chunk").alias("_chunk"), F.col("_o.openings").alias("_opening")))
         at = cut(played.select(key, (F.element_at("_chunk", -1) + 1).alias("_next"),
                                F.col("_s.balance").alias("_start"))
-                 .join(more, key).filter(F.col("_next") <= F.col("_end")).drop("_end"))
+                 .join(last, key).filter(F.col("_next") <= F.col("_last")).drop("_last"))
     result = done[0]
     for part in done[1:]:
         result = result.union(part)

@@ -57,6 +57,10 @@ def append_batches(batches: Mapping[str, DataFrame], label: str = "batch") -> Da
     return result
 
 
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def flatten_struct(df: DataFrame) -> DataFrame:
     """SCL-7 for a known schema: nested structs to dotted columns; other values stay as they are.
 
@@ -67,7 +71,7 @@ def flatten_struct(df: DataFrame) -> DataFrame:
 
     def walk(schema: T.StructType, path: str, prefix: str) -> None:
         for field in schema:
-            at = f"{path}.`{field.name}`" if path else f"`{field.name}`"
+            at = f"{path}.{quoted_name(field.name)}" if path else quoted_name(field.name)
             name = f"{prefix}.{field.name}" if prefix else field.name
             if isinstance(field.dataType, T.StructType):
                 walk(field.dataType, at, name)

@@ -11,7 +11,7 @@ from webloom.dom.css import descendant_pairs, match_rows, matches
 from webloom.dom.extract import (
     click_targets, common_ancestor, container_records, container_rows, generalized_selectors, grouped_records,
     joined_text, link_titles, longest_field, page_fields, page_record, page_selectors, pages_without_matches,
-    parent_records, positional_zip, raw_selectors, repeated_containers, single_field_rows, single_match_records,
+    parent_records, positional_zip, raw_selectors, record_arrays, repeated_containers, single_field_rows, single_match_records,
 )
 from webloom.dom.shred import register_dom_nodes, slice_text
 from webloom.functions.text import signature
@@ -174,6 +174,14 @@ def container_records_query(spark, sf_dir):
                              {"heading": "h1", "body": "p", "link": "a"}, "page_id").drop("container_pre")
 
 
+@query("snk10_record_arrays", FACTS + f"""
+select page_id, '[' || array_to_string(list_transform(list_filter(links, lambda x: x <> ''),
+       lambda x: '{{"link":' || to_json({_trimmed('x')})::varchar || '}}'), ',') || ']' as records from facts
+""")
+def record_arrays_query(spark, sf_dir):
+    return record_arrays(shredded_pages(spark, sf_dir), "nav li", {"link": "a", "heading": "h1"}, "page_id")
+
+
 @query("ext8_single_match_records", FACTS + f"""
 select page_id, {_trimmed('heading')} as heading,
        case when len(links) = 1 then {_trimmed('links[1]')} end as link

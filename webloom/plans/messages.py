@@ -124,7 +124,7 @@ TASKS = """
 with tasks as (
   select event_id, case event_type when 'click' then 'transform' when 'view' then 'store' when 'signup' then 'task'
                    else event_type end as task_type,
-         '{"task_type":"store","k":' || (props->>'k') || '}' as payload
+         '{"k":' || (props->>'k') || ',"task_type":"store"}' as payload
   from events)
 """
 
@@ -202,8 +202,7 @@ def flat_messages(spark, sf_dir):
 
 
 @query("snk3_enveloped_messages", TASKS + """
-select task_type as key, '{"payload":"{\\"task_type\\":\\"store\\",\\"k\\":' || (payload->>'k')
-       || '}","task_type":"' || task_type || '"}' as value
+select task_type as key, '{"payload":' || payload || ',"task_type":"' || task_type || '"}' as value
 from tasks
 """)
 def enveloped(spark, sf_dir):

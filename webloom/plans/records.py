@@ -17,7 +17,7 @@ from webloom.operators.workflow import fan_out, root_tasks, terminal_tasks
 from webloom.plans.registry import query, table
 from webloom.runtime import working_path
 from webloom.sinks.tables import (
-    action_logs, append_documents, append_long, document_rows, record_arrays, stamped, write_action_logs, write_csv,
+    action_logs, append_documents, append_long, document_rows, stamped, write_action_logs, write_csv,
     write_workflows,
 )
 from webloom.sources.generators import page_urls, seed_pool, topic_names
@@ -148,16 +148,6 @@ def action_logs_query(spark, sf_dir):
                        F.md5(F.array_join("actions.event_type", ",")).alias("log_md5"))
 
 
-@query("snk10_record_arrays", """
-select l_orderkey, '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}',
-       ',' order by l_linenumber, l_returnflag) || ']' as records
-from lineitem group by l_orderkey
-""")
-def record_arrays_query(spark, sf_dir):
-    return record_arrays(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber",
-                         ["l_linenumber", "l_returnflag"])
-
-
 @query("snk11_workflow_json", """
 select c_mktsegment as user_id, 'w' || c_nationkey as workflow_id, count(*) as n_tasks
 from customer group by 1, 2
@@ -279,14 +269,15 @@ def dynamic_header(spark, sf_dir):
 
 
 @query("prj13_task_fan_out", """
-select conv_id, i::int as task_index, turn as task
-from (select conv_id, unnest(range(count(*))) as i, unnest(list(turn::varchar order by turn)) as turn
-      from conversations group by conv_id)
+select doc_id, (i - 1)::int as task_index, md5(parts[i]) as task_md5
+from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i
+      from (select doc_id, string_split(text, chr(10)) as parts from documents))
 """)
 def task_fan_out(spark, sf_dir):
-    turns = F.array_sort(F.collect_list(F.col("turn")))
-    workflows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(turns).alias("tasks"))
-    return fan_out(workflows)
+    """A document as a workflow whose tasks are its lines."""
+    workflows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.to_json(F.split("text", "\n", -1)).alias("tasks"))
+    return fan_out(workflows).select("doc_id", "task_index", F.md5("task").alias("task_md5"))
 
 
 # -- workflow dependencies ---------------------------------------------------

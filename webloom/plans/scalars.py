@@ -8,6 +8,7 @@ from webloom.functions import text as X
 from webloom.functions.urls import origin
 from webloom.operators.records import flatten_json
 from webloom.plans.registry import query, table
+from webloom.sources.tables import explode_forms
 
 
 @query("scl1_unicode_trim", """
@@ -33,8 +34,8 @@ def upper_values(spark, sf_dir):
 
 
 @query("scl3_token", """
-select p_partkey, split_part(p_name, ' ', 2) as token from parts_named
-""".replace("parts_named", "part"))
+select p_partkey, split_part(p_name, ' ', 2) as token from part
+""")
 def token(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.token(F.col("p_name"), " ", 2).alias("token"))
 
@@ -130,6 +131,17 @@ def fill_actions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.fill_actions(fields, ("SMALL",)).alias("actions"))
 
 
+@query("scl16_form_fields", """
+select p_partkey::varchar as website, unnest(string_split(p_name, ' ')) as field from part
+""")
+def form_fields(spark, sf_dir):
+    """Parts as form examples: the words of a name are the fields."""
+    forms = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("website"),
+        F.struct(F.split("p_name", " ", -1).alias("fields"), F.array("p_type").alias("actions")).alias("form"))
+    return explode_forms(forms, "fields")
+
+
 @query("scl17_price_in_cents", "select p_partkey, p_size * 100 as cents from part")
 def price_in_cents(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.price_in_cents(F.col("p_size")).alias("cents"))

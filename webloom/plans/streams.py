@@ -13,7 +13,7 @@ from webloom.plans.registry import ARROW_BATCH_BYTES, query, table
 from webloom.runtime import working_path
 from webloom.sources.tables import stream_table
 from webloom.streaming.crawl import page_messages
-from webloom.streaming.ledger import current_balances, ledger_sink
+from webloom.streaming.ledger import current_balances, ledger_sink, once_per_event
 from webloom.streaming.route import Routes, decode_tasks, transform_tasks
 from webloom.streaming.run import latest_rows, routed_sink, start, start_batches, table_sink
 from webloom.streaming.windowed import windowed_aggregate
@@ -111,7 +111,8 @@ def stream_ledger(spark, sf_dir):
         -F.floor(F.col("o_totalprice") / 90)).cast("bigint")
     moves = stream_of(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", amount.alias("amount"))
     path = working_path(spark, "ledger")
-    sink = ledger_sink(path, "o_custkey", ["o_orderdate", "o_orderkey"], "amount", "o_orderkey")
+    moves = once_per_event(moves.withColumn("at", F.col("o_orderdate").cast("timestamp")), "o_orderkey", "at", "8000 days")
+    sink = ledger_sink(path, "o_custkey", ["o_orderdate", "o_orderkey"], "amount")
     start_batches(moves, sink, f"{path}/checkpoint", once=True).awaitTermination()
     return current_balances(spark, path, "o_custkey")
 

@@ -56,13 +56,6 @@ def write_action_logs(logs: DataFrame, path: str) -> None:
     logs.write.mode("overwrite").partitionBy("site_key").json(path)
 
 
-def record_arrays(records: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
-    """SNK-10: the records of one page as one JSON array; the page bounds the array."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("record"))))
-    return (records.groupBy(*keys).agg(ordered.alias("_r"))
-            .select(*keys, F.to_json(F.transform("_r", lambda r: r["record"])).alias("records")))
-
-
 def write_workflows(workflows: DataFrame, path: str) -> None:
     """SNK-11: workflow configuration as JSON per user and workflow."""
     workflows.write.mode("overwrite").partitionBy("user_id", "workflow_id").json(path)
