@@ -10,7 +10,7 @@ from webloom.operators.ledger import (
 )
 from webloom.operators.pool import add_missing_topics, allot, rank_within_type, release
 from webloom.operators.users import apply_subscriptions, look_up_credits, sign_up
-from webloom.plans.registry import query, table
+from webloom.plans.registry import query, table, wide_table
 
 
 def _users(spark, sf_dir):
@@ -271,7 +271,7 @@ def subscriptions(spark, sf_dir):
 @query("ml1_page_classifier")
 def page_classifier(spark, sf_dir):
     """Quality of labelled documents: trained on a hashed 80 percent, predicted for every document."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = wide_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     examples = docs.select("doc_id", "text").join(
         labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     training, _ = split_train_test(examples, "doc_id")

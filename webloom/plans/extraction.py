@@ -16,13 +16,13 @@ from webloom.dom.extract import (
 from webloom.dom.shred import register_dom_nodes, slice_text
 from webloom.functions.text import signature
 from webloom.functions.urls import absolute_link, absolute_links_in, origin
-from webloom.plans.registry import query, shredded_pages, table
-from webloom.sources.tables import spread
+from webloom.plans.registry import query, shredded_pages, wide_table
 
 
 def _decoded(x: str) -> str:
+    """References as browsers read them: these names need no semicolon."""
     for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        x = f"replace({x}, '&{name};', '{char}')"
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
     return x
 
 
@@ -92,7 +92,7 @@ select page_id, unnest(links) as content from facts
 """)
 def dom_nodes_lateral(spark, sf_dir):
     register_dom_nodes(spark)
-    pages = spread(table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism)
+    pages = wide_table(spark, sf_dir, "pages")
     return spark.sql("select page_id, n.text as content from {pages}, lateral dom_nodes(html) n where n.tag = 'a'",
                      pages=pages)
 
@@ -353,7 +353,7 @@ select page_id, md5(between_links[1] || array_to_string(list_transform(range(1,
 from parts
 """)
 def absolute_html_query(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism)
+    pages = wide_table(spark, sf_dir, "pages")
     return pages.select("page_id", F.md5(absolute_links_in(F.col("html"), origin(F.col("url")))).alias("html_md5"))
 
 

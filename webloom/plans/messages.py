@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators.metrics import BUCKETS, bucket_name, duration_histogram, processed_count
 from webloom.operators.records import wrap_transformed
-from webloom.plans.registry import query, table
+from webloom.plans.registry import query, table, wide_table
 from webloom.sinks.messages import record_messages, task_messages
 from webloom.streaming.route import Routes, decode_tasks, split_malformed, transform_tasks, with_route
 from webloom.streaming.windowed import (
@@ -75,7 +75,7 @@ select window_start, null::double as kind_avg, count(*) as any_count from parts
 """)
 def avg_of_text(spark, sf_dir):
     """Values that are no numbers are skipped; ``count`` counts rows whatever the field."""
-    events = decode_events(event_messages(table(spark, sf_dir, "events")))
+    events = decode_events(event_messages(wide_table(spark, sf_dir, "events")))
     result = windowed_aggregate(events, {"kind": "avg", "any": "count"})
     return result.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "kind_avg", "any_count")
 
@@ -98,7 +98,7 @@ def window_messages(spark, sf_dir):
 select event_type as task_id, props->>'k' as k, ts as timestamp from events
 """)
 def decode(spark, sf_dir):
-    events = decode_events(event_messages(table(spark, sf_dir, "events")))
+    events = decode_events(event_messages(wide_table(spark, sf_dir, "events")))
     return events.select("task_id", F.col("payload.k").alias("k"), F.col("timestamp").cast("timestamp_ntz").alias(
         "timestamp"))
 
@@ -133,7 +133,7 @@ with tasks as (
 select task_type, payload, payload as processed_payload from tasks where task_type = 'transform'
 """)
 def transform(spark, sf_dir):
-    tasks = decode_tasks(task_messages_of(table(spark, sf_dir, "events")))
+    tasks = decode_tasks(task_messages_of(wide_table(spark, sf_dir, "events")))
     return transform_tasks(tasks).select("task_type", "payload", "processed_payload")
 
 
@@ -143,7 +143,7 @@ def transform(spark, sf_dir):
 select route, count(*) as n, sum((payload->>'k')::bigint)::bigint as k_sum from routed group by route
 """)
 def routes(spark, sf_dir):
-    tasks = with_route(decode_tasks(task_messages_of(table(spark, sf_dir, "events"))), ["transform", "store"])
+    tasks = with_route(decode_tasks(task_messages_of(wide_table(spark, sf_dir, "events"))), ["transform", "store"])
     k = F.get_json_object("payload", "$.k").cast("bigint")
     return tasks.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"))
 
@@ -156,7 +156,7 @@ union all select 'unrouted', payload from tasks where task_type not in ('transfo
 def route_handlers(spark, sf_dir):
     registry = Routes({"transform": lambda rows: rows})
     registry.register("store", lambda rows: rows.withColumn("payload", F.upper("payload")))
-    handled = registry.apply(decode_tasks(task_messages_of(table(spark, sf_dir, "events"))))
+    handled = registry.apply(decode_tasks(task_messages_of(wide_table(spark, sf_dir, "events"))))
     parts = [rows.select("route", "payload") for rows in handled.values()]
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -213,7 +213,7 @@ def enveloped(spark, sf_dir):
 select task_type, count(*) as processed from tasks where (payload->>'k')::int >= 10 group by task_type
 """)
 def processed(spark, sf_dir):
-    tasks = decode_tasks(task_messages_of(table(spark, sf_dir, "events")))
+    tasks = decode_tasks(task_messages_of(wide_table(spark, sf_dir, "events")))
     return processed_count(tasks, succeeded=F.get_json_object("payload", "$.k").cast("int") >= 10)
 
 

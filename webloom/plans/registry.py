@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for CPU-heavy rows: a file too small to give every core a split is spread over them."""
+    return spread(table(spark, sf_dir, name), spark.sparkContext.defaultParallelism)
+
+
 def shredded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")

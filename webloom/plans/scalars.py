@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from webloom.functions import text as X
 from webloom.functions.urls import origin
 from webloom.operators.records import flatten_json
-from webloom.plans.registry import query, table
+from webloom.plans.registry import query, table, wide_table
 from webloom.sources.tables import explode_forms
 
 
@@ -18,7 +18,7 @@ select doc_id, md5(trim(chr(160) || ' ' || chr(133) || text || chr(9) || chr(819
 from documents
 """)
 def unicode_trim(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = wide_table(spark, sf_dir, "documents")
     padded = F.concat(F.lit("  \u0085"), "text", F.lit("\t  "))
     return docs.select("doc_id", F.md5(X.unicode_trim(padded)).alias("trimmed_md5"))
 
@@ -57,7 +57,7 @@ select doc_id, words[1], 0, null, null from lists where len(words) = 1
 """)
 def selector_fields(spark, sf_dir):
     words = F.split("text", " ", -1)
-    spec = table(spark, sf_dir, "documents").select(
+    spec = wide_table(spark, sf_dir, "documents").select(
         "doc_id", X.container_of(words).alias("container"), X.numbered_fields(words).alias("fields"))
     size = F.size("fields")
     return spec.select("doc_id", "container", size.cast("bigint").alias("n_fields"),
@@ -74,7 +74,7 @@ def flatten(spark, sf_dir):
     """Unknown schema: nested objects to dotted keys, arrays kept, empty objects gone."""
     nested = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"event":{"kind":"'), "event_type",
                       F.lit('","props":'), "props", F.lit(',"none":{}},"tags":["'), "event_type", F.lit('"]}'))
-    return table(spark, sf_dir, "events").select("event_id", flatten_json(nested).alias("flat"))
+    return wide_table(spark, sf_dir, "events").select("event_id", flatten_json(nested).alias("flat"))
 
 
 @query("scl8_json_round_trip", """
@@ -161,7 +161,7 @@ select doc_id, len(selectors) as n, md5(array_to_string(selectors, '|')) as sele
 """)
 def add_selectors(spark, sf_dir):
     base = F.array(*[F.lit(s) for s in BASE])
-    merged = table(spark, sf_dir, "documents").select("doc_id", X.add_selectors(base, F.col("text")).alias("s"))
+    merged = wide_table(spark, sf_dir, "documents").select("doc_id", X.add_selectors(base, F.col("text")).alias("s"))
     return merged.select("doc_id", F.size("s").cast("bigint").alias("n"),
                          F.md5(F.array_join("s", "|")).alias("selectors_md5"))
 
@@ -173,6 +173,6 @@ select doc_id, len(words) - 1 as n, md5(array_to_string(words[2:], ' ')) as word
 """)
 def edit_selectors(spark, sf_dir):
     words = F.split("text", " ", -1)
-    added = table(spark, sf_dir, "documents").select("doc_id", X.add_if_absent(words, F.col("lang")).alias("w"))
+    added = wide_table(spark, sf_dir, "documents").select("doc_id", X.add_if_absent(words, F.col("lang")).alias("w"))
     left = added.select("doc_id", X.remove_at(F.col("w"), F.lit(0)).alias("w"))
     return left.select("doc_id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", " ")).alias("words_md5"))
