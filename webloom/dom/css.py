@@ -110,9 +110,13 @@ def matches(selector: str, nodes: Column | None = None) -> Column:
     return found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)))
 
 
-def texts(found: Column, text: Column | None = None) -> Column:
-    """Text of each node of an array of slim nodes (evaluates ``found`` once)."""
-    text = F.col("text") if text is None else text
+def with_text(body: Callable[[Column], Column]) -> Column:
+    """``body(text)`` with the page text read once: a binary column is copied at every read."""
+    return let(F.col("text"), body)
+
+
+def texts(found: Column, text: Column) -> Column:
+    """Text of each node of an array of slim nodes."""
     return F.transform(found, lambda n: slice_text(text, n))
 
 
@@ -140,21 +144,19 @@ def nearest_ancestor(nodes: Column, node: Column, test: Callable[[Column], Colum
 
 def match_rows(shredded: DataFrame, selector: str, *keep: str) -> DataFrame:
     """One row per match: ``pre, last, parent`` and the element's text."""
-    rows = F.transform(matches(selector), lambda n: F.struct(
+    rows = with_text(lambda text: F.transform(matches(selector), lambda n: F.struct(
         n["pre"].alias("pre"), n["last"].alias("last"), n["parent"].alias("parent"),
-        slice_text(F.col("text"), n).alias("content")))
+        slice_text(text, n).alias("content"))))
     return shredded.select(*keep, F.inline(rows))
 
 
 def descendant_pairs(shredded: DataFrame, outer: str, inner: str, *keep: str) -> DataFrame:
     """JON-6: (container, matched element) pairs, for elements inside a container."""
-    def pairs(found: Column) -> Column:
-        return F.transform(found, lambda m: F.struct(
-            m["pre"].alias("pre"), slice_text(F.col("text"), m).alias("content")))
-
-    def rows(containers: Column) -> Column:
-        grouped = within(containers, matches(inner), pairs)
+    def rows(text: Column, containers: Column) -> Column:
+        grouped = within(containers, matches(inner), lambda found: F.transform(found, lambda m: F.struct(
+            m["pre"].alias("pre"), slice_text(text, m).alias("content"))))
         return F.flatten(F.zip_with(containers, grouped, lambda o, found: F.transform(found, lambda m: F.struct(
             o["pre"].alias("outer_pre"), m["pre"].alias("pre"), m["content"].alias("content")))))
 
-    return shredded.select(*keep, F.inline(let(matches(outer), rows)))
+    pairs = with_text(lambda text: let(matches(outer), lambda containers: rows(text, containers)))
+    return shredded.select(*keep, F.inline(pairs))

@@ -11,15 +11,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webloom.dom.css import matches, nearest_ancestor, texts, within
+from webloom.dom.css import matches, nearest_ancestor, texts, with_text, within
 from webloom.dom.shred import slice_text
 from webloom.functions.binding import let
 from webloom.functions.text import signature, unicode_trim
 
 
-def joined_text(found: Column) -> Column:
+def joined_text(found: Column, text: Column) -> Column:
     """AGG-8: text of all matches in document order, no separator; nested matches count twice."""
-    return F.array_join(texts(found), "")
+    return F.array_join(texts(found, text), "")
 
 
 def _check(fields: Mapping[str, str]) -> None:
@@ -29,23 +29,24 @@ def _check(fields: Mapping[str, str]) -> None:
 
 def page_fields(shredded: DataFrame, selectors: Sequence[str], *keep: str) -> DataFrame:
     """EXT-1: (field, content) per page; fields whose trimmed text is empty are dropped."""
-    entries = F.array(*[
-        F.struct(F.lit(s).alias("field"), unicode_trim(joined_text(matches(s))).alias("content"))
-        for s in selectors])
+    entries = with_text(lambda text: F.array(*[
+        F.struct(F.lit(s).alias("field"), unicode_trim(joined_text(matches(s), text)).alias("content"))
+        for s in selectors]))
     return shredded.select(*keep, F.inline(F.filter(entries, lambda e: e["content"] != "")))
 
 
 def page_record(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -> DataFrame:
     """EXT-2: one record per page that has a document; a field without text is ''."""
     _check(fields)
-    return shredded.filter(F.col("nodes").isNotNull()).select(*keep, *[
-        F.coalesce(unicode_trim(joined_text(matches(s))), F.lit("")).alias(name) for name, s in fields.items()])
+    record = with_text(lambda text: F.struct(*[
+        unicode_trim(joined_text(matches(s), text)).alias(name) for name, s in fields.items()]))
+    return shredded.filter(F.col("nodes").isNotNull()).select(*keep, F.inline(F.array(record)))
 
 
-def _container_entries(containers: Column, fields: Mapping[str, str]) -> Column:
+def _container_entries(containers: Column, fields: Mapping[str, str], text: Column) -> Column:
     """Per container: its id and, per field, the number of matches inside and their raw text."""
     columns = [within(containers, matches(s),
-                      lambda found: F.struct(F.size(found).alias("n"), joined_text(found).alias("raw")))
+                      lambda found: F.struct(F.size(found).alias("n"), joined_text(found, text).alias("raw")))
                for s in fields.values()]
     zipped = F.arrays_zip(F.transform(containers, lambda c: c["pre"]), *columns)
     return F.transform(zipped, lambda z: F.struct(
@@ -62,7 +63,7 @@ def _present(entry: Column, fields: Mapping[str, str]) -> Column:
 
 def _records(containers: Column, fields: Mapping[str, str], value, drop_empty: bool) -> Column:
     _check(fields)
-    entries = let(containers, lambda c: _container_entries(c, fields))
+    entries = with_text(lambda text: let(containers, lambda c: _container_entries(c, fields, text)))
     records = F.transform(entries, lambda e: F.struct(
         e["container_pre"].alias("container_pre"), *[value(e[name]).alias(name) for name in fields]))
     if drop_empty:
@@ -123,7 +124,7 @@ def positional_zip(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -
     Short fields are padded with ''; a field without any match is null throughout.
     """
     _check(fields)
-    lists = F.struct(*[texts(matches(s)).alias(name) for name, s in fields.items()])
+    lists = with_text(lambda text: F.struct(*[texts(matches(s), text).alias(name) for name, s in fields.items()]))
 
     def rows(lists: Column) -> Column:
         zipped = F.arrays_zip(*[lists[name] for name in fields])
@@ -140,17 +141,14 @@ def longest_field(shredded: DataFrame, fields: Mapping[str, str], *keep: str) ->
     return shredded.select(*keep, F.array_max(sizes).alias("max_len"))
 
 
-def _single_field_entries(fields: Mapping[str, str]) -> Column:
-    return F.concat(*[
-        F.transform(texts(matches(s)), lambda t: F.struct(
-            F.lit(name).alias("field"), unicode_trim(t).alias("content")))
-        for name, s in fields.items()])
-
-
 def single_field_rows(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -> DataFrame:
     """EXT-5: one row per matched element, trimmed; empty text is kept."""
     _check(fields)
-    return shredded.select(*keep, F.inline(_single_field_entries(fields)))
+    entries = with_text(lambda text: F.concat(*[
+        F.transform(texts(matches(s), text), lambda t: F.struct(
+            F.lit(name).alias("field"), unicode_trim(t).alias("content")))
+        for name, s in fields.items()]))
+    return shredded.select(*keep, F.inline(entries))
 
 
 def pages_without_matches(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -> DataFrame:
@@ -168,7 +166,7 @@ def grouped_records(shredded: DataFrame, groups: Mapping[str, tuple[str, Mapping
     parts = []
     for group, (container, fields) in groups.items():
         _check(fields)
-        entries = let(matches(container), lambda c: _container_entries(c, fields))
+        entries = with_text(lambda text: let(matches(container), lambda c: _container_entries(c, fields, text)))
         parts.append(F.transform(entries, lambda e: F.struct(
             F.lit(group).alias("group"), e["container_pre"].alias("container_pre"),
             F.map_from_arrays(F.array(*[F.lit(n) for n in fields]),
@@ -186,15 +184,16 @@ def link_titles(shredded: DataFrame, outer: str, title: str, *keep: str, link: s
     def first(found: Column) -> Column:
         return F.get(found, F.lit(0))
 
-    def entries(containers: Column) -> Column:
+    def entries(containers: Column, text: Column) -> Column:
         own = F.transform(containers, lambda c: c["pre"])
         source = own if link is None else within(containers, matches(link), lambda found: first(found)["pre"])
-        titles = within(containers, matches(title), lambda found: slice_text(F.col("text"), first(found)))
+        titles = within(containers, matches(title), lambda found: slice_text(text, first(found)))
         return F.transform(F.arrays_zip(source, titles), lambda z: F.struct(
             F.element_at(F.get(F.col("nodes"), z["0"])["attrs"], "href").alias("href"),
             unicode_trim(z["1"]).alias("title")))
 
-    found = F.filter(let(matches(outer), entries), lambda e: (e["href"] != "") & (e["title"] != ""))
+    pairs = with_text(lambda text: let(matches(outer), lambda containers: entries(containers, text)))
+    found = F.filter(pairs, lambda e: (e["href"] != "") & (e["title"] != ""))
     return shredded.select(*keep, F.inline(F.transform(found, lambda e: F.struct(
         F.concat(F.lit(site), e["href"]).alias("link"), e["title"].alias("title")))))
 

@@ -63,6 +63,7 @@ class PageNodes:
         self.last, self.text_start, self.text_len = [], [], []
         self.chunks, self.offset = [], 0
         self.open = []          # node ids, outermost first
+        self.open_tags = {}     # how many open elements per tag, so most searches end at once
         self.formatting = []    # node ids to re-open; None marks a boundary
         self.in_body = False
 
@@ -77,12 +78,14 @@ class PageNodes:
         self.text_start.append(self.offset)
         self.text_len.append(0)
         self.open.append(node)
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         return node
 
     def pop(self) -> str:
         node = self.open.pop()
         self.last[node] = len(self.tag) - 1
         self.text_len[node] = self.offset - self.text_start[node]
+        self.open_tags[self.tag[node]] -= 1
         if self.tag[node] in MARKERS and None in self.formatting:
             while self.formatting.pop() is not None:
                 pass
@@ -94,6 +97,8 @@ class PageNodes:
 
     def find_open(self, names, boundary=SCOPE) -> int:
         """Position of the innermost open element with one of the names, or -1."""
+        if not any(self.open_tags.get(name) for name in names):
+            return -1
         for position in range(len(self.open) - 1, 1, -1):
             tag = self.tag[self.open[position]]
             if tag in names:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.dom.css import descendant_pairs, match_rows, matches
+from webloom.dom.css import descendant_pairs, match_rows, matches, with_text
 from webloom.dom.extract import (
     click_targets, common_ancestor, container_records, container_rows, generalized_selectors, grouped_records,
     joined_text, link_titles, longest_field, page_fields, page_record, page_selectors, pages_without_matches,
@@ -81,9 +81,8 @@ def node_table(spark, sf_dir):
     tags = ("ul", "li", "a", "h1", "title")
     shredded = shredded_pages(spark, sf_dir)
     kept = F.filter("nodes", lambda n: n["tag"].isin(*tags))
-    rows = F.transform(kept, lambda n: F.struct(
-        n["tag"].alias("tag"), n["pre"].alias("pre"), n["last"].alias("last"),
-        slice_text(F.col("text"), n).alias("content")))
+    rows = with_text(lambda text: F.transform(kept, lambda n: F.struct(
+        n["tag"].alias("tag"), n["pre"].alias("pre"), n["last"].alias("last"), slice_text(text, n).alias("content"))))
     return shredded.select("page_id", F.inline(rows))
 
 
@@ -279,9 +278,9 @@ select page_id, array_to_string(links, '') || array_to_string(links, '') as cont
 """)
 def joined_text_query(spark, sf_dir):
     """Nested matches count twice: each link text comes once for its item and once for itself."""
-    rows = shredded_pages(spark, sf_dir).select(
-        "page_id", joined_text(matches("nav li")).alias("items"), joined_text(matches("nav a")).alias("links"))
-    return rows.select("page_id", F.concat("items", "links").alias("content"))
+    both = with_text(lambda text: F.concat(
+        joined_text(matches("nav li"), text), joined_text(matches("nav a"), text)))
+    return shredded_pages(spark, sf_dir).select("page_id", both.alias("content"))
 
 
 @query("agg9_longest_field", FACTS + """
