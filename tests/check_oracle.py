@@ -75,7 +75,7 @@ def main():
                 mark = "rows-only"
             else:
                 begin = time.time()
-                problem = compare(got, con.sql(oracle[name]).fetch_arrow_table())
+                problem = compare(got, con.sql(oracle[name]).to_arrow_table())
                 mark = f"sql {time.time() - begin:.2f}s"
             rows = got.num_rows
         except Exception as error:  # report and go on

@@ -46,19 +46,14 @@ def parse(selector: str) -> list[list[tuple[str, dict]]]:
     return alternatives
 
 
-def compound_matches(node: Column, compound: dict) -> Column:
-    tests = [] if compound["tag"] == "*" else [node["tag"] == compound["tag"]]
-    tests += [F.array_contains(node["classes"], c) for c in compound["classes"]]
-    tests += [node["id_attr"].eqNullSafe(F.lit(i)) for i in compound["ids"]]
-    tests += [F.map_contains_key(node["attrs"], a) for a in compound["attrs"]]
-    result = F.lit(True)
-    for test in tests:
-        result = result & test
-    return result
-
-
-def _slim(nodes: Column) -> Column:
-    return F.transform(nodes, lambda n: F.struct(*[n[f].alias(f) for f in SLIM]))
+def _compound_nodes(compound: dict) -> Column:
+    """The nodes one compound matches, as slim structs; the grammar leaves nothing to escape."""
+    tests = [] if compound["tag"] == "*" else [f"n.tag = '{compound['tag']}'"]
+    tests += [f"array_contains(n.classes, '{c}')" for c in compound["classes"]]
+    tests += [f"n.id_attr <=> '{i}'" for i in compound["ids"]]
+    tests += [f"map_contains_key(n.attrs, '{a}')" for a in compound["attrs"]]
+    slim = ", ".join(f"n.{f} as {f}" for f in SLIM)
+    return F.expr(f"transform(filter(nodes, n -> {' and '.join(tests) or 'true'}), n -> struct({slim}))")
 
 
 def count_below(values: Column, points: Column) -> Column:
@@ -97,14 +92,13 @@ def _related(upper: Column, lower: Column, combinator: str) -> Column:
     return let(F.struct(upper.alias("up"), lower.alias("down")), keep)
 
 
-def matches(selector: str, nodes: Column | None = None) -> Column:
+def matches(selector: str) -> Column:
     """Matching nodes in document order, as an array of slim node structs."""
-    nodes = F.col("nodes") if nodes is None else nodes
     found = []
     for steps in parse(selector):
         result = None
         for combinator, compound in steps:
-            here = _slim(F.filter(nodes, lambda n: compound_matches(n, compound)))
+            here = _compound_nodes(compound)
             result = here if result is None else _related(result, here, combinator)
         found.append(result)
     return found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)))
@@ -127,9 +121,12 @@ def within(containers: Column, found: Column, body: Callable[[Column], Column])
     """
     def per_container(pair: Column) -> Column:
         position = F.transform(pair["found"], lambda n: n["pre"])
-        lo = count_below(position, F.transform(pair["outer"], lambda c: c["pre"] + 1))
-        hi = count_below(position, F.transform(pair["outer"], lambda c: c["last"] + 1))
-        return F.zip_with(lo, hi, lambda a, b: body(F.slice(pair["found"], a + 1, b - a)))
+        bounds = F.concat(F.transform(pair["outer"], lambda c: c["pre"] + 1),
+                          F.transform(pair["outer"], lambda c: c["last"] + 1))
+        count = F.size(pair["outer"])
+        return let(count_below(position, bounds), lambda n: F.zip_with(
+            F.slice(n, F.lit(1), count), F.slice(n, count + 1, count),
+            lambda a, b: body(F.slice(pair["found"], a + 1, b - a))))
 
     return let(F.struct(containers.alias("outer"), found.alias("found")), per_container)
 

@@ -40,7 +40,7 @@ def page_record(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -> D
     _check(fields)
     record = with_text(lambda text: F.struct(*[
         unicode_trim(joined_text(matches(s), text)).alias(name) for name, s in fields.items()]))
-    return shredded.filter(F.col("nodes").isNotNull()).select(*keep, F.inline(F.array(record)))
+    return shredded.select(*keep, F.inline(F.when(F.col("text").isNotNull(), F.array(record))))
 
 
 def _container_entries(containers: Column, fields: Mapping[str, str], text: Column) -> Column:
@@ -152,12 +152,15 @@ def single_field_rows(shredded: DataFrame, fields: Mapping[str, str], *keep: str
 
 
 def pages_without_matches(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -> DataFrame:
-    """EXT-5: the pages that fail because no selector matches at all."""
+    """EXT-5: the pages that fail because no selector matches at all.
+
+    Rows are dropped by an empty array: a filter on parsed columns would parse every page twice.
+    """
     _check(fields)
     found = F.lit(0)
     for s in fields.values():
         found = found + F.size(matches(s))
-    return shredded.filter(found == 0).select(*keep)
+    return shredded.select(F.inline(F.when(found == 0, F.array(F.struct(*keep)))))
 
 
 def grouped_records(shredded: DataFrame, groups: Mapping[str, tuple[str, Mapping[str, str]]],

@@ -79,7 +79,12 @@ def shred_html(html: pa.Array) -> pa.Array:
 
 
 def shred(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the ``html`` column by ``text`` (bytes) and ``nodes``."""
+    """Replace the ``html`` column by ``text`` (bytes) and ``nodes``.
+
+    Filter pages before, not after: a filter on the parsed columns moves below them and parses
+    each page a second time.  For several extractions over the same pages, write the result as a
+    table once and read that.
+    """
     rest = [c for c in pages.columns if c != html]
     return pages.select(*rest, shred_html(F.col(html)).alias("_dom")).select(
         *rest, F.col("_dom.text").alias("text"), F.col("_dom.nodes").alias("nodes"))

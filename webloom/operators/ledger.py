@@ -43,8 +43,8 @@ def distinct_payments(payments: DataFrame, session: str = "session_id", order: s
 def skip_immediate_repeats(payments: DataFrame, user: str, session: str, order: list[str],
                            hot_rows: int = HOT_ROWS) -> DataFrame:
     """WIN-4: drop a payment whose session equals the one just before it for the same user."""
-    seen = Ordered(payments, [user], order, hot_rows).lag(session, "_previous").result()
-    return seen.filter(~F.col(session).eqNullSafe(F.col("_previous"))).drop("_previous")
+    seen = Ordered(payments, [user], order, hot_rows).changed(session, "_new").result()
+    return seen.filter("_new").drop("_new")
 
 
 def balances(users: DataFrame, payments: DataFrame, email: str = "email", amount: str = "credits") -> DataFrame:

@@ -63,17 +63,21 @@ class Ordered:
         self.df = joined.withColumn(name, combine(F.col("_carry"))).drop("_carry")
         return self
 
-    def lag(self, column: str, name: str) -> "Ordered":
-        """Value of ``column`` in the previous row."""
-        inside = F.lag(column).over(self.window)
+    def changed(self, column: str, name: str) -> "Ordered":
+        """Whether ``column`` differs from the previous row; true in the first row of a key."""
+        def differs(before: Column) -> Column:
+            return before.isNull() | ~before["value"].eqNullSafe(F.col(column))
+
+        # Boxed, so that a missing row and a null value stay apart.
+        box = F.struct(F.col(column).alias("value"))
+        inside = F.lag(box).over(self.window)
         if not self.split:
-            self.df = self.df.withColumn(name, inside)
+            self.df = self.df.withColumn(name, differs(inside))
             return self
-        self.df = self.df.withColumn("_lag", inside)
-        last = F.max_by(F.struct(column), F.struct(*self.order))
-        self._with_carry(name, last, lambda v, w: F.lag(v).over(w)[column],
-                         lambda carry: F.when(F.col(FIRST), carry).otherwise(F.col("_lag")))
-        self.df = self.df.drop("_lag")
+        self.df = self.df.withColumn("_before", inside)
+        self._with_carry(name, F.max_by(box, F.struct(*self.order)), lambda v, w: F.lag(v).over(w),
+                         lambda carry: differs(F.when(F.col(FIRST), carry).otherwise(F.col("_before"))))
+        self.df = self.df.drop("_before")
         return self
 
     def running_sum(self, value: Column, name: str) -> "Ordered":

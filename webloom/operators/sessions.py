@@ -12,9 +12,8 @@ from webloom.operators.ordered import HOT_ROWS, Ordered
 def sessions(actions: DataFrame, user: str, site: str, order: Sequence[str],
              hot_rows: int = HOT_ROWS) -> DataFrame:
     """WIN-1: a user's log starts anew when the site changes; adds ``session_id`` from 1."""
-    ordered = Ordered(actions, [user], order, hot_rows).lag(site, "_before")
-    changed = F.when(F.col("_before").eqNullSafe(F.col(site)), 0).otherwise(1).cast("bigint")
-    return ordered.running_sum(changed, "session_id").result().drop("_before")
+    ordered = Ordered(actions, [user], order, hot_rows).changed(site, "_changed")
+    return ordered.running_sum(F.col("_changed").cast("bigint"), "session_id").result().drop("_changed")
 
 
 def collect_actions(actions: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
