@@ -31,7 +31,7 @@ def test_extraction_does_not_shuffle(spark, name):
 @pytest.mark.parametrize("name,count", [
     ("agg1_agg2_sliding_window", 1), ("agg5_duration_histogram", 1), ("ddp1_keep_first", 1),
     ("ddp3_distinct_payments", 1), ("win1_sessions", 1), ("win4_immediate_repeats", 1), ("win2_rank_within_type", 1),
-    ("win3_guarded_ledger", 1), ("prj2_prj4_transform_tasks", 0), ("snk2_record_messages", 0), ("src9_page_urls", 0)])
+    ("win3_guarded_ledger", 1), ("prj2_prj4_transform_tasks", 0), ("snk2_record_messages", 0), ("src9_page_urls", 0), ("agg7_session_actions", 1)])
 def test_shuffle_count(spark, name, count):
     assert len(shuffles(plan(spark, name))) == count
 

@@ -191,3 +191,29 @@ def test_page_stream_sends_every_page(spark, rows, tmp_path):
     pages = spark.createDataFrame([(i, card.format(i) * 2) for i in range(4)], schema)
     batch = record_messages(container_records(shred(pages), ".card", fields, "page_id").drop("container_pre"))
     assert rows(sent, "value") == rows(batch, "value") and sent.count() == 8
+
+
+def test_window_job_over_files(spark, rows, tmp_path):
+    import json
+
+    from webloom.jobs.windowed_aggregation import arguments, window_messages
+
+    args = arguments(["--input_topic", "i", "--output_topic", "o", "--checkpoint", "c", "--aggregation_fields",
+                      '{"task": "count", "k": "avg"}', "--slide_interval", "10 minutes"])
+    texts = [json.dumps({"task_id": "t", "payload": {"k": str(k)}, "timestamp": f"2024-01-01T00:0{k}:00Z"})
+             for k in (1, 2)] + ["broken"]
+    write_files(spark, tmp_path, "value string", [[(t,)] for t in texts])
+    sent = run(window_messages(files_of(spark, tmp_path, "value string"), args), tmp_path, "update")
+    assert rows(latest_rows(sent, ["key"]))[0][0] == "{2024-01-01 00:00:00, 2024-01-01 00:10:00}"
+    assert json.loads(rows(latest_rows(sent, ["key"]))[0][1]) == {
+        "window": {"start": "2024-01-01T00:00:00.000Z", "end": "2024-01-01T00:10:00.000Z"}, "task_count": 2, "k_avg": 1.5}
+
+
+def test_workflow_job_routes(spark, rows):
+    from webloom.jobs.workflow_tasks import default_routes
+
+    raw = '{"payload":{"a":1},"task_type":"transform"}'
+    handled = default_routes().apply(decode_tasks(spark.createDataFrame([(raw,)], "value string")))
+    assert rows(handled["transform"], "document") == [(
+        '{"transformed":"{\\"payload\\":{\\"a\\":1},\\"task_type\\":\\"transform\\"}"}',)]
+    assert handled["store"].count() == handled["unrouted"].count() == 0

@@ -277,6 +277,8 @@ class PageNodes:
 
 def read_tag(html: str, position: int):
     """Attributes of a start tag whose name ends at position; None at end of input."""
+    if html.startswith(">", position):
+        return {}, False, position + 1
     attrs: dict[str, str] = {}
     while True:
         end = TAG_END.match(html, position)

@@ -10,6 +10,11 @@ WHITE_SPACE = (
     "    　"
 )
 
+# Elements that cover a page and are always tried first.
+BLOCKERS = (
+    "button.accept-cookies", "div.modal-close", "button.close-popup", ".overlay-dismiss", ".interstitial-dismiss",
+)
+
 
 def unicode_trim(text: Column) -> Column:
     """SCL-1: trim every Unicode white-space character, not only the space."""

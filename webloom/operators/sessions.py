@@ -10,20 +10,23 @@ from webloom.operators.ordered import HOT_ROWS, Ordered
 
 
 def sessions(actions: DataFrame, user: str, site: str, order: Sequence[str],
-             hot_rows: int = HOT_ROWS) -> DataFrame:
-    """WIN-1: a user's log starts anew when the site changes; adds ``session_id`` from 1."""
-    ordered = Ordered(actions, [user], order, hot_rows).changed(site, "_changed")
+             hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
+    """WIN-1: a user's log starts anew when the site changes; adds ``session_id`` from 1.
+
+    ``split`` is the answer of ``has_hot_key`` where it is known already.
+    """
+    ordered = Ordered(actions, [user], order, hot_rows, split).changed(site, "_changed")
     return ordered.running_sum(F.col("_changed").cast("bigint"), "session_id").result().drop("_changed")
 
 
 def collect_actions(actions: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
-                    part_rows: int = 100_000, hot_rows: int = HOT_ROWS) -> DataFrame:
+                    part_rows: int = 100_000, hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """AGG-7: the ordered action array of each group.
 
     A group larger than ``part_rows`` comes as several rows, numbered by ``part``, so no array
     and no task holds an unbounded group; concatenated by part they are the whole log.
     """
-    numbered = Ordered(actions, keys, order, hot_rows).row_number("_n").result()
+    numbered = Ordered(actions, keys, order, hot_rows, split).row_number("_n").result()
     part = F.floor((F.col("_n") - 1) / part_rows).cast("bigint")
     return (numbered.withColumn("part", part).groupBy(*keys, "part")
             .agg(F.array_sort(F.collect_list(F.struct("_n", *fields))).alias("actions"))

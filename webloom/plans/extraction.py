@@ -52,17 +52,33 @@ with facts as (
 """
 
 
-@query("ext0_element_counts", """
+# Source tags by name (and class), plus the inline elements a parser re-opens: the pages never close
+# <b>, so each later paragraph and the footer repeat the ones still active, three at most.
+ELEMENTS = """
 with tags as (
   select unnest(regexp_extract_all(
-    regexp_replace(html, '<script>.*?</script>', '<script></script>', 'gs'), '<([a-z][a-z0-9]*)', 1)) as tag
-  from pages)
-select tag, count(*) as n from tags where tag <> 'b' group by tag
+    regexp_replace(html, '<script>.*?</script>', '<script></script>', 'gs'),
+    '<([a-z][a-z0-9]*(?: class="[^"]*")?)', 1)) as tag
+  from pages),
+cut as (
+  select page_id, string_split(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<p>') as parts from pages),
+places as (select page_id, parts, unnest(range(2, len(parts) + 2)) as i from cut),
+reopened as (
+  select least(3, len(regexp_extract_all(array_to_string(parts[1:i - 1], ''), '<b>'))) as n from places
+  where i > len(parts) or parts[i] not in ('', '</p>')),
+elements as (
+  select replace(replace(tag, ' class="', '.'), '"', '') as signature, count(*) as n from tags group by 1
+  union all select 'b', sum(n) from reopened)
+"""
+
+
+@query("ext0_element_counts", ELEMENTS + """
+select split_part(signature, '.', 1) as tag, sum(n)::bigint as n from elements group by 1
 """)
 def element_counts(spark, sf_dir):
-    """Elements per tag over the corpus; ``b`` is left out since re-opened copies have no source tag."""
+    """Elements per tag over the corpus, those a parser re-opens included."""
     nodes = shredded_pages(spark, sf_dir).select(F.explode(F.transform("nodes", lambda n: n["tag"])).alias("tag"))
-    return nodes.filter(F.col("tag") != "b").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ext0_node_table", FACTS + """
@@ -356,15 +372,8 @@ def absolute_html_query(spark, sf_dir):
     return pages.select("page_id", F.md5(absolute_links_in(F.col("html"), origin(F.col("url")))).alias("html_md5"))
 
 
-@query("scl13_signatures", """
-with tags as (
-  select unnest(regexp_extract_all(
-    regexp_replace(html, '<script>.*?</script>', '<script></script>', 'gs'),
-    '<([a-z][a-z0-9]*(?: class="[^"]*")?)', 1)) as tag
-  from pages)
-select replace(replace(tag, ' class="', '.'), '"', '') as signature, count(*) as n from tags where tag <> 'b' group by 1
-""")
+@query("scl13_signatures", ELEMENTS + "select signature, sum(n)::bigint as n from elements group by 1")
 def signatures(spark, sf_dir):
     nodes = shredded_pages(spark, sf_dir).select(F.explode(F.transform(
         F.col("nodes"), lambda n: signature(n["tag"], n["classes"]))).alias("signature"))
-    return nodes.filter(F.col("signature") != "b").groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webloom.operators.dedup import distinct_on, first_content, keep_first
+from webloom.operators.ordered import has_hot_key
 from webloom.operators.paging import (
     cap_pages, numbered_pages, page, page_after, page_count, preview, storage_order,
 )
@@ -328,8 +329,10 @@ select user_id, session_id, site, 0::bigint as part, string_agg(props->>'k', ','
 from sessions group by user_id, session_id, site
 """)
 def session_actions(spark, sf_dir):
-    found = sessions(_actions(spark, sf_dir), "user_id", "site", ["ts", "event_id"])
-    logs = collect_actions(found, ["user_id", "session_id", "site"], ["ts", "event_id"], ["k"])
+    actions = _actions(spark, sf_dir)
+    split = has_hot_key(actions, ["user_id"])     # a session is never larger than its user
+    found = sessions(actions, "user_id", "site", ["ts", "event_id"], split=split)
+    logs = collect_actions(found, ["user_id", "session_id", "site"], ["ts", "event_id"], ["k"], split=split)
     return logs.withColumn("actions", F.array_join("actions.k", ","))
 
 

@@ -147,20 +147,20 @@ def price_in_cents(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.price_in_cents(F.col("p_size")).alias("cents"))
 
 
-BASE = ("button.accept-cookies", "div.modal-close")
+BASE = "['" + "', '".join(X.BLOCKERS) + "']"
 
 
-@query("set2_add_selectors", """
+@query("set2_add_selectors", f"""
 with lists as (
   select doc_id, list_transform(string_split(text, ','), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)
                  || chr(160))) as items from documents),
 kept as (
-  select doc_id, ['button.accept-cookies', 'div.modal-close']
+  select doc_id, {BASE}
          || list_filter(items, lambda x, i: x <> '' and list_position(items, x) = i) as selectors from lists)
 select doc_id, len(selectors) as n, md5(array_to_string(selectors, '|')) as selectors_md5 from kept
 """)
 def add_selectors(spark, sf_dir):
-    base = F.array(*[F.lit(s) for s in BASE])
+    base = F.array(*[F.lit(s) for s in X.BLOCKERS])
     merged = wide_table(spark, sf_dir, "documents").select("doc_id", X.add_selectors(base, F.col("text")).alias("s"))
     return merged.select("doc_id", F.size("s").cast("bigint").alias("n"),
                          F.md5(F.array_join("s", "|")).alias("selectors_md5"))
