@@ -22,7 +22,7 @@ from webloom.operators.views import create_view, list_catalog, run_sql, view_exi
 from webloom.operators.workflow import fan_out, root_tasks, terminal_tasks
 from webloom.sinks.messages import record_messages, task_messages
 from webloom.sinks.tables import write_action_logs, action_logs, write_csv, append_collection
-from webloom.sources.generators import number_rows, page_urls, seed_pool, topic_names
+from webloom.sources.generators import POOL_COUNTS, TOPIC_COUNTS, count_rows, number_rows, page_urls, seed_pool, topic_names
 from webloom.sources.kafka import user_of_topic, user_topic
 from webloom.sources.tables import apply_schema, declared_schema, explode_forms, read_forms
 
@@ -186,6 +186,8 @@ def test_generators(spark, rows):
     counts = spark.createDataFrame([("scrape", 2), ("store", 0), ("odd", -1), ("gone", None)], "task_type string, n int")
     assert rows(topic_names(counts), "topic_name") == [("scrape_1",), ("scrape_2",)]
     assert rows(seed_pool(counts)) == [("scrape_1", "scrape", False, ""), ("scrape_2", "scrape", False, "")]
+    assert topic_names(count_rows(spark, TOPIC_COUNTS)).count() == 35
+    assert seed_pool(count_rows(spark, POOL_COUNTS)).filter("task_type = 'transform'").count() == 5
     specs = spark.createDataFrame([("http://x", 2), ("http://y", 0)], "url string, page_num int")
     assert rows(page_urls(specs), "page_url") == [("http://x?page=1",), ("http://x?page=2",)]
     big = number_rows(spark.createDataFrame([(200_001,)], "n int"), F.col("n"), "i")

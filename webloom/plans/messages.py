@@ -8,7 +8,7 @@ from webloom.operators.metrics import BUCKETS, bucket_name, duration_histogram,
 from webloom.operators.records import wrap_transformed
 from webloom.plans.registry import query, table, wide_table
 from webloom.sinks.messages import record_messages, task_messages
-from webloom.streaming.route import Routes, decode_tasks, split_malformed, transform_tasks, with_route
+from webloom.streaming.route import Routes, decode_tasks, transform_tasks, with_route, with_status
 from webloom.streaming.windowed import (
     as_messages, decode_events, split_timeless, windowed_aggregate,
 )
@@ -179,9 +179,7 @@ select case when json_valid(value) and json_type(value) = 'OBJECT' then 'readabl
        md5(value) as value_md5 from raw
 """)
 def malformed(spark, sf_dir):
-    good, dead = split_malformed(raw_messages(spark, sf_dir))
-    digest = F.md5("value").alias("value_md5")
-    return good.select(F.lit("readable").alias("status"), digest).union(dead.select(F.lit("dead").alias("status"), digest))
+    return with_status(raw_messages(spark, sf_dir)).select("status", F.md5("value").alias("value_md5"))
 
 
 @query("prj12_wrap_transformed", """

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BLOCK = 65_536
 
+# Topics created and pool rows seeded per task type.
+TOPIC_COUNTS = {"scrape": 20, "transform": 10, "store": 5}
+POOL_COUNTS = {"scrape": 10, "transform": 5, "store": 3}
+
 
 def number_rows(df: DataFrame, count: Column, name: str) -> DataFrame:
     """Each row repeated with ``name`` = 1..count; none when the count is missing or not positive.
@@ -31,6 +35,11 @@ def page_urls(specs: DataFrame, url: str = "url", pages: str = "page_num") -> Da
     return numbered.withColumn("page_url", F.concat(F.col(url), F.lit("?page="), F.col("page_no").cast("string")))
 
 
+def count_rows(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """A small dictionary of counts as a table."""
+    return spark.createDataFrame(list(counts.items()), "task_type string, n int")
+
+
 def topic_names(counts: DataFrame, task_type: str = "task_type", count: str = "n") -> DataFrame:
     """SRC-10: ``<type>_<i>`` for i = 1..count."""
     numbered = number_rows(counts.select(F.col(task_type).alias("task_type"), F.col(count).alias("_n")),

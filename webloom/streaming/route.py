@@ -16,6 +16,11 @@ def is_json_object(raw: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
+def with_status(messages: DataFrame, value: str = "value") -> DataFrame:
+    """PRJ-5 in one pass: ``status`` is ``readable`` or ``dead``."""
+    return messages.withColumn("status", F.when(is_json_object(F.col(value)), "readable").otherwise("dead"))
+
+
 def split_malformed(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """PRJ-5: (readable messages, dead letters)."""
     ok = is_json_object(F.col(value))
