@@ -71,6 +71,7 @@ def test_text_expressions(spark):
     ("/a/b", "https://h:1/a/b"), ("a", "https://h:1/a"), ("./a", "https://h:1/a"), ("../a", "https://h:1/a"),
     ("#x", "https://h:1/#x"), ("?q=1", "https://h:1/?q=1"), ("", "https://h:1/"), ("//cdn/x", "//cdn/x"),
     ("http://o/x", "http://o/x"), ("mailto:a@b", "mailto:a@b"), ("/é x", "https://h:1/%C3%A9%20x"),
+    (" /a\n ", "https://h:1/a"), (" mailto:a@b", "mailto:a@b"), ("/../a/./b", "https://h:1/a/./b"), ("httpx", "httpx"),
     ("/%C3%A9", "https://h:1/%C3%A9"), ("/日", "https://h:1/%E6%97%A5"), ("/😀", "https://h:1/%F0%9F%98%80"),
 ])
 def test_absolute_links(spark, link, expected):

@@ -25,15 +25,15 @@ def escaped(link: Column) -> Column:
         code = F.regexp_replace(F.hex(F.encode(char, "UTF-8")), "(..)", "%$1")
         return F.when(char.rlike(f"^{UNESCAPED}$"), char).otherwise(code)
 
-    return F.when(link.rlike(f"^{UNESCAPED}*$"), link).otherwise(
+    return F.when(link.rlike(f"^{UNESCAPED}*\\z"), link).otherwise(
         F.array_join(F.transform(F.split(link, ""), escape), ""))
 
 
 def absolute_link(link: Column, base: Column) -> Column:
     """One link resolved against an origin: rooted and relative forms both land under it."""
-    inside = F.regexp_replace(link, F.lit(r"^(?:\.{1,2}/)+"), F.lit(""))
-    return (F.when(link.rlike(ABSOLUTE) | link.rlike(SCHEME), link)
-            .when(link.startswith("/"), F.concat(base, escaped(link)))
+    clean = F.btrim(F.regexp_replace(link, F.lit(r"[\t\n\r]"), F.lit("")))
+    inside = F.regexp_replace(clean, F.lit(r"^/?(?:\.{1,2}/)*"), F.lit(""))
+    return (F.when(link.rlike(ABSOLUTE), link).when(clean.rlike(SCHEME), clean)
             .otherwise(F.concat(base, F.lit("/"), escaped(inside))))
 
 
