@@ -155,7 +155,7 @@ def test_header_widen_csv(spark, rows, tmp_path):
     assert header(frame, "r") == ["a", "b", "c"]
     assert widen(frame, "r").columns == ["i", "a", "b", "c"]
     write_csv(frame, str(tmp_path / "csv"), "r")
-    back = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "csv"))
+    back = spark.read.options(header=True, escape='"').csv(str(tmp_path / "csv"))
     assert rows(back) == [("1", 'y,"z', "x", None), ("2", None, None, "w")]
 
 

@@ -121,4 +121,4 @@ DOM_NODES_SCHEMA = ("pre int, last int, parent int, depth int, tag string, id_at
 
 
 def register_dom_nodes(spark, name: str = "dom_nodes") -> None:
-    spark.udtf.register(name, F.udtf(DomNodes, returnType=DOM_NODES_SCHEMA))
+    spark.udtf.register(name, F.udtf(DomNodes, returnType=DOM_NODES_SCHEMA, useArrow=True))

@@ -40,9 +40,9 @@ def append_collection(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(records: DataFrame, path: str, record: str | None = None) -> None:
-    """SNK-8: CSV with a header; a map column becomes one column per key first."""
+    """SNK-8: CSV with a header, values quoted, quotes doubled; a map column becomes one column per key first."""
     wide = records if record is None else widen(records, record)
-    wide.write.mode("overwrite").option("header", True).csv(path)
+    wide.write.mode("overwrite").options(header=True, quoteAll=True, escape='"').csv(path)
 
 
 def action_logs(actions: DataFrame, origin: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
