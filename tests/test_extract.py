@@ -224,3 +224,22 @@ def test_large_page_stays_near_linear(spark):
     begin = time.time()
     assert container_records(page, ".card", FIELDS).count() == 30000
     assert time.time() - begin < 30
+
+
+def test_selection_requests(products, rows):
+    from webloom.dom.selection import Selection
+
+    body = """{"url": "u", "lcaSelector": ".product-card", "pages": 0,
+               "groups": {"fields": {"title": "h2"}, "top": {"container": "body", "head": "h1"}}}"""
+    selection = Selection.from_json(body)
+    assert selection.pages == 1
+    assert rows(selection.records(products), "title") == [("Product 1",), ("Product 2",), ("Product 3",)]
+    top = Selection("u", {"top": {"container": "body", "head": "h1"}})
+    assert rows(top.group_records(products), "group", "record") == [("top", {"head": "Product Listings"})]
+    listed = Selection.from_selectors("u", [".product-card", "h2", "p"])
+    assert rows(listed.records(products), "field1", "field2")[0] == ("Product 1", "$19.99")
+    for broken in (lambda: Selection("u").records(products), lambda: Selection("u").group_records(products),
+                   lambda: Selection("u", {"fields": {"a": "b"}}).records(products),
+                   lambda: Selection.from_selectors("u", [])):
+        with pytest.raises(ValueError):
+            broken()

@@ -15,7 +15,7 @@ from webloom.operators.records import (
 from webloom.operators.sessions import collect_actions, sessions
 from webloom.operators.views import create_view, run_sql, visible_rows, workflow_rows
 from webloom.operators.workflow import fan_out, root_tasks, terminal_tasks
-from webloom.plans.registry import query, table
+from webloom.plans.registry import query, table, wide_table
 from webloom.runtime import working_path
 from webloom.sinks.tables import (
     action_logs, append_documents, append_long, document_rows, stamped, write_action_logs, write_csv,
@@ -95,7 +95,7 @@ select l_orderkey::varchar as url, field, content, l_shipdate as scraped_at
 from lineitem, lateral (values ('returnflag', l_returnflag), ('linestatus', l_linestatus)) v(field, content)
 """)
 def long_form(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
+    items = wide_table(spark, sf_dir, "lineitem")
     cells = items.select(
         F.col("l_orderkey").cast("string").alias("url"), F.col("l_shipdate").alias("scraped_at"),
         F.explode(F.array(

@@ -41,7 +41,11 @@ def ledger_sink(path: str, key: str, order: list[str], amount: str, chunk_rows:
     """A ``write(batch, batch_id)`` that keeps ``<path>/entries`` and ``<path>/balances``."""
     def write(batch: DataFrame, batch_id: int) -> None:
         opening = balances_before(batch.sparkSession, path, key, batch_id)
-        entries = cut(guarded_ledger(batch, key, order, amount, opening, chunk_rows))
+        batch = batch.persist()     # read twice, and its state work must run once
+        try:
+            entries = cut(guarded_ledger(batch, key, order, amount, opening, chunk_rows))
+        finally:
+            batch.unpersist()
         write_batch(entries, batch_id, f"{path}/entries")
         closing = entries.groupBy(key).agg(F.max_by("balance", F.struct(*order)).alias("balance"))
         if opening is not None and batch_id % SNAPSHOT_EVERY == 0:
