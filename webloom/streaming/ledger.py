@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webloom.operators.dedup import distinct_on
 from webloom.operators.ledger import CHUNK_ROWS, guarded_ledger
-from webloom.runtime import cut
 from webloom.streaming.run import BATCH, latest_rows, read_table, write_batch
 
 SNAPSHOT_EVERY = 50
@@ -40,15 +39,20 @@ def balances_before(spark: SparkSession, path: str, key: str, batch_id: int) ->
 def ledger_sink(path: str, key: str, order: list[str], amount: str, chunk_rows: int = CHUNK_ROWS):
     """A ``write(batch, batch_id)`` that keeps ``<path>/entries`` and ``<path>/balances``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        opening = balances_before(batch.sparkSession, path, key, batch_id)
-        batch = batch.persist()     # read twice, and its state work must run once
+        spark = batch.sparkSession
+        snapshot = batch_id > 0 and batch_id % SNAPSHOT_EVERY == 0
+        batch = batch.persist()     # read several times, and its state work must run once
         try:
-            entries = cut(guarded_ledger(batch, key, order, amount, opening, chunk_rows))
+            if not snapshot and batch.isEmpty():
+                return
+            opening = balances_before(spark, path, key, batch_id)
+            entries = guarded_ledger(batch, key, order, amount, opening, chunk_rows)
+            write_batch(entries, batch_id, f"{path}/entries")
         finally:
             batch.unpersist()
-        write_batch(entries, batch_id, f"{path}/entries")
+        entries = spark.read.schema(entries.schema).parquet(f"{path}/entries/{BATCH}={batch_id}")
         closing = entries.groupBy(key).agg(F.max_by("balance", F.struct(*order)).alias("balance"))
-        if opening is not None and batch_id % SNAPSHOT_EVERY == 0:
+        if opening is not None and snapshot:
             closing = closing.unionByName(opening.join(closing, key, "left_anti"))
         write_batch(closing, batch_id, f"{path}/balances")
 
