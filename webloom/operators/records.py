@@ -128,19 +128,11 @@ def flatten_json(json: Column, levels: int = MAX_NESTING) -> Column:
 
     Keys that collide raise (the duplicate-key policy of map construction).
     """
-    entries = flat_entries(json, levels)
-    texts = F.transform(entries, lambda e: F.struct(
-        e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
-    unique = F.map_from_entries(texts)
-    ordered = F.array_sort(F.map_entries(unique))
-    members = F.transform(ordered, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
-    return F.when(json.isNotNull(), F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
-
-
-def _quoted(text: Column) -> Column:
-    """JSON string literal of a text: the encoder's own, cut out of a one-element array."""
-    encoded = F.to_json(F.array(text))
-    return F.substring(encoded, F.lit(2), F.length(encoded) - 2)
+    def assemble(entries: Column) -> Column:
+        places = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"))))
+        return F.to_json(F.map_from_entries(F.transform(places, lambda p: F.get(entries, p["i"]))))
+
+    return F.when(json.isNotNull(), let(flat_entries(json, levels), assemble))
 
 
 def reject_reason(rules: Sequence[tuple[Column, str]]) -> Column:
