@@ -13,10 +13,13 @@ from webloom.operators.pool import allot
 from webloom.operators.sessions import collect_actions, sessions
 
 
+KEYS = ["hot", "hot", "a", "b", "c"]
+
+
 def skewed(spark, count=600, seed=3):
     """Half the rows belong to one key."""
     rng = random.Random(seed)
-    data = [(rng.choice(["hot", "hot", "a", "b", "c"]), i, rng.choice("xyz"), rng.randint(-9, 9)) for i in range(count)]
+    data = [(rng.choice(KEYS), i, rng.choice("xyz"), rng.randint(-9, 9)) for i in range(count)]
     rng.shuffle(data)
     return spark.createDataFrame(data, "k string, at int, site string, amount int").repartition(6)
 
@@ -41,6 +44,16 @@ def test_split_order_equals_plain_window(spark, rows, keys):
     assert rows(hot, *plain.columns) == rows(plain)
 
 
+def test_null_keys_are_one_key(spark, rows, monkeypatch):
+    monkeypatch.setitem(globals(), "KEYS", [None, None, "a"])
+    frame = skewed(spark, 200)
+    for hot_rows in (10, 1000):
+        found = Ordered(frame, ["k"], ["at"], hot_rows).row_number("n").result().filter("k is null").orderBy("at")
+        assert [r.n for r in found.collect()] == list(range(1, frame.filter("k is null").count() + 1))
+    with pytest.raises(Exception, match="without k"):
+        guarded_ledger(frame, "k", ["at"], "amount").collect()
+
+
 def test_sessions_on_a_hot_user(spark, rows):
     frame = skewed(spark)
     assert rows(sessions(frame, "k", "site", ["at"], hot_rows=20), "at", "session_id") == rows(

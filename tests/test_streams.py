@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from webloom.dom.extract import container_records
 from webloom.dom.shred import shred
@@ -13,7 +12,7 @@ from webloom.sources.tables import stream_table
 from webloom.streaming.crawl import page_messages
 from webloom.streaming.ledger import balances_before, current_balances, ledger_sink, once_per_event
 from webloom.streaming.route import Routes, decode_tasks, split_malformed, with_route
-from webloom.streaming.run import latest_rows, routed_sink, start, start_batches, table_sink
+from webloom.streaming.run import consume, latest_rows, routed_sink, start, start_batches, table_sink
 from webloom.streaming.windowed import (
     aggregates, as_messages, decode_events, split_timeless, windowed_aggregate,
 )
@@ -217,3 +216,14 @@ def test_workflow_job_routes(spark, rows):
     assert rows(handled["transform"], "document") == [(
         '{"transformed":"{\\"payload\\":{\\"a\\":1},\\"task_type\\":\\"transform\\"}"}',)]
     assert handled["store"].count() == handled["unrouted"].count() == 0
+
+
+def test_one_consumer_per_task_type(spark, rows, tmp_path):
+    schema = "task_type string, payload string"
+    write_files(spark, tmp_path, schema, [[("transform", "1"), ("store", "2")], [("store", "3")]])
+    for task_type in ("transform", "store"):
+        for _ in range(2):      # a second start resumes and finds nothing new
+            consume(files_of(spark, tmp_path, schema), task_type, lambda df: df.drop("task_type"),
+                    str(tmp_path / task_type), str(tmp_path / "checkpoints"), once=True).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "store")), "payload") == [("2",), ("3",)]
+    assert rows(spark.read.parquet(str(tmp_path / "transform")), "payload") == [("1",)]

@@ -68,13 +68,15 @@ def guarded_ledger(events: DataFrame, key: str, order: list[str], amount: str, o
     """WIN-3: apply signed amounts in order; a debit the balance cannot cover is rejected.
 
     Adds ``accepted`` and ``balance`` (after the event).  ``opening(key, balance)`` gives start
-    balances, 0 otherwise.  Amounts and balances are whole numbers.
+    balances, 0 otherwise.  Amounts and balances are whole numbers; an event without a key raises.
 
     A key's events are cut into chunks of ``chunk_rows``.  Inside a chunk the fold is an
     expression over a bounded array.  Where all keys fit one chunk that is the whole plan; for
     larger keys the opening balance of every chunk is found first (``_chunk_openings``).
     """
     amount_col = F.col(amount).cast("bigint")
+    unkeyed = F.raise_error(F.lit(f"ledger event without {key}"))
+    events = events.withColumn(key, F.when(F.col(key).isNull(), unkeyed).otherwise(F.col(key)))
     several_chunks = has_hot_key(events, [key], chunk_rows)
     numbered = Ordered(events, [key], order, hot_rows, split=None if several_chunks else False).row_number(
         "_seq").result()

@@ -22,6 +22,15 @@ PART = "_part"
 FIRST = "_first"
 
 
+def _join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join a table bounded by the partition count; null keys match each other."""
+    right = small.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in small.columns])
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return df.join(F.broadcast(right), condition, how).drop(*[f"_on_{c}" for c in on])
+
+
 def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
     """Whether some key holds more rows than one task should sort."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -52,14 +61,14 @@ class Ordered:
         key = F.struct(*self.keys)
         edges = self.df.groupBy(PART).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
         borders = edges.select(F.explode(F.array("lo", "hi")).alias("k")).select("k.*").distinct()
-        return self.df.join(F.broadcast(borders), self.keys, "left_semi")
+        return _join_small(self.df, borders, self.keys, "left_semi")
 
     def _with_carry(self, name: str, per_part: Column, over_parts, combine) -> "Ordered":
         """Join each (key, part) with a value carried from the earlier parts of its key."""
         before = Window.partitionBy(*self.keys).orderBy(PART)
         carry = (self._straddling().groupBy(*self.keys, PART).agg(per_part.alias("_v"))
                  .select(*self.keys, PART, over_parts(F.col("_v"), before).alias("_carry")))
-        joined = self.df.join(F.broadcast(carry), [*self.keys, PART], "left")
+        joined = _join_small(self.df, carry, [*self.keys, PART], "left")
         self.df = joined.withColumn(name, combine(F.col("_carry"))).drop("_carry")
         return self
 

@@ -91,8 +91,9 @@ def pool_seed(spark, sf_dir):
 
 # -- sinks: written, then read back ---------------------------------------------
 @query("snk6_long_form_append", """
-select l_orderkey::varchar as url, field, content, l_shipdate as scraped_at
-from lineitem, lateral (values ('returnflag', l_returnflag), ('linestatus', l_linestatus)) v(field, content)
+select l_orderkey::varchar as url, 'returnflag' as field, l_returnflag as content, l_shipdate as scraped_at from lineitem
+union all
+select l_orderkey::varchar, 'linestatus', l_linestatus, l_shipdate from lineitem
 """)
 def long_form(spark, sf_dir):
     items = wide_table(spark, sf_dir, "lineitem")

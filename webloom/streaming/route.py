@@ -11,9 +11,9 @@ Handler = Callable[[DataFrame], DataFrame]
 
 
 def is_json_object(raw: Column) -> Column:
-    """Whether a text is one valid JSON object."""
-    value = F.try_parse_json(raw)
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    """Whether a text is one valid JSON object; only texts that begin like one are parsed."""
+    begins = F.coalesce(raw.rlike(r"^[ \t\n\r]*\{"), F.lit(False))
+    return F.when(begins, F.try_parse_json(raw).isNotNull()).otherwise(F.lit(False))
 
 
 def with_status(messages: DataFrame, value: str = "value") -> DataFrame:

@@ -34,6 +34,13 @@ def start_batches(result: DataFrame, write: Callable[[DataFrame, int], None], ch
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def consume(tasks: DataFrame, task_type: str, handler: Callable[[DataFrame], DataFrame], path: str,
+            checkpoints: str, once: bool = False) -> StreamingQuery:
+    """SRC-3: one resumable query per task type, its position kept under ``<task_type>_consumer``."""
+    handled = handler(tasks.filter(F.col("task_type") == task_type))
+    return start_batches(handled, table_sink(path), f"{checkpoints}/{task_type}_consumer", once=once)
+
+
 def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     """SNK-5: replace the folder of this batch, so a replayed batch does not append twice."""
     batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
