@@ -243,3 +243,11 @@ def test_selection_requests(products, rows):
                    lambda: Selection.from_selectors("u", [])):
         with pytest.raises(ValueError):
             broken()
+
+
+def test_bytes_that_are_no_text_do_not_fail_the_batch(spark, rows):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(bytearray(b"<p>a\xff\xfeb<p>\xe9"),), (bytearray("<p>é".encode()),)], "b binary")
+    page = shred(frame.select(F.col("b").cast("string").alias("html")))
+    assert rows(match_rows(page, "p"), "content") == sorted([("a\ufffd\ufffdb",), ("\ufffd",), ("é",)], key=repr)

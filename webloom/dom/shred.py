@@ -47,13 +47,13 @@ def shred_html(html: pa.Array) -> pa.Array:
     columns = {f.name: [] for f in NODE}
     class_offsets, class_items = [0], []
     attr_offsets, attr_keys, attr_values = [0], [], []
-    for value in html:
+    for value in html.cast(pa.binary()):     # bytes, since a column may hold text that is no valid UTF-8
         source = value.as_py()
         if source is None:
             texts.append(None)
             node_offsets.append(node_offsets[-1])
             continue
-        page = page_nodes(source)
+        page = page_nodes(source.decode("utf-8", "replace"))
         count = len(page.tag)
         texts.append(b"".join(page.chunks))
         node_offsets.append(node_offsets[-1] + count)
