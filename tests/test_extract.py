@@ -157,7 +157,8 @@ def test_a_node_matches_once_under_nested_ancestors(spark, rows):
     assert rows(match_rows(page, "div div > div p"), "content") == [("x",)]
 
 
-@pytest.mark.parametrize("selector", ["", "> a", "a:hover", "a + b", "a ~ b", "a[href=x]", "a >", ",", "a,,b"])
+@pytest.mark.parametrize("selector", [
+    "", "> a", "a:hover", "a + b", "a ~ b", "a >", ",", "a,,b", "a[href", "a[href!=x]", "a[=x]", "a b,", "a..b", "a>>b"])
 def test_unsupported_selectors_raise(selector):
     with pytest.raises(ValueError):
         parse(selector)
@@ -251,3 +252,16 @@ def test_bytes_that_are_no_text_do_not_fail_the_batch(spark, rows):
     frame = spark.createDataFrame([(bytearray(b"<p>a\xff\xfeb<p>\xe9"),), (bytearray("<p>é".encode()),)], "b binary")
     page = shred(frame.select(F.col("b").cast("string").alias("html")))
     assert rows(match_rows(page, "p"), "content") == sorted([("a\ufffd\ufffdb",), ("\ufffd",), ("é",)], key=repr)
+
+
+@pytest.mark.parametrize("selector,expected", [
+    ("[href]", "abcd"), ("a[href='/x']", "a"), ('[href="/x y, z"]', "b"), ("a[ href ^= '/x' ]", "ab"),
+    ("[href$=html]", "c"), ("[href*='//']", "c"), ("[rel~=next]", "bd"), ("[lang|=en]", "ac"),
+    ("""[title="it's"]""", "d"), (r"[title='a\']", "c"), ("[href^='']", ""), ("[rel~='a b']", ""),
+    ("p > a[rel], a[lang=en]", "abd"), ("A.k#i[HREF]", "a"), ("p>a,p  >  a", "abcd"),
+])
+def test_attribute_values(spark, selector, expected):
+    html = """<p><a id=i class=k href="/x" lang=en>a</a><a href="/x y, z" rel="next b">b</a>
+    <a href="http://h/i.html" lang=en-GB title="a\\">c</a><a href="" rel=next title="it's">d</a></p>"""
+    page = shred(spark.createDataFrame([(html,)], "html string"))
+    assert "".join(sorted(r.content for r in match_rows(page, selector).collect())) == expected

@@ -1,7 +1,8 @@
 """CSS selectors compiled to Catalyst expressions over a page's node array.
 
-Grammar: ``*``, tag, ``.class``, ``#id``, ``[attr]``, compounds, descendant,
-``>`` and comma lists.  Anything else raises.
+Grammar: ``*``, tag, ``.class``, ``#id``, ``[attr]``, ``[attr=value]`` with the
+operators ``= ~= |= ^= $= *=``, compounds, descendant, ``>`` and comma lists.
+Anything else raises.
 
 Catalyst merges projections into lambda bodies, where they would run once per
 array element.  ``let`` binds a value to a lambda variable first, so each
@@ -19,39 +20,74 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webloom.dom.shred import slice_text
 from webloom.functions.binding import let
 
-COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[[\w:-]+\])*)$")
-QUALIFIER = re.compile(r"([.#])([\w-]+)|\[([\w:-]+)\]")
+QUALIFIER = re.compile(
+    r"""([.#])([\w-]+)|\[\s*([\w:-]+)\s*(?:([~|^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]""")
+TAG = re.compile(r"\*|[a-zA-Z][\w-]*")
+COMBINATOR = re.compile(r"\s*([>,])\s*|\s+")
 SLIM = ("pre", "last", "parent", "text_start", "text_len")
 
 
-def parse(selector: str) -> list[list[tuple[str, dict]]]:
-    """Alternatives; each is a list of (combinator, compound) from left to right."""
-    alternatives = []
-    for part in selector.split(","):
-        words = re.sub(r"\s*>\s*", " >", part.strip()).split()
-        if not words or words[0].startswith(">"):
+def parse(selector: str) -> list[list[tuple[str, list[str]]]]:
+    """Alternatives; each a list of (combinator, tests on a node ``n``) from left to right."""
+    selector = selector.strip()
+    alternatives, steps, combinator, position = [], [], " ", 0
+    while True:
+        tests, position = _compound(selector, position)
+        steps.append((combinator, tests))
+        if position == len(selector):
+            return [*alternatives, steps]
+        found = COMBINATOR.match(selector, position)
+        if found is None:
             raise ValueError(f"unsupported selector: {selector!r}")
-        steps = []
-        for word in words:
-            combinator, word = (">", word[1:]) if word.startswith(">") else (" ", word)
-            found = COMPOUND.match(word)
-            if not word or found is None:
-                raise ValueError(f"unsupported selector: {selector!r}")
-            compound = {"tag": (found[1] or "*").lower(), "classes": [], "ids": [], "attrs": []}
-            for kind, name, attr in QUALIFIER.findall(found[2]):
-                key = {".": "classes", "#": "ids", "": "attrs"}[kind]
-                compound[key].append(attr.lower() if attr else name)
-            steps.append((combinator, compound))
-        alternatives.append(steps)
-    return alternatives
-
-
-def _compound_nodes(compound: dict) -> Column:
-    """The nodes one compound matches, as slim structs; the grammar leaves nothing to escape."""
-    tests = [] if compound["tag"] == "*" else [f"n.tag = '{compound['tag']}'"]
-    tests += [f"array_contains(n.classes, '{c}')" for c in compound["classes"]]
-    tests += [f"n.id_attr <=> '{i}'" for i in compound["ids"]]
-    tests += [f"map_contains_key(n.attrs, '{a}')" for a in compound["attrs"]]
+        combinator, position = found[1] or " ", found.end()
+        if combinator == ",":
+            alternatives.append(steps)
+            steps, combinator = [], " "
+
+
+def _compound(selector: str, position: int) -> tuple[list[str], int]:
+    start, tests = position, []
+    tag = TAG.match(selector, position)
+    if tag is not None:
+        position = tag.end()
+        if tag[0] != "*":
+            tests.append(f"n.tag = {_literal(tag[0].lower())}")
+    while found := QUALIFIER.match(selector, position):
+        position = found.end()
+        mark, name, attribute, operator, *values = found.groups()
+        if mark == ".":
+            tests.append(f"array_contains(n.classes, {_literal(name)})")
+        elif mark == "#":
+            tests.append(f"n.id_attr <=> {_literal(name)}")
+        elif operator is None:
+            tests.append(f"map_contains_key(n.attrs, {_literal(attribute.lower())})")
+        else:
+            tests.append(_value_test(attribute.lower(), operator, next(v for v in values if v is not None)))
+    if position == start:
+        raise ValueError(f"unsupported selector: {selector!r}")
+    return tests, position
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _value_test(attribute: str, operator: str, value: str) -> str:
+    held, wanted = f"element_at(n.attrs, {_literal(attribute)})", _literal(value)
+    if operator == "=":
+        return f"{held} = {wanted}"
+    if operator == "|=":
+        return f"({held} = {wanted} or startswith({held}, {_literal(value + '-')}))"
+    if value == "" or (operator == "~=" and re.search(r"\s", value)):
+        return "false"
+    if operator == "~=":
+        return f"array_contains(split({held}, {_literal(chr(92) + 's+')}), {wanted})"
+    function = {"^=": "startswith", "$=": "endswith", "*=": "contains"}[operator]
+    return f"{function}({held}, {wanted})"
+
+
+def _compound_nodes(tests: list[str]) -> Column:
+    """The nodes that pass all tests, as slim structs."""
     slim = ", ".join(f"n.{f} as {f}" for f in SLIM)
     return F.expr(f"transform(filter(nodes, n -> {' and '.join(tests) or 'true'}), n -> struct({slim}))")
 
@@ -97,8 +133,8 @@ def matches(selector: str) -> Column:
     found = []
     for steps in parse(selector):
         result = None
-        for combinator, compound in steps:
-            here = _compound_nodes(compound)
+        for combinator, tests in steps:
+            here = _compound_nodes(tests)
             result = here if result is None else _related(result, here, combinator)
         found.append(result)
     return found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)))
