@@ -144,10 +144,11 @@ def accepted_payments(spark, sf_dir):
 
 
 @query("jon5_rejected_payments", "with " + PAYMENTS + """
-select session_id, customer_email, credits, ts, reject_reason from joined where reject_reason is not null
+select session_id, customer_email, credits::varchar as credits, ts, reject_reason from joined
+where reject_reason is not null
 """)
 def rejected_payments(spark, sf_dir):
-    return _payments(spark, sf_dir)[1]
+    return _payments(spark, sf_dir)[1].withColumn("credits", F.col("credits").cast("string"))
 
 
 @query("agg6_credit_balances", "with " + ACCOUNTS + "," + PAYMENTS + """
@@ -238,13 +239,13 @@ def guarded(spark, sf_dir):
 @query("prj14_credit_lookup", "with " + ACCOUNTS + """
 , wanted as (select event_id, 'Customer#' || lpad((user_id + (props->>'k')::bigint * 20)::varchar, 9, '0') as email
              from events)
-select w.event_id, w.email, a.credits, a.email is not null as found from wanted w left join accounts a using (email)
+select w.event_id, w.email, a.credits::varchar as credits, a.email is not null as found from wanted w left join accounts a using (email)
 """)
 def credit_lookup(spark, sf_dir):
     number = F.col("user_id") + F.get_json_object("props", "$.k").cast("bigint") * 20
     requests = table(spark, sf_dir, "events").select(
         "event_id", F.concat(F.lit("Customer#"), F.lpad(number.cast("string"), 9, "0")).alias("email"))
-    return look_up_credits(_users(spark, sf_dir), requests)
+    return look_up_credits(_users(spark, sf_dir), requests).withColumn("credits", F.col("credits").cast("string"))
 
 
 @query("jon9_subscriptions", "with " + ACCOUNTS + """
