@@ -52,16 +52,17 @@ class Ordered:
         ranged = df.repartitionByRange(*self.keys, *self.order).withColumn(PART, F.spark_partition_id())
         ranged = cut(ranged)
         self.window = Window.partitionBy(*self.keys, PART).orderBy(*self.order)
+        self.borders = cut(self._border_keys(ranged)) if self.keys else None
         self.df = ranged.withColumn(FIRST, F.row_number().over(self.window) == 1)
 
-    def _straddling(self) -> DataFrame:
-        """Rows of keys at a part border; every key over several parts is among them."""
-        if not self.keys:
-            return self.df
+    def _border_keys(self, ranged: DataFrame) -> DataFrame:
+        """First and last key of each part; every key over several parts is among them."""
         key = F.struct(*self.keys)
-        edges = self.df.groupBy(PART).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-        borders = edges.select(F.explode(F.array("lo", "hi")).alias("k")).select("k.*").distinct()
-        return _join_small(self.df, borders, self.keys, "left_semi")
+        edges = ranged.groupBy(PART).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+        return edges.select(F.explode(F.array("lo", "hi")).alias("k")).select("k.*").distinct()
+
+    def _straddling(self) -> DataFrame:
+        return self.df if self.borders is None else _join_small(self.df, self.borders, self.keys, "left_semi")
 
     def _with_carry(self, name: str, per_part: Column, over_parts, combine) -> "Ordered":
         """Join each (key, part) with a value carried from the earlier parts of its key."""
