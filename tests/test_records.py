@@ -87,20 +87,23 @@ def test_absolute_links_in_html(spark):
 
 
 # -- flattening -------------------------------------------------------------------
+def flattened(spark, text, **options):
+    return spark.createDataFrame([(text,)], "j string").select(flatten_json("j", **options)).first()[0]
+
+
 def test_flatten_golden(spark):
-    nested = '{"a":{"b":1,"e":{}},"c":[1,{"x":2}],"d":null}'
-    assert one(spark, flatten_json(F.lit(nested))) == '{"a.b":1,"c":[1,{"x":2}],"d":null}'
-    assert one(spark, flatten_json(F.lit("{}"))) == "{}"
-    assert one(spark, flatten_json(F.lit(None).cast("string"))) is None
+    assert flattened(spark, '{"a":{"b":1,"e":{}},"c":[1,{"x":2}],"d":null}') == '{"a.b":1,"c":[1,{"x":2}],"d":null}'
+    assert flattened(spark, "{}") == "{}"
+    assert flattened(spark, None) is None
 
 
 def test_flatten_collision_and_depth_raise(spark):
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
-        one(spark, flatten_json(F.lit('{"a.b":1,"a":{"b":2}}')))
+        flattened(spark, '{"a.b":1,"a":{"b":2}}')
     deep = "{\"a\":" * 20 + "1" + "}" * 20
     with pytest.raises(Exception, match="nested deeper"):
-        one(spark, flatten_json(F.lit(deep)))
-    assert one(spark, flatten_json(F.lit(deep), levels=20)) == '{"%s":1}' % ".".join("a" * 20)
+        flattened(spark, deep)
+    assert flattened(spark, deep, levels=20) == '{"%s":1}' % ".".join("a" * 20)
 
 
 VALUES = st.recursive(
@@ -127,7 +130,7 @@ def test_flatten_against_a_recursive_walk(spark):
 
     gather()
     frame = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(cases)], "i int, j string")
-    for row in frame.select("i", flatten_json(F.col("j")).alias("f")).collect():
+    for row in frame.select("i", flatten_json("j").alias("f")).collect():
         assert json.loads(row.f) == flat(cases[row.i])
         assert list(json.loads(row.f)) == sorted(json.loads(row.f))
 

@@ -86,45 +86,38 @@ def flatten_struct(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def _members(value: Column) -> Column:
-    """Members of a JSON object as a map; null for any other value."""
-    return F.try_variant_get(value, "$", "map<string,variant>")
+MEMBERS = "try_variant_get(e.value, '$', 'map<string,variant>')"     # null for all but objects
+OPEN_LEVEL = f"""flatten(transform({{entries}}, e -> get(transform(array({MEMBERS}), m -> if(m is null,
+    array(struct(e.key as key, e.value as value)),
+    transform(map_entries(m), x -> struct(
+        concat(if(e.key = '', '', concat(e.key, '.')), x.key) as key, x.value as value)))), 0)))"""
 
 
-def flat_entries(json: Column, levels: int = MAX_NESTING) -> Column:
-    """SCL-7 for an unknown schema: JSON object text to ``(key, value)`` entries.
+def flat_entries(json: str, levels: int = MAX_NESTING) -> Column:
+    """SCL-7 for an unknown schema: a column of JSON object text to ``(key, value)`` entries.
 
     Values are variants: arrays and nulls stay values, empty objects vanish.  Each level opens
-    the objects of the one before; anything nested deeper than ``levels`` raises.
+    the objects of the one before; anything nested deeper than ``levels`` raises.  The expression
+    is SQL text, as it is the same step many times over.
     """
-    def opened(entry: Column) -> Column:
-        prefix = F.when(entry["key"] == "", F.lit("")).otherwise(F.concat(entry["key"], F.lit(".")))
-        return let(_members(entry["value"]), lambda members: F.when(
-            members.isNull(), F.array(F.struct(entry["key"].alias("key"), entry["value"].alias("value"))),
-        ).otherwise(F.transform(F.map_entries(members), lambda m: F.struct(
-            F.concat(prefix, m["key"]).alias("key"), m["value"].alias("value")))))
-
-    def open_levels(count: int) -> Column:
-        entries = F.array(F.struct(F.lit("").alias("key"), F.parse_json(json).alias("value")))
+    column = quoted_name(json)
+
+    def opened(count: int) -> str:
+        entries = f"array(struct('' as key, parse_json({column}) as value))"
         for _ in range(count):
-            entries = F.flatten(F.transform(entries, opened))
+            entries = OPEN_LEVEL.format(entries=entries)
         return entries
 
-    def checked(entries: Column) -> Column:
-        too_deep = F.raise_error(F.lit(f"JSON nested deeper than {levels} levels"))
-        return F.transform(entries, lambda e: F.when(_members(e["value"]).isNotNull(), too_deep).otherwise(e))
-
     # A text cannot nest deeper than it has opening braces, so shallow records take the short way.
-    braces = F.length(json) - F.length(F.replace(json, F.lit("{")))
-    result = checked(open_levels(levels))
-    for shallow in (4, 1):
-        if shallow < levels:
-            result = F.when(braces <= shallow, open_levels(shallow)).otherwise(result)
-    return result
+    braces = f"length({column}) - length(replace({column}, '{{'))"
+    shallow = " ".join(f"when {braces} <= {n} then {opened(n)}" for n in (1, 4) if n < levels)
+    checked = f"""transform({opened(levels)}, e -> if({MEMBERS} is null, e,
+        raise_error('JSON nested deeper than {levels} levels')))"""
+    return F.expr(f"case {shallow} else {checked} end" if shallow else checked)
 
 
-def flatten_json(json: Column, levels: int = MAX_NESTING) -> Column:
-    """SCL-7: JSON object text to one-level JSON text with dotted, sorted keys.
+def flatten_json(json: str, levels: int = MAX_NESTING) -> Column:
+    """SCL-7: a column of JSON object text to one-level JSON text with dotted, sorted keys.
 
     Keys that collide raise (the duplicate-key policy of map construction).
     """
@@ -132,7 +125,7 @@ def flatten_json(json: Column, levels: int = MAX_NESTING) -> Column:
         places = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"))))
         return F.to_json(F.map_from_entries(F.transform(places, lambda p: F.get(entries, p["i"]))))
 
-    return F.when(json.isNotNull(), let(flat_entries(json, levels), assemble))
+    return F.when(F.col(quoted_name(json)).isNotNull(), let(flat_entries(json, levels), assemble))
 
 
 def reject_reason(rules: Sequence[tuple[Column, str]]) -> Column:

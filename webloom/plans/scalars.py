@@ -74,7 +74,8 @@ def flatten(spark, sf_dir):
     """Unknown schema: nested objects to dotted keys, arrays kept, empty objects gone."""
     nested = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"event":{"kind":"'), "event_type",
                       F.lit('","props":'), "props", F.lit(',"none":{}},"tags":["'), "event_type", F.lit('"]}'))
-    return wide_table(spark, sf_dir, "events").select("event_id", flatten_json(nested).alias("flat"))
+    return wide_table(spark, sf_dir, "events").select("event_id", nested.alias("json")).select(
+        "event_id", flatten_json("json").alias("flat"))
 
 
 @query("scl8_json_round_trip", """

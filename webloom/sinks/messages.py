@@ -16,7 +16,7 @@ def _fixed_names(schema: T.StructType) -> bool:
 def record_messages(records: DataFrame) -> DataFrame:
     """SNK-2: one flat JSON message per record, keys sorted, no message key; absent fields are left out."""
     if not _fixed_names(records.schema):
-        return records.select(flatten_json(F.to_json(F.struct("*"))).alias("value"))
+        return records.select(F.to_json(F.struct("*")).alias("json")).select(flatten_json("json").alias("value"))
     flat = flatten_struct(records)
     return flat.select(F.to_json(F.struct(*[F.col(quoted_name(c)) for c in sorted(flat.columns)])).alias("value"))
 
