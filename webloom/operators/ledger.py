@@ -85,8 +85,7 @@ def guarded_ledger(events: DataFrame, key: str, order: list[str], amount: str, o
               .withColumn("_chunk", F.floor((F.col("_seq") - 1) / chunk_rows))
               .groupBy(key, "_chunk")
               .agg(F.array_sort(F.collect_list(F.struct(
-                  "_seq", amount_col.alias("_amount"), *[c for c in columns if c != key]))).alias("_rows"))
-              .withColumn("_amounts", F.col("_rows._amount")))
+                  "_seq", amount_col.alias("_amount"), *[c for c in columns if c != key]))).alias("_rows")))
     if opening is None:
         start = chunks.withColumn("_start", F.lit(0).cast("bigint"))
     else:
@@ -114,7 +113,7 @@ def _fold_rows(chunks: DataFrame, key: str, columns: list[str]) -> DataFrame:
         return F.struct(after.alias("balance"),
                         F.concat(state["flags"], F.when(taken, one).otherwise(zero)).alias("flags"))
 
-    flags = F.aggregate(F.col("_amounts"), begin, apply, lambda state: state["flags"])
+    flags = F.aggregate(F.col("_rows._amount"), begin, apply, lambda state: state["flags"])
     rows = (chunks.select(key, "_chunk", "_start", "_rows", flags.alias("_flags"))
             .select(key, "_chunk", "_start", "_flags", F.posexplode("_rows").alias("_i", "_r"))
             .select(key, "_chunk", "_start", "_r",
@@ -136,7 +135,8 @@ def _chunk_openings(chunks: DataFrame, key: str) -> DataFrame:
     nature; what each task holds stays bounded.
     """
     several = chunks.filter(F.col("_chunk") == 1).select(key)
-    amounts = cut(chunks.join(several, key, "left_semi").select(key, "_chunk", "_start", "_amounts"))
+    amounts = cut(chunks.join(several, key, "left_semi").select(
+        key, "_chunk", "_start", F.col("_rows._amount").alias("_amounts")))
     zero = F.lit(0).cast("bigint")
     prefix = F.aggregate(
         F.col("_amounts"), F.struct(zero.alias("sum"), zero.alias("low")),
