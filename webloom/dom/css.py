@@ -153,7 +153,7 @@ def texts(found: Column, text: Column) -> Column:
 def within(containers: Column, found: Column, body: Callable[[Column], Column]) -> Column:
     """Per container, ``body(the matches strictly inside it)``; aligned with ``containers``.
 
-    Both arrays are in document order, so the matches inside are one slice.
+    Matches are in document order, so those inside one container are a slice.
     """
     def per_container(pair: Column) -> Column:
         position = F.transform(pair["found"], lambda n: n["pre"])

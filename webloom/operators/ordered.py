@@ -38,7 +38,10 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
 
 
 class Ordered:
-    """``df`` seen in the total order ``order`` within ``keys`` (``keys`` may be empty)."""
+    """``df`` seen in the total order ``order`` within ``keys`` (``keys`` may be empty).
+
+    Creating it runs the size check, and for a hot key the range partitioning, as Spark jobs.
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS,
                  split: bool | None = None):
@@ -48,7 +51,7 @@ class Ordered:
             self.df = df
             self.window = Window.partitionBy(*self.keys).orderBy(*self.order)
             return
-        # Range bounds come from sampling; the checkpoint makes one choice of parts final.
+        # Range bounds come from sampling; writing the rows makes one choice of parts final.
         ranged = df.repartitionByRange(*self.keys, *self.order).withColumn(PART, F.spark_partition_id())
         ranged = cut(ranged)
         self.window = Window.partitionBy(*self.keys, PART).orderBy(*self.order)
