@@ -54,3 +54,33 @@ def test_partial_aggregation_before_the_shuffle(spark):
     for name in ("agg1_agg2_sliding_window", "agg4_processed_count", "ddp1_keep_first"):
         text = plan(spark, name)
         assert "partial_" in text, name
+
+
+def test_a_hot_join_key_is_split(spark):
+    """A third of the requests ask for one user: adaptive execution splits that partition."""
+    from pyspark.sql import functions as F
+
+    from webloom.operators.users import look_up_credits
+
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    users = spark.range(50_000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("email"),
+                                       F.col("id").alias("credits"))
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50_000)
+    requests = spark.range(600_000).repartition(8).select(
+        "id", F.concat(F.lit("u"), hot.cast("string")).alias("email"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        found = look_up_credits(users, requests)
+        rows = found.toArrow()
+        assert rows.num_rows == 600_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in changed:
+            spark.conf.unset(key)
