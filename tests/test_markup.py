@@ -78,6 +78,12 @@ def test_void_and_self_closing():
         (0, "div", "abc"), (1, "br", ""), (1, "svg", "c"), (2, "path", ""), (2, "g", "c")]
 
 
+def test_inline_end_tag_does_not_close_a_block():
+    assert outline("<span><div>a</span>b</div>c</span>d") == [(0, "span", "abc"), (1, "div", "ab")]
+    assert outline("<div><span>a</div>b") == [(0, "div", "a"), (1, "span", "a")]
+    assert outline("<my-card><p>a</my-card>b") == [(0, "my-card", "ab"), (1, "p", "ab")]
+
+
 def test_nested_links_close():
     assert outline("<a href=1>x<a href=2>y") == [(0, "a", "x"), (0, "a", "y")]
 

@@ -25,6 +25,8 @@ CLOSES_P = HEADINGS | frozenset(
     "table ul xmp".split()
 )
 SCOPE = frozenset("applet caption html marquee object table td template th".split())
+SPECIAL = CLOSES_P | SCOPE | frozenset("body button iframe noembed noframes script select style tbody textarea tfoot "
+                                       "thead title tr".split())
 MARKERS = frozenset("applet caption marquee object td th".split())
 # How deep a table part nests below its table; wrappers left out by the author are opened.
 TABLE_LEVEL = {"table": 0, "tbody": 1, "thead": 1, "tfoot": 1, "colgroup": 1, "caption": 1,
@@ -266,8 +268,10 @@ class PageNodes:
             self.close((tag,), ("table", "template"))
         elif tag == "li":
             self.close(("li",), SCOPE | {"ol", "ul"})
-        elif tag not in VOID:
+        elif tag in CLOSES_P or tag in MARKERS or tag == "button":
             self.close((tag,))
+        elif tag not in VOID:
+            self.close((tag,), SPECIAL)
 
     def finish(self) -> "PageNodes":
         self.need_body()
