@@ -1,4 +1,4 @@
 """All registered queries of this folder."""
 
-from webloom.llm import compression, warc  # noqa: F401
+from webloom.llm import compression, decontaminate, warc  # noqa: F401
 from webloom.llm.registry import ORACLE, QUERIES  # noqa: F401
