@@ -168,8 +168,8 @@ ranked as (
 chosen as (select * from ranked where r <= {RAREST}),
 near as (
   select doc_id, phrase from (
-    select doc_id, phrase, size, r, unnest([at, at - 1]) as stretch from (
-      select doc_id, phrase, size, r, cast(floor((p - "offset") / {SLOP}.0) as bigint) as at from dt join chosen using (term)))
+    select doc_id, phrase, size, r, unnest([cell, cell - 1]) as stretch from (
+      select doc_id, phrase, size, r, cast(floor((p - "offset") / {SLOP}.0) as bigint) as cell from dt join chosen using (term)))
   group by doc_id, phrase, stretch having count(distinct r) = least(any_value(size), {RAREST})
 ),
 nears as (select doc_id, count(distinct item_id) as n_near from near join bw using (phrase) group by doc_id),
