@@ -32,6 +32,7 @@ BLOCK = 1 << 20
 LEAST = 100
 RANGE = 8 << 20
 FILE = 128 << 20
+TASKS = 20_000
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "warc_type string, page_id long, url string, refers_to long, digest string, payload_length long, payload binary"
@@ -190,7 +191,9 @@ def records_in(source: Source, start: int, stop: int) -> Iterator[tuple]:
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """All records of the files of a manifest (path, bytes); each task reads byte ranges."""
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(range_bytes))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("stop")).repartition("path", "start")
+    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("stop"))
+    # a stated number of tasks: rows this small would be gathered into one task by their size
+    ranges = ranges.repartition(min(max(1, ranges.count()), TASKS))
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
