@@ -1,4 +1,4 @@
 """All registered queries of this folder."""
 
-from webloom.llm import compression, decontaminate, jaccard, language_model, parsing, secrets, surrogates, warc  # noqa: F401
+from webloom.llm import compression, decontaminate, jaccard, language_model, mixing, parsing, secrets, surrogates, warc  # noqa: F401
 from webloom.llm.registry import ORACLE, QUERIES  # noqa: F401
