@@ -116,7 +116,7 @@ def covered(hits: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                   item_text: str = "text", width: int = WIDTH, rarest: int = RAREST, slop: int = SLOP) -> DataFrame:
-    """One row per document: its key, words, words hit, items found, near items and the list of items."""
+    """One row per document: its key, a hash of its text, words, words hit, items found, near items and the list of items."""
     windows = cut(test_windows(items, item_key, item_text, width).select(F.xxhash64("phrase").alias("window"), "phrase", "words", "items"))
     terms = cut(rarest_terms(windows, docs, key, text, rarest))
     index = postings(docs, terms, key, text)
@@ -126,14 +126,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     near = proximity_matches(index, terms, slop).join(sized(windows.select("window", "items")), "window")
     near = near.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_near_items"))
 
-    # the text goes through the join, not its words: an array of words is several times larger
-    rows = docs.select(docs[key].alias("doc_key"), docs[text].alias("text"))
-    rows = rows.join(found, F.col("doc_key").eqNullSafe(F.col("key")), "left").select("doc_key", raw_words(F.col("text")).alias("words"), "found")
+    rows = docs.select(docs[key].alias("doc_key"), F.xxhash64(docs[text]).alias("twin"), raw_words(docs[text]).alias("words"))
+    rows = rows.join(found, F.col("doc_key").eqNullSafe(F.col("key")), "left").drop("key")
     here = lambda h: F.array_join(F.transform(F.slice("words", h["start"] + 1, h["size"]), lower_ascii), " ")
-    rows = rows.select("doc_key", word_count(F.col("words")).alias("n_words"), F.filter("found", lambda h: here(h) == h["phrase"]).alias("hits"))
+    rows = rows.select("doc_key", "twin", word_count(F.col("words")).alias("n_words"), F.filter("found", lambda h: here(h) == h["phrase"]).alias("hits"))
     rows = rows.join(near, F.col("doc_key").eqNullSafe(F.col("key")), "left").drop("key")
     listed = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    rows = rows.select("doc_key", "n_words", F.coalesce(covered(F.col("hits")), F.lit(0)).cast("long").alias("n_hit"),
+    rows = rows.select("doc_key", "twin", "n_words", F.coalesce(covered(F.col("hits")), F.lit(0)).cast("long").alias("n_hit"),
                        F.coalesce(listed, F.array().cast("array<string>")).alias("items"), F.coalesce("n_near_items", F.lit(0)).alias("n_near_items"))
     return rows.withColumnRenamed("doc_key", key)
 
@@ -142,6 +141,17 @@ def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+                        item_text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows that are not contaminated, with all their columns."""
+    found = contamination(docs, items, key, text, item_key, item_text, width)
+    bad = cut(found.where(is_contaminated()).select(F.col(key).alias("bad_key"), F.col("twin").alias("bad_twin")).distinct())
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    same = F.col(f"c{names.index(key)}").eqNullSafe(F.col("bad_key")) & (F.xxhash64(f"c{names.index(text)}") == F.col("bad_twin"))
+    return rows.join(bad, same, "left_anti").toDF(*names)
+
+
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
          "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.arrays import LOWER, WORD, Hasher, by_text, mix, pieces, runs, windows
@@ -274,6 +274,22 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
                         F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The input with one document of each group of near copies: the one with the smallest key.
+
+    Columns are kept. Of rows that repeat key and text one stays; rows without a key, and texts without words, all stay.
+    """
+    found = near_copies(docs, key, text, width, percent)
+    stay = cut(found.where(F.col(key).isNotNull() & (F.col(key) == F.col("component_id"))).select(F.col(key).alias("stays")).distinct())
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own, body = f"c{names.index(key)}", F.coalesce(F.col(f"c{names.index(text)}"), F.lit(""))
+    kept = rows.where(F.col(own).isNotNull()).join(stay, F.col(own) == F.col("stays"), "left_semi").withColumn("twin", F.xxhash64(body))
+    first = F.row_number().over(Window.partitionBy(own, "twin").orderBy(F.lit(1)))
+    kept = kept.withColumn("nth", first).where("nth = 1").drop("nth", "twin")
+    return kept.unionByName(rows.where(F.col(own).isNull())).toDF(*names)
+
+
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))

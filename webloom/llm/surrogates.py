@@ -274,5 +274,4 @@ def rewritten(docs: DataFrame, text: str, secret: str, attempts: Column | None)
 
 @query("op4_surrogates")
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return protect(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
