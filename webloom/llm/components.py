@@ -28,7 +28,7 @@ def connected(edges: DataFrame) -> DataFrame:
         if names is None:
             names = moved
         else:
-            next_name = moved.withColumnsRenamed({"node": "to", "to": "next"})
+            next_name = moved.select(F.col("node").alias("to"), F.col("to").alias("next"))
             names = cut(names.join(next_name, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
     if names is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
