@@ -126,8 +126,10 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     near = proximity_matches(index, terms, slop).join(sized(windows.select("window", "items")), "window")
     near = near.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_near_items"))
 
-    rows = docs.select(docs[key].alias("doc_key"), F.xxhash64(docs[text]).alias("twin"), raw_words(docs[text]).alias("words"))
-    rows = rows.join(found, F.col("doc_key").eqNullSafe(F.col("key")), "left").drop("key")
+    # the text goes through the join, not its words: an array of words is several times larger
+    rows = docs.select(docs[key].alias("doc_key"), docs[text].alias("text"))
+    rows = rows.join(found, F.col("doc_key").eqNullSafe(F.col("key")), "left")
+    rows = rows.select("doc_key", F.xxhash64("text").alias("twin"), raw_words(F.col("text")).alias("words"), "found")
     here = lambda h: F.array_join(F.transform(F.slice("words", h["start"] + 1, h["size"]), lower_ascii), " ")
     rows = rows.select("doc_key", "twin", word_count(F.col("words")).alias("n_words"), F.filter("found", lambda h: here(h) == h["phrase"]).alias("hits"))
     rows = rows.join(near, F.col("doc_key").eqNullSafe(F.col("key")), "left").drop("key")
