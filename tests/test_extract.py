@@ -10,16 +10,11 @@ from webloom.dom.extract import (
 )
 from webloom.dom.shred import node_rows, register_dom_nodes, shred
 
-PRODUCTS = """<!DOCTYPE html><html lang="en"><head><title>Product Listings</title>
-<style>.product-card { color: green; }</style></head><body><h1>Product Listings</h1><div class="product-container">
-<!-- Product 1 -->
-<div class="product-card"><img src="product1.jpg" class="product-image"><h2 class="product-title">Product 1</h2>
-<p class="product-price">$19.99</p><a href="/product/1" class="product-link">View Details</a></div>
-<div class="product-card"><img src="product2.jpg" class="product-image"><h2 class="product-title">Product 2</h2>
-<p class="product-price">$29.99</p><a href="/product/2" class="product-link">View Details</a></div>
-<div class="product-card"><img src="product3.jpg" class="product-image"><h2 class="product-title">Product 3</h2>
-<p class="product-price">$39.99</p><a href="/product/3" class="product-link">View Details</a></div>
-</div></body></html>"""
+SHED = """<html lang="en"><head><title>Tool shed</title></head><body><section class="shelf"><h1>Tool shed</h1>
+<article class="tool"><h2>Rake</h2><p class="rent">4 a day</p><em>two left</em><a rel="item" href="/shed/rake">Reserve</a></article>
+<article class="tool"><a rel="item" href="/shed/saw">Reserve</a><h2>Saw</h2><p class="rent">7 a day</p></article>
+<article class="tool"><h2>Ladder</h2><p class="rent">11 a day</p><a rel="item" href="/shed/ladder">Ask</a></article>
+</section><footer>Open on Saturdays</footer></body></html>"""
 
 # One field missing, one white space only, two matches of a field, a container in a same-class container.
 ODD = """<body><div class="card"><h2> A </h2></div>
@@ -32,12 +27,12 @@ FIELDS = {"title": "h2", "price": "p"}
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    data = [(1, PRODUCTS), (2, ODD), (3, ""), (4, None)]
+    data = [(1, SHED), (2, ODD), (3, ""), (4, None)]
     return shred(spark.createDataFrame(data, "page_id int, html string")).cache()
 
 
 @pytest.fixture(scope="module")
-def products(pages):
+def shed(pages):
     return pages.filter("page_id = 1")
 
 
@@ -51,12 +46,10 @@ def test_null_and_empty_pages(pages, rows):
     assert rows(node_rows(pages.filter("page_id = 4"), "page_id")) == []
 
 
-def test_product_cards(products, rows):
-    found = container_records(products, ".product-card", {
-        "title": ".product-title", "price": "p.product-price", "link": "a"}, "page_id")
+def test_tool_cards(shed, rows):
+    found = container_records(shed, ".tool", {"title": "h2", "price": "p.rent", "link": "a"}, "page_id")
     assert rows(found, "title", "price", "link") == [
-        ("Product 1", "$19.99", "View Details"), ("Product 2", "$29.99", "View Details"),
-        ("Product 3", "$39.99", "View Details")]
+        ("Ladder", "11 a day", "Ask"), ("Rake", "4 a day", "Reserve"), ("Saw", "7 a day", "Reserve")]
 
 
 def test_container_records_presence(odd, rows):
@@ -87,9 +80,9 @@ def test_positional_zip_is_untrimmed_and_padded(odd, rows):
 
 def test_page_fields_and_record(pages, rows):
     assert rows(page_fields(pages, ["h1", "h2", ".none"], "page_id")) == [
-        (1, "h1", "Product Listings"), (1, "h2", "Product 1Product 2Product 3"), (2, "h2", "A BCD")]
+        (1, "h1", "Tool shed"), (1, "h2", "RakeSawLadder"), (2, "h2", "A BCD")]
     assert rows(page_record(pages, {"h": "h1", "p": "p"}, "page_id")) == [
-        (1, "Product Listings", "$19.99$29.99$39.99"), (2, "", "$4"), (3, "", "")]
+        (1, "Tool shed", "4 a day7 a day11 a day"), (2, "", "$4"), (3, "", "")]
 
 
 def test_single_field_rows_and_misses(pages, odd, rows):
@@ -113,9 +106,9 @@ def test_link_titles(pages, rows):
     assert rows(link_titles(pages, "a", "div > h3", "page_id", site="https://s")) == [(2, "https://s/b", "B title")]
 
 
-def test_common_ancestor(products, odd, rows):
-    assert rows(common_ancestor(products, {"t": ".product-title", "p": ".product-price"}), "lca_selector", "missing") == [
-        ("div.product-container", [])]
+def test_common_ancestor(shed, odd, rows):
+    assert rows(common_ancestor(shed, {"t": "h2", "p": ".rent"}), "lca_selector", "missing") == [
+        ("section.shelf", [])]
     assert rows(common_ancestor(odd, {"a": "h3", "p": "#two p"}), "lca_selector") == [("div#two",)]
     assert rows(common_ancestor(odd, {"one": "#two"}), "lca_selector") == [("div#two",)]
     assert rows(common_ancestor(odd, {"a": "h3", "x": "table"}), "lca_pre", "lca_selector", "missing") == [
@@ -132,8 +125,8 @@ def test_generalized_selectors_and_click_targets(odd, rows):
     assert h2[0][0] == h2[0][1]
 
 
-def test_repeated_containers(products, odd, rows):
-    assert rows(repeated_containers(products, 3), "signature", "n") == [("div.product-card", 3)]
+def test_repeated_containers(shed, odd, rows):
+    assert rows(repeated_containers(shed, 3), "signature", "n") == [("article.tool", 3)]
     assert rows(repeated_containers(odd, 2), "signature", "n") == [("div.card", 4), ("h2", 2)]
 
 
@@ -208,11 +201,13 @@ def test_selectors_against_a_tree_walk(spark, rows):
             ] == expected
 
 
-def test_lateral_dom_nodes(spark, rows):
+def test_sql_shred(spark, rows):
     register_dom_nodes(spark)
     frame = spark.createDataFrame([(1, "<p>x<p>y"), (2, None)], "id int, html string")
     frame.createOrReplaceTempView("wl_pages")
-    found = spark.sql("select id, n.tag, n.text from wl_pages, lateral dom_nodes(html) n where n.tag = 'p'")
+    found = spark.sql("""select id, n.tag, n.content from (select id, shred_html(html) as d from wl_pages)
+        lateral view inline(transform(d.nodes, n -> named_struct('tag', n.tag, 'content',
+            cast(substring(d.text, n.text_start + 1, n.text_len) as string)))) n where n.tag = 'p'""")
     assert rows(found) == [(1, "p", "x"), (1, "p", "y")]
 
 
@@ -227,20 +222,20 @@ def test_large_page_stays_near_linear(spark):
     assert time.time() - begin < 30
 
 
-def test_selection_requests(products, rows):
+def test_selection_requests(shed, rows):
     from webloom.dom.selection import Selection
 
-    body = """{"url": "u", "lcaSelector": ".product-card", "pages": 0,
+    body = """{"url": "u", "lcaSelector": ".tool", "pages": 0,
                "groups": {"fields": {"title": "h2"}, "top": {"container": "body", "head": "h1"}}}"""
     selection = Selection.from_json(body)
     assert selection.pages == 1
-    assert rows(selection.records(products), "title") == [("Product 1",), ("Product 2",), ("Product 3",)]
+    assert rows(selection.records(shed), "title") == [("Ladder",), ("Rake",), ("Saw",)]
     top = Selection("u", {"top": {"container": "body", "head": "h1"}})
-    assert rows(top.group_records(products), "group", "record") == [("top", {"head": "Product Listings"})]
-    listed = Selection.from_selectors("u", [".product-card", "h2", "p"])
-    assert rows(listed.records(products), "field1", "field2")[0] == ("Product 1", "$19.99")
-    for broken in (lambda: Selection("u").records(products), lambda: Selection("u").group_records(products),
-                   lambda: Selection("u", {"fields": {"a": "b"}}).records(products),
+    assert rows(top.group_records(shed), "group", "record") == [("top", {"head": "Tool shed"})]
+    listed = Selection.from_selectors("u", [".tool", "h2", "p"])
+    assert rows(listed.records(shed), "field1", "field2")[0] == ("Ladder", "11 a day")
+    for broken in (lambda: Selection("u").records(shed), lambda: Selection("u").group_records(shed),
+                   lambda: Selection("u", {"fields": {"a": "b"}}).records(shed),
                    lambda: Selection.from_selectors("u", [])):
         with pytest.raises(ValueError):
             broken()

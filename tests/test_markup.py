@@ -123,3 +123,43 @@ def test_any_text_is_accepted(html):
     page = page_nodes(html)
     assert page.tag[:2] == ["html", "head"]
     assert re.fullmatch(r"[\s\S]*", b"".join(page.chunks).decode())
+
+
+BLANKS = "\u00a0\x0b\x85\u2003\x1c"
+
+
+def page_text(html):
+    return b"".join(page_nodes(html).chunks).decode()
+
+
+def test_other_blanks_in_a_tag_lose_no_text():
+    assert page_text('<p>one</p><a href="x"\u00a0>link</a><p>two</p>') == "onelinktwo"
+    assert page_text("<p>one</p><br\x0b/><i\x85>two</i>") == "onetwo"
+    page = page_nodes('<a href=x\u00a0y class="a\u00a0b c">z</a>')
+    assert page.attrs[3] == {"href": "x\u00a0y", "class": "a\u00a0b c"}
+
+
+def test_only_the_end_of_input_ends_a_page():
+    assert page_text('<p>one</p><a href="x" <p>two</p>') == "onetwo"
+    assert page_text('<p>one</p><a = "b" =>two</a>') == "onetwo"
+    assert page_text("<p>one</p><a href='x'") == "one"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "div", "p", "li", "span", "td"]),
+                          st.lists(st.sampled_from([" ", "\t", "\n", "/", "=", "x", 'y="1"', "z='2'", "w=3", *BLANKS]), max_size=6)), max_size=12))
+def test_text_between_tags_is_never_lost(tags):
+    html = "".join(f"t{i}<{tag}{''.join([' ', *parts])}>" for i, (tag, parts) in enumerate(tags))
+    assert page_text(html + "end") == "".join(f"t{i}" for i in range(len(tags))) + "end"
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def seconds(depth):
+        begin = time.process_time()
+        page_nodes("<div><b>" * depth)
+        return time.process_time() - begin
+
+    seconds(1000)
+    assert seconds(16000) < 8 * seconds(4000) + 0.2

@@ -43,9 +43,11 @@ SIBLING_CLOSE = {
     "rp": (("rt", "rp"), ("ruby", "rtc")),
 }
 
-MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
-ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
-TAG_END = re.compile(r"[^>]*>")
+# White space is what the standard calls so; other blanks belong to names and values.
+MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\t\n\f\r />]*)|!--|[!?/])")
+ATTRIBUTE = re.compile(r"""([^\t\n\f\r />][^\t\n\f\r />=]*)"""
+                       r"""(?:[\t\n\f\r ]*=[\t\n\f\r ]*(?:"([^"]*)"|'([^']*)'|([^\t\n\f\r >"'][^\t\n\f\r >]*)))?""")
+BEFORE_ATTRIBUTE = re.compile(r"[\t\n\f\r /]*")
 COMMENT_END = re.compile(r"--!?>")
 ATTR_REFERENCE = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?=?")
 
@@ -64,7 +66,8 @@ class PageNodes:
         self.tag, self.parent, self.depth, self.attrs = [], [], [], []
         self.last, self.text_start, self.text_len = [], [], []
         self.chunks, self.offset = [], 0
-        self.open = []          # node ids, outermost first
+        self.open = []          # node ids, outermost first; a node stands at its own depth
+        self.is_open = set()
         self.open_tags = {}     # how many open elements per tag, so most searches end at once
         self.formatting = []    # node ids to re-open; None marks a boundary
         self.in_body = False
@@ -80,11 +83,13 @@ class PageNodes:
         self.text_start.append(self.offset)
         self.text_len.append(0)
         self.open.append(node)
+        self.is_open.add(node)
         self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         return node
 
     def pop(self) -> str:
         node = self.open.pop()
+        self.is_open.discard(node)
         self.last[node] = len(self.tag) - 1
         self.text_len[node] = self.offset - self.text_start[node]
         self.open_tags[self.tag[node]] -= 1
@@ -157,7 +162,7 @@ class PageNodes:
     def reopen_formatting(self) -> None:
         entries = self.formatting
         start = len(entries)
-        while start and entries[start - 1] is not None and entries[start - 1] not in self.open:
+        while start and entries[start - 1] is not None and entries[start - 1] not in self.is_open:
             start -= 1
         for i in range(start, len(entries)):
             entries[i] = self.push(self.tag[entries[i]], self.attrs[entries[i]])
@@ -235,8 +240,8 @@ class PageNodes:
                 return
             if self.tag[node] == tag:
                 del self.formatting[i]
-                if node in self.open:
-                    position = self.open.index(node)
+                if node in self.is_open:
+                    position = self.depth[node]
                     if not any(self.tag[n] in CLOSES_P or self.tag[n] in SCOPE for n in self.open[position + 1:]):
                         self.pop_through(position)
                 return
@@ -280,19 +285,17 @@ class PageNodes:
 
 
 def read_tag(html: str, position: int):
-    """Attributes of a start tag whose name ends at position; None at end of input."""
+    """Attributes of a start tag whose name ends at position; None only where the input ends inside the tag."""
     if html.startswith(">", position):
         return {}, False, position + 1
     attrs: dict[str, str] = {}
     while True:
-        end = TAG_END.match(html, position)
-        if end is None:
-            return None
-        if not end[0].strip("/> \t\n\f\r"):
-            return attrs, end[0].endswith("/>"), end.end()
-        found = ATTRIBUTE.match(html, position)
-        if found is None:
+        position = BEFORE_ATTRIBUTE.match(html, position).end()
+        if position >= len(html):
             return None
+        if html[position] == ">":
+            return attrs, html[position - 1] == "/", position + 1
+        found = ATTRIBUTE.match(html, position)  # any other character begins a name
         name, *values = found.groups()
         value = next((v for v in values if v is not None), "")
         attrs.setdefault(name.lower(), attribute_text(value))
@@ -345,7 +348,7 @@ def _skip_declaration(html: str, found: re.Match) -> int:
 
 
 def _raw_text(page: PageNodes, html: str, tag: str, position: int) -> int:
-    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, position)
+    close = re.compile(rf"</{tag}(?=[\t\n\f\r />])[^>]*>?", re.I).search(html, position)
     body = html[position:close.start() if close else len(html)]
     if tag in ESCAPABLE_RAW_TEXT:
         body = unescape(body[1:] if tag == "textarea" and body.startswith("\n") else body)

@@ -23,6 +23,7 @@ from webloom.dom.markup import page_nodes
 cloudpickle.register_pickle_by_value(markup)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BLANKS = str.maketrans("\t\n\f\r", "    ")
 NODE = T.StructType([
     T.StructField("pre", T.IntegerType()),
     T.StructField("last", T.IntegerType()),
@@ -41,6 +42,11 @@ SHREDDED = T.StructType([
 ])
 
 
+def class_names(value: str) -> list[str]:
+    """The parts between the white space of the HTML standard."""
+    return [part for part in value.translate(BLANKS).split(" ") if part]
+
+
 @F.arrow_udf(SHREDDED)
 def shred_html(html: pa.Array) -> pa.Array:
     texts, node_offsets = [], [0]
@@ -62,7 +68,7 @@ def shred_html(html: pa.Array) -> pa.Array:
             columns[name].extend(getattr(page, name))
         for attrs in page.attrs:
             columns["id_attr"].append(attrs.get("id"))
-            class_items.extend(attrs.get("class", "").split())
+            class_items.extend(class_names(attrs.get("class", "")))
             class_offsets.append(len(class_items))
             attr_keys.extend(attrs.keys())
             attr_values.extend(attrs.values())
@@ -100,25 +106,10 @@ def node_rows(shredded: DataFrame, *keep: str) -> DataFrame:
     return shredded.select(*keep, F.inline("nodes"))
 
 
-class DomNodes:
-    """``dom_nodes(html)`` for ``LATERAL`` use in SQL."""
-
-    def eval(self, html: str):
-        if html is None:
-            return
-        page = page_nodes(html)
-        text = b"".join(page.chunks)
-        for pre in range(len(page.tag)):
-            start = page.text_start[pre]
-            attrs = page.attrs[pre]
-            yield (pre, page.last[pre], page.parent[pre], page.depth[pre], page.tag[pre], attrs.get("id"),
-                   attrs.get("class", "").split(), attrs,
-                   text[start:start + page.text_len[pre]].decode())
-
+def register_dom_nodes(spark, name: str = "shred_html") -> None:
+    """UDF-2: pages to elements in SQL.
 
-DOM_NODES_SCHEMA = ("pre int, last int, parent int, depth int, tag string, id_attr string, "
-                    "classes array<string>, attrs map<string,string>, text string")
-
-
-def register_dom_nodes(spark, name: str = "dom_nodes") -> None:
-    spark.udtf.register(name, F.udtf(DomNodes, returnType=DOM_NODES_SCHEMA, useArrow=True))
+    ``select n.tag, substring(d.text, n.text_start + 1, n.text_len) from (select shred_html(html) as d from pages)
+    lateral view inline(d.nodes) n ...`` parses each page once per row batch; elements and texts are JVM work.
+    """
+    spark.udf.register(name, shred_html)

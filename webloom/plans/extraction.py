@@ -108,8 +108,10 @@ select page_id, unnest(links) as content from facts
 def dom_nodes_lateral(spark, sf_dir):
     register_dom_nodes(spark)
     pages = wide_table(spark, sf_dir, "pages")
-    return spark.sql("select page_id, n.text as content from {pages}, lateral dom_nodes(html) n where n.tag = 'a'",
-                     pages=pages)
+    return spark.sql("""
+        select page_id, n.content from (select page_id, shred_html(html) as d from {pages})
+        lateral view inline(transform(filter(d.nodes, n -> n.tag = 'a'),
+            n -> named_struct('content', cast(substring(d.text, n.text_start + 1, n.text_len) as string)))) n""", pages=pages)
 
 
 @query("ext1_page_fields", FACTS + f"""
