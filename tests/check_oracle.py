@@ -53,6 +53,7 @@ def compare(spark_arrow, duck_arrow):
 def main():
     from pyspark.sql import SparkSession
     import __spark_entry__ as entry
+    from webloom.runtime import configure
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     parts = sys.argv[2:]
@@ -61,6 +62,7 @@ def main():
              .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
+    configure(spark)
     con = connection(sf_dir)
     oracle, bad = entry.oracle_sql(), []
     for name, run in entry.queries().items():

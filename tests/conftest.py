@@ -16,7 +16,11 @@ def spark():
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("OFF")
+    from webloom.runtime import clean_up, configure
+
+    configure(session)
     yield session
+    clean_up(session)
     session.stop()
 
 

@@ -71,8 +71,8 @@ def test_first_session_of_a_null_site(spark, rows):
 
 def test_action_logs_in_parts_are_whole(spark):
     frame = skewed(spark)
-    logs = collect_actions(frame, ["k"], ["at"], ["at"], part_rows=50, hot_rows=20).collect()
-    assert max(len(r.actions) for r in logs) <= 50
+    logs = collect_actions(frame, ["k"], ["at"], ["at"], F.floor(F.col("at") / 50)).collect()
+    assert len(logs) > 4
     for key in ("hot", "a"):
         joined = [a["at"] for r in sorted((r for r in logs if r.k == key), key=lambda r: r.part) for a in r.actions]
         assert joined == sorted(r["at"] for r in frame.filter(F.col("k") == key).collect())

@@ -87,8 +87,8 @@ def test_absolute_links_in_html(spark):
 
 
 # -- flattening -------------------------------------------------------------------
-def flattened(spark, text, **options):
-    return spark.createDataFrame([(text,)], "j string").select(flatten_json("j", **options)).first()[0]
+def flattened(spark, text):
+    return spark.createDataFrame([(text,)], "j string").select(flatten_json("j")).first()[0]
 
 
 def test_flatten_golden(spark):
@@ -97,13 +97,21 @@ def test_flatten_golden(spark):
     assert flattened(spark, None) is None
 
 
-def test_flatten_collision_and_depth_raise(spark):
+def test_flatten_collision_raises(spark):
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
         flattened(spark, '{"a.b":1,"a":{"b":2}}')
-    deep = "{\"a\":" * 20 + "1" + "}" * 20
-    with pytest.raises(Exception, match="nested deeper"):
-        flattened(spark, deep)
-    assert flattened(spark, deep, levels=20) == '{"%s":1}' % ".".join("a" * 20)
+
+
+@pytest.mark.parametrize("depth", [1, 18, 40, 200])
+def test_flatten_to_any_depth(spark, depth):
+    deep = "{\"a\":" * depth + "1" + "}" * depth
+    assert flattened(spark, deep) == '{"%s":1}' % ".".join("a" * depth)
+    assert flattened(spark, '{"x":"{{\\"{","y":[{"z":{"w":1}}],"n":' + deep + "}") == (
+        '{"n.%s":1,"x":"{{\\"{","y":[{"z":{"w":1}}]}' % ".".join("a" * depth))
+
+
+def test_repeated_keys_last_one_counts(spark):
+    assert flattened(spark, '{"a":1,"a":{"b":2,"b":3}}') == '{"a.b":3}'
 
 
 VALUES = st.recursive(
@@ -245,6 +253,15 @@ def test_subscriptions(spark, rows):
         ("a", "premium", True, "s9"), ("b", "none", False, ""), ("c", "x", False, ""), ("d", "x", False, None)]
 
 
+def test_upgrade_then_cancel(spark, rows):
+    users = spark.createDataFrame([(e, s, "freemium", False, 0) for e, s in [("a", ""), ("b", None), ("c", "s"), ("d", ""), ("e", "s")]], USERS)
+    steps = {"a": ["u1", "c"], "b": ["c", "u2"], "c": ["c", "c"], "d": ["u", "c"], "e": ["c", "u3", "u4", "c", "c"]}
+    changes = spark.createDataFrame([(e, "upgrade" if x[0] == "u" else "cancel", x[1:] or None, i) for e, xs in steps.items() for i, x in enumerate(xs)],
+                                    "email string, action string, stripe_id string, ts int")
+    assert rows(apply_subscriptions(users, changes), "email", "subscription", "is_premium", "stripe_id") == [
+        ("a", "none", False, ""), ("b", "premium", True, "2"), ("c", "none", False, ""), ("d", "premium", True, ""), ("e", "none", False, "")]
+
+
 def test_credit_lookup(spark, rows):
     users = spark.createDataFrame([("a", None), ("b", 5)], "email string, credits int")
     asked = spark.createDataFrame([("a",), ("b",), ("z",)], "email string")
@@ -318,7 +335,7 @@ def test_views(spark, rows):
 def test_sinks(spark, rows, tmp_path):
     actions = spark.createDataFrame([("https://a:1", 1, "click"), ("https://a:1", 2, "navigate"), ("http://b", 1, "click")],
                                     "origin string, ts int, type string")
-    write_action_logs(action_logs(actions, "origin", ["ts"], ["type", "ts"]), str(tmp_path / "logs"))
+    write_action_logs(action_logs(actions, "origin", ["ts"], ["type", "ts"], F.lit("all")), str(tmp_path / "logs"))
     back = spark.read.json(str(tmp_path / "logs"))
     assert rows(back, "site_key", "website", F.col("actions.type")) == [
         ("a_1", "https://a:1", ["click", "navigate"]), ("b", "http://b", ["click"])]

@@ -197,7 +197,7 @@ def test_window_job_over_files(spark, rows, tmp_path):
 
     from webloom.jobs.windowed_aggregation import arguments, window_messages
 
-    args = arguments(["--input_topic", "i", "--output_topic", "o", "--checkpoint", "c", "--aggregation_fields",
+    args = arguments(["--input_topic", "i", "--output_topic", "o", "--checkpoint", "c", "--kafka_brokers", "b", "--dead_letters", "d", "--aggregation_fields",
                       '{"task": "count", "k": "avg"}', "--slide_interval", "10 minutes"])
     texts = [json.dumps({"task_id": "t", "payload": {"k": str(k)}, "timestamp": f"2024-01-01T00:0{k}:00Z"})
              for k in (1, 2)] + ["broken"]
@@ -208,6 +208,14 @@ def test_window_job_over_files(spark, rows, tmp_path):
         "window": {"start": "2024-01-01T00:00:00.000Z", "end": "2024-01-01T00:10:00.000Z"}, "task_count": 2, "k_avg": 1.5}
 
 
+def test_dead_letters_of_the_window_job(spark, rows):
+    from webloom.streaming.windowed import dead_letters
+
+    texts = ['{"task_id":"t","payload":{"k":"1"},"timestamp":"2024-01-01T00:00:00Z"}', "broken", '{"task_id":"t"}', None]
+    found = dead_letters(spark.createDataFrame([(t,) for t in texts], "value string"))
+    assert rows(found) == sorted([("broken", "unreadable"), ('{"task_id":"t"}', "no timestamp"), (None, "unreadable")], key=repr)
+
+
 def test_workflow_job_routes(spark, rows):
     from webloom.jobs.workflow_tasks import default_routes
 
@@ -220,10 +228,11 @@ def test_workflow_job_routes(spark, rows):
 
 def test_one_consumer_per_task_type(spark, rows, tmp_path):
     schema = "task_type string, payload string"
-    write_files(spark, tmp_path, schema, [[("transform", "1"), ("store", "2")], [("store", "3")]])
+    inner = '{"task_type":"store","k":4}'     # what the producer queues: the type is inside
+    write_files(spark, tmp_path, schema, [[("transform", "1"), ("store", "2")], [("store", "3"), ("task", inner), ("task", "{}")]])
     for task_type in ("transform", "store"):
         for _ in range(2):      # a second start resumes and finds nothing new
             consume(files_of(spark, tmp_path, schema), task_type, lambda df: df.drop("task_type"),
                     str(tmp_path / task_type), str(tmp_path / "checkpoints"), once=True).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "store")), "payload") == [("2",), ("3",)]
+    assert rows(spark.read.parquet(str(tmp_path / "store")), "payload") == [("2",), ("3",), (inner,)]
     assert rows(spark.read.parquet(str(tmp_path / "transform")), "payload") == [("1",)]

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webloom.operators.records import wrap_transformed
+from webloom.runtime import configure
 from webloom.sources.kafka import workflow_stream
 from webloom.streaming.route import Routes, decode_tasks
 from webloom.streaming.run import routed_sink, start_batches
@@ -14,7 +15,7 @@ from webloom.streaming.run import routed_sink, start_batches
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser()
-    parser.add_argument("--kafka_brokers", default="localhost:9092")
+    parser.add_argument("--kafka_brokers", required=True)
     parser.add_argument("--collections", required=True, help="folder of the stored collections")
     parser.add_argument("--checkpoint", required=True, help="folder that keeps the offsets")
     return parser.parse_args(argv)
@@ -33,7 +34,7 @@ def default_routes() -> Routes:
 
 def main() -> None:
     args = arguments()
-    spark = SparkSession.builder.appName("workflow-tasks").getOrCreate()
+    spark = configure(SparkSession.builder.appName("workflow-tasks").getOrCreate())
     tasks = decode_tasks(workflow_stream(spark, args.kafka_brokers, starting="earliest"))
     start_batches(tasks, routed_sink(default_routes(), args.collections), args.checkpoint).awaitTermination()
 

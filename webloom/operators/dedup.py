@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """DDP-1: one row per key, the first in ``order``.
+    """DDP-1: one row per key, the first in ``order``; of equal ones any.
 
-    An aggregate, not a window: copies collapse before the shuffle, so a key with very many
-    copies sends one row per input partition.
+    For one order column of a number or time, the first of each key is a hash aggregate over a digest of the
+    keys, and the rows come in by a join on (digest, order): wide columns are in no aggregate, and the copies
+    of a key are spread over all tasks.  Other orders aggregate whole rows; there too copies
+    collapse before the shuffle.
     """
+    if len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.NumericType | T.DatetimeType):
+        name = f"c{df.columns.index(order[0])}"
+        rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        digest = F.sha2(F.to_json(F.struct(*[f"c{df.columns.index(k)}" for k in keys])), 256)
+        rows = rows.withColumn("_key", digest)
+        first = rows.groupBy("_key").agg(F.min(name).alias("_first")).withColumnRenamed("_key", "_of")
+        kept = rows.join(first, (F.col("_key") == F.col("_of")) & F.col(name).eqNullSafe(F.col("_first")), "left_semi")
+        nth = F.row_number().over(Window.partitionBy("_key", name).orderBy("_key"))
+        return kept.withColumn("_nth", nth).filter("_nth = 1").drop("_key", "_nth").toDF(*df.columns)
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(first).select(*[
@@ -30,5 +41,5 @@ def distinct_on(df: DataFrame, keys: Sequence[str], event_time: str | None = Non
 
 
 def first_content(pages: DataFrame, url: str = "url", content: str = "html", order: str = "fetched_at") -> DataFrame:
-    """DDP-2: the first content seen for a URL wins."""
-    return pages.groupBy(url).agg(F.min_by(content, order).alias(content))
+    """DDP-2: the first content seen for a URL wins; the content itself meets one join and no aggregate."""
+    return keep_first(pages.select(url, content, order), [url], [order]).select(url, content)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from webloom.operators.dedup import keep_first
 from webloom.operators.ordered import HOT_ROWS, Ordered, has_hot_key
 from webloom.runtime import cut
 
@@ -34,10 +35,8 @@ def enrich_payments(sessions: DataFrame, intents: DataFrame, users: DataFrame) -
 
 
 def distinct_payments(payments: DataFrame, session: str = "session_id", order: str = "ts") -> DataFrame:
-    """DDP-3: one payment per session, the earliest; aggregates before the shuffle, so replays cost little."""
-    rest = [c for c in payments.columns if c != session]
-    first = F.min(F.struct(F.col(order).alias("_order"), *rest)).alias("_r")
-    return payments.groupBy(session).agg(first).select(session, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    """DDP-3: one payment per session, the earliest; only its time is aggregated, before the shuffle."""
+    return keep_first(payments, [session], [order])
 
 
 def skip_immediate_repeats(payments: DataFrame, user: str, session: str, order: list[str],

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from webloom.functions.binding import let
 
-MAX_HEADER = 10_000
-MAX_NESTING = 16
-
 
 def repair_pages(pages: Column) -> Column:
     """PRJ-9: a missing or non-positive page count means one page."""
@@ -23,15 +20,9 @@ def map_fields(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 
 def header(df: DataFrame, record: str) -> list[str]:
-    """PRJ-11: every key that occurs in a map column, sorted.
-
-    A header is a schema, so it comes to the driver; more than ``MAX_HEADER`` keys is an error.
-    """
+    """PRJ-11: every key that occurs in a map column, sorted.  A header is a schema, so it comes to the driver."""
     keys = df.select(F.explode(F.map_keys(record)).alias("k")).distinct()
-    found = [row.k for row in keys.limit(MAX_HEADER + 1).collect()]
-    if len(found) > MAX_HEADER:
-        raise ValueError(f"more than {MAX_HEADER} distinct keys in {record!r}: not a header")
-    return sorted(found)
+    return sorted(row.k for row in keys.collect())
 
 
 def widen(df: DataFrame, record: str, fields: Sequence[str] | None = None) -> DataFrame:
@@ -93,39 +84,36 @@ OPEN_LEVEL = f"""flatten(transform({{entries}}, e -> get(transform(array({MEMBER
         concat(if(e.key = '', '', concat(e.key, '.')), x.key) as key, x.value as value)))), 0)))"""
 
 
-def flat_entries(json: str, levels: int = MAX_NESTING) -> Column:
+def nesting(json: str) -> str:
+    """SQL: how deep the objects of a JSON text nest, strings left out."""
+    bare = f"regexp_replace(regexp_replace({json}, r'\\\\.', ''), r'\"[^\"]*\"', '')"
+    braces = f"split(regexp_replace({bare}, '[^{{}}]+', ''), '')"
+    return f"""aggregate({braces}, named_struct('now', 0, 'most', 0), (s, c) -> named_struct(
+        'now', s.now + if(c = '{{', 1, if(c = '}}', -1, 0)), 'most', greatest(s.most, s.now + if(c = '{{', 1, 0))), s -> s.most)"""
+
+
+def flat_entries(json: str) -> Column:
     """SCL-7 for an unknown schema: a column of JSON object text to ``(key, value)`` entries.
 
-    Values are variants: arrays and nulls stay values, empty objects vanish.  Each level opens
-    the objects of the one before; anything nested deeper than ``levels`` raises.  The expression
-    is SQL text, as it is the same step many times over.
+    Values are variants: arrays and nulls stay values, empty objects vanish.  Each step opens the objects
+    of the one before, as many steps as the record itself is deep.
     """
     column = quoted_name(json)
-
-    def opened(count: int) -> str:
-        entries = f"array(struct('' as key, parse_json({column}) as value))"
-        for _ in range(count):
-            entries = OPEN_LEVEL.format(entries=entries)
-        return entries
-
-    # A text cannot nest deeper than it has opening braces, so shallow records take the short way.
-    braces = f"length({column}) - length(replace({column}, '{{'))"
-    shallow = " ".join(f"when {braces} <= {n} then {opened(n)}" for n in (1, 4) if n < levels)
-    checked = f"""transform({opened(levels)}, e -> if({MEMBERS} is null, e,
-        raise_error('JSON nested deeper than {levels} levels')))"""
-    return F.expr(f"case {shallow} else {checked} end" if shallow else checked)
+    begin = f"array(named_struct('key', '', 'value', parse_json({column})))"
+    return F.expr(f"aggregate(sequence(1, greatest(1, {nesting(column)})), {begin}, (entries, i) -> {OPEN_LEVEL.format(entries='entries')})")
 
 
-def flatten_json(json: str, levels: int = MAX_NESTING) -> Column:
+def flatten_json(json: str) -> Column:
     """SCL-7: a column of JSON object text to one-level JSON text with dotted, sorted keys.
 
-    Keys that collide raise (the duplicate-key policy of map construction).
+    Keys that collide raise (the duplicate-key policy of map construction); of a key that one object
+    repeats the last one counts (``webloom.runtime.configure``).
     """
     def assemble(entries: Column) -> Column:
         places = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"))))
         return F.to_json(F.map_from_entries(F.transform(places, lambda p: F.get(entries, p["i"]))))
 
-    return F.when(F.col(quoted_name(json)).isNotNull(), let(flat_entries(json, levels), assemble))
+    return F.when(F.col(quoted_name(json)).isNotNull(), let(flat_entries(json), assemble))
 
 
 def reject_reason(rules: Sequence[tuple[Column, str]]) -> Column:
@@ -144,4 +132,4 @@ def workflow_rules(tasks: str = "tasks") -> list[tuple[Column, str]]:
 
 def credit_rules(credits: str = "credits") -> list[tuple[Column, str]]:
     """PRJ-8: bought credits must be a positive whole number."""
-    return [(F.expr(f"try_cast(`{credits}` as int) > 0"), "invalid credit amount")]
+    return [(F.expr(f"try_cast({quoted_name(credits)} as int) > 0"), "invalid credit amount")]

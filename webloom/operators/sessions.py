@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from webloom.operators.ordered import HOT_ROWS, Ordered
 
@@ -20,14 +20,13 @@ def sessions(actions: DataFrame, user: str, site: str, order: Sequence[str],
 
 
 def collect_actions(actions: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
-                    part_rows: int = 100_000, hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
-    """AGG-7: the ordered action array of each group.
+                    part: Column) -> DataFrame:
+    """AGG-7: the ordered action array of each group and ``part``.
 
-    A group larger than ``part_rows`` comes as several rows, numbered by ``part``, so no array
-    and no task holds an unbounded group; concatenated by part they are the whole log.
+    ``part`` is a stated column, such as the day: it follows from the action itself, so a log has the
+    same parts at any size, and concatenated in the order of the parts they are the whole log.
     """
-    numbered = Ordered(actions, keys, order, hot_rows, split).row_number("_n").result()
-    part = F.floor((F.col("_n") - 1) / part_rows).cast("bigint")
-    return (numbered.withColumn("part", part).groupBy(*keys, "part")
-            .agg(F.array_sort(F.collect_list(F.struct("_n", *fields))).alias("actions"))
-            .withColumn("actions", F.transform("actions", lambda a: F.struct(*[a[f].alias(f) for f in fields]))))
+    entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*fields).alias("_a"))
+    return (actions.withColumn("part", part).groupBy(*keys, "part")
+            .agg(F.array_sort(F.collect_list(entry)).alias("actions"))
+            .withColumn("actions", F.transform("actions", lambda a: a["_a"])))

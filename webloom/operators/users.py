@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
-def sign_up(users: DataFrame, logins: DataFrame) -> DataFrame:
+def sign_up(users: DataFrame, logins: DataFrame, order: str = "ts") -> DataFrame:
     """JON-1: add users for unseen emails, with the defaults of a new account.
 
-    ``logins(email, google_id, ts)``; the earliest login of an email supplies its google id.
+    ``logins(email, google_id, <order>)``; the earliest login of an email supplies its google id, of equal
+    times the smallest id.  The first time is a hash aggregate, ids come in by a join on it.
     """
-    first = logins.groupBy("email").agg(F.min(F.struct("ts", "google_id")).alias("_l"))
-    new = (first.join(users, "email", "left_anti")
-           .select("email", F.col("_l.google_id").alias("google_id"), F.lit("freemium").alias("subscription"),
-                   F.lit(0).alias("uploads"), F.lit(False).alias("is_premium")))
+    first = logins.groupBy("email").agg(F.min(order).alias("_first"))
+    new = first.join(users, "email", "left_anti").withColumnRenamed("email", "_email")
+    ids = logins.join(new, (F.col("email") == F.col("_email")) & (F.col(order) == F.col("_first")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("email", order).orderBy("google_id"))
+    new = ids.withColumn("_nth", nth).filter("_nth = 1").select("email", "google_id", F.lit("freemium").alias("subscription"),
+                     F.lit(0).alias("uploads"), F.lit(False).alias("is_premium"))
     return users.unionByName(new, allowMissingColumns=True)
 
 
-def apply_subscriptions(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """JON-9: latest change per email: ``upgrade`` or ``cancel``.
+def apply_subscriptions(users: DataFrame, changes: DataFrame, order: str = "ts") -> DataFrame:
+    """JON-9: the changes of each account applied in order: ``upgrade`` or ``cancel``.
 
-    ``changes(email, action, stripe_id, ts)``.  A cancel without a stripe id on the account has no effect.
+    ``changes(email, action, stripe_id, <order>)``; ``order`` is a number or time without repeats in an
+    account.  An upgrade sets the stripe id; a cancel takes effect only while there is one, from the
+    account or from an upgrade before it.  So the last upgrade and the last change decide.
     """
-    latest = (changes.groupBy("email").agg(F.max(F.struct("ts", "action", "stripe_id")).alias("_c"))
-              .select("email", F.col("_c.action").alias("_action"), F.col("_c.stripe_id").alias("_stripe")))
-    joined = users.join(latest, "email", "left")
-    upgrade = F.col("_action") == "upgrade"
-    cancel = (F.col("_action") == "cancel") & (F.coalesce("stripe_id", F.lit("")) != "")
+    upgraded = F.col("action") == "upgrade"
+    last = changes.groupBy("email").agg(F.max(F.when(upgraded, F.col(order))).alias("_up"), F.max(order).alias("_last"))
+    ids = changes.filter(upgraded).select(F.col("email").alias("_email"), F.col(order).alias("_at"),
+                                          F.coalesce("stripe_id", F.lit("")).alias("_stripe"))
+    last = (last.join(ids, (F.col("email") == F.col("_email")) & (F.col("_up") == F.col("_at")), "left")
+            .select("email", "_stripe", F.col("_up").isNotNull().alias("_upgraded"),
+                    (F.col("_up").isNull() | (F.col("_last") > F.col("_up"))).alias("_cancels")))
+    joined = users.join(last, "email", "left")
+    upgrade = F.coalesce("_upgraded", F.lit(False))
+    stripe = F.when(upgrade, F.col("_stripe")).otherwise(F.col("stripe_id"))
+    cancel = F.coalesce("_cancels", F.lit(False)) & (F.coalesce(stripe, F.lit("")) != "")
     new = {
-        "subscription": F.when(upgrade, "premium").when(cancel, "none").otherwise(F.col("subscription")),
-        "is_premium": F.when(upgrade, True).when(cancel, False).otherwise(F.col("is_premium")),
-        "stripe_id": F.when(upgrade, F.col("_stripe")).when(cancel, "").otherwise(F.col("stripe_id")),
+        "subscription": F.when(cancel, "none").when(upgrade, "premium").otherwise(F.col("subscription")),
+        "is_premium": F.when(cancel, False).when(upgrade, True).otherwise(F.col("is_premium")),
+        "stripe_id": F.when(cancel, "").otherwise(stripe),
     }
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in users.columns])
 

@@ -37,11 +37,11 @@ def view_exists(spark: SparkSession, name: str) -> bool:
 def visible_rows(df: DataFrame, policies: DataFrame, dataset: str, user: str, column: str) -> DataFrame:
     """PRJ-7: the rows a user may see: ``column`` among the policy values of (dataset, user).
 
-    ``policies(dataset, user_id, value)``.  A semi join; Spark broadcasts the policy side only
+    ``policies(dataset, user_id, value)``; a value that is none of the column's type allows nothing.  A semi join; Spark broadcasts the policy side only
     while its measured size is under the session's limit.
     """
     allowed = policies.filter((F.col("dataset") == dataset) & (F.col("user_id") == user)).select(
-        F.col("value").cast(df.schema[column].dataType).alias(column)).distinct()
+        F.col("value").try_cast(df.schema[column].dataType).alias(column)).dropna().distinct()
     return df.join(allowed, column, "left_semi")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from webloom.operators.dedup import distinct_on, first_content, keep_first
-from webloom.operators.ordered import has_hot_key
 from webloom.operators.paging import (
     cap_pages, numbered_pages, page, page_after, page_count, preview, storage_order,
 )
@@ -18,8 +19,8 @@ from webloom.operators.workflow import fan_out, root_tasks, terminal_tasks
 from webloom.plans.registry import query, table, wide_table
 from webloom.runtime import working_path
 from webloom.sinks.tables import (
-    action_logs, append_documents, append_long, document_rows, stamped, write_action_logs, write_csv,
-    write_workflows,
+    action_logs, append_documents, append_long, document_rows, read_between, stamped, workflow_documents, write_action_logs,
+    write_csv, write_workflows,
 )
 from webloom.sources.generators import page_urls, seed_pool, topic_names
 from webloom.sources.tables import apply_schema, declared_schema, read_table
@@ -104,20 +105,20 @@ def long_form(spark, sf_dir):
             F.struct(F.lit("linestatus").alias("field"), F.col("l_linestatus").alias("content")))).alias("c"))
     path = working_path(spark, "long")
     append_long(cells.select("url", "c.field", "c.content", "scraped_at"), path)
-    return spark.read.parquet(path)
+    return read_between(spark, path)
 
 
 @query("snk7_document_append", """
 select o_orderkey::varchar as url,
        '{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' as content,
        o_orderdate as scraped_at
-from orders
+from orders where o_orderdate >= '1995-01-01' and o_orderdate < '1997-01-01'
 """)
 def document_append(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("url", F.col("o_orderkey").cast("string"))
     path = working_path(spark, "documents")
     append_documents(document_rows(orders, "url", ["o_orderstatus", "o_orderpriority"], F.col("o_orderdate")), path)
-    return spark.read.parquet(path)
+    return read_between(spark, path, "1995-01-01", "1997-01-01")
 
 
 @query("snk8_csv_export", """
@@ -135,40 +136,46 @@ SITE = "'https://site' || (props->>'k') || '.example'"
 
 
 @query("snk9_action_logs", f"""
-select 'site' || (props->>'k') || '.example' as site_key, {SITE} as website, 0 as part, count(*)::int as n_actions,
-       md5(string_agg(event_type, ',' order by ts, event_id)) as log_md5
-from events group by 1, 2
+select 'site' || (props->>'k') || '.example' as site_key, {SITE} as website, ts::date::varchar as part,
+       count(*)::int as n_actions, md5(string_agg(event_type, ',' order by ts, event_id)) as log_md5
+from events group by 1, 2, 3
 """)
 def action_logs_query(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn(
         "origin", F.concat(F.lit("https://site"), F.get_json_object("props", "$.k"), F.lit(".example")))
     path = working_path(spark, "actions")
-    write_action_logs(action_logs(events, "origin", ["ts", "event_id"], ["event_type", "ts"]), path)
-    logs = spark.read.schema("website string, part int, actions array<struct<event_type:string>>, site_key string").json(
+    day = F.to_date("ts").cast("string")
+    write_action_logs(action_logs(events, "origin", ["ts", "event_id"], ["event_type", "ts"], day), path)
+    logs = spark.read.schema("website string, part string, actions array<struct<event_type:string>>, site_key string").json(
         path)
     return logs.select("site_key", "website", "part", F.size("actions").alias("n_actions"),
                        F.md5(F.array_join("actions.event_type", ",")).alias("log_md5"))
 
 
 @query("snk11_workflow_json", """
-select c_mktsegment as user_id, 'w' || c_nationkey as workflow_id, count(*) as n_tasks
+select c_mktsegment as user_id, 'w' || c_nationkey as workflow_id, count(*)::int as n_tasks,
+       md5(string_agg(c_name || ':' || c_custkey % 7, ',' order by c_name)) as tasks_md5
 from customer group by 1, 2
 """)
 def workflow_json(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
     workflows = customers.select(
         F.col("c_mktsegment").alias("user_id"), F.concat(F.lit("w"), F.col("c_nationkey").cast("string")).alias(
-            "workflow_id"), F.col("c_name").alias("task_id"))
+            "workflow_id"), F.col("c_name").alias("task_id"), (F.col("c_custkey") % 7).alias("kind"))
     path = working_path(spark, "workflows")
-    write_workflows(workflows, path)
-    stored = spark.read.schema("task_id string, user_id string, workflow_id string").json(path)
-    return stored.groupBy("user_id", "workflow_id").agg(F.count("task_id").alias("n_tasks"))
+    write_workflows(workflow_documents(workflows), path)
+    stored = spark.read.schema("workflow_id string, tasks array<struct<task_id:string,kind:bigint>>, user_id string").json(path)
+    names = F.transform("tasks", lambda t: F.concat(t["task_id"], F.lit(":"), t["kind"].cast("string")))
+    return stored.select("user_id", "workflow_id", F.size("tasks").alias("n_tasks"), F.md5(F.array_join(names, ",")).alias("tasks_md5"))
 
 
-@query("scl12_ingest_time", "select page_id, url, true as stamped from pages")
+@query("scl12_ingest_time", "select l_orderkey, l_linenumber, l_shipdate as scraped_at, 1::bigint as stamps from lineitem")
 def ingest_time(spark, sf_dir):
-    rows = stamped(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return rows.select("page_id", "url", F.col("scraped_at").isNotNull().alias("stamped"))
+    """A given time stays as it is; the current time is one and the same for all rows of a run, and not before its start."""
+    before = datetime.now(timezone.utc)
+    items = stamped(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")).withColumnRenamed("scraped_at", "now")
+    stamps = items.agg(F.count_distinct(F.when(F.col("now") >= F.lit(before), F.col("now"))).alias("stamps"))
+    return stamped(items, F.col("l_shipdate")).select("l_orderkey", "l_linenumber", "scraped_at", stamps.scalar().alias("stamps"))
 
 
 # -- views and rules ---------------------------------------------------------
@@ -326,14 +333,13 @@ def sessions_query(spark, sf_dir):
 
 
 @query("agg7_session_actions", CHANGES + """
-select user_id, session_id, site, 0::bigint as part, string_agg(props->>'k', ',' order by ts, event_id) as actions
-from sessions group by user_id, session_id, site
+select user_id, session_id, site, ts::date as part, string_agg(props->>'k', ',' order by ts, event_id) as actions
+from sessions group by user_id, session_id, site, ts::date
 """)
 def session_actions(spark, sf_dir):
     actions = _actions(spark, sf_dir)
-    split = has_hot_key(actions, ["user_id"])     # a session is never larger than its user
-    found = sessions(actions, "user_id", "site", ["ts", "event_id"], split=split)
-    logs = collect_actions(found, ["user_id", "session_id", "site"], ["ts", "event_id"], ["k"], split=split)
+    found = sessions(actions, "user_id", "site", ["ts", "event_id"])
+    logs = collect_actions(found, ["user_id", "session_id", "site"], ["ts", "event_id"], ["k"], F.to_date("ts"))
     return logs.withColumn("actions", F.array_join("actions.k", ","))
 
 

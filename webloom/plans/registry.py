@@ -13,10 +13,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-# Pages are parsed in Python; a byte bound keeps a batch of large pages small in the worker.
-ARROW_BATCH_BYTES = 32 * 1024 * 1024
-
-
 def query(name: str, sql: str | None = None):
     """Register a query under its name; ``sql`` is its check on the same tables."""
     def register(function: Query) -> Query:
@@ -40,6 +36,5 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shredded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
     return shred(spread(pages, spark.sparkContext.defaultParallelism))

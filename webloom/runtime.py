@@ -8,20 +8,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# What the library counts on: of repeated JSON keys the last one counts, and an Arrow batch of pages stays small.
+SETTINGS = {"spark.sql.variant.allowDuplicateKeys": "true",
+            "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024)}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply ``SETTINGS``; an application calls this once, when it has its session."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that would be another disk on
+    every machine, so it is an error there.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="webloom-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def working_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/webloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, owned by this application."""
+    return f"{shared_folder(spark)}/webloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables this application wrote for itself; frames that read them are no use after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/webloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

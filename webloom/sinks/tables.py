@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from webloom.functions.text import site_key
-from webloom.operators.paging import storage_order
 from webloom.operators.records import widen
 from webloom.operators.sessions import collect_actions
 
@@ -17,10 +16,34 @@ def stamped(df: DataFrame, at: Column | None = None) -> DataFrame:
     return df.withColumn("scraped_at", F.current_timestamp() if at is None else at)
 
 
+MONTH = "scraped_month"
+
+
+def append_by_month(rows: DataFrame, path: str) -> None:
+    """Append rows in one folder per month of ``scraped_at``, so a time filter opens only its months.
+
+    Rows meet by month before they are written: a few files a month, each sorted by time; a busy month is
+    split over several tasks by Spark's rebalancing.
+    """
+    dated = rows.withColumn(MONTH, F.trunc("scraped_at", "month"))
+    dated.hint("rebalance", MONTH).sortWithinPartitions(MONTH, "scraped_at").write.mode("append").partitionBy(MONTH).parquet(path)
+
+
+def read_between(spark: SparkSession, path: str, first=None, end=None) -> DataFrame:
+    """Rows written by ``append_by_month`` with ``first <= scraped_at < end``; only the months in question are read."""
+    rows = spark.read.parquet(path)
+    if first is not None:
+        first = F.lit(first).cast("timestamp_ntz")
+        rows = rows.filter((F.col(MONTH) >= F.trunc(first, "month")) & (F.col("scraped_at") >= first))
+    if end is not None:
+        end = F.lit(end).cast("timestamp_ntz")
+        rows = rows.filter((F.col(MONTH) <= F.trunc(end, "month")) & (F.col("scraped_at") < end))
+    return rows.drop(MONTH)
+
+
 def append_long(rows: DataFrame, path: str) -> None:
-    """SNK-6: append ``(url, field, content, scraped_at)``; each file is sorted by time, so its
-    column statistics prune time filters."""
-    storage_order(rows.select("url", "field", "content", "scraped_at")).write.mode("append").parquet(path)
+    """SNK-6: append ``(url, field, content, scraped_at)`` by month."""
+    append_by_month(rows.select("url", "field", "content", "scraped_at"), path)
 
 
 def document_rows(records: DataFrame, url: str, fields: Sequence[str], at: Column) -> DataFrame:
@@ -30,8 +53,8 @@ def document_rows(records: DataFrame, url: str, fields: Sequence[str], at: Colum
 
 
 def append_documents(rows: DataFrame, path: str) -> None:
-    """SNK-7: append document rows, each file sorted by time."""
-    storage_order(rows.select("url", "content", "scraped_at")).write.mode("append").parquet(path)
+    """SNK-7: append document rows by month."""
+    append_by_month(rows.select("url", "content", "scraped_at"), path)
 
 
 def append_collection(rows: DataFrame, path: str) -> None:
@@ -45,9 +68,9 @@ def write_csv(records: DataFrame, path: str, record: str | None = None) -> None:
     wide.write.mode("overwrite").options(header=True, quoteAll=True, escape='"').csv(path)
 
 
-def action_logs(actions: DataFrame, origin: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """SNK-9: ``(site_key, website, part, actions)`` per site."""
-    logs = collect_actions(actions, [origin], order, fields)
+def action_logs(actions: DataFrame, origin: str, order: Sequence[str], fields: Sequence[str], part: Column) -> DataFrame:
+    """SNK-9: ``(site_key, website, part, actions)`` per site and part, such as the day."""
+    logs = collect_actions(actions, [origin], order, fields, part)
     return logs.select(site_key(F.col(origin)).alias("site_key"), F.col(origin).alias("website"), "part", "actions")
 
 
@@ -56,6 +79,13 @@ def write_action_logs(logs: DataFrame, path: str) -> None:
     logs.write.mode("overwrite").partitionBy("site_key").json(path)
 
 
+def workflow_documents(tasks: DataFrame, order: str = "task_id") -> DataFrame:
+    """SNK-11: one document per workflow, its tasks as the array ``tasks``, in order.  A workflow is written by a person; its tasks fit a row."""
+    rest = [c for c in tasks.columns if c not in ("user_id", "workflow_id")]
+    first = [order, *[c for c in rest if c != order]]
+    return tasks.groupBy("user_id", "workflow_id").agg(F.array_sort(F.collect_list(F.struct(*first))).alias("tasks"))
+
+
 def write_workflows(workflows: DataFrame, path: str) -> None:
-    """SNK-11: workflow configuration as JSON per user and workflow."""
-    workflows.write.mode("overwrite").partitionBy("user_id", "workflow_id").json(path)
+    """SNK-11: workflow documents as JSON in a folder per user, a user's documents in few files."""
+    workflows.hint("rebalance", "user_id").write.mode("overwrite").partitionBy("user_id").json(path)

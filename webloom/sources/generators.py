@@ -14,19 +14,15 @@ POOL_COUNTS = {"scrape": 10, "transform": 5, "store": 3}
 def number_rows(df: DataFrame, count: Column, name: str) -> DataFrame:
     """Each row repeated with ``name`` = 1..count; none when the count is missing or not positive.
 
-    Counts up to ``BLOCK`` expand in place.  A larger one first becomes one row per block, and the
-    blocks are spread over all tasks before they expand, so one huge count is no single task's work.
+    Every row first becomes one row per block of ``BLOCK`` numbers (one row, for most), and the blocks
+    are dealt out before they expand, so one huge count is no single task's work. The input is read once.
     """
     rows = df.withColumn("_total", count.cast("bigint")).filter(F.col("_total") > 0)
-    one = F.lit(1).cast("bigint")
-    small = (rows.filter(F.col("_total") <= BLOCK)
-             .withColumn(name, F.explode(F.sequence(one, F.col("_total")))))
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_total") - 1) / BLOCK).cast("bigint"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inside = F.sequence(F.col("_block") * BLOCK + 1, F.least((F.col("_block") + 1) * BLOCK, F.col("_total")))
-    large = (rows.filter(F.col("_total") > BLOCK).withColumn("_block", F.explode(blocks)).repartition(tasks)
-             .withColumn(name, F.explode(inside)).drop("_block"))
-    return small.unionByName(large).drop("_total")
+    return (rows.withColumn("_block", F.explode(blocks)).repartition(tasks)
+            .withColumn(name, F.explode(inside)).drop("_block", "_total"))
 
 
 def page_urls(specs: DataFrame, url: str = "url", pages: str = "page_num") -> DataFrame:

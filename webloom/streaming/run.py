@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
+from webloom.streaming.route import route_of
+
 BATCH = "batch_id"
 
 
@@ -36,8 +38,11 @@ def start_batches(result: DataFrame, write: Callable[[DataFrame, int], None], ch
 
 def consume(tasks: DataFrame, task_type: str, handler: Callable[[DataFrame], DataFrame], path: str,
             checkpoints: str, once: bool = False) -> StreamingQuery:
-    """SRC-3: one resumable query per task type, its position kept under ``<task_type>_consumer``."""
-    handled = handler(tasks.filter(F.col("task_type") == task_type))
+    """SRC-3: one resumable query per task type, its position kept under ``<task_type>_consumer``.
+
+    Messages queued as plain ``task`` go by the type inside their payload, as everywhere.
+    """
+    handled = handler(tasks.filter(route_of(F.col("task_type"), F.col("payload")) == task_type))
     return start_batches(handled, table_sink(path), f"{checkpoints}/{task_type}_consumer", once=once)
 
 
@@ -71,9 +76,11 @@ def routed_sink(routes, path: str) -> Callable[[DataFrame, int], None]:
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """A table written batch by batch, or None while nothing has been written."""
+    """A table written batch by batch, or None while nothing has been written; any other trouble is raised."""
     reader = spark.read.option("basePath", path)
     try:
         return (reader.schema(schema) if schema else reader).parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

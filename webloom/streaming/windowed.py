@@ -37,6 +37,15 @@ def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.select(parsed.alias("data")).select("data.*")
 
 
+def dead_letters(messages: DataFrame, value: str = "value") -> DataFrame:
+    """STR-6: the raw text of messages that no window takes, and why."""
+    raw = F.col(value).cast("string")
+    parsed = messages.select(raw.alias("raw"), F.from_json(raw, EVENT_SCHEMA).alias("data"))
+    reason = F.when(F.col("data").isNull() | (F.col("data.task_id").isNull() & F.col("data.payload").isNull()
+                                              & F.col("data.timestamp").isNull()), "unreadable").otherwise("no timestamp")
+    return parsed.filter(F.col("data.timestamp").isNull()).select("raw", reason.alias("reason"))
+
+
 def split_timeless(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """STR-6: (events with a time, dead letters without one); the latter fall in no window."""
     timed = F.col("timestamp").isNotNull()
