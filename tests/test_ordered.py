@@ -157,3 +157,16 @@ def test_ledger_never_goes_negative(amounts):
     got = guarded_ledger(frame, "k", ["at"], "amount", chunk_rows=6).collect()
     assert sorted((r["at"], r.amount, r.accepted, r.balance) for r in got) == loop(list(enumerate(amounts)))
     assert min(r.balance for r in got) >= 0
+
+
+def test_small_inputs_are_not_read_to_choose_the_plan(spark, tmp_path):
+    skewed(spark).write.parquet(str(tmp_path / "rows"))
+    frame = spark.read.parquet(str(tmp_path / "rows"))
+    context = spark.sparkContext
+    context.setJobGroup("choose", "building the plan")
+    try:
+        found = sessions(frame, "k", "site", ["at"])
+        assert not list(context.statusTracker().getJobIdsForGroup("choose"))
+        assert found.count() == frame.count()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)

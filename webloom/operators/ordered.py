@@ -37,16 +37,26 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     return not counts.filter(F.col("n") > hot_rows).select(F.lit(1)).limit(1).isEmpty()
 
 
+LEAST_ROW = 8  # bytes a row takes at least, stored
+
+
+def may_be_large(df: DataFrame, rows: int) -> bool:
+    """Whether the planner's size estimate allows more than ``rows`` rows; reads nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > rows * LEAST_ROW
+
+
 class Ordered:
     """``df`` seen in the total order ``order`` within ``keys`` (``keys`` may be empty).
 
-    Creating it runs the size check, and for a hot key the range partitioning, as Spark jobs.
+    ``split`` says whether some key is too large for one task; both ways give the same rows.  Where it is not
+    stated, an input that cannot hold ``hot_rows`` rows by the planner's estimate is not read to find
+    out; of a larger one the key columns are counted first.  A hot key is then range-partitioned.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS,
                  split: bool | None = None):
         self.keys, self.order = list(keys), list(order)
-        self.split = has_hot_key(df, self.keys, hot_rows) if split is None else split
+        self.split = (may_be_large(df, hot_rows) and has_hot_key(df, self.keys, hot_rows)) if split is None else split
         if not self.split:
             self.df = df
             self.window = Window.partitionBy(*self.keys).orderBy(*self.order)

@@ -237,25 +237,34 @@ def link_titles_query(spark, sf_dir):
                        site="https://site.example")
 
 
+def _classed_html():
+    """The given html with classes on two ancestors and markup inside the links of the menu."""
+    html = F.regexp_replace("html", "<nav>", '<nav class="menu top">')
+    html = F.regexp_replace(html, "<article>", '<article class="text">')
+    return F.regexp_replace(html, '<li><a href="([^"]*)">([^<]*)</a>', '<li><a href="$1"><span>$2</span></a>')
+
+
 @query("ext11_generalized_selectors", FACTS + """
 , cells as (
-  select page_id, unnest(list_transform(links, lambda x: 'a')) as selector from facts
-  union all select page_id, 'div.ad' from facts union all select page_id, 'h1' from facts)
+  select page_id, unnest(list_transform(links, lambda x: 'nav.menu.top span')) as selector from facts
+  union all select page_id, 'div.ad' from facts union all select page_id, 'article.text h1' from facts)
 select page_id, selector from cells
 """)
 def generalized_selectors_query(spark, sf_dir):
-    return generalized_selectors(shredded_pages(spark, sf_dir), "nav a, div.ad, h1", "page_id").drop("pre")
+    return generalized_selectors(shredded_pages(spark, sf_dir, _classed_html()), "nav span, div.ad, h1", "page_id").drop("pre")
 
 
 @query("ext12_click_targets", FACTS + """
 , ids as (select page_id, unnest(range(len(links))) as i from facts),
 cells as (
-  select page_id, (9 + 2 * i)::int as pre from ids union all select page_id, (10 + 2 * i)::int from ids
-  union all select page_id, 3 from facts)
-select page_id, pre, pre as target_pre from cells
+  select page_id, (9 + 3 * i)::int as pre, (9 + 3 * i)::int as target_pre from ids
+  union all select page_id, (11 + 3 * i)::int, (10 + 3 * i)::int from ids
+  union all select page_id, 3, 3 from facts)
+select page_id, pre, target_pre from cells
 """)
 def click_targets_query(spark, sf_dir):
-    return click_targets(shredded_pages(spark, sf_dir), "nav li, nav a, title", "page_id")
+    """A click on the markup inside a link stands for the link."""
+    return click_targets(shredded_pages(spark, sf_dir, _classed_html()), "nav li, nav span, title", "page_id")
 
 
 @query("ext13_grouped_records", FACTS + f"""

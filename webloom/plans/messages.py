@@ -69,14 +69,18 @@ def tumbling_window(spark, sf_dir):
 
 @query("agg2_avg_of_text", """
 with parts as (
-  select time_bucket(interval 5 minutes, ts) - to_minutes(5 * o) as window_start
+  select time_bucket(interval 5 minutes, ts) - to_minutes(5 * o) as window_start,
+    case when event_type not in ('click', 'view') then (props->>'k')::double end as k
   from events, (values (0), (1)) v(o))
-select window_start, null::double as kind_avg, count(*) as any_count from parts group by 1
+select window_start, avg(k) as kind_avg, count(*) as any_count from parts group by 1
 """)
 def avg_of_text(spark, sf_dir):
     """Values that are no numbers are skipped; ``count`` counts rows whatever the field."""
-    events = decode_events(event_messages(wide_table(spark, sf_dir, "events")))
-    result = windowed_aggregate(events, {"kind": "avg", "any": "count"})
+    k = F.get_json_object("props", "$.k")
+    kind = F.when(F.col("event_type") == "click", "many").when(F.col("event_type") == "view", "").otherwise(k)
+    row = F.struct(F.col("event_type").alias("task_id"), F.create_map(F.lit("kind"), kind).alias("payload"), F.col("ts").alias("timestamp"))
+    messages = wide_table(spark, sf_dir, "events").select(F.to_json(row, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("value"))
+    result = windowed_aggregate(decode_events(messages), {"kind": "avg", "any": "count"})
     return result.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "kind_avg", "any_count")
 
 
@@ -164,14 +168,17 @@ def route_handlers(spark, sf_dir):
 RAW = """
 with raw as (
   select props as value from events union all select text from conversations
-  union all select '[' || event_id || ']' from events)
+  union all select '[' || event_id || ']' from events
+  union all select '{"k":' || event_id || ',"k":' || user_id || '}' from events)
 """
 
 
 def raw_messages(spark, sf_dir):
     events, talk = table(spark, sf_dir, "events"), table(spark, sf_dir, "conversations")
     arrays = events.select(F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]")).alias("value"))
-    return events.select(F.col("props").alias("value")).union(talk.select("text")).union(arrays)
+    number = lambda c: F.col(c).cast("string")
+    repeated = events.select(F.concat(F.lit('{"k":'), number("event_id"), F.lit(',"k":'), number("user_id"), F.lit("}")).alias("value"))
+    return events.select(F.col("props").alias("value")).union(talk.select("text")).union(arrays).union(repeated)
 
 
 @query("prj5_malformed_messages", RAW + """

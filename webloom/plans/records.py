@@ -23,7 +23,7 @@ from webloom.sinks.tables import (
     write_csv, write_workflows,
 )
 from webloom.sources.generators import page_urls, seed_pool, topic_names
-from webloom.sources.tables import apply_schema, declared_schema, read_table
+from webloom.sources.tables import apply_schema, declared_schema, explode_forms, read_forms, read_table
 
 
 # -- sources -----------------------------------------------------------------
@@ -37,6 +37,24 @@ def document_scan(spark, sf_dir):
     return widen(tasks, "data", ["field1", "field2"])
 
 
+@query("src6_form_examples", """
+select n_name as website, field, 'go_' || n_regionkey as first_action
+from (select n_name, n_regionkey, unnest(['name', 'key' || n_nationkey]) as field from nation)
+""")
+def form_examples(spark, sf_dir):
+    """A JSON array document of forms, written from a table and read back."""
+    number = lambda c: F.col(c).cast("string")
+    form = F.struct(F.array(F.lit("name"), F.concat(F.lit("key"), number("n_nationkey"))).alias("fields"),
+                    F.array(F.concat(F.lit("go_"), number("n_regionkey"))).alias("actions"))
+    forms = table(spark, sf_dir, "nation").select(F.to_json(F.struct(F.col("n_name").alias("website"), form.alias("form"), F.lit("<form>").alias("html"))).alias("value"))
+    path = working_path(spark, "forms")
+    # one document per file: each partition becomes a JSON array
+    lines = forms.groupBy(F.spark_partition_id()).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
+    lines.select("value").write.text(path)
+    read = read_forms(spark, path)
+    return explode_forms(read, "fields").join(explode_forms(read, "actions"), "website").select("website", "field", F.col("action").alias("first_action"))
+
+
 @query("src7_page_corpus", "select page_id, url, length(html)::int as html_chars from pages")
 def page_corpus(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").alias("html_chars"))

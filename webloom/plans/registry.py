@@ -35,6 +35,9 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name), spark.sparkContext.defaultParallelism)
 
 
-def shredded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shredded_pages(spark: SparkSession, sf_dir: str, edited=None) -> DataFrame:
+    """The given pages, parsed; ``edited`` is an expression for the html to parse instead."""
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
+    if edited is not None:
+        pages = pages.withColumn("html", edited)
     return shred(spread(pages, spark.sparkContext.defaultParallelism))

@@ -15,7 +15,7 @@ from webloom.sources.tables import stream_table
 from webloom.streaming.crawl import page_messages
 from webloom.streaming.ledger import current_balances, ledger_sink, once_per_event
 from webloom.streaming.route import Routes, decode_tasks, transform_tasks
-from webloom.streaming.run import latest_rows, routed_sink, start, start_batches, table_sink
+from webloom.streaming.run import consume, latest_rows, routed_sink, start, start_batches, table_sink
 from webloom.streaming.windowed import windowed_aggregate
 
 
@@ -68,6 +68,23 @@ def pass_through(spark, sf_dir):
     return spark.read.parquet(f"{path}/rows")
 
 
+@query("src3_consumers", TASKS + """
+select task_type, count(*) as n, sum((payload->>'k')::bigint)::bigint as k_sum from (
+  select case when task_type = 'task' then 'store' else task_type end as task_type, payload from tasks
+  where task_type in ('transform', 'store', 'task')) group by 1
+""")
+def consumers(spark, sf_dir):
+    """SRC-3: one consumer per task type; what was queued as plain ``task`` goes by its inner type."""
+    path = working_path(spark, "consumers")
+    parts = []
+    for task_type in ("transform", "store"):
+        tasks = decode_tasks(task_messages_of(stream_of(spark, sf_dir, "events")))
+        consume(tasks, task_type, lambda rows: rows.select("payload"), f"{path}/{task_type}", f"{path}/checkpoints", once=True).awaitTermination()
+        parts.append(spark.read.parquet(f"{path}/{task_type}").select(F.lit(task_type).alias("task_type"), "payload"))
+    k = F.get_json_object("payload", "$.k").cast("bigint")
+    return parts[0].union(parts[1]).groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"))
+
+
 @query("prj3_stream_routes", TASKS + """
 select 'transform' as route, count(*) as n from tasks where task_type = 'transform'
 union all select 'store', count(*) from tasks where task_type in ('store', 'task')
