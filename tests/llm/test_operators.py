@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
-from webloom.llm import compression, decontaminate, jaccard, language_model, mixing, parsing, secrets, surrogates, warc  # noqa: E402
+from webloom.llm import compression, decontaminate, jaccard, language_model, lengths, mixing, parsing, secrets, surrogates, warc  # noqa: E402
 from webloom.llm.components import connected  # noqa: E402
 from webloom.llm.eliasfano import PROBABILITY, Sequence, Trie, quantised  # noqa: E402
 from webloom.llm.queries import QUERIES  # noqa: E402
@@ -285,6 +285,25 @@ def test_parse_covers_every_string_once():
     assert (starts == expected).all() and len(np.unique(names, axis=0)) == len({bytes(data[b:e]) for b, e in zip(begins, ends)})
 
 
+# ---- lengths
+
+@pytest.mark.parametrize("source", ["edge", "table"])
+def test_lengths(spark, source, monkeypatch):
+    monkeypatch.setattr(lengths, "BLOCK", 100)
+    df, rows = documents(spark) if source == "table" else (frame(spark, edge_rows(), True), edge_rows())
+    with open(lengths.VOCABULARY, "rb") as f:
+        encode = lengths.encoder(f.read(), lengths.PATTERN).encode_ordinary
+    sizes = [len(encode(t or "")) for _, t in rows]
+    sums = lengths.with_suffix_sums(lengths.length_histogram(df)).cache()
+    expected = sorted((n, c, sum(s >= n for s in sizes), sum(s for s in sizes if s >= n), sum(min(s, n) for s in sizes)) for n, c in Counter(sizes).items())
+    assert sorted(map(tuple, sums.collect())) == expected
+    limits = [0, 1, 7, 128, 10_000_000]
+    assert sorted(map(tuple, lengths.at_limits(sums, limits).collect())) == [(n, sum(s > n for s in sizes), sum(min(s, n) for s in sizes)) for n in limits]
+    ordered = sorted(sizes)
+    got = dict(lengths.quantiles(sums, [0.01, 0.5, 0.9, 1.0]).collect())
+    assert got == {q: ordered[max(0, -(-int(q * 1000) * len(ordered) // 1000) - 1)] for q in (0.01, 0.5, 0.9, 1.0)}
+
+
 # ---- decontamination
 
 def test_contamination(spark):
@@ -395,7 +414,7 @@ def test_connected(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
-    for found in (compression.compression_report(df), compression.keep_sound(df), secrets.secret_spans(df), language_model.language_scores(df), surrogates.protect(df),
+    for found in (compression.compression_report(df), compression.keep_sound(df), secrets.secret_spans(df), lengths.with_suffix_sums(lengths.length_histogram(df)), language_model.language_scores(df), surrogates.protect(df),
                   parsing.remove_repeats(df), decontaminate.contamination(df, items), decontaminate.keep_uncontaminated(df, items), mixing.sample(df),
                   jaccard.near_copies(df), jaccard.one_of_each(df)):
         assert found.count() == 0
@@ -405,4 +424,4 @@ def test_empty_tables(spark):
 
 
 def test_every_operator_is_registered():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11)) - {6}
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
