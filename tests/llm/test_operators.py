@@ -150,7 +150,8 @@ def test_elias_fano_and_trie():
 PRIVATE = [
     "Mail anna.keller@mail.com or ANNA.KELLER@MAIL.COM. Call +1 (743) 555-3824 or 743-555-3824; card 4111 1111 1111 1111, 4111111111111111. 10.2.3.4 70.23.22.57",
     "Mr. John Smith met Mrs. Mary Smith; Smith said 078-05-1120. Господин Иванов и Госпожа Иванова. Иванов ушел. token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"",
-    None, "", "clean text 12345 1.2.3 foo@bar 4111111111111112 and 2024-05-01", "again anna.keller@mail.com and 70.23.22.57", "Dr. Smith"]
+    None, "", "clean text 12345 1.2.3 foo@bar 4111111111111112 and 2024-05-01", "again anna.keller@mail.com and 70.23.22.57", "Dr. Smith",
+    "von password=c1f6c02f845bf3028d de api_key: 'Zq9-x_12' but secret: nothing"]
 
 
 def test_surrogates(spark):
@@ -172,6 +173,7 @@ def test_surrogates(spark):
     assert first[0] == "Mr." and first[1] in men and first[4] == "Mrs." if first[3] == "met" else True
     name = first[2]
     assert got[1].count(name) == 3 and got[6] == f"Dr. {name}" and any(w in women for w in first)
+    assert got[7].startswith("von password=") and len(got[7]) == len(PRIVATE[7]) and "c1f6" not in got[7] and "Zq9" not in got[7] and got[7].endswith("but secret: nothing")
     assert "Господин" in got[1] and any(w.endswith(("ова", "ина")) for w in got[1].replace(".", "").split())
 
 

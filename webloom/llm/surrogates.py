@@ -30,7 +30,7 @@ TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Signor", "Господин"
           "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Signora", "Госпожа", "Κυρία"),
           "n": ("Dr", "Prof", "Доктор")}
 GIVEN = {("latin", "m"): "Adam Bruno Carlos David Erik Felix Georg Henri Ivan James John Lucas Martin Oscar Paul Robert Simon Thomas Victor William".split(),
-         ("latin", "f"): "Alice Anna Beatrice Clara Diana Elena Emma Frida Greta Helen Ines Julia Karen Laura Maria Nora Olivia Paula Rosa Sofia".split(),
+         ("latin", "f"): "Alice Anna Beatrice Clara Diana Elena Emma Frida Greta Helen Irene Julia Karen Laura Maria Nora Olivia Paula Rosa Sofia".split(),
          ("cyrillic", "m"): "Алексей Борис Виктор Григорий Дмитрий Иван Кирилл Максим Николай Олег Павел Сергей".split(),
          ("cyrillic", "f"): "Алла Вера Галина Дарья Елена Ирина Ксения Лариса Мария Нина Ольга Татьяна".split(),
          ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Σταύρος Χρήστος".split(),
@@ -47,7 +47,8 @@ CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])" \
         r"|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])"
-CREDENTIAL = r"""AKIA[A-Z0-9]{16,}|(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9])"""
+ASSIGNED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+CREDENTIAL = rf"""{ASSIGNED}(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{{6,}}|AKIA[A-Z0-9]{{16,}}|(?<![A-Za-z0-9])[0-9a-f]{{32,}}(?![A-Za-z0-9])"""
 WORD = r"\p{Lu}[\p{L}'’-]+"
 PERSON = rf"(?<!\p{{L}})(?:(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {WORD}(?: {WORD}){{0,2}}" \
          rf"|(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {WORD})"
@@ -83,7 +84,7 @@ def entity(raw: Column) -> Column:
         return F.struct(gender.otherwise("person_n").alias("kind"), F.lower(bare).alias("norm"))
 
     person = let(F.regexp_replace(raw, ANY_TITLE, ""), person_of)
-    return (F.when(raw.rlike(rf"^{MAIL}$"), make("email", F.lower(raw))).when(raw.rlike(rf"^(?:{CREDENTIAL})$"), make("credential", raw))
+    return (F.when(raw.rlike(rf"^{MAIL}$"), make("email", F.lower(raw))).when(raw.rlike(rf"^(?:{CREDENTIAL})$"), make("credential", F.regexp_replace(raw, f"^{ASSIGNED}", "")))
             .when(raw.rlike(rf"^{ADDRESS}$"), make("ip", raw)).when(is_card, make("card", number))
             .when(raw.rlike(rf"^{SOCIAL}$"), make("ssn", number)).when(raw.rlike(rf"^(?:{PHONE})$"), make("phone", F.right(number, F.lit(10))))
             .when(raw.rlike(rf"^(?:{PERSON})$"), person))
@@ -162,7 +163,8 @@ def made_of(r: Column, shaped: Column) -> Column:
     phone = F.concat((number_at(stream, F.lit(60), 8) + 2).cast("string"), F.substring(shaped, F.lit(2), F.lit(2)),
                      (number_at(stream, F.lit(61), 8) + 2).cast("string"), F.substring(shaped, F.lit(5), F.lit(6)))
     hexadecimal = F.substring(F.concat(stream, F.repeat(stream, F.floor(n / 256).cast("int"))), F.lit(1), n)
-    credential = F.when(norm.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(shaped, F.lit(5), n))).otherwise(hexadecimal)
+    credential = (F.when(norm.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(shaped, F.lit(5), n)))
+                  .when(norm.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(shaped))
     person = F.concat(given_of(stream, kind, norm, attempt), F.lit(" "), F.substring_index(norm, " ", -1))
     return (F.when(kind == "email", mail).when(kind == "credential", credential).when(kind == "ip", address).when(kind == "card", card)
             .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shaped, F.lit(2), F.lit(8)))).when(kind == "phone", phone)
@@ -247,7 +249,8 @@ def rewritten(docs: DataFrame, text: str, secret: str, attempts: Column | None)
         given = F.when(norm.contains(" "), F.concat(F.substring_index(F.element_at(book, name(m["e"])), " ", 1), F.lit(" "))).otherwise("")
         last = F.element_at(book, F.concat(F.lit("surname|"), F.substring_index(norm, " ", -1)))
         return (F.when(kind.isNull(), raw).when(kind == "email", cased(raw, F.element_at(book, name(m["e"]))))
-                .when(kind.isin("credential", "ip"), F.element_at(book, name(m["e"])))
+                .when(kind == "ip", F.element_at(book, name(m["e"])))
+                .when(kind == "credential", F.concat(F.regexp_extract(raw, f"^(?:{ASSIGNED})?", 0), F.element_at(book, name(m["e"]))))
                 .when(kind.isin("card", "ssn", "phone"), filled(raw, F.element_at(book, name(m["e"]))))
                 .otherwise(F.concat(title, cased(raw, F.concat(given, last)))))
 
