@@ -5,15 +5,16 @@ share a shingle among the first few of each in one fixed order (frequent shingle
 enters the index lists of its prefix shingles only, with its size and the shingle's position.
 
 * Equal sets are one class and enter once.
-* In each list one set is the pivot, and every other set of the list is compared with it: one row per
-  entry, not one per pair. Entries whose sizes or positions rule the threshold out are skipped.
+* In each list one set is the pivot, the one with least of its own, and every other set of the list is compared
+  with it: one row per entry, not one per pair. Entries whose sizes or positions rule the threshold out are skipped.
 * A set's further answers follow from the pivot's. Sets linked to the same component need no
-  comparison, and for the rest the distances to the pivot bound their distance to each other (Jaccard
-  distance is a metric): only pairs that neither rule settles are compared.
+  comparison. Two sets close to one pivot, one of which misses the threshold with it, can only be linked if
+  their differences from the pivot overlap enough, so the (small) differences are joined instead of
+  the sets. Only sets that are far from the pivot of a list are compared within it, where their places allow.
 
 Comparison is exact, on the shingles of both whole texts. Shingles that many documents share are found
-in a first scan; their pivots are known before their entries are written, so these entries are not
-gathered by shingle at all. What the first scan finds decides the order only, never the result.
+in a first scan; their entries are written without being gathered by shingle. What the first scan finds
+decides the order only, never the result.
 
 Null or empty texts, and texts without words, have the empty set and are linked with nothing. Fewer than
 four words are one shingle. Rows that repeat a key count as texts of their own and get the component of
@@ -37,8 +38,10 @@ from webloom.runtime import cut
 
 WIDTH = 4
 PERCENT = 85
-PIECE = 4 << 20
-HOT_SHARE = 512   # a shingle in this part of a piece's texts (and three at least) counts as frequent
+PIECE = 1 << 20   # bytes of text hashed at a time
+STRETCH = 1 << 20  # shingles among which frequent ones are looked for at a time
+HOT_SHARE = 512   # a shingle in this part of a stretch's texts (and three at least) counts as frequent
+BROADCAST_ROWS = 1_000_000  # keys of 8 bytes
 HOT_MOST = 65536  # frequent shingles kept, the commonest; they are ordered last
 
 
@@ -75,13 +78,12 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 class Hot:
-    """Frequent shingles in the order of their frequency, with the pivot of each once it is known."""
+    """Frequent shingles, in the order of their frequency."""
 
-    def __init__(self, values: list[tuple[int, int]], pivots: dict[int, tuple] | None = None):
+    def __init__(self, values: list[tuple[int, int]]):
         rank = {v: r for r, (v, _) in enumerate(sorted(values, key=lambda x: (x[1], x[0])))}
         self.values = np.array(sorted(np.array(list(rank), np.int64).view(np.uint64).tolist()), np.uint64)
         self.ranks = np.array([rank[int(v)] for v in self.values.view(np.int64)], np.int64)
-        self.pivots = pivots or {}
 
     def order(self, values: np.ndarray) -> tuple[np.ndarray, int]:
         """The set with frequent shingles last, and how many are not frequent."""
@@ -111,21 +113,31 @@ def profiles(rows: DataFrame, width: int) -> DataFrame:
 
 
 def frequent(rows: DataFrame, width: int) -> list[tuple[int, int]]:
-    """The commonest of the shingles that stand out within some piece of the corpus: at most ``HOT_MOST``."""
+    """The commonest of the shingles that stand out within some stretch of the corpus: at most ``HOT_MOST``."""
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(sets), return_counts=True)
+        many = n >= max(3, len(sets) // HOT_SHARE)
+        return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(n[many])], names=["value", "n"])
+
     def count(batches):
-        for rows, sets in _texts(batches, width):
-            distinct = {digest(s): s for s in sets if len(s)}
-            if not distinct:
-                continue
-            values, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-            often = n >= max(3, len(distinct) // HOT_SHARE)
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["value", "n"])
+        distinct, total = {}, 0
+        for _, sets in _texts(batches, width):
+            for values in sets:
+                if len(values) and (name := digest(values)) not in distinct:
+                    distinct[name] = values
+                    total += len(values)
+            if total >= STRETCH:
+                yield often(list(distinct.values()))
+                distinct, total = {}, 0
+        if distinct:
+            yield often(list(distinct.values()))
 
     found = rows.mapInArrow(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
     return [tuple(r) for r in found.orderBy(F.desc("n"), "value").limit(HOT_MOST).collect()]
 
 
-ENTRY = "value long, node long, n int, pos int, pivot long, pivot_n int, pivot_pos int"
+ENTRY = "value long, node long, n int, pos int"
+ENTRY_COLUMNS = ["value", "node", "n", "pos"]
 
 
 def _entries(batches, width: int, percent: int, hot: Hot, want_hot: bool):
@@ -146,60 +158,55 @@ def _entries(batches, width: int, percent: int, hot: Hot, want_hot: bool):
             yield value, np.repeat(np.array([p[1] for p in parts], np.int64), sizes), np.repeat(np.array([p[2] for p in parts], np.int32), sizes), pos
 
 
-def hot_pivots(rows: DataFrame, width: int, percent: int, hot: Hot) -> dict[int, tuple]:
-    """For each frequent shingle the least set name that has it in its prefix, with size and position."""
-    def least(batches):
-        for value, node, n, pos in _entries(batches, width, percent, hot, True):
-            order = np.lexsort((node, value))
-            value, node, n, pos = value[order], node[order], n[order], pos[order]
-            head = np.ones(len(value), bool)
-            head[1:] = value[1:] != value[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (value, node, n, pos)], names=["value", "node", "n", "pos"])
-
-    found = rows.mapInArrow(least, "value long, node long, n int, pos int").groupBy("value").agg(F.min(F.struct("node", "n", "pos")).alias("p"))
-    return {r["value"]: tuple(r["p"]) for r in found.collect()}  # at most HOT_MOST rows
-
-
 def index_lists(rows: DataFrame, width: int, percent: int, hot: Hot) -> DataFrame:
-    """Every list entry but the pivots, each with the pivot of its list."""
-    def entries(batches):
-        for value, node, n, pos in _entries(batches, width, percent, hot, False):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value, node, n, pos)], names=["value", "node", "n", "pos"])
+    """(value, node, n, pos): the entries of all lists that have two sets at least, each set once."""
+    def entries(want_hot: bool):
+        def write(batches):
+            for columns in _entries(batches, width, percent, hot, want_hot):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=ENTRY_COLUMNS)
+
+        return write
 
-    def with_pivot(batches):
-        last = None  # the pivot of the list that the previous batch ended in, and that batch's last entry
+    def several(batches):
+        held = None  # the last entry so far, and whether it has been passed on
         for batch in batches:
-            value, node, n, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(value):
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
                 continue
-            head = np.ones(len(value), bool)
-            head[1:] = value[1:] != value[:-1]
-            repeat = np.zeros(len(value), bool)
-            repeat[1:] = ~head[1:] & (node[1:] == node[:-1])
-            at = np.maximum.accumulate(np.where(head, np.arange(len(value)), 0))
-            pivots = [x[at].copy() for x in (node, n, pos)]
-            if last is not None and last[0] == value[0]:
-                go_on = at == 0
-                for column, x in zip(pivots, last[1:4]):
-                    column[go_on] = x
-                repeat[0] = last[4] == node[0]
-                head[0] = False
-            last = (value[-1], pivots[0][-1], pivots[1][-1], pivots[2][-1], node[-1])
-            keep = ~head & ~repeat & (node != pivots[0])
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (value, node, n, pos, *pivots)],
-                                             names=["value", "node", "n", "pos", "pivot", "pivot_n", "pivot_pos"])
-
-    def hot_entries(batches):
-        for value, node, n, pos in _entries(batches, width, percent, hot, True):
-            known = [hot.pivots[v] for v in value.tolist()]
-            pivot, pivot_n, pivot_pos = (np.array(x) for x in zip(*known))
-            keep = pivot != node
-            columns = (value, node, n, pos, pivot.astype(np.int64), pivot_n.astype(np.int32), pivot_pos.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns],
-                                             names=["value", "node", "n", "pos", "pivot", "pivot_n", "pivot_pos"])
-
-    rare = rows.mapInArrow(entries, "value long, node long, n int, pos int").repartition("value").sortWithinPartitions("value", "node")
-    return cut(rare.mapInArrow(with_pivot, ENTRY).union(rows.mapInArrow(hot_entries, ENTRY)))
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held[0], columns)]
+            value, node = columns[:2]
+            new = np.ones(len(value), bool)
+            new[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])
+            at = np.flatnonzero(new)
+            columns = [c[at] for c in columns]
+            value = columns[0]
+            shared = np.zeros(len(value), bool)
+            shared[1:] = value[1:] == value[:-1]
+            shared[:-1] |= shared[1:]
+            if held is not None and held[1]:
+                emit = shared.copy()
+                emit[0] = False
+                passed = shared[-1] or len(value) == 1
+            else:
+                emit, passed = shared, shared[-1]
+            held = [c[-1:] for c in columns], bool(passed)
+            yield pa.RecordBatch.from_arrays([pa.array(c[emit]) for c in columns], names=ENTRY_COLUMNS)
+
+    rare = rows.mapInArrow(entries(False), ENTRY).repartition("value").sortWithinPartitions("value", "node")
+    # frequent shingles are in several sets by how they were found; their entries need not meet
+    return cut(rare.mapInArrow(several, ENTRY).union(rows.mapInArrow(entries(True), ENTRY).distinct()))
+
+
+def with_pivots(lists: DataFrame, percent: int) -> DataFrame:
+    """Adds to each entry the pivot of its list: the set with most of its prefix in lists.
+
+    Such a set has hardly a shingle of its own: it is the text the others were made from, or close to it.
+    """
+    size = F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1")
+    shares = lists.groupBy("node").agg(F.count(F.lit(1)).alias("lists"), F.max("n").alias("n")).select("node", (F.col("lists") / size).alias("share"))
+    ranked = lists.join(shares, "node").groupBy("value").agg(F.max(F.struct("share", "node", "n", "pos")).alias("p"))
+    return lists.join(ranked.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos")), "value")
 
 
 def possible(n: str, pos: str, m: str, at: str, percent: int) -> str:
@@ -208,14 +215,21 @@ def possible(n: str, pos: str, m: str, at: str, percent: int) -> str:
     return f"{sizes} and {100 + percent}L * least({n} - {pos}, {m} - {at}) >= {percent}L * ({n} + {m})"
 
 
-def compare(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(x, y, both, nx, ny) for pairs of set names: size of the intersection and of both sets, by the least keys of the classes."""
-    named = classes.select("h", "key")
-    pairs = cut(pairs.join(named.withColumnsRenamed({"h": "x", "key": "kx"}), "x").join(named.withColumnsRenamed({"h": "y", "key": "ky"}), "y")
-                .select("kx", "ky").where("kx is not null and ky is not null and kx <> ky").distinct())
-    needed = pairs.select(F.col("kx").alias("key")).union(pairs.select(F.col("ky").alias("key"))).distinct()
-    texts = cut(rows.join(needed, "key", "left_semi"))
-    both = pairs.join(texts.withColumnsRenamed({"key": "kx", "text": "tx"}), "kx").join(texts.withColumnsRenamed({"key": "ky", "text": "ty"}), "ky")
+def compare(pairs: DataFrame, texts: DataFrame, width: int, differences: bool = False) -> DataFrame:
+    """(x, y, both, nx, ny) for pairs of keys: size of the intersection and of both sets.
+
+    With ``differences`` also the shingles of x that y has not, and of y that x has not (one bit tells which), for
+    pairs that have half of their shingles in common.
+    """
+    both = (pairs.select(F.col("x").alias("kx"), F.col("y").alias("ky"))
+            .join(texts.withColumnsRenamed({"key": "kx", "text": "tx"}).hint("merge"), "kx")
+            .join(texts.withColumnsRenamed({"key": "ky", "text": "ty"}).hint("merge"), "ky"))
+
+    def difference(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> np.ndarray | None:
+        if not differences or 2 * len(shared) < len(x) + len(y) - len(shared):
+            return None
+        more, less = (np.setdiff1d(v, shared, assume_unique=True) for v in (x, y))
+        return np.concatenate([more | np.uint64(1), less & ~np.uint64(1)]).view(np.int64)
 
     def intersect(batches):
         for batch in batches:
@@ -226,15 +240,42 @@ def compare(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -
                 for i, k in enumerate(ids):
                     at.setdefault(k, i)
                 only = pa.RecordBatch.from_arrays([batch.column(text).take(pa.array(list(at.values()), pa.int64()))], names=["text"])
-                sets = [s for _, found in _texts([only], width) for s in found]
-                sides[key] = ids, dict(zip(at, sets))
+                sides[key] = ids, dict(zip(at, (s for _, found in _texts([only], width) for s in found)))
             (xs, left), (ys, right) = sides["kx"], sides["ky"]
-            counts = [len(np.intersect1d(left[x], right[y], assume_unique=True)) for x, y in zip(xs, ys)]
-            yield pa.RecordBatch.from_arrays([batch.column("kx"), batch.column("ky"), pa.array(counts, pa.int64()),
-                                              pa.array([len(left[x]) for x in xs], pa.int64()), pa.array([len(right[y]) for y in ys], pa.int64())],
-                                             names=["x", "y", "both", "nx", "ny"])
+            shared = [np.intersect1d(left[x], right[y], assume_unique=True) for x, y in zip(xs, ys)]
+            columns = [batch.column("kx"), batch.column("ky"), pa.array([len(v) for v in shared], pa.int64()),
+                       pa.array([len(left[x]) for x in xs], pa.int64()), pa.array([len(right[y]) for y in ys], pa.int64()),
+                       pa.array([difference(left[x], right[y], v) for x, y, v in zip(xs, ys, shared)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "both", "nx", "ny", "apart"])
+
+    return cut(both.select("kx", "ky", "tx", "ty").mapInArrow(intersect, "x long, y long, both long, nx long, ny long, apart array<long>"))
+
 
-    return cut(both.select("kx", "ky", "tx", "ty").mapInArrow(intersect, "x long, y long, both long, nx long, ny long"))
+def derived_pairs(first: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """(x, y) whose answer follows only from how both differ from their common pivot.
+
+    Let s miss the threshold with the pivot by some shingles. Then s reaches it with another set x of this pivot
+    only if their differences from the pivot have enough in common: what s misses, and 85/185 (for 85
+    percent) of x's difference. So differences are joined as sets, by their prefixes, rarest shingles first;
+    sets whose differences are unrelated, as among independent edits of one text, never meet.
+    """
+    c = percent / (100 + percent)
+    named = part.select(F.col("node").alias("x"), "component")
+    close = (first.where("apart is not null").join(named, "x", "left")
+             .select("x", F.col("y").alias("pivot"), F.coalesce("component", "x").alias("part"), F.size("apart").alias("size"),
+                     (F.lit(c) * (F.col("nx") + F.col("ny")) - F.col("both")).alias("missing"), "apart"))
+    # only pivots that some set misses
+    open_ = close.where("missing > 0").select("pivot").distinct()
+    close = cut(close.join(open_, "pivot", "left_semi").select("x", "pivot", "part", "size", "missing", F.explode("apart").alias("value")))
+    counts = close.groupBy("pivot", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = F.row_number().over(Window.partitionBy("pivot", "x").orderBy("n", "value"))
+    # shingles of one set's difference only come first in any order; they can't be shared, but count as places
+    lone = close.join(counts, ["pivot", "value"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    placed = cut(lone.withColumn("place", order).where("n > 1"))
+    probe = placed.where(f"missing > 0 and place <= size - ceil(missing / {1 - c} - 1e-9) + 1")
+    index = placed.where(f"place <= size - floor({c} * size + 1e-9)").select(
+        "pivot", "value", F.col("x").alias("y"), F.col("part").alias("y_part"))
+    return probe.join(index, ["pivot", "value"]).where("part <> y_part").select("x", "y").distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -243,33 +284,43 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     own = cut(profiles(rows, width))
     classes = cut(own.where("n > 0").groupBy("h", "g").agg(F.min("key").alias("key"), F.max("n").alias("n")))
     filled = frequent(rows, width)
-    hot = Hot(filled, hot_pivots(rows, width, percent, Hot(filled)) if filled else None)
-    lists = index_lists(rows, width, percent, hot)
+    lists = index_lists(rows, width, percent, Hot(filled))
+    pivoted = cut(with_pivots(lists, percent))
+
+    # from set names to the least keys of their classes, and the texts of all that have a partner
+    named = classes.where("key is not null").select("h", "key").join(lists.select(F.col("node").alias("h")).distinct(), "h", "left_semi")
+    named = cut(named)
+    texts = cut(rows.join(named.select("key").hint("merge"), "key", "left_semi"))
+
+    def by_key(pairs: DataFrame) -> DataFrame:
+        x, y = named.select(F.col("h").alias("a"), F.col("key").alias("x")), named.select(F.col("h").alias("b"), F.col("key").alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("x", "y").where("x <> y").distinct()
 
-    star = lists.where(possible("n", "pos", "pivot_n", "pivot_pos", percent)).select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
-    first = compare(star, classes, rows, width)
+    star = pivoted.where("node <> pivot").where(possible("n", "pos", "pivot_n", "pivot_pos", percent))
+    first = compare(by_key(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), texts, width, True)
     linked = f"100 * both >= {percent} * (nx + ny - both)"
     links = first.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     part = connected(links)
 
-    # what is known of each entry of a list: its component, its pivot's, and its distance to the pivot
-    names = classes.select("h", "key").join(part.withColumnRenamed("node", "key"), "key", "left").select("h", "key", F.coalesce("component", "key").alias("part"))
-    far = first.select("x", "y", (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("far"))
-    known = (lists.join(names.withColumnsRenamed({"h": "node", "key": "node_key", "part": "node_part"}), "node")
-             .join(names.withColumnsRenamed({"h": "pivot", "key": "pivot_key", "part": "pivot_part"}), "pivot")
-             .join(far.withColumnsRenamed({"x": "node_key", "y": "pivot_key"}), ["node_key", "pivot_key"], "left")
-             .select("value", "node", "n", "pos", "node_part", (F.col("node_part") != F.col("pivot_part")).alias("outside"), "far"))
+    # Entries whose distance to their pivot is known and not large are settled by it. For the others of a list
+    # their places in it decide whether a pair is compared.
+    parts = named.join(part.withColumnRenamed("node", "key"), "key", "left").select("h", "key", F.coalesce("component", "key").alias("part"))
+    near = first.where("apart is not null").select("x", "y", F.lit(True).alias("near"))
+    known = (pivoted.join(parts.withColumnsRenamed({"h": "node", "key": "x", "part": "node_part"}), "node")
+             .join(parts.withColumnsRenamed({"h": "pivot", "key": "y", "part": "pivot_part"}), "pivot").join(near, ["x", "y"], "left")
+             .select("value", "x", "n", "pos", "node_part", (F.col("node_part") != F.col("pivot_part")).alias("outside"),
+                     (F.coalesce("near", F.lit(False)) | (F.col("node") == F.col("pivot"))).alias("near")))
     known = cut(known)
-    other = known.select("value", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "node_part", "outside", "far")))
-    bound = 1 - percent / 100 + 1e-9
-    rest = (known.where("outside").join(other, "value")
-            .where("node_part <> o_node_part and (not o_outside or node < o_node)").where(possible("n", "pos", "o_n", "o_pos", percent))
-            .where(f"coalesce(abs(far - o_far) <= {bound}, true)"))
-    second = compare(rest.select(F.col("node").alias("x"), F.col("o_node").alias("y")).distinct(), classes, rows, width)
+    mixed = known.where("outside").select("value").distinct()
+    other = known.join(mixed, "value", "left_semi").select("value", *(F.col(c).alias(f"o_{c}") for c in ("x", "n", "pos", "node_part", "outside", "near")))
+    rest = (known.where("outside").join(other, "value").where("node_part <> o_node_part and (not o_outside or x < o_x) and not (near and o_near)")
+            .where(possible("n", "pos", "o_n", "o_pos", percent)).select("x", F.col("o_x").alias("y")))
+    rest = rest.union(derived_pairs(first, part, percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    second = compare(rest, texts, width)
     links = links.union(second.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
     part = connected(links).withColumnRenamed("node", "key")
-    named = classes.join(part, "key", "left").select("h", "g", F.coalesce("component", "key").alias("component_id"))
-    found = own.join(named, ["h", "g"], "left")
+    component = classes.join(part, "key", "left").select("h", "g", F.coalesce("component", "key").alias("component_id"))
+    found = own.join(component, ["h", "g"], "left")
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
                         F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -279,15 +330,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     Columns are kept. Of rows that repeat key and text one stays; rows without a key, and texts without words, all stay.
     """
-    found = near_copies(docs, key, text, width, percent)
-    stay = cut(found.where(F.col(key).isNotNull() & (F.col(key) == F.col("component_id"))).select(F.col(key).alias("stays")).distinct())
+    found = cut(near_copies(docs, key, text, width, percent).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("gone"))
+                .agg(F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone = found.where("not stays").select("gone")
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own, body = f"c{names.index(key)}", F.coalesce(F.col(f"c{names.index(text)}"), F.lit(""))
-    kept = rows.where(F.col(own).isNotNull()).join(stay, F.col(own) == F.col("stays"), "left_semi").withColumn("twin", F.xxhash64(body))
+    kept = rows.join(gone, F.col(own) == F.col("gone"), "left_anti")
+    if found.where("n > 1").isEmpty():
+        return kept.toDF(*names)
     first = F.row_number().over(Window.partitionBy(own, "twin").orderBy(F.lit(1)))
-    kept = kept.withColumn("nth", first).where("nth = 1").drop("nth", "twin")
-    return kept.unionByName(rows.where(F.col(own).isNull())).toDF(*names)
+    once = kept.where(F.col(own).isNotNull()).withColumn("twin", F.xxhash64(body)).withColumn("nth", first).where("nth = 1").drop("nth", "twin")
+    return once.unionByName(kept.where(F.col(own).isNull())).toDF(*names)
 
 
 @query("op10_jaccard_join")
