@@ -388,6 +388,28 @@ def test_near_copies_chains_and_hot_shingles(spark):
     assert got == brute.groups(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_of_edited_families(spark, seed):
+    """Independent and inherited edits at rates around the threshold, so that many sets just miss their pivot."""
+    rng = random.Random(seed)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(rng.choice([30, 80, 150]))]
+        versions = [base]
+        for k in range(28):
+            words = list(rng.choice(versions) if rng.random() < 0.5 else base)
+            for _ in range(max(1, int(len(words) * rng.choice([0.005, 0.01, 0.02, 0.03, 0.05])))):
+                at = rng.randrange(len(words))
+                words[at:at + rng.choice([0, 1, 1])] = [rng.choice([f"e{family}x{k}", f"common{rng.randrange(9)}"])]
+            versions.append(words)
+        texts += [" ".join(v) for v in versions]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(frame(spark, rows)).collect()}
+    expected = brute.groups(rows)
+    assert got == expected and 6 < len({c for _, c in expected.values()}) < len(rows)
+
+
 def test_near_copies_repeated_and_missing_keys(spark):
     text = sentence(random.Random(9), 40)
     rows = [(4, text), (4, text), (None, text), (None, "alone in the world of words"), (2, "two other words here"), (2, "  two other WORDS here")]
