@@ -45,7 +45,8 @@ TRIGGER = 256        # one position in so many triggers
 BLOCK = 8 << 20      # bytes of text in a block of documents
 SHARD = 4 << 20      # fingerprints, in bytes, that meet in a shard
 SEGMENT = 1 << 20    # bytes hashed at a time
-STRIDE = 16
+CONTEXT = "value long, key long, twin long, block int, begins array<long>, context binary, bits long"
+CONTEXT_COLUMNS = [c.split()[0] for c in CONTEXT.split(", ")]
 
 
 def starts_of(offsets: np.ndarray, length: int) -> np.ndarray:
@@ -84,6 +85,16 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int, trigger: int) -> t
     return text, begins, ends, names
 
 
+def spread(values: np.ndarray, width: int, choose) -> np.ndarray:
+    """The least or greatest of each ``width`` neighbours, doubling the span."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values = choose(values[:-step], values[step:])
+        span += step
+    return values
+
+
 def anchors(data: np.ndarray, wanted: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the k-grams that the wanted strings (marked at their starts) are filed under."""
     places, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -95,19 +106,16 @@ def anchors(data: np.ndarray, wanted: np.ndarray, length: int, gram: int) -> tup
             continue
         at = np.arange(len(part) - gram + 1)
         h = Hasher(part).of(at, at + gram)
-        best, span = at, 1
-        while span < width:  # the least hash of twice as many k-grams each time, the leftmost of equals
-            step = min(span, width - span)
-            left, right = best[:-step], best[step:]
-            best = np.where(h[right] < h[left], right, left)
-            span += step
-        q = np.unique(best[chosen])
-        # runs of one letter: of neighbours with equal k-grams only every STRIDE-th and the last are needed
+        least = spread(h, width, np.minimum)
+        asked = np.zeros(len(h) + width - 1, np.uint64)  # the least hash of each wanted string, at its start, after a margin
+        asked[width - 1 + chosen] = least[chosen]
+        q = np.flatnonzero(spread(asked, width, np.maximum) == h)  # all k-grams that are the least of a wanted string
+        # runs of one letter: of neighbours with equal k-grams some are enough, if each string still has one
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         begin = np.maximum.accumulate(np.where(new, at, 0))
         final = np.append(np.flatnonzero(new)[1:] - 1, len(h) - 1)[np.cumsum(new) - 1]
-        q = np.unique(np.minimum(begin[q] + -(-(q - begin[q]) // STRIDE) * STRIDE, final[q]))
+        q = q[((q - begin[q]) % max(1, 2 * width // 3) == 0) | (q == final[q])]
         places.append(q + low)
         values.append(h[q])
     place, first = np.unique(np.concatenate(places), return_index=True)
@@ -164,13 +172,17 @@ def unpack48(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view(np.uint64)
 
 
+def block_number(rows: pa.Table) -> int:
+    return rows.column("block")[0].as_py()
+
+
 def send(left: pa.Table, settled: pa.Table, length: int, gram: int, bits: int) -> pa.Table:
     """A block's fingerprints, by shard."""
     block = Block(left)
     _, value, _ = block.anchors(settled, length, gram)
     _, edges, prints = fingerprints(value, bits)
     full = [s for s in range(1 << bits) if edges[s + 1] > edges[s]]
-    return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([left.column("block")[0].as_py()] * len(full), pa.int32()),
+    return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([block_number(left)] * len(full), pa.int32()),
                      "prints": pa.array([pack48(prints[edges[s]:edges[s + 1]]) for s in full], pa.binary())})
 
 
@@ -203,12 +215,22 @@ def contexts(left: pa.Table, messages: pa.Table, length: int, gram: int, bits: i
     place, value, text = place[keep], value[keep], text[keep]
     low = np.maximum(place - (length - gram), block.offsets[text])
     high = np.minimum(place + length, block.offsets[text + 1])
-    raw = block.data.tobytes()
-    return pa.table({
-        "value": pa.array(value.view(np.int64)), "key": pa.array(block.keys[text], pa.int64()), "twin": pa.array(block.twins[text], pa.int64()),
-        "block": pa.array(np.full(len(place), left.column("block")[0].as_py() if left.num_rows else 0), pa.int32()),
-        "begin": pa.array(low - block.offsets[text], pa.int64()),
-        "context": pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())})
+    # Equal contexts of a block are compared here: only the smallest key's goes out, the others are settled by it.
+    raw, first, groups = block.data.tobytes(), {}, {}
+    for v, i, a, b in zip(value.view(np.int64).tolist(), text.tolist(), low.tolist(), high.tolist()):
+        groups.setdefault((v, raw[a:b], i), []).append(a)
+    for v, context, i in groups:  # in order of the keys
+        first.setdefault((v, context), block.keys[i])
+    out = {c: [] for c in ("value", "key", "twin", "begins", "context", "bits")}
+    for (v, context, i), places in groups.items():
+        late = block.keys[i] > first[v, context]
+        row = (v ^ int(block.keys[i]) if late else v, block.keys[i], block.twins[i], [a - int(block.offsets[i]) for a in places],
+               b"" if late else context, (1 << (len(context) - length + 1)) - 1 if late else 0)
+        for column, x in zip(out.values(), row):
+            column.append(x)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+    found = {c: pa.array(x, k) for (c, x), k in zip(out.items(), kinds)}
+    return pa.table(found | {"block": pa.array([block_number(left)] * len(out["value"]), pa.int32())}).select(CONTEXT_COLUMNS)
 
 
 def settle(batches, length: int):
@@ -234,10 +256,11 @@ def settle(batches, length: int):
                 goes_on = np.concatenate([np.full(len(seen), value[-1] == last), goes_on])
             live = np.unique(back[goes_on])
             last, seen, seen_key = value[-1], distinct[live], owner[live]
+            bits |= rows.column("bits").to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(bits)
             take = rows.take(pa.array(hit))
-            yield pa.RecordBatch.from_arrays([take.column("block"), take.column("key"), take.column("twin"), take.column("begin"), pa.array(bits[hit])],
-                                             names=["block", "key", "twin", "begin", "bits"])
+            yield pa.RecordBatch.from_arrays([take.column("block"), take.column("key"), take.column("twin"), take.column("begins"), pa.array(bits[hit])],
+                                             names=["block", "key", "twin", "begins", "bits"])
 
 
 def finish(left: pa.Table, messages: pa.Table, length: int) -> pa.Table:
@@ -249,16 +272,15 @@ def finish(left: pa.Table, messages: pa.Table, length: int) -> pa.Table:
     np.add.at(cover, low, 1)
     np.add.at(cover, high, -1)
     part = messages.filter(pc.invert(whole))
-    for key, twin, begin, bits in zip(*(part.column(c).to_pylist() for c in ("key", "twin", "begin", "strings"))):
-        for i in block.at.get((key, twin), ()):
-            base = int(block.offsets[i]) + begin
-            while bits:
-                j = (bits & -bits).bit_length() - 1
-                rest = bits >> j
-                run = (~rest & (rest + 1)).bit_length() - 1
-                cover[base + j] += 1
-                cover[base + j + run - 1 + length] -= 1
-                bits &= ~(((1 << run) - 1) << j)
+    for key, twin, begins, bits in zip(*(part.column(c).to_pylist() for c in ("key", "twin", "begins", "strings"))):
+        base = np.add.outer(block.offsets[block.at.get((key, twin), [])], begins).reshape(-1).astype(np.int64)
+        while bits:  # run by run
+            j = (bits & -bits).bit_length() - 1
+            rest = bits >> j
+            run = (~rest & (rest + 1)).bit_length() - 1
+            np.add.at(cover, base + j, 1)
+            np.add.at(cover, base + (j + run - 1 + length), -1)
+            bits &= ~(((1 << run) - 1) << j)
     gone = np.cumsum(cover[:-1]) > 0
     out = {"key": block.keys, "n_bytes": np.diff(block.offsets), "n_removed": [], "n_spans": [], "kept_sha256": []}
     for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
@@ -309,13 +331,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     nothing = lambda c, t: F.lit(None).cast(t).alias(c)
     told = settled.select("block", "key", "twin", "begin", "end", nothing("shard", "int"), nothing("bits", "binary")).union(
         answers.select("block", *(nothing(c, "long") for c in ("key", "twin", "begin", "end")), "shard", "bits"))
-    schema = "value long, key long, twin long, block int, begin long, context binary"
+    schema = CONTEXT
     around = by_block.cogroup(told.groupBy("block")).applyInArrow(
         lambda left, right: contexts(left, right, length, gram, bits) if left.num_rows else _empty(schema), schema)
     order = around.repartition("value").sortWithinPartitions("value", "key")
-    strings = order.mapInArrow(lambda batches: settle(batches, length), "block int, key long, twin long, begin long, bits long")
-    found = settled.select("block", "key", "twin", "begin", "end", nothing("strings", "long")).union(
-        strings.select("block", "key", "twin", "begin", nothing("end", "long"), F.col("bits").alias("strings")))
+    strings = order.mapInArrow(lambda batches: settle(batches, length), "block int, key long, twin long, begins array<long>, bits long")
+    found = settled.select("block", "key", "twin", "begin", "end", nothing("begins", "array<long>"), nothing("strings", "long")).union(
+        strings.select("block", "key", "twin", nothing("begin", "long"), nothing("end", "long"), "begins", F.col("bits").alias("strings")))
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     done = by_block.cogroup(found.groupBy("block")).applyInArrow(
         lambda left, right: finish(left, right, length) if left.num_rows else _empty(schema), schema)
@@ -326,7 +348,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
 
 def _empty(schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
     return pa.table({c.split()[0]: pa.array([], kinds[c.split()[1]]) for c in schema.split(", ")})
 
 
