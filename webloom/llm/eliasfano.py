@@ -114,11 +114,11 @@ class Trie:
         found[found] = sequence.get(at[found]) == x[found]
         return at, found
 
-    def lookup(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The code of each (context, word); 0 where the trie does not have it."""
-        number, has = self._find(self.contexts, contexts)
+    def lookup(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The code of each word after its context, 0 where the trie does not have it; a context stands for ``sizes`` words."""
+        number, has = (np.repeat(x, sizes) for x in self._find(self.contexts, contexts))
         place, knows = self._find(self.words, words)
-        out = np.zeros(len(contexts), np.uint8)
+        out = np.zeros(len(words), np.uint8)
         ask = np.flatnonzero(has & knows)
         if len(ask):
             wanted = number[ask].astype(np.uint64) * np.uint64(self.span) + place[ask].astype(np.uint64)

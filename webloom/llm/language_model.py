@@ -32,8 +32,8 @@ from webloom.llm.arrays import LOWER, WORD, Hasher, by_text, flat, runs
 from webloom.llm.eliasfano import PROBABILITY, Trie, quantised
 from webloom.llm.registry import query, table
 
-BLOCK = 8 << 20
-SHARD = 16 << 20
+BLOCK = 4 << 20   # bytes of text in a block
+SHARD = 8 << 20   # bytes of text for each shard of the vocabulary and of the model
 STRENGTH = 100.0  # best on held-out prose between 50 and 200
 END, BEGIN = 0x0123456789ABCDEF, 0xFEDCBA9876543210  # hashes of the two marks; no word is asked to avoid them
 ID_BITS = 40
@@ -67,11 +67,10 @@ class Block:
         inner = np.ones(len(hashes), bool)
         inner[last] = False
         hashes[inner] = Hasher(data).of(starts, ends)
-        before = np.empty_like(hashes)
-        before[1:] = hashes[:-1]
-        before[first[:-1] + np.arange(n)] = BEGIN
-        self.hashes, index = np.unique(np.concatenate([hashes, before]), return_inverse=True)
-        self.token, self.before, self.text = index[:len(hashes)], index[len(hashes):], text
+        self.hashes, index = np.unique(np.append(hashes, np.uint64(BEGIN)), return_inverse=True)
+        self.token, self.before, self.text = index[:-1], np.empty(len(hashes), index.dtype), text
+        self.before[1:] = self.token[:-1]
+        self.before[first[:-1] + np.arange(n)] = index[-1]
         held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         self.training = ~held[text]
         edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.uint64)
@@ -172,8 +171,10 @@ def score_pairs(rows: pa.Table, strength: float) -> pa.Table:
         count = np.frombuffer(seen, np.uint8).astype(np.int64)
         many = unpack(often, 8).astype(np.int64).reshape(2, -1)
         count[many[0]] = many[1]
-        messages.append((np.repeat(unpack(contexts, 5), size), np.repeat(unpack(totals, 8), size), unpack(words, 5), count))
-    context, total, word, count = (np.concatenate([m[i][m[3] > 0] for m in messages]) for i in range(4))
+        messages.append((unpack(contexts, 5), unpack(totals, 8), unpack(words, 5), count, size))
+    seen = [m[3] > 0 for m in messages]
+    context, total = (np.concatenate([np.repeat(m[i], m[4])[k] for m, k in zip(messages, seen)]) for i in (0, 1))
+    word, count = (np.concatenate([m[i][k] for m, k in zip(messages, seen)]) for i in (2, 3))
     order = np.lexsort((word, context))
     context, total, word, count = context[order], total[order], word[order], count[order]
     head = np.ones(len(context), bool)
@@ -181,7 +182,7 @@ def score_pairs(rows: pa.Table, strength: float) -> pa.Table:
     at = np.flatnonzero(head)
     sums = np.add.reduceat(count, at) if len(at) else count
     trie = Trie(context[at], word[at], quantised(sums / (total[at].astype(np.float64) + strength)))
-    codes = [trie.lookup(m[0], m[2]).tobytes() for m in messages]
+    codes = [trie.lookup(m[0], m[4], m[2]).tobytes() for m in messages]
     trie.close()
     return pa.table({"shard": rows.column("shard"), "block": rows.column("block"), "codes": pa.array(codes, pa.binary())})
 
