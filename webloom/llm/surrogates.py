@@ -48,15 +48,20 @@ SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])" \
         r"|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])"
 ASSIGNED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-CREDENTIAL = rf"""{ASSIGNED}(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{{6,}}|AKIA[A-Z0-9]{{16,}}|(?<![A-Za-z0-9])[0-9a-f]{{32,}}(?![A-Za-z0-9])"""
+CREDENTIAL = rf"""{ASSIGNED}(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{{6,}}|AKIA[A-Z0-9]{{16,}}|(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{{32,}}(?![A-Za-z0-9])"""
 WORD = r"\p{Lu}[\p{L}'’-]+"
-PERSON = rf"(?<!\p{{L}})(?:(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {WORD}(?: {WORD}){{0,2}}" \
+PERSON = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {WORD}(?: {WORD}){{0,2}}" \
          rf"|(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {WORD})"
 ENTITY = "|".join((MAIL, CREDENTIAL, ADDRESS, CARD, SOCIAL, PHONE, PERSON))
 TITLE = {g: rf"^(?:{'|'.join(t)})\.? " for g, t in TITLES.items()}
 ANY_TITLE = rf"^(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? "
 
 
+def may_hold_entity(text: Column) -> Column:
+    """What every text with an entity has; most texts have none of it and are not searched further."""
+    return text.contains("@") | text.contains("AKIA") | text.rlike("[0-9]") | text.rlike(PERSON)
+
+
 def let(value: Column, use) -> Column:
     """``use`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -221,13 +226,13 @@ def cased(raw: Column, made: Column) -> Column:
 def protect(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = SECRET) -> DataFrame:
     """The input with its entities replaced; columns and their order are kept."""
     body = docs[text]
-    found = docs.select(F.filter(matched(body), lambda e: e.isNotNull()).alias("found"))
+    found = docs.where(may_hold_entity(body)).select(F.filter(matched(body), lambda e: e.isNotNull()).alias("found"))
     entities = cut(found.select(F.explode(entities_of(F.col("found"))).alias("e")).select("e.kind", "e.norm").distinct())
     again = drawn_again(entities, secret)
     if again.isEmpty():
         return rewritten(docs, text, secret, None)
     # which texts hold an entity that was drawn again: short lists, by text
-    hold = docs.select(F.xxhash64(body).alias("h"), F.md5(body.cast("binary")).alias("m"), F.filter(matched(body), lambda e: e.isNotNull()).alias("found"))
+    hold = docs.where(may_hold_entity(body)).select(F.xxhash64(body).alias("h"), F.md5(body.cast("binary")).alias("m"), F.filter(matched(body), lambda e: e.isNotNull()).alias("found"))
     hold = hold.select("h", "m", F.explode(entities_of(F.col("found"))).alias("e")).select("h", "m", "e.kind", "e.norm").join(again, ["kind", "norm"])
     hold = hold.groupBy("h", "m").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("attempts"))
     names = docs.columns
@@ -272,7 +277,7 @@ def rewritten(docs: DataFrame, text: str, secret: str, attempts: Column | None)
 
     whole = let(F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)), lambda raws: F.when(
         F.size(raws) > 0, let(F.transform(raws, lambda r: F.struct(r.alias("raw"), entity(r).alias("e"))), rebuilt)).otherwise(body))
-    return docs.withColumn(text, whole)
+    return docs.withColumn(text, F.when(may_hold_entity(body), whole).otherwise(body))
 
 
 @query("op4_surrogates")
