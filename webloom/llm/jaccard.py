@@ -41,7 +41,7 @@ PERCENT = 85
 PIECE = 1 << 20   # bytes of text hashed at a time
 STRETCH = 1 << 20  # shingles among which frequent ones are looked for at a time
 HOT_SHARE = 512   # a shingle in this part of a stretch's texts (and three at least) counts as frequent
-BROADCAST_ROWS = 1_000_000  # keys of 8 bytes
+BROADCAST_ROWS = 1_000_000  # of three numbers at most
 HOT_MOST = 65536  # frequent shingles kept, the commonest; they are ordered last
 
 
@@ -198,6 +198,11 @@ def index_lists(rows: DataFrame, width: int, percent: int, hot: Hot) -> DataFram
     return cut(rare.mapInArrow(several, ENTRY).union(rows.mapInArrow(entries(True), ENTRY).distinct()))
 
 
+def sized(small: DataFrame) -> DataFrame:
+    """Broadcast a table of a few numbers a row that is counted to be small; otherwise leave the join to Spark."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
 def with_pivots(lists: DataFrame, percent: int) -> DataFrame:
     """Adds to each entry the pivot of its list: the set with most of its prefix in lists.
 
@@ -205,7 +210,7 @@ def with_pivots(lists: DataFrame, percent: int) -> DataFrame:
     """
     size = F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1")
     shares = lists.groupBy("node").agg(F.count(F.lit(1)).alias("lists"), F.max("n").alias("n")).select("node", (F.col("lists") / size).alias("share"))
-    ranked = lists.join(shares, "node").groupBy("value").agg(F.max(F.struct("share", "node", "n", "pos")).alias("p"))
+    ranked = lists.join(sized(cut(shares)), "node").groupBy("value").agg(F.max(F.struct("share", "node", "n", "pos")).alias("p"))
     return lists.join(ranked.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos")), "value")
 
 
@@ -293,7 +298,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     texts = cut(rows.join(named.select("key").hint("merge"), "key", "left_semi"))
 
     def by_key(pairs: DataFrame) -> DataFrame:
-        x, y = named.select(F.col("h").alias("a"), F.col("key").alias("x")), named.select(F.col("h").alias("b"), F.col("key").alias("y"))
+        x, y = sized(named.select(F.col("h").alias("a"), F.col("key").alias("x"))), sized(named.select(F.col("h").alias("b"), F.col("key").alias("y")))
         return pairs.join(x, "a").join(y, "b").select("x", "y").where("x <> y").distinct()
 
     star = pivoted.where("node <> pivot").where(possible("n", "pos", "pivot_n", "pivot_pos", percent))
@@ -305,9 +310,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     # Entries whose distance to their pivot is known and not large are settled by it. For the others of a list
     # their places in it decide whether a pair is compared.
     parts = named.join(part.withColumnRenamed("node", "key"), "key", "left").select("h", "key", F.coalesce("component", "key").alias("part"))
+    parts = cut(parts)
     near = first.where("apart is not null").select("x", "y", F.lit(True).alias("near"))
-    known = (pivoted.join(parts.withColumnsRenamed({"h": "node", "key": "x", "part": "node_part"}), "node")
-             .join(parts.withColumnsRenamed({"h": "pivot", "key": "y", "part": "pivot_part"}), "pivot").join(near, ["x", "y"], "left")
+    known = (pivoted.join(sized(parts.withColumnsRenamed({"h": "node", "key": "x", "part": "node_part"})), "node")
+             .join(sized(parts.withColumnsRenamed({"h": "pivot", "key": "y", "part": "pivot_part"})), "pivot").join(near, ["x", "y"], "left")
              .select("value", "x", "n", "pos", "node_part", (F.col("node_part") != F.col("pivot_part")).alias("outside"),
                      (F.coalesce("near", F.lit(False)) | (F.col("node") == F.col("pivot"))).alias("near")))
     known = cut(known)
@@ -333,7 +339,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     found = cut(near_copies(docs, key, text, width, percent).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("gone"))
                 .agg(F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")))
     gone = found.where("not stays").select("gone")
-    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+    gone = sized(gone)
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own, body = f"c{names.index(key)}", F.coalesce(F.col(f"c{names.index(text)}"), F.lit(""))
