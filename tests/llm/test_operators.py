@@ -418,6 +418,29 @@ def test_near_copies_repeated_and_missing_keys(spark):
     assert Counter(r["doc_id"] for r in jaccard.one_of_each(frame(spark, rows)).collect()) == Counter([4, None, None, 2, 2])
 
 
+def test_near_copies_without_a_key_link_others(spark):
+    """An original without a key leads the lists of two edits and is the one link between them."""
+    words = [f"w{i}" for i in range(100)]
+    edit = lambda *places: " ".join("x" if i in places else w for i, w in enumerate(words))
+    for apart in ((30, 31), (30, 70)):  # edits close to each other, and edits that only the original links
+        rows = [(None, " ".join(words)), (7, edit(apart[0])), (5, edit(apart[1])), (9, "some words of another kind"), (None, "words that nobody else has")]
+        got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_copies(frame(spark, rows)).collect())
+        assert got == Counter([(None, 5), (7, 5), (5, 5), (9, 9), (None, None)])
+    chain = [(1, edit(10, 12)), (None, edit(10, 12, 50)), (2, edit(10, 12, 50, 80)), (None, edit(10, 12, 50, 80, 30))]
+    assert {r["component_id"] for r in jaccard.near_copies(frame(spark, chain)).collect()} == {1}
+
+
+def test_near_copies_of_a_key_with_two_texts(spark):
+    """Each text of a key counts for itself, also where rows repeat it."""
+    a, b = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    edit = lambda words, at: " ".join("x" if i == at else w for i, w in enumerate(words))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, edit(a, 50)), (8, edit(b, 50)), (8, edit(b, 20)), (8, edit(b, 20))]
+    df = frame(spark, rows)
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_copies(df).collect())
+    assert got == Counter([(5, 3), (5, 5), (3, 3), (8, 5), (8, 5), (8, 5)])
+    assert {(r["doc_id"], r["text"][0]) for r in jaccard.one_of_each(df).collect()} == {(3, "a"), (5, "b")}
+
+
 def test_connected(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 90)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(120)]

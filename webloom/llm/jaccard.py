@@ -102,14 +102,14 @@ def _texts(batches: Iterator[pa.RecordBatch], width: int):
 
 
 def profiles(rows: DataFrame, width: int) -> DataFrame:
-    """(key, n, h, g): size and 128-bit name of each row's set."""
+    """(key, twin, n, h, g): hash of each row's text, size and 128-bit name of its set."""
     def profile(batches):
         for rows, sets in _texts(batches, width):
             names = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array(names[:, 0]), pa.array(names[:, 1])], names=["key", "n", "h", "g"])
+            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("twin"), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array(names[:, 0]), pa.array(names[:, 1])], names=["key", "twin", "n", "h", "g"])
 
-    return rows.mapInArrow(profile, "key long, n long, h long, g long")
+    return rows.withColumn("twin", F.xxhash64("text")).mapInArrow(profile, "key long, twin long, n long, h long, g long")
 
 
 def frequent(rows: DataFrame, width: int) -> list[tuple[int, int]]:
@@ -221,14 +221,14 @@ def possible(n: str, pos: str, m: str, at: str, percent: int) -> str:
 
 
 def compare(pairs: DataFrame, texts: DataFrame, width: int, differences: bool = False) -> DataFrame:
-    """(x, y, both, nx, ny) for pairs of keys: size of the intersection and of both sets.
+    """(x, y, both, nx, ny) for pairs of nodes: size of the intersection and of both sets.
 
     With ``differences`` also the shingles of x that y has not, and of y that x has not (one bit tells which), for
     pairs that have half of their shingles in common.
     """
     both = (pairs.select(F.col("x").alias("kx"), F.col("y").alias("ky"))
-            .join(texts.withColumnsRenamed({"key": "kx", "text": "tx"}).hint("merge"), "kx")
-            .join(texts.withColumnsRenamed({"key": "ky", "text": "ty"}).hint("merge"), "ky"))
+            .join(texts.withColumnsRenamed({"node": "kx", "text": "tx"}).hint("merge"), "kx")
+            .join(texts.withColumnsRenamed({"node": "ky", "text": "ty"}).hint("merge"), "ky"))
 
     def difference(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> np.ndarray | None:
         if not differences or 2 * len(shared) < len(x) + len(y) - len(shared):
@@ -283,38 +283,47 @@ def derived_pairs(first: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     return probe.join(index, ["pivot", "value"]).where("part <> y_part").select("x", "y").distinct()
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id) for every row: the smallest key reachable over links."""
-    rows = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
+def texts_of(rows: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """(node, text): for each set that has a partner, one text that has it, with a key or without."""
+    lead = cut(classes.select(F.col("h").alias("node"), "lead.key", "lead.twin").join(lists.select("node").distinct(), "node", "left_semi"))
+    keyed = (rows.where("key is not null").join(lead.where("key is not null").hint("merge"), "key")
+             .where(F.col("twin") == F.xxhash64("text")).select("node", "text"))
+    # copies without a key collapse before they meet
+    keyless = rows.where("key is null").groupBy(F.xxhash64("text").alias("twin")).agg(F.first("text").alias("text"))
+    keyless = keyless.join(lead.where("key is null").select("node", "twin"), "twin").select("node", "text")
+    texts = cut(keyed.union(keyless))
+    if texts.groupBy("node").count().where("count > 1").isEmpty():
+        return texts
+    return cut(texts.dropDuplicates(["node"]))  # rows that repeat key and text
+
+
+def components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, twin, n, component_id) for every row (key, text): its text's hash, its set's size and the smallest key reachable over links.
+
+    Nodes are sets, by name, up to the last step: a set counts for its own text, whether a row of it has a key or not.
+    """
     own = cut(profiles(rows, width))
-    classes = cut(own.where("n > 0").groupBy("h", "g").agg(F.min("key").alias("key"), F.max("n").alias("n")))
+    lead = F.min(F.struct(F.col("key").isNull().alias("keyless"), "key", "twin"))
+    classes = cut(own.where("n > 0").groupBy("h", "g").agg(lead.alias("lead")))
     filled = frequent(rows, width)
     lists = index_lists(rows, width, percent, Hot(filled))
     pivoted = cut(with_pivots(lists, percent))
-
-    # from set names to the least keys of their classes, and the texts of all that have a partner
-    named = classes.where("key is not null").select("h", "key").join(lists.select(F.col("node").alias("h")).distinct(), "h", "left_semi")
-    named = cut(named)
-    texts = cut(rows.join(named.select("key").hint("merge"), "key", "left_semi"))
-
-    def by_key(pairs: DataFrame) -> DataFrame:
-        x, y = sized(named.select(F.col("h").alias("a"), F.col("key").alias("x"))), sized(named.select(F.col("h").alias("b"), F.col("key").alias("y")))
-        return pairs.join(x, "a").join(y, "b").select("x", "y").where("x <> y").distinct()
+    texts = texts_of(rows, classes, lists)
 
     star = pivoted.where("node <> pivot").where(possible("n", "pos", "pivot_n", "pivot_pos", percent))
-    first = compare(by_key(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), texts, width, True)
+    first = compare(star.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), texts, width, True)
     linked = f"100 * both >= {percent} * (nx + ny - both)"
     links = first.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     part = connected(links)
 
     # Entries whose distance to their pivot is known and not large are settled by it. For the others of a list
     # their places in it decide whether a pair is compared.
-    parts = named.join(part.withColumnRenamed("node", "key"), "key", "left").select("h", "key", F.coalesce("component", "key").alias("part"))
-    parts = cut(parts)
-    near = first.where("apart is not null").select("x", "y", F.lit(True).alias("near"))
-    known = (pivoted.join(sized(parts.withColumnsRenamed({"h": "node", "key": "x", "part": "node_part"})), "node")
-             .join(sized(parts.withColumnsRenamed({"h": "pivot", "key": "y", "part": "pivot_part"})), "pivot").join(near, ["x", "y"], "left")
-             .select("value", "x", "n", "pos", "node_part", (F.col("node_part") != F.col("pivot_part")).alias("outside"),
+    parts = sized(part)
+    near = first.where("apart is not null").select(F.col("x").alias("node"), F.col("y").alias("pivot"), F.lit(True).alias("near"))
+    known = (pivoted.join(parts.select("node", F.col("component").alias("node_part")), "node", "left")
+             .join(parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_part")), "pivot", "left")
+             .withColumns({"node_part": F.coalesce("node_part", "node"), "pivot_part": F.coalesce("pivot_part", "pivot")}).join(near, ["node", "pivot"], "left")
+             .select("value", F.col("node").alias("x"), "n", "pos", "node_part", (F.col("node_part") != F.col("pivot_part")).alias("outside"),
                      (F.coalesce("near", F.lit(False)) | (F.col("node") == F.col("pivot"))).alias("near")))
     known = cut(known)
     mixed = known.where("outside").select("value").distinct()
@@ -324,11 +333,24 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     rest = rest.union(derived_pairs(first, part, percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     second = compare(rest, texts, width)
     links = links.union(second.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    part = connected(links).withColumnRenamed("node", "key")
-    component = classes.join(part, "key", "left").select("h", "g", F.coalesce("component", "key").alias("component_id"))
+    # from sets to the smallest keys of their components
+    part = connected(links).withColumnRenamed("node", "h")
+    member = cut(classes.select("h", "g", "lead.key").join(part, "h", "left"))
+    least = member.where("component is not null").groupBy("component").agg(F.min("key").alias("least"))
+    component = member.join(least, "component", "left").select(
+        "h", "g", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
     found = own.join(component, ["h", "g"], "left")
-    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
-                        F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select("key", "twin", "n", F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id) for every row: the smallest key reachable over links."""
+    found = components_of(_keyed(docs, key, text), width, percent)
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -336,14 +358,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     Columns are kept. Of rows that repeat key and text one stays; rows without a key, and texts without words, all stay.
     """
-    found = cut(near_copies(docs, key, text, width, percent).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("gone"))
-                .agg(F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")))
-    gone = found.where("not stays").select("gone")
-    gone = sized(gone)
+    found = cut(components_of(_keyed(docs, key, text), width, percent).where("key is not null").groupBy(F.col("key").alias("gone"), F.col("twin").alias("gone_twin"))
+                .agg(F.max(F.col("key") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone = sized(found.where("not stays").select("gone", "gone_twin"))
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own, body = f"c{names.index(key)}", F.coalesce(F.col(f"c{names.index(text)}"), F.lit(""))
-    kept = rows.join(gone, F.col(own) == F.col("gone"), "left_anti")
+    kept = rows.join(gone, (F.col(own) == F.col("gone")) & (F.xxhash64(body) == F.col("gone_twin")), "left_anti")
     if found.where("n > 1").isEmpty():
         return kept.toDF(*names)
     first = F.row_number().over(Window.partitionBy(own, "twin").orderBy(F.lit(1)))
