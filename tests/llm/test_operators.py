@@ -189,6 +189,28 @@ def test_surrogates_stay_distinct(spark):
     assert not {r["made"].lower() for r in made} & {r["norm"] for r in made}
 
 
+def made_for(spark, entities):
+    """{(kind, norm): surrogate} after all draws."""
+    again = surrogates.drawn_again(entities, "k")
+    needs = F.array(F.struct("kind", "norm", F.coalesce("attempt", F.lit(0)).alias("attempt")))
+    made = entities.join(again, ["kind", "norm"], "left").select("kind", "norm", F.get(surrogates.surrogates(needs, "k"), F.lit(0))["made"].alias("made"))
+    return {(r["kind"], r["norm"]): r["made"] for r in made.collect()}
+
+
+def test_surrogates_never_run_out(spark, monkeypatch):
+    """More surnames than plain forms, a full private range, and credentials, numbers with hardly a free character."""
+    monkeypatch.setattr(surrogates, "SYLLABLES", {k: v[:2] for k, v in surrogates.SYLLABLES.items()})
+    rows = ([("surname", f"{c}{i}") for i in range(50) for c in ("x", "ж", "ω")] + [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(65536)]
+            + [("credential", f"-----{i}") for i in range(10)] + [("person_m", f"a{i} stone") for i in range(60)])
+    entities = spark.createDataFrame(rows, "kind string, norm string")
+    made = made_for(spark, entities)
+    assert len(made) == len(rows) == len({(k, m.lower()) for (k, _), m in made.items()})
+    assert not {(k, m.lower()) for (k, _), m in made.items()} & set(rows)
+    assert all(m.startswith("10.") for (k, _), m in made.items() if k == "ip")
+    numbers = spark.createDataFrame([("1-2 3", "45678"), ("12", "34"), ("+1 23", "45")], "raw string, number string")
+    assert [r[0] for r in numbers.select(surrogates.filled(F.col("raw"), F.col("number"))).collect()] == ["456-7 8", "34", "+1 45"]
+
+
 def test_surrogates_drawn_again_reach_the_texts(spark, monkeypatch):
     rows = [(i, f"see Mr. N{chr(97 + i % 26)}{chr(97 + i // 26)} Smith and {chr(97 + i % 26)}{i // 26}@mail.com") for i in range(120)]
     monkeypatch.setattr(surrogates, "GIVEN", {k: v[:2] for k, v in surrogates.GIVEN.items()})

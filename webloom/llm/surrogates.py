@@ -9,7 +9,8 @@ mentions of a detected surname alone, in the same text, get that surname's surro
 
 Distinct entities must not meet: all entities of the corpus are listed once, with their surrogates, and those
 whose surrogate is taken by another entity, or is itself an entity of the corpus, are drawn again until none
-is left. Only the entities that were drawn again are joined back to their texts; if there are none, no text moves.
+is left; from the fourth draw on the forms grow (syllables, letters, digits, wider address ranges), so there is
+always room for all. Only the entities that were drawn again are joined back to their texts; if there are none, no text moves.
 
 Null texts stay null, empty ones empty. A row is rewritten by itself, so repeated rows are rewritten alike; a
 null key is a key. An empty table gives an empty result. ``protect`` replaces the text column and keeps all others.
@@ -122,20 +123,31 @@ def script(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def surname_of(stream: Column, norm: Column) -> Column:
-    """Two syllables and an ending in the script of the name; Cyrillic endings keep the gender of the form."""
-    made = lambda s, g: F.concat(F.initcap(F.concat(pick(stream, 0, SYLLABLES[s]), pick(stream, 1, SYLLABLES[s]), pick(stream, 2, SYLLABLES[s]))),
-                                 pick(stream, 3, ENDING[s, g]))
+def grown(attempt: Column) -> Column:
+    """By how much a form is longer than the plain one: from the fourth draw on, one more with each draw."""
+    return F.greatest(attempt - 3, F.lit(0))
+
+
+def syllables(stream: Column, s: str, more: Column) -> Column:
+    """Three syllables and ``more``, as a name."""
+    choices = F.array(*[F.lit(c) for c in SYLLABLES[s]])
+    further = F.transform(F.slice(F.sequence(F.lit(4), more + 4), F.lit(2), more), lambda i: F.get(choices, number_at(stream, i, len(SYLLABLES[s]))))
+    return F.initcap(F.concat(*[pick(stream, i, SYLLABLES[s]) for i in range(3)], F.array_join(further, "")))
+
+
+def surname_of(stream: Column, norm: Column, attempt: Column) -> Column:
+    """Three syllables, more after some draws, and an ending in the script of the name; Cyrillic endings keep the gender of the form."""
+    made = lambda s, g: F.concat(syllables(stream, s, grown(attempt)), pick(stream, 3, ENDING[s, g]))
     kind = script(norm)
     return (F.when((kind == "cyrillic") & norm.rlike("[ая]$"), made("cyrillic", "f")).when(kind == "cyrillic", made("cyrillic", "m"))
             .when(kind == "greek", made("greek", "n")).otherwise(made("latin", "n")))
 
 
 def given_of(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column:
-    """A listed given name of the gender and script; from the fourth draw on a made one, so that names never run out."""
+    """A listed given name of the gender and script; from the fourth draw on a made one that grows, so that names never run out."""
     rule, sort = F, script(norm)
     for s in ("cyrillic", "greek", "latin"):
-        made = F.initcap(F.concat(pick(stream, 0, SYLLABLES[s]), pick(stream, 1, SYLLABLES[s]), pick(stream, 2, SYLLABLES[s])))
+        made = syllables(stream, s, F.greatest(grown(attempt) - 1, F.lit(0)))
         for g in ("m", "f", "n"):
             names = GIVEN[s, g] if g != "n" else GIVEN[s, "m"] + GIVEN[s, "f"]
             rule = rule.when((sort == s) & (kind == f"person_{g}"), F.when(attempt >= 4, made).otherwise(pick(stream, 4, names)))
@@ -155,25 +167,32 @@ def surrogates(needs: Column, secret: str) -> Column:
 def made_of(r: Column, shaped: Column) -> Column:
     kind, norm, attempt, n, stream = (r[c] for c in ("kind", "norm", "attempt", "n", "stream"))
     top = F.when(norm.rlike(r"\.(?:com|net|org)$"), F.substring_index(norm, ".", -1)).otherwise("org")
-    longer = F.when(attempt >= 4, same_shape(F.lit("aaaaaaaa"), F.substring(stream, 101, 100))).otherwise("")
-    mail = F.concat(F.substring_index(shaped, "@", 1), longer, F.lit("@"), same_shape(F.lit("aaaaaa"), r["domain"]), F.lit(".example."), top)
+    more = grown(attempt)
+    further = lambda letters, size: same_shape(F.repeat(F.lit(letters), more * size), F.substring(stream, 101, 100))
+    mail = F.concat(F.substring_index(shaped, "@", 1), further("a", 8), F.lit("@"), same_shape(F.lit("aaaaaa"), r["domain"]), F.lit(".example."), top)
     octet = lambda i, size, low: (number_at(stream, F.lit(i), size) + low).cast("string")
     tail = lambda k: [octet(i, 256, 0) for i in range(k)]
-    address = (F.when(norm.rlike(r"^(?:10|127)\."), F.concat_ws(".", F.substring_index(norm, ".", 1), *tail(3)))
+    # a range that is full gives way to a wider one of its sort; the last resort are local and documentation addresses of IPv6
+    groups = [F.substring(stream, 129 + 4 * i, 4) for i in range(8)]
+    wide = (F.when(norm.rlike(r"^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."), F.concat(F.lit("fd"), F.substring(stream, 161, 2), F.lit(":"), F.concat_ws(":", *groups[:7])))
+            .otherwise(F.concat(F.lit("2001:db8:"), F.concat_ws(":", *groups[:6]))))
+    address = (F.when(attempt >= 8, wide).when((attempt >= 4) & norm.rlike(r"^(?:192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."), F.concat_ws(".", F.lit("10"), *tail(3)))
+               .when(norm.rlike(r"^(?:10|127)\."), F.concat_ws(".", F.substring_index(norm, ".", 1), *tail(3)))
                .when(norm.rlike(r"^(?:192\.168|169\.254)\."), F.concat_ws(".", F.substring_index(norm, ".", 2), *tail(2)))
                .when(norm.rlike(r"^172\.(?:1[6-9]|2[0-9]|3[01])\."), F.concat_ws(".", F.lit("172"), octet(5, 16, 16), *tail(2)))
                .otherwise(F.concat_ws(".", octet(7, 89, 11), *tail(3))))
     checked = lambda body: F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     card = let(F.concat(F.substring(norm, 1, 1), F.substring(shaped, F.lit(2), n - 2)), checked)
     phone = F.concat((number_at(stream, F.lit(60), 8) + 2).cast("string"), F.substring(shaped, F.lit(2), F.lit(2)),
-                     (number_at(stream, F.lit(61), 8) + 2).cast("string"), F.substring(shaped, F.lit(5), F.lit(6)))
-    hexadecimal = F.substring(F.concat(stream, F.repeat(stream, F.floor(n / 256).cast("int"))), F.lit(1), n)
-    credential = (F.when(norm.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(shaped, F.lit(5), n)))
-                  .when(norm.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(shaped))
+                     (number_at(stream, F.lit(61), 8) + 2).cast("string"), F.substring(shaped, F.lit(5), F.lit(6)), further("0", 2))
+    size = n + more * 4
+    hexadecimal = F.substring(F.concat(stream, F.repeat(stream, F.floor(size / 256).cast("int"))), F.lit(1), size)
+    credential = (F.when(norm.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(shaped, F.lit(5), n), further("A", 4)))
+                  .when(norm.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(F.concat(shaped, further("a", 4))))
     person = F.concat(given_of(stream, kind, norm, attempt), F.lit(" "), F.substring_index(norm, " ", -1))
     return (F.when(kind == "email", mail).when(kind == "credential", credential).when(kind == "ip", address).when(kind == "card", card)
-            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shaped, F.lit(2), F.lit(8)))).when(kind == "phone", phone)
-            .when(kind == "surname", surname_of(stream, norm)).otherwise(person))
+            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shaped, F.lit(2), F.lit(8)), further("0", 2))).when(kind == "phone", phone)
+            .when(kind == "surname", surname_of(stream, norm, attempt)).otherwise(person))
 
 
 def entities_of(found: Column) -> Column:
@@ -211,11 +230,15 @@ def drawn_again(entities: DataFrame, secret: str) -> DataFrame:
 
 
 def filled(raw: Column, number: Column) -> Column:
-    """The digits of ``raw`` replaced, from the right, by those of ``number``; what stands left of them stays."""
-    start = F.struct(F.lit("").alias("out"), (F.char_length(number) - F.char_length(digits(raw)) + 1).alias("i"))
+    """The digits of ``raw`` replaced, from the right, by those of ``number``; what stands left of them stays.
+
+    A number with more digits than ``raw`` has puts those it has more in the place of the first.
+    """
+    start = F.struct(F.lit("").alias("out"), (F.char_length(number) - F.char_length(digits(raw)) + 1).alias("i"),
+                     (F.char_length(number) > F.char_length(digits(raw))).alias("first"))
     step = lambda a, c: F.when(
-        c.between("0", "9"), F.struct(F.concat(a["out"], F.when(a["i"] >= 1, F.substring(number, a["i"], F.lit(1))).otherwise(c)).alias("out"), (a["i"] + 1).alias("i"))
-    ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i")))
+        c.between("0", "9"), F.struct(F.concat(a["out"], F.when(a["i"] >= 1, F.substring(number, F.when(a["first"], F.lit(1)).otherwise(a["i"]), F.when(a["first"], a["i"]).otherwise(F.lit(1)))).otherwise(c)).alias("out"), (a["i"] + 1).alias("i"), F.lit(False).alias("first"))
+    ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i"), a["first"].alias("first")))
     return F.aggregate(F.split(raw, ""), start, step, lambda a: a["out"])
 
 
