@@ -211,6 +211,22 @@ def test_surrogates_never_run_out(spark, monkeypatch):
     assert [r[0] for r in numbers.select(surrogates.filled(F.col("raw"), F.col("number"))).collect()] == ["456-7 8", "34", "+1 45"]
 
 
+def test_surrogates_of_persons_with_any_title(spark, monkeypatch):
+    """A person is one entity with every title, of the gender that any mention tells; all persons differ."""
+    monkeypatch.setattr(surrogates, "GIVEN", {k: v[:3] for k, v in surrogates.GIVEN.items()})
+    letters = "abcdefgh"
+    texts = ["met Mr Xaver Klein.", "met Dr Xaver Klein.", "met Dr Xaver Klein and Mr Xaver Klein.", "met Dr Quirin Klein."]
+    texts += [f"met {t} {t.lower().title()}o{c} Klein." for t in ("Mr", "Dr", "Mrs") for c in letters]
+    got = [r["text"] for r in surrogates.protect(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    name = got[0].removeprefix("met Mr ").rstrip(".")
+    assert got[1] == f"met Dr {name}." and got[2] == f"met Dr {name} and Mr {name}."
+    whole = [g.rstrip(".").split(" ", 2)[2] for g in got[:1] + got[3:]]
+    assert len(set(whole)) == len(whole) == 2 + 3 * len(letters)
+    women, men = surrogates.GIVEN["latin", "f"], surrogates.GIVEN["latin", "m"]
+    assert name.split()[0] not in women and not any(g.split()[2] in women for g in got if g.startswith("met Mr "))
+    assert not any(g.split()[2] in men for g in got if g.startswith("met Mrs "))
+
+
 def test_surrogates_drawn_again_reach_the_texts(spark, monkeypatch):
     rows = [(i, f"see Mr. N{chr(97 + i % 26)}{chr(97 + i // 26)} Smith and {chr(97 + i % 26)}{i // 26}@mail.com") for i in range(120)]
     monkeypatch.setattr(surrogates, "GIVEN", {k: v[:2] for k, v in surrogates.GIVEN.items()})

@@ -3,14 +3,16 @@
 Detected are mail addresses, telephone numbers, IPv4 addresses, payment cards (valid check digit), social
 security numbers, credentials, and names of persons (after a title, or with a known given name). The
 surrogate is a function of a secret key and of the entity in its normal form, so an entity has the same
-surrogate everywhere, however it is written: digits fill the format of the place, names keep their case,
+surrogate everywhere, however it is written. A person is named by given name and surname; the gender is the one
+that the given name or the titles of all mentions in the corpus tell, if they tell one. Digits fill the format of the place, names keep their case,
 given names their gender and script, cards a valid check digit, private addresses stay private. Later
 mentions of a detected surname alone, in the same text, get that surname's surrogate.
 
 Distinct entities must not meet: all entities of the corpus are listed once, with their surrogates, and those
 whose surrogate is taken by another entity, or is itself an entity of the corpus, are drawn again until none
 is left; from the fourth draw on the forms grow (syllables, letters, digits, wider address ranges), so there is
-always room for all. Only the entities that were drawn again are joined back to their texts; if there are none, no text moves.
+always room for all. Only the entities that were drawn again, and persons whose mentions tell their gender
+differently, are joined back to their texts; if there are none, no text moves.
 
 Null texts stay null, empty ones empty. A row is rewritten by itself, so repeated rows are rewritten alike; a
 null key is a key. An empty table gives an empty result. ``protect`` replaces the text column and keeps all others.
@@ -96,9 +98,14 @@ def entity(raw: Column) -> Column:
             .when(raw.rlike(rf"^(?:{PERSON})$"), person))
 
 
+def sort_of(kind: Column) -> Column:
+    """The kind that is part of an entity's identity: a person's gender is not."""
+    return F.when(kind.startswith("person"), "person").otherwise(kind)
+
+
 def seed(secret: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """128 keyed bytes as hexadecimal digits."""
-    part = lambda i: F.sha2(F.concat_ws("|", F.lit(secret), kind, norm, attempt.cast("string"), F.lit(str(i))), 256)
+    part = lambda i: F.sha2(F.concat_ws("|", F.lit(secret), sort_of(kind), norm, attempt.cast("string"), F.lit(str(i))), 256)
     return F.concat(*[part(i) for i in range(4)])
 
 
@@ -214,14 +221,15 @@ def drawn_again(entities: DataFrame, secret: str) -> DataFrame:
         return df.select("kind", "norm", F.lit(k).alias("attempt"), F.lower(F.get(made, F.lit(0))["made"]).alias("made"))
 
     taken = cut(draw(entities, 0))
-    real = entities.select("kind", F.lower("norm").alias("made"))
-    moved, k = None, 0
+    real = entities.select(sort_of(F.col("kind")).alias("sort"), F.lower("norm").alias("made")).distinct()
+    k = 0
     while True:
-        first = taken.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
-        first = first.join(real.withColumn("real", F.lit(True)).distinct(), ["kind", "made"], "left")
+        sorted_ = taken.withColumn("sort", sort_of(F.col("kind")))
+        first = sorted_.groupBy("sort", "made").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
+        first = first.join(real.withColumn("real", F.lit(True)), ["sort", "made"], "left")
         clash = first.where("n > 1 or real")
         # the one that had it first keeps it, unless it is an entity of the corpus
-        loser = taken.join(clash, ["kind", "made"]).where(~((F.col("attempt") == F.col("first.attempt")) & (F.col("norm") == F.col("first.norm"))) | F.col("real"))
+        loser = sorted_.join(clash, ["sort", "made"]).where(~((F.col("attempt") == F.col("first.attempt")) & (F.col("norm") == F.col("first.norm"))) | F.col("real"))
         loser = cut(loser.select("kind", "norm"))
         if loser.isEmpty():
             return taken.where("attempt > 0").select("kind", "norm", "attempt")
@@ -229,6 +237,16 @@ def drawn_again(entities: DataFrame, secret: str) -> DataFrame:
         taken = cut(taken.join(loser, ["kind", "norm"], "left_anti").unionByName(draw(loser, k)))
 
 
+def once_each(mentions: DataFrame) -> DataFrame:
+    """(kind, norm, mixed) for mentions (kind, norm): a person is of the one gender that mentions tell, else of none.
+
+    ``mixed`` marks persons whose mentions do not all tell the same; their texts need to be told.
+    """
+    told = F.collect_set(F.when(F.col("kind") != "person_n", F.col("kind")))
+    each = mentions.groupBy(sort_of(F.col("kind")).alias("sort"), "norm").agg(told.alias("told"), F.count_distinct("kind").alias("kinds"))
+    return each.select(F.when(F.size("told") == 1, F.get("told", F.lit(0))).otherwise("person_n").alias("kind"), "norm", (F.col("kinds") > 1).alias("mixed"))
+
+
 def filled(raw: Column, number: Column) -> Column:
     """The digits of ``raw`` replaced, from the right, by those of ``number``; what stands left of them stays.
 
@@ -250,25 +268,35 @@ def protect(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: st
     """The input with its entities replaced; columns and their order are kept."""
     body = docs[text]
     found = docs.where(may_hold_entity(body)).select(F.filter(matched(body), lambda e: e.isNotNull()).alias("found"))
-    entities = cut(found.select(F.explode(entities_of(F.col("found"))).alias("e")).select("e.kind", "e.norm").distinct())
-    again = drawn_again(entities, secret)
+    entities = cut(once_each(found.select(F.explode(entities_of(F.col("found"))).alias("e")).select("e.kind", "e.norm").distinct()))
+    again = drawn_again(entities.select("kind", "norm"), secret)
+    mixed = entities.where("mixed").select("kind", "norm")
+    again = again.unionByName(mixed.join(again, ["kind", "norm"], "left_anti").withColumn("attempt", F.lit(0)))
+    again = cut(again.select(sort_of(F.col("kind")).alias("sort"), "norm", "kind", "attempt"))
     if again.isEmpty():
         return rewritten(docs, text, secret, None)
-    # which texts hold an entity that was drawn again: short lists, by text
+    # which texts hold an entity that was drawn again, or a person told elsewhere: short lists, by text
     hold = docs.where(may_hold_entity(body)).select(F.xxhash64(body).alias("h"), F.md5(body.cast("binary")).alias("m"), F.filter(matched(body), lambda e: e.isNotNull()).alias("found"))
-    hold = hold.select("h", "m", F.explode(entities_of(F.col("found"))).alias("e")).select("h", "m", "e.kind", "e.norm").join(again, ["kind", "norm"])
-    hold = hold.groupBy("h", "m").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("attempts"))
+    hold = hold.select("h", "m", F.explode(entities_of(F.col("found"))).alias("e")).select("h", "m", sort_of(F.col("e.kind")).alias("sort"), "e.norm").join(again, ["sort", "norm"])
+    hold = hold.groupBy("h", "m").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "sort", "norm"), F.struct("kind", "attempt")))).alias("told"))
     names = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = f"c{names.index(text)}"
     joined = renamed.withColumns({"h": F.xxhash64(own), "m": F.md5(F.col(own).cast("binary"))}).join(hold, ["h", "m"], "left")
-    return rewritten(joined, own, secret, F.col("attempts")).select(*renamed.columns).toDF(*names)
+    return rewritten(joined, own, secret, F.col("told")).select(*renamed.columns).toDF(*names)
 
 
-def rewritten(docs: DataFrame, text: str, secret: str, attempts: Column | None) -> DataFrame:
+def rewritten(docs: DataFrame, text: str, secret: str, told: Column | None) -> DataFrame:
     body = docs[text]
-    name = lambda e: F.concat_ws("|", e["kind"], e["norm"])
-    tries = (lambda e: F.coalesce(F.element_at(attempts, name(e)), F.lit(0))) if attempts is not None else (lambda e: F.lit(0))
+    name = lambda e: F.concat_ws("|", sort_of(e["kind"]), e["norm"])
+
+    def need(e: Column) -> Column:
+        """(kind, norm, attempt) as the whole corpus has it."""
+        kind, attempt = e["kind"], F.lit(0)
+        if told is not None:
+            known = F.element_at(told, name(e))
+            kind, attempt = F.coalesce(known["kind"], kind), F.coalesce(known["attempt"], attempt)
+        return F.struct(kind.alias("kind"), e["norm"].alias("norm"), attempt.alias("attempt"))
 
     def replaced(m: Column, book: Column) -> Column:
         """A match by the book of surrogates (kind|norm to surrogate) of its text."""
@@ -284,7 +312,7 @@ def rewritten(docs: DataFrame, text: str, secret: str, attempts: Column | None)
 
     def rebuilt(found: Column) -> Column:
         listed = entities_of(F.filter(F.transform(found, lambda m: m["e"]), lambda e: e.isNotNull()))
-        needs = F.transform(listed, lambda e: F.struct(e["kind"].alias("kind"), e["norm"].alias("norm"), tries(e).alias("attempt")))
+        needs = F.array_distinct(F.transform(listed, need))
         book = F.map_from_entries(F.transform(surrogates(needs, secret), lambda r: F.struct(name(r), r["made"])))
         last = F.array_distinct(F.transform(F.filter(found, lambda m: m["e"]["kind"].startswith("person")), lambda m: F.substring_index(m["raw"], " ", -1)))
         return let(F.struct(book.alias("book"), F.filter(last, lambda x: F.char_length(x) > 2).alias("last")), lambda known: joined(found, known["book"], known["last"]))
