@@ -304,6 +304,29 @@ def test_repeats_random(spark):
     assert got == brute.repeats(rows, 12)
 
 
+def test_repeats_around_a_common_line(spark):
+    """A line in all texts, with other bytes around it each time: its k-grams are split by string, and no task reads them all."""
+    rng = random.Random(4)
+    line = "all rights reserved, see the license for details of use. "
+    rows = [(k, "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 60))) + line + "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 60)))) for k in range(300)]
+    expected = brute.repeats(rows, 24)
+    rows += [(None, rows[0][1]), (7, rows[7][1])]
+    twice = Counter({(k, *v): 1 for k, v in expected.items()}) + Counter([(7, *expected[7])])
+    most = []
+    for hot in (4, 10 ** 9):
+        got = Counter(tuple(r) for r in parsing.remove_repeats(frame(spark, rows), length=24, gram=10, trigger=16, hot=hot).where("doc_id is not null").collect())
+        assert got == twice
+    # most contexts of one k-gram that go to one task
+    block = parsing.pa.table({"block": parsing.pa.array([0] * 300, parsing.pa.int32()), "key": [k for k, _ in rows[:300]], "twin": [0] * 300, "text": [t for _, t in rows[:300]]})
+    settled = parsing._empty("block int, key long, twin long, begin long, end long, shard int, bits binary, split binary")
+    for hot in (4, 10 ** 9):
+        answer = parsing.meet(parsing.send(block, settled, 24, 10, 0), hot)
+        told = parsing.pa.concat_tables([settled, parsing.pa.table({c: answer.column(c) if c in answer.column_names else parsing.pa.nulls(1, settled.schema.field(c).type) for c in settled.column_names})])
+        values = parsing.contexts(block, told, 24, 10, 0).column("value").to_pylist()
+        most.append(max(Counter(values).values()))
+    assert most[0] <= 4 < 100 < most[1]
+
+
 def test_repeats_without_or_with_equal_keys(spark):
     text = sentence(random.Random(2), 80)
     rows = [(5, text), (5, text), (None, text), (7, text), (5, "other " + text)]

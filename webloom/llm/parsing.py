@@ -17,6 +17,9 @@ two smaller ones.
    equal strings has the smallest key, and all later ones of other keys repeat it.
 3. *Back.* Settled phrases and settled strings become byte ranges of each document.
 
+K-grams with many contexts (those next to a common line, say) are found where fingerprints meet. Their strings
+are filed one by one under themselves, once per block, so no task and no memory spans such a k-gram.
+
 Documents are dealt into blocks once; the rounds exchange fingerprints, bits and short contexts, never text.
 A block, a shard and an Arrow batch are bounded in bytes, but for one longer text.
 
@@ -45,6 +48,9 @@ TRIGGER = 256        # one position in so many triggers
 BLOCK = 8 << 20      # bytes of text in a block of documents
 SHARD = 4 << 20      # fingerprints, in bytes, that meet in a shard
 SEGMENT = 1 << 20    # bytes hashed at a time
+HOT = 4096           # a k-gram with more contexts than this is split by string
+OFTEN = 3            # up to so many contexts of a k-gram in a block count as one
+AT_ONCE = 1 << 15    # contexts of split k-grams held as strings at a time, if no single k-gram has more
 CONTEXT = "value long, key long, twin long, block int, begins array<long>, context binary, bits long"
 CONTEXT_COLUMNS = [c.split()[0] for c in CONTEXT.split(", ")]
 
@@ -181,18 +187,76 @@ def send(left: pa.Table, settled: pa.Table, length: int, gram: int, bits: int) -
     block = Block(left)
     _, value, _ = block.anchors(settled, length, gram)
     _, edges, prints = fingerprints(value, bits)
+    n = np.unique(value, return_counts=True)[1]
+    often = [np.flatnonzero(n[edges[s]:edges[s + 1]] > OFTEN) for s in range(1 << bits)]
     full = [s for s in range(1 << bits) if edges[s + 1] > edges[s]]
     return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([block_number(left)] * len(full), pa.int32()),
-                     "prints": pa.array([pack48(prints[edges[s]:edges[s + 1]]) for s in full], pa.binary())})
+                     "prints": pa.array([pack48(prints[edges[s]:edges[s + 1]]) for s in full], pa.binary()),
+                     "often": pa.array([np.stack([often[s], n[edges[s]:edges[s + 1]][often[s]]]).astype(np.int64).tobytes() for s in full], pa.binary())})
 
 
-def meet(rows: pa.Table) -> pa.Table:
-    """In a shard: one bit per fingerprint, set where another block has it too."""
+def meet(rows: pa.Table, hot: int) -> pa.Table:
+    """In a shard: one bit per fingerprint, set where another block has it too, and the places of those with too many contexts."""
     lists = [unpack48(x) for x in rows.column("prints").to_pylist()]
-    distinct, n = np.unique(np.concatenate(lists), return_counts=True)
-    shared = distinct[n > 1]
-    answers = [np.packbits(np.isin(x, shared, assume_unique=True)).tobytes() for x in lists]
-    return pa.table({"shard": rows.column("shard"), "block": rows.column("block"), "bits": pa.array(answers, pa.binary())})
+    distinct, back, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    total, base = n.astype(np.int64), 0
+    for own, often in zip(lists, rows.column("often").to_pylist()):
+        at, times = np.frombuffer(often, np.int64).reshape(2, -1)
+        total[back[base + at]] += times - 1
+        base += len(own)
+    shared, many = (n > 1)[back], (total > hot)[back]
+    edges = np.cumsum([0] + [len(x) for x in lists])
+    answers = [np.packbits(shared[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
+    split = [np.flatnonzero(many[a:b]).astype(np.int64).tobytes() for a, b in zip(edges, edges[1:])]
+    return pa.table({"shard": rows.column("shard"), "block": rows.column("block"), "bits": pa.array(answers, pa.binary()), "split": pa.array(split, pa.binary())})
+
+
+def split_strings(block: Block, place: np.ndarray, value: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> list[pa.Table]:
+    """Rows for contexts of k-grams that are split: each string of a block once, filed under itself, from its smallest key.
+
+    Strings that a smaller key of the block has are settled here, in one row per context.
+    """
+    raw, tables = block.data, []
+    order = np.lexsort((place, value))
+    value, text, low, n = value[order], text[order], low[order], np.maximum(high - low - length + 1, 0)[order]
+    begins = np.append(np.flatnonzero(np.append(True, value[1:] != value[:-1])), len(value)) if len(value) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(value):  # whole k-grams
+        end = int(max(begins[np.searchsorted(begins, at + AT_ONCE, "right") - 1], begins[np.searchsorted(begins, at, "right")]))
+        v, i, a, m = value[at:end], text[at:end], low[at:end], n[at:end]
+        at = end
+        row = np.repeat(np.arange(len(m)), m)
+        j = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+        begin = a[row] + j
+        size = np.where(m > 0, m + length - 1, 0)
+        start = np.cumsum(size) - size
+        flat_ = raw[np.repeat(a - start, size) + np.arange(int(size.sum()))]
+        inside = start[row] + j
+        name = mix(Hasher(flat_).of(inside, inside + length) ^ mix(v.view(np.uint64)[row])).view(np.int64)
+        key = block.keys[i][row]
+        distinct, first, back = np.unique(name, return_index=True, return_inverse=True)
+        least = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(least, back, key)
+        late = key > least[back]
+        bits = np.zeros(len(m), np.int64)
+        np.bitwise_or.at(bits, row[late], 1 << j[late])
+        done = np.flatnonzero(bits)
+        tables.append(pa.table({"value": v.view(np.int64)[done] ^ block.keys[i[done]], "key": block.keys[i[done]], "twin": block.twins[i[done]],
+                                "begins": pa.ListArray.from_arrays(np.arange(len(done) + 1, dtype=np.int32), pa.array(a[done] - block.offsets[i[done]])),
+                                "context": pa.array([b""] * len(done), pa.binary()), "bits": bits[done]}))
+        # the smallest key's places of each string, by text
+        mine = np.flatnonzero(~late)
+        mine = mine[np.lexsort((begin[mine], i[row[mine]], back[mine]))]
+        who, string = i[row[mine]], back[mine]
+        new = np.ones(len(mine), bool)
+        new[1:] = (who[1:] != who[:-1]) | (string[1:] != string[:-1])
+        head = np.flatnonzero(new)
+        lead = mine[head]
+        tables.append(pa.table({"value": name[lead], "key": key[lead], "twin": block.twins[who[head]],
+                                "begins": pa.ListArray.from_arrays(np.append(head, len(mine)).astype(np.int32), pa.array(begin[mine] - block.offsets[who])),
+                                "context": pa.array([raw[b:b + length].tobytes() for b in begin[lead].tolist()], pa.binary()),
+                                "bits": np.zeros(len(lead), np.int64)}))
+    return tables
 
 
 def contexts(left: pa.Table, messages: pa.Table, length: int, gram: int, bits: int) -> pa.Table:
@@ -201,8 +265,9 @@ def contexts(left: pa.Table, messages: pa.Table, length: int, gram: int, bits: i
     settled, answers = messages.filter(pc.is_null(messages.column("bits"))), messages.filter(pc.is_valid(messages.column("bits")))
     place, value, text = block.anchors(settled, length, gram)
     distinct, edges, _ = fingerprints(value, bits)
-    shared = np.zeros(len(distinct), bool)
-    for s, answer in zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist()):
+    shared, many = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+    for s, answer, split in zip(*(answers.column(c).to_pylist() for c in ("shard", "bits", "split"))):
+        many[edges[s] + np.frombuffer(split, np.int64)] = True
         n = int(edges[s + 1] - edges[s])
         shared[edges[s]:edges[s + 1]] = np.unpackbits(np.frombuffer(answer, np.uint8))[:n].astype(bool)
     which = np.searchsorted(distinct, value)
@@ -215,6 +280,9 @@ def contexts(left: pa.Table, messages: pa.Table, length: int, gram: int, bits: i
     place, value, text = place[keep], value[keep], text[keep]
     low = np.maximum(place - (length - gram), block.offsets[text])
     high = np.minimum(place + length, block.offsets[text + 1])
+    hot = many[which[keep]]
+    parts = split_strings(block, *(x[hot] for x in (place, value, text, low, high)), length)
+    value, text, low, high = (x[~hot] for x in (value, text, low, high))
     # Equal contexts of a block are compared here: only the smallest key's goes out, the others are settled by it.
     raw, first, groups = block.data.tobytes(), {}, {}
     for v, i, a, b in zip(value.view(np.int64).tolist(), text.tolist(), low.tolist(), high.tolist()):
@@ -230,7 +298,8 @@ def contexts(left: pa.Table, messages: pa.Table, length: int, gram: int, bits: i
             column.append(x)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
     found = {c: pa.array(x, k) for (c, x), k in zip(out.items(), kinds)}
-    return pa.table(found | {"block": pa.array([block_number(left)] * len(out["value"]), pa.int32())}).select(CONTEXT_COLUMNS)
+    whole = pa.concat_tables([pa.table(found), *parts])
+    return whole.append_column("block", pa.array([block_number(left)] * len(whole), pa.int32())).select(CONTEXT_COLUMNS)
 
 
 def settle(batches, length: int):
@@ -311,7 +380,7 @@ def settled_phrases(rows: DataFrame, length: int, trigger: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM,
-                   trigger: int = TRIGGER) -> DataFrame:
+                   trigger: int = TRIGGER, hot: int = HOT) -> DataFrame:
     """One row per input row: key, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
     spark = docs.sparkSession
     body = F.coalesce(docs[text], F.lit(""))
@@ -325,12 +394,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     by_block = keyed.groupBy("block")
 
     sent = by_block.cogroup(settled.groupBy("block")).applyInArrow(
-        lambda left, right: send(left, right, length, gram, bits) if left.num_rows else _empty("shard int, block int, prints binary"),
-        "shard int, block int, prints binary")
-    answers = sent.groupBy("shard").applyInArrow(meet, "shard int, block int, bits binary")
+        lambda left, right: send(left, right, length, gram, bits) if left.num_rows else _empty("shard int, block int, prints binary, often binary"),
+        "shard int, block int, prints binary, often binary")
+    answers = sent.groupBy("shard").applyInArrow(lambda rows: meet(rows, hot), "shard int, block int, bits binary, split binary")
     nothing = lambda c, t: F.lit(None).cast(t).alias(c)
-    told = settled.select("block", "key", "twin", "begin", "end", nothing("shard", "int"), nothing("bits", "binary")).union(
-        answers.select("block", *(nothing(c, "long") for c in ("key", "twin", "begin", "end")), "shard", "bits"))
+    told = settled.select("block", "key", "twin", "begin", "end", nothing("shard", "int"), nothing("bits", "binary"), nothing("split", "binary")).union(
+        answers.select("block", *(nothing(c, "long") for c in ("key", "twin", "begin", "end")), "shard", "bits", "split"))
     schema = CONTEXT
     around = by_block.cogroup(told.groupBy("block")).applyInArrow(
         lambda left, right: contexts(left, right, length, gram, bits) if left.num_rows else _empty(schema), schema)
