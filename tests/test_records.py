@@ -351,3 +351,14 @@ def test_classifier_learns(spark):
     assert training.count() + rest.count() == 60 and training.join(rest, "id").count() == 0
     scored = predict(train(training, features=1024), rest)
     assert scored.filter("label <> prediction").count() == 0
+
+
+def test_classifier_scores_every_document(spark):
+    from webloom.plans import load
+
+    folder = "/root/testdata/sf0.001"
+    found = load()[0]["ml1_page_predictions"](spark, folder).collect()
+    keys = sorted(r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect())
+    labelled = spark.read.parquet(f"{folder}/labels.parquet").count()
+    assert sorted(r["doc_id"] for r in found) == keys and all(r["prediction"] in (0.0, 1.0) for r in found)
+    assert 0 < sum(r["label"] is not None for r in found) <= labelled and any(r["label"] is None for r in found)

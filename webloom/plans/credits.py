@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.operators.classify import evaluate, predict, split_train_test, train
+from webloom.operators.classify import evaluate, held_out, predict, split_train_test, train
 from webloom.operators.ledger import (
     balances, distinct_payments, enrich_payments, guarded_ledger, skip_immediate_repeats,
 )
@@ -269,6 +269,21 @@ def subscriptions(spark, sf_dir):
     return apply_subscriptions(_users(spark, sf_dir), changes)
 
 
+def _predictions(spark, sf_dir):
+    """All documents with their label, where they have one, and the prediction of a model trained on a hashed 80 percent of the labelled."""
+    docs, labels = wide_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labels = labels.select("doc_id", F.col("quality").cast("double").alias("label"), F.lit(True).alias("labelled"))
+    examples = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id", "left")
+    training, _ = split_train_test(examples.where("labelled"), "doc_id")
+    return predict(train(training), examples)
+
+
+@query("ml1_page_predictions")
+def page_predictions(spark, sf_dir):
+    """The predicted quality of every document, labelled or not; no SQL trains a model."""
+    return _predictions(spark, sf_dir).select("doc_id", held_out("doc_id").alias("held_out"), "label", "prediction")
+
+
 @query("ml1_page_classifier", """
 with labelled as (
   select quality, (('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 1000) >= 800 as held_out
@@ -276,13 +291,9 @@ with labelled as (
 select held_out, count(*) as n, true as at_least_majority from labelled group by held_out
 """)
 def page_classifier(spark, sf_dir):
-    """Quality of labelled documents: trained on a hashed 80 percent, scored on both parts.
+    """Quality of labelled documents, from the predictions for all: trained on a hashed 80 percent, scored on both parts.
 
     The share of right answers is no less than the share of the commonest label, on seen and on held-out documents.
     """
-    docs, labels = wide_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    examples = docs.select("doc_id", "text").join(
-        labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    training, _ = split_train_test(examples, "doc_id")
-    return evaluate(predict(train(training), examples), "doc_id").select(
+    return evaluate(_predictions(spark, sf_dir).where("labelled"), "doc_id").select(
         "held_out", "n", (F.col("accuracy") >= F.col("majority")).alias("at_least_majority"))
