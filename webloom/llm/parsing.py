@@ -1,20 +1,20 @@
 """Repeated passages by prefix-free parsing.
 
 A byte is removed when it lies in a ``length``-byte string that also starts in a document with a smaller
-key. Which strings are equal is read off the suffix order of the corpus, and that order is built from
-two smaller ones.
+key. No suffix array is built, neither of the dictionary nor of the parse: equal strings are found by filing
+them under a k-gram and comparing hashes, as only equality to the depth of ``length`` bytes is asked for.
 
 1. *Parse.* A rolling hash over ``length`` bytes triggers at some positions; a phrase runs from one trigger
    through the next. Every string of ``length`` bytes starts in exactly one phrase and lies inside it, and
    no phrase begins another. Distinct phrases are the dictionary, each owned by the smallest key that
    has it. A phrase seen in a later document is settled by the dictionary alone: all its strings repeat.
    This is what makes copies and common passages cheap: they are one dictionary word however often.
-2. *Dictionary order.* What is left are owned phrases, whose suffixes may still begin alike. Each string
+2. *Filing.* What is left are owned phrases, whose suffixes may still begin alike. Each string
    is filed under the k-gram in it with the least rolling hash (equal strings choose equal k-grams). K-grams
    that only one document has are dropped first: their sorted fingerprints meet in shards, and each block
-   gets back one bit per fingerprint. The suffixes around the others are brought into order by (k-gram,
-   string, key), to the depth of ``length`` bytes, deeper order being of no use here; the first entry of
-   equal strings has the smallest key, and all later ones of other keys repeat it.
+   gets back one bit per fingerprint. The contexts around the others meet by k-gram, in order of their keys, and
+   their strings are compared by 64-bit hashes: the first of equal strings has the smallest key, and all
+   later ones of other keys repeat it.
 3. *Back.* Settled phrases and settled strings become byte ranges of each document.
 
 K-grams with many contexts (those next to a common line, say) are found where fingerprints meet. Their strings
