@@ -162,3 +162,32 @@ def groups(rows, percent=85):
             x, y = sorted((root(a), root(b)))
             name[y] = x
     return {k: (len(sets[k]), root(k)) for k in sets}
+
+
+def planted(key, text):
+    """Words of a text after the contract of the periodic run query."""
+    words = SPACED.findall(text or "")
+    h = zlib.crc32(str(key).encode()) if key is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    return words
+
+
+def periodic(words, least=24, times=3):
+    """Runs as (start, length, period), by scanning every lag; and the words that stay."""
+    n, found = len(words), {}
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, times * q):
+                found.setdefault((i, j + q - i), q)  # the smallest period comes first
+            i = j + 1
+    runs = sorted((s, m, q) for (s, m), q in found.items())
+    gone = {i for s, m, q in runs for i in range(s + q, s + m)}
+    return runs, [w for i, w in enumerate(words) if i not in gone]

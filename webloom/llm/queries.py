@@ -1,4 +1,5 @@
 """All registered queries of this folder."""
 
-from webloom.llm import compression, decontaminate, jaccard, language_model, lengths, mixing, parsing, secrets, surrogates, warc  # noqa: F401
+from webloom.llm import (  # noqa: F401
+    compression, decontaminate, jaccard, language_model, lengths, mixing, parsing, periodic, secrets, surrogates, warc)
 from webloom.llm.registry import ORACLE, QUERIES  # noqa: F401
