@@ -191,3 +191,24 @@ def periodic(words, least=24, times=3):
     runs = sorted((s, m, q) for (s, m), q in found.items())
     gone = {i for s, m, q in runs for i in range(s + q, s + m)}
     return runs, [w for i, w in enumerate(words) if i not in gone]
+
+
+TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranking(docs, items, top=10):
+    """{(item key, text): [(key, score)]}, every document scored for every item."""
+    counted = [(k, Counter(w.translate(LOWER) for w in TERM.findall(t or ""))) for k, t in docs]
+    counted = [(k, c, sum(c.values())) for k, c in counted if c]
+    n, total = len(counted), sum(c[2] for c in counted)
+    df = Counter(t for _, c, _ in counted for t in c)
+    out = {}
+    for item, text in set(items):
+        asked = Counter(w.translate(LOWER) for w in TERM.findall(text or ""))
+        scores = []
+        for key, c, size in counted:
+            m = 25 + 75 * size * n // total
+            s = sum(r * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 8 * m)) for t, r in asked.items() if c[t])
+            scores.append((-s, key is None, key if key is not None else 0, key))
+        out[item, text] = [(e[3], -e[0]) for e in sorted(scores)[:top] if e[0] < 0]
+    return out
