@@ -212,3 +212,17 @@ def ranking(docs, items, top=10):
             scores.append((-s, key is None, key if key is not None else 0, key))
         out[item, text] = [(e[3], -e[0]) for e in sorted(scores)[:top] if e[0] < 0]
     return out
+
+
+def unrepeated(rows, width=35):
+    """[(key, words, removed words, kept text)], by counting all windows."""
+    split = [(k, SPACED.findall(t or "")) for k, t in rows]
+    count = Counter(tuple(w[i:i + width]) for _, w in split for i in range(len(w) - width + 1))
+    out = []
+    for key, words in split:
+        gone = set()
+        for i in range(len(words) - width + 1):
+            if count[tuple(words[i:i + width])] > 1:
+                gone.update(range(i, i + width))
+        out.append((key, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
+    return out
