@@ -14,7 +14,7 @@ since it is summed before the shuffle and the cells are broadcast (or, above the
 
 Null source, language or topic is the value ``(none)``. Texts without tokens have weight 0 and are not
 sampled. Rows that repeat a key are drawn together. A null key is drawn like the key ``(none)``. An empty table
-gives an empty result. ``sample`` returns the columns of the input unchanged, whatever their names.
+gives an empty result. A very long text is counted whole, in its row. ``sample`` returns the columns of the input unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,17 +54,15 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 
 def with_targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float) -> DataFrame:
-    """Adds the target share of each cell's value in each dimension."""
+    """Adds the target share of each cell's value in each dimension; values are summed once, however many cells they have."""
     for d in DIMENSIONS:
-        own = Window.partitionBy(d)
+        raw = F.pow(F.sum("tokens").cast("double"), F.lit(float(temper)))
         if targets and d in targets:
             given = F.create_map(*[F.lit(x) for v, s in targets[d].items() for x in (v, float(s))]) if targets[d] else F.create_map()
-            cells = cells.withColumn("raw", F.coalesce(F.element_at(given, F.col(d)), F.lit(0.0)))
-        else:
-            cells = cells.withColumn("raw", F.pow(F.sum("tokens").over(own).cast("double"), F.lit(float(temper))))
-        # each value counts once, however many cells it has
-        cells = cells.withColumn("cells", F.count(F.lit(1)).over(own))
-        cells = cells.withColumn(f"share_{d}", F.col("raw") / F.sum(F.col("raw") / F.col("cells")).over(Window.partitionBy(F.lit(1)))).drop("raw", "cells")
+            raw = F.coalesce(F.element_at(given, F.col(d)), F.lit(0.0))
+        values = cut(cells.groupBy(d).agg(raw.alias("raw")))
+        total = values.agg(F.sum("raw")).first()[0] or 1.0
+        cells = cells.join(values.select(d, (F.col("raw") / F.lit(total)).alias(f"share_{d}")), d)
     return cells
 
 
@@ -72,7 +70,7 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     """Cells with ``factor``, the raked weight over the tokens; the weights sum to 1."""
     cells = cut(cells)
     one = (lambda df: df.coalesce(1)) if cells.limit(ONE_TASK + 1).count() <= ONE_TASK else (lambda df: df)
-    state = cut(with_targets(one(cells), targets, temper).withColumn("w", F.col("tokens").cast("double")))
+    state = cut(with_targets(cells, targets, temper).withColumn("w", F.col("tokens").cast("double")))
     for done in range(0, sweeps, AT_ONCE):
         state = one(state)
         for _ in range(min(AT_ONCE, sweeps - done)):
@@ -101,7 +99,11 @@ def described(docs: DataFrame, key: str, text: str, source: str, lang: str, topi
 
 
 def probabilities(rows: DataFrame, targets=None, temper: float = TEMPER, sweeps: int = SWEEPS, keep: float = 1.0) -> DataFrame:
-    """Described rows with ``factor`` and ``probability``; ``keep`` bounds the expected share of all tokens."""
+    """Described rows with ``probability``; ``keep`` bounds the expected share of all tokens.
+
+    The rows are written once with their tokens and topics, as both the cells and the draw need them.
+    """
+    rows = cut(rows)
     weighted = raked(cells_of(rows.select(*DIMENSIONS, "tokens")), targets, temper, sweeps)
     bound = weighted.agg(F.max("factor").alias("most"), F.sum("tokens").alias("all")).first()  # one row
     scale = min(float(keep) * bound["all"], 1.0 / bound["most"]) if bound["most"] else 0.0
@@ -160,6 +162,6 @@ from d left join (select *, factor / max(factor) over () as p from fitted) f
 """)
 def op9_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rows = probabilities(described(docs, "doc_id", "text", "source", "lang", None))
+    rows = probabilities(described(docs, "doc_id", "text", "source", "lang", None).select("id", *DIMENSIONS, "tokens"))
     return rows.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"),
                        (uniform(F.col("id"), SEED) < F.col("probability")).alias("sampled"))
