@@ -9,12 +9,13 @@ Suffix sums are taken within blocks of ``BLOCK`` lengths and over the block tota
 than a block of lengths has, or there are blocks.
 
 Null and empty texts have length 0. Rows count as often as they are there. An empty table gives an empty
-histogram. Only the text is read. The vocabulary file is read once, by the driver, and sent along (under 1 MB).
+histogram, ties are one row. Very long texts are encoded whole, one at a time. Only the text is read. The vocabulary file is read once, by the driver, and sent along (under 1 MB).
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.registry import query, table
+from webloom.runtime import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # The split pattern that this vocabulary was made with; fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 4096
+# White space as the pattern has it (a property of Unicode; fixed value), in runs too long for the pattern's look ahead.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
 
 _encoders: dict[int, object] = {}
 
@@ -43,20 +47,33 @@ def encoder(vocabulary: bytes, pattern: str):
     return _encoders[key]
 
 
+def encoded_length(encoding, text: str) -> int:
+    """Tokens of a text; a long run of white space is encoded as the one piece that the pattern makes of it.
+
+    That piece is the whole run at the end of a text, and all but its last character elsewhere. Around it the pattern splits anyway.
+    """
+    total, at = 0, 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += len(encoding.encode_ordinary(text[at:run.start()])) + len(encoding._core_bpe.encode_single_piece(text[run.start():end].encode()))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(length, n_docs) for every encoded length that occurs."""
     with open(vocabulary, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(content.value, pattern).encode_ordinary
+        encoding = encoder(content.value, pattern)
         for batch in batches:
-            lengths = [len(encode(t.as_py() or "")) for t in batch.column(0)]
+            lengths = [encoded_length(encoding, t.as_py() or "") for t in batch.column(0)]
             found, n = np.unique(np.array(lengths, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["length", "n_docs"])
 
     rows = docs.select(docs[text].alias("text")).mapInArrow(count, "length long, n_docs long")
-    return rows.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return cut(rows.groupBy("length").agg(F.sum("n_docs").alias("n_docs")))  # read more than once
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:
