@@ -15,7 +15,7 @@ from webloom.llm.decontaminate import keep_uncontaminated
 from webloom.llm.jaccard import one_of_each
 from webloom.llm.mixing import sample
 from webloom.llm.registry import table
-from webloom.llm.surrogates import protect
+from webloom.llm.surrogates import QUERY_SECRET, protect
 from webloom.runtime import cut
 
 
@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal data replaced and lengths counted anew."""
-    safe = protect(docs)
+    safe = protect(docs, QUERY_SECRET)
     if "n_chars" not in safe.columns:
         return safe
     return safe.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -15,7 +15,8 @@ always room for all. Only the entities that were drawn again, and persons whose
 differently, are joined back to their texts; if there are none, no text moves.
 
 Null texts stay null, empty ones empty. A row is rewritten by itself, so repeated rows are rewritten alike; a
-null key is a key. An empty table gives an empty result. ``protect`` replaces the text column and keeps all others.
+null key is a key. An empty table gives an empty result. Of surnames that overlap, the one that starts first is replaced. Very long texts are
+handled whole, in the row. ``protect`` replaces the text column and keeps all others.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from webloom.llm.registry import query, table
 from webloom.runtime import cut
 
-SECRET = "replace-this-key"  # the caller's key decides all surrogates; without it they cannot be recomputed
+QUERY_SECRET = "key of the registered query"  # an application has its own, which it tells nobody
 
 # Titles and given names tell a person; fixed values, by gender.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Signor", "Господин", "Κύριος"),
@@ -43,7 +44,8 @@ SYLLABLES = {"latin": "bar bel cor dan del fen gar hal jen kel lam mer nor pel r
              "greek": "βαρ γελ δαν ζερ καλ λαμ μιν νορ παλ ροσ σαλ ταμ φιλ χορ".split()}
 ENDING = {("latin", "n"): ("er", "ley", "son", "mann"), ("cyrillic", "m"): ("ов", "ин"), ("cyrillic", "f"): ("ова", "ина"), ("greek", "n"): ("ίδης", "όπουλος")}
 
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# a domain name has 127 labels at most; a repeated group without a bound would take a stack frame for each
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 ADDRESS = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
@@ -264,8 +266,8 @@ def cased(raw: Column, made: Column) -> Column:
     return F.when((raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(made)).otherwise(made)
 
 
-def protect(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = SECRET) -> DataFrame:
-    """The input with its entities replaced; columns and their order are kept."""
+def protect(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
+    """The input with its entities replaced; columns and their order are kept. ``secret`` decides all surrogates."""
     body = docs[text]
     found = docs.where(may_hold_entity(body)).select(F.filter(matched(body), lambda e: e.isNotNull()).alias("found"))
     entities = cut(once_each(found.select(F.explode(entities_of(F.col("found"))).alias("e")).select("e.kind", "e.norm").distinct()))
@@ -315,7 +317,7 @@ def rewritten(docs: DataFrame, text: str, secret: str, told: Column | None) -> D
         needs = F.array_distinct(F.transform(listed, need))
         book = F.map_from_entries(F.transform(surrogates(needs, secret), lambda r: F.struct(name(r), r["made"])))
         last = F.array_distinct(F.transform(F.filter(found, lambda m: m["e"]["kind"].startswith("person")), lambda m: F.substring_index(m["raw"], " ", -1)))
-        return let(F.struct(book.alias("book"), F.filter(last, lambda x: F.char_length(x) > 2).alias("last")), lambda known: joined(found, known["book"], known["last"]))
+        return let(F.struct(book.alias("book"), last.alias("last")), lambda known: joined(found, known["book"], known["last"]))
 
     def joined(found: Column, book: Column, last: Column) -> Column:
         mention = F.concat(F.lit(r"(?<!\p{L})(?:\Q"), F.array_join(last, r"\E|\Q"), F.lit(r"\E)(?!\p{L})"))
@@ -333,4 +335,4 @@ def rewritten(docs: DataFrame, text: str, secret: str, told: Column | None) -> D
 
 @query("op4_surrogates")
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return protect(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_SECRET)
