@@ -11,13 +11,16 @@ hypothesis that its symbols are drawn uniformly from that alphabet, three tests
 Their p-values are combined (Cauchy combination, which stands dependence). Whether randomness is rejected is decided
 within bands of length by Benjamini-Hochberg over all runs of the corpus, on a fixed grid of p-values, so
 that short runs, of which there are many and which carry little evidence, do not set the bar for long
-ones. A run is reported if randomness is not rejected and its length makes a secret of 80 bits possible.
+ones. A run is reported if randomness is not rejected and its length makes a secret of 80 bits possible. The null
+hypothesis is randomness: what is controlled is the share of real secrets among the runs that are let go, not the
+share of false alarms. ``tests/llm`` holds what is reported against planted secrets, identifiers and image data.
 
 The corpus-wide step handles a table of at most 6 bands x 301 grid points. All else happens within a row.
 Positions are code points, ends exclusive.
 
 Null and empty texts have no spans. Rows are judged one by one, repeated rows alike (each counts in the
-control of false discoveries); a null key is kept. An empty table gives an empty result. Only key and text are read.
+control of false discoveries); a null key is kept. Spans that start alike are in order of kind. Very long texts and runs are handled
+whole; the work grows in proportion to the text. An empty table gives an empty result. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.registry import query, table
+from webloom.llm.surrogates import let
 from webloom.runtime import cut
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,14 +60,17 @@ STEP = 256
 
 
 def running(values: Column) -> Column:
-    """Sums up to and including each element, in blocks, so that long lists stay cheap."""
+    """Sums up to and including each element, in blocks, each list computed once, so that long lists stay cheap."""
     add = lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0)) + x))
     empty = F.array().cast("array<int>")
     sums = lambda xs: F.aggregate(xs, empty, lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(add(a, x)))
-    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(STEP))).otherwise(empty)
-    blocks = F.transform(starts, lambda i: F.slice(values, i, STEP))
-    totals = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)))
-    return F.flatten(F.transform(blocks, lambda b, i: F.transform(sums(b), lambda x: x + F.when(i == 0, 0).otherwise(F.get(totals, i - 1)))))
+    starts = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int"))).otherwise(empty)
+    blocks = lambda v: F.transform(starts(F.size(v)), lambda i: F.slice(v, i * STEP + 1, STEP))
+    # totals of blocks of blocks bring the work down to n, not n squared over STEP
+    totals = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+    shifted = lambda bs, before: F.transform(bs, lambda b, i: F.transform(sums(b), lambda x: x + F.when(i == 0, 0).otherwise(F.get(before, i - 1))))
+    two = lambda v, then: let(blocks(v), lambda bs: let(then(totals(bs)), lambda before: F.flatten(shifted(bs, before))))
+    return let(values, lambda v: two(v, lambda t: two(t, sums)))
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -98,6 +105,7 @@ def bounded(p: Column) -> Column:
 
 def chi_squared_p(squares: Column, n: Column, k: Column) -> Column:
     """Upper tail, by the Wilson-Hilferty form of a gamma variable with the exact mean and variance at length n."""
+    n = n.cast("double")
     x = squares * k / n - n
     mean = (k - 1).cast("double")
     variance = 2.0 * (k - 1) * (n - 1) / n
@@ -107,6 +115,7 @@ def chi_squared_p(squares: Column, n: Column, k: Column) -> Column:
 
 def runs_p(above: Column, runs: Column, n: Column) -> Column:
     """Two-sided, of the number of runs above and below the middle of the alphabet."""
+    n = n.cast("double")
     product = 2.0 * above * (n - above)
     variance = product * (product - n) / (n * n * (n - 1.0))
     z = (runs - (product / n + 1)) / F.sqrt(variance)
@@ -115,8 +124,9 @@ def runs_p(above: Column, runs: Column, n: Column) -> Column:
 
 def serial_p(total: Column, squares: Column, products: Column, n: Column) -> Column:
     """Two-sided, of the circular correlation of neighbours."""
+    n, total = n.cast("double"), total.cast("double")
     spread = n * squares - total * total
-    r = (n * products - total * total) / spread.cast("double")
+    r = (n * products - total * total) / spread
     z = (r + 1 / (n - 1)) / F.sqrt(n * n / ((n - 1) * (n - 1) * (n - 2.0)))
     return F.when(spread > 0, bounded(2 * normal_tail(F.abs(z)))).otherwise(F.lit(TINY))
 
