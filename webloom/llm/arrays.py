@@ -82,8 +82,47 @@ def by_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets, "left")
 
 
+LONG_RANGE = 4096
+
+
+def strong(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes after the other, each mixed in before the next.
+
+    Unlike a polynomial it has no algebra by which ranges of some form must collide. Long ranges take XXH3.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = ends - starts
+    value = mix(left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x94D049BB133111EB))
+    long_ = np.flatnonzero(left > LONG_RANGE)
+    for i in long_.tolist():
+        value[i] = xxh3_64_intdigest(memoryview(padded)[starts[i]:ends[i]])
+    who = np.flatnonzero((left > 0) & (left <= LONG_RANGE))
+    at, left = starts[who], left[who]
+    while len(who):
+        part = eight[at] & (np.uint64(MASK) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+        value[who] = mix(value[who] * np.uint64(0x2545F4914F6CDD1D) + part)
+        more = left > 8
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    return value
+
+
+def names128(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit names of byte ranges, as rows of two 64-bit numbers."""
+    from xxhash import xxh3_128_digest
+
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join(xxh3_128_digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64).reshape(-1, 2)
+
+
 class Hasher:
-    """Hashes of any byte ranges of one flat array, in constant time each."""
+    """Polynomial hashes of any byte ranges of one flat array, in constant time each.
+
+    They choose places (triggers, k-grams); strings that collide by design cost time there. Whether ranges are equal is
+    for ``strong`` and ``names128`` to tell.
+    """
 
     _powers = np.ones(1, np.uint64)
     _inverse = np.ones(1, np.uint64)

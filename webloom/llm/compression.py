@@ -7,8 +7,8 @@ the chunk length may hold at most half of the bytes, so that a text that is half
 half one repeated line does not pass on its average.
 
 Null and empty texts have no words, fail the base rules and have ratio 0. Rows are judged one by
-one: repeated rows get the same verdict twice, an empty table gives an empty result. Other columns
-of the input are never read by ``compression_report`` and pass unchanged through ``keep_sound``.
+one: repeated rows get the same verdict twice, ties do not arise, an empty table gives an empty result. A very long
+text is handled whole and alone, in memory proportional to it. Other columns of the input are never read by ``compression_report`` and pass unchanged through ``keep_sound``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from webloom.llm.arrays import HEAD, WORD, Hasher, byte_class, by_text, mix, pieces, runs, totals, windows
+from webloom.llm.arrays import HEAD, WORD, byte_class, by_text, mix, pieces, runs, strong, totals, windows
 from webloom.llm.registry import query, table
 
 #: (bytes from, least ratio, greatest ratio). Prose of four languages at level 3 lies between 0.33 and
@@ -40,11 +40,10 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends = runs(inside, offsets)
     first = by_text(starts, offsets)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    hashed = Hasher(data)
     repeated = np.zeros(len(starts), bool)
     if len(starts) > 2:
         whole = np.flatnonzero(text[:-2] == text[2:])
-        key = mix(windows(hashed.of(starts, ends), 3)[whole] ^ mix(text[whole].astype(np.uint64)))
+        key = mix(windows(strong(data, starts, ends), 3)[whole] ^ mix(text[whole].astype(np.uint64)))
         _, back, count = np.unique(key, return_inverse=True, return_counts=True)
         again = whole[count[back] > 1]
         for k in range(3):
@@ -56,7 +55,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_starts, line_ends = line_starts[worded], line_ends[worded]
     line_first = by_text(line_starts, offsets)
     line_text = np.repeat(np.arange(len(offsets) - 1), np.diff(line_first))
-    key = mix(hashed.of(line_starts, line_ends) ^ mix(line_text.astype(np.uint64)))
+    key = mix(strong(data, line_starts, line_ends) ^ mix(line_text.astype(np.uint64)))
     _, seen = np.unique(key, return_index=True)
     return {
         "n_words": np.diff(first), "word_chars": totals(inside & HEAD[data], offsets), "n_symbols": totals(SYMBOL[data], offsets),

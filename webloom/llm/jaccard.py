@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.arrays import LOWER, WORD, Hasher, by_text, mix, pieces, runs, windows
+from webloom.llm.arrays import LOWER, WORD, by_text, mix, pieces, runs, strong, windows
 from webloom.llm.components import connected
 from webloom.llm.registry import query, table
 from webloom.runtime import cut
@@ -49,7 +49,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> l
     """Sorted distinct shingle hashes of each text."""
     starts, ends = runs(WORD[data], offsets)
     first = by_text(starts, offsets)
-    words = Hasher(LOWER[data]).of(starts, ends)
+    words = strong(LOWER[data], starts, ends)
     full = windows(words, width)
     sets = []
     for low, high in zip(first[:-1].tolist(), first[1:].tolist()):

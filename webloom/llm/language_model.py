@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.arrays import LOWER, WORD, Hasher, by_text, flat, runs
+from webloom.llm.arrays import LOWER, WORD, by_text, flat, runs, strong
 from webloom.llm.eliasfano import PROBABILITY, Trie, quantised
 from webloom.llm.registry import query, table
 
@@ -66,7 +66,7 @@ class Block:
         last = first[1:] + np.arange(n)
         inner = np.ones(len(hashes), bool)
         inner[last] = False
-        hashes[inner] = Hasher(data).of(starts, ends)
+        hashes[inner] = strong(data, starts, ends)
         self.hashes, index = np.unique(np.append(hashes, np.uint64(BEGIN)), return_inverse=True)
         self.token, self.before, self.text = index[:-1], np.empty(len(hashes), index.dtype), text
         self.before[1:] = self.token[:-1]

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.arrays import Hasher, flat, mix, pieces
+from webloom.llm.arrays import Hasher, flat, mix, names128, pieces, strong
 from webloom.llm.registry import query, table
 from webloom.runtime import cut
 
@@ -80,15 +80,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int, trigger: int) -> t
     ends = offsets[1:][text].copy()
     inner = np.flatnonzero(text[:-1] == text[1:])
     ends[inner] = begins[inner + 1] + length
-    names = np.zeros((len(begins), 2), np.uint64)
-    first = np.searchsorted(text, np.arange(len(offsets)), "left")
-    for low, high in zip(first[:-1].tolist(), first[1:].tolist()):  # by text, so that a long one is hashed alone
-        if high > low:
-            base, top = int(begins[low]), int(ends[high - 1])
-            b, e = begins[low:high] - base, ends[low:high] - base
-            names[low:high, 0] = Hasher(data[base:top]).of(b, e)
-            names[low:high, 1] = Hasher(255 - data[base:top][::-1]).of(top - base - e, top - base - b)
-    return text, begins, ends, names
+    return text, begins, ends, names128(data, begins, ends)
 
 
 def spread(values: np.ndarray, width: int, choose) -> np.ndarray:
@@ -232,7 +224,7 @@ def split_strings(block: Block, place: np.ndarray, value: np.ndarray, text: np.n
         start = np.cumsum(size) - size
         flat_ = raw[np.repeat(a - start, size) + np.arange(int(size.sum()))]
         inside = start[row] + j
-        name = mix(Hasher(flat_).of(inside, inside + length) ^ mix(v.view(np.uint64)[row])).view(np.int64)
+        name = mix(strong(flat_, inside, inside + length) ^ mix(v.view(np.uint64)[row])).view(np.int64)
         key = block.keys[i][row]
         distinct, first, back = np.unique(name, return_index=True, return_inverse=True)
         least = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -313,7 +305,7 @@ def settle(batches, length: int):
             row = np.repeat(np.arange(len(n)), n)
             j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             begin = offsets[:-1][row] + j
-            name = mix(Hasher(data).of(begin, begin + length) ^ mix(value.view(np.uint64)[row]))
+            name = mix(strong(data, begin, begin + length) ^ mix(value.view(np.uint64)[row]))
             carried = last is not None and value[0] == last
             names, keys = (np.concatenate([seen, name]), np.concatenate([seen_key, key[row]])) if carried else (name, key[row])
             distinct, first, back = np.unique(names, return_index=True, return_inverse=True)
