@@ -156,7 +156,7 @@ PRIVATE = [
 
 def test_surrogates(spark):
     df = frame(spark, list(enumerate(PRIVATE)) + [(5, PRIVATE[5])], True)
-    protected = surrogates.protect(df)
+    protected = surrogates.protect(df, "k")
     assert protected.columns == df.columns
     got = {r["doc_id"]: r["text"] for r in protected.collect()}
     assert protected.count() == len(PRIVATE) + 1 and [got[2], got[3], got[4]] == PRIVATE[2:5]
@@ -217,7 +217,7 @@ def test_surrogates_of_persons_with_any_title(spark, monkeypatch):
     letters = "abcdefgh"
     texts = ["met Mr Xaver Klein.", "met Dr Xaver Klein.", "met Dr Xaver Klein and Mr Xaver Klein.", "met Dr Quirin Klein."]
     texts += [f"met {t} {t.lower().title()}o{c} Klein." for t in ("Mr", "Dr", "Mrs") for c in letters]
-    got = [r["text"] for r in surrogates.protect(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    got = [r["text"] for r in surrogates.protect(frame(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()]
     name = got[0].removeprefix("met Mr ").rstrip(".")
     assert got[1] == f"met Dr {name}." and got[2] == f"met Dr {name} and Mr {name}."
     whole = [g.rstrip(".").split(" ", 2)[2] for g in got[:1] + got[3:]]
@@ -230,7 +230,7 @@ def test_surrogates_of_persons_with_any_title(spark, monkeypatch):
 def test_surrogates_drawn_again_reach_the_texts(spark, monkeypatch):
     rows = [(i, f"see Mr. N{chr(97 + i % 26)}{chr(97 + i // 26)} Smith and {chr(97 + i % 26)}{i // 26}@mail.com") for i in range(120)]
     monkeypatch.setattr(surrogates, "GIVEN", {k: v[:2] for k, v in surrogates.GIVEN.items()})
-    got = [r["text"] for r in surrogates.protect(frame(spark, rows)).collect()]
+    got = [r["text"] for r in surrogates.protect(frame(spark, rows), "k").collect()]
     assert len(set(g.split(" and ")[0] for g in got)) == 120 and len({g.split()[-1] for g in got}) == 120
 
 
@@ -522,7 +522,7 @@ def test_connected(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
-    for found in (compression.compression_report(df), compression.keep_sound(df), secrets.secret_spans(df), lengths.with_suffix_sums(lengths.length_histogram(df)), language_model.language_scores(df), surrogates.protect(df),
+    for found in (compression.compression_report(df), compression.keep_sound(df), secrets.secret_spans(df), lengths.with_suffix_sums(lengths.length_histogram(df)), language_model.language_scores(df), surrogates.protect(df, "k"),
                   parsing.remove_repeats(df), decontaminate.contamination(df, items), decontaminate.keep_uncontaminated(df, items), mixing.sample(df),
                   jaccard.near_copies(df), jaccard.one_of_each(df)):
         assert found.count() == 0
@@ -532,4 +532,4 @@ def test_empty_tables(spark):
 
 
 def test_every_operator_is_registered():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
