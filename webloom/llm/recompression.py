@@ -46,7 +46,7 @@ from webloom.llm.registry import query, table
 WIDTH = 35
 SMALL = 4           # words of the symbols that tell which windows are the only ones
 BLOCK = 8 << 20     # bytes of text in a block of documents
-SHARD = 8 << 20     # bytes of names that meet in a shard
+SHARD = 4 << 20     # bytes of names that meet in a shard
 RUN_ROUNDS = 4      # every so many rounds runs are replaced first
 ROUNDS = 400        # far more than the longest text needs; fewer would cost time only
 KEYS = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], [0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]], np.uint64)
@@ -325,9 +325,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
     some = rows.where("text <> ''")
     total = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(int(total // BLOCK) + 1, partitions)
-    bits = max(int(total * 3 // 10 // SHARD), 2 * partitions).bit_length()
+    blocks = max(int(total // BLOCK) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bits = int(total * 3 // 10 // SHARD).bit_length()
     dealt = some.withColumn("twin", F.xxhash64("key", "text")).select(F.pmod(F.hash("twin"), F.lit(blocks)).alias("block"), "key", "twin", "text")
     by_block = dealt.groupBy("block")
     arrow_kind = dealt.select("key").limit(0).toArrow().schema.field("key").type
