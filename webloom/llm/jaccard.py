@@ -12,14 +12,16 @@ enters the index lists of its prefix shingles only, with its size and the shingl
   their differences from the pivot overlap enough, so the (small) differences are joined instead of
   the sets. Only sets that are far from the pivot of a list are compared within it, where their places allow.
 
-Comparison is exact, on the shingles of both whole texts. Shingles that many documents share are found
+Sketches of the sets (shingles counted in buckets) bound what two sets can have in common; only pairs that they
+leave open are compared. Comparison is exact, on the shingles of both whole texts. Shingles that many documents share are found
 in a first scan; their entries are written without being gathered by shingle. What the first scan finds
 decides the order only, never the result.
 
 Null or empty texts, and texts without words, have the empty set and are linked with nothing. Fewer than
 four words are one shingle. Rows that repeat a key count as texts of their own and get the component of
 their text. Rows without a key get the component of their text's class, or null when no row of it has a
-key. An empty table gives an empty result. Only key and text are read.
+key. Keys are cast to 64-bit integers. An empty table gives an empty result. Very long texts are handled whole, in memory
+proportional to them. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -73,6 +75,22 @@ def digest(values: np.ndarray) -> tuple[int, int]:
     return int(mix(np.array([a]))[0].astype(np.int64)), int(mix(np.array([b]))[0].astype(np.int64))
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """How many shingles fall into each of about as many buckets; at most 255 are told."""
+    buckets = 1 << max(4, min(16, int(len(values) - 1).bit_length())) if len(values) else 16
+    return np.minimum(np.bincount((values % np.uint64(buckets)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def most_common(x: bytes, y: bytes, least: int) -> int:
+    """An upper bound of the shingles that two sets have in common, from their sketches; ``least`` is the smaller set's size."""
+    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
+    if min(a.max(), b.max()) == 255:
+        return least
+    size = min(len(a), len(b))
+    a, b = (v.reshape(-1, size).sum(axis=0, dtype=np.int64) for v in (a, b))  # buckets by remainder fold into fewer
+    return int(np.minimum(a, b).sum())
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
@@ -102,14 +120,15 @@ def _texts(batches: Iterator[pa.RecordBatch], width: int):
 
 
 def profiles(rows: DataFrame, width: int) -> DataFrame:
-    """(key, twin, n, h, g): hash of each row's text, size and 128-bit name of its set."""
+    """(key, twin, n, h, g, sketch): hash of each row's text, size, 128-bit name and sketch of its set."""
     def profile(batches):
         for rows, sets in _texts(batches, width):
             names = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("twin"), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array(names[:, 0]), pa.array(names[:, 1])], names=["key", "twin", "n", "h", "g"])
+                                              pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([sketch(s) for s in sets], pa.binary())],
+                                             names=["key", "twin", "n", "h", "g", "sketch"])
 
-    return rows.withColumn("twin", F.xxhash64("text")).mapInArrow(profile, "key long, twin long, n long, h long, g long")
+    return rows.withColumn("twin", F.xxhash64("text")).mapInArrow(profile, "key long, twin long, n long, h long, g long, sketch binary")
 
 
 def frequent(rows: DataFrame, width: int) -> list[tuple[int, int]]:
@@ -256,6 +275,23 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, differences: bool =
     return cut(both.select("kx", "ky", "tx", "ty").mapInArrow(intersect, "x long, y long, both long, nx long, ny long, apart array<long>"))
 
 
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sketches leave a similarity of ``percent`` possible. Only their texts need to be compared."""
+    joined = (pairs.join(sketches.withColumnsRenamed({"node": "x", "n": "nx", "sketch": "sx"}).hint("merge"), "x")
+              .join(sketches.withColumnsRenamed({"node": "y", "n": "ny", "sketch": "sy"}).hint("merge"), "y"))
+
+    def filtered(batches):
+        for batch in batches:
+            x, y, nx, sx, ny, sy = (batch.column(c).to_pylist() for c in ("x", "y", "nx", "sx", "ny", "sy"))
+            keep = np.zeros(len(x), bool)
+            for i in range(len(x)):
+                both = most_common(sx[i], sy[i], min(nx[i], ny[i]))
+                keep[i] = 100 * both >= percent * (nx[i] + ny[i] - both)
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep)), batch.column("y").filter(pa.array(keep))], names=["x", "y"])
+
+    return cut(joined.select("x", "y", "nx", "sx", "ny", "sy").mapInArrow(filtered, "x long, y long"))
+
+
 def derived_pairs(first: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     """(x, y) whose answer follows only from how both differ from their common pivot.
 
@@ -283,9 +319,10 @@ def derived_pairs(first: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     return probe.join(index, ["pivot", "value"]).where("part <> y_part").select("x", "y").distinct()
 
 
-def texts_of(rows: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """(node, text): for each set that has a partner, one text that has it, with a key or without."""
-    lead = cut(classes.select(F.col("h").alias("node"), "lead.key", "lead.twin").join(lists.select("node").distinct(), "node", "left_semi"))
+def texts_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text): for each set of a pair, one text that has it, with a key or without."""
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    lead = cut(classes.select(F.col("h").alias("node"), "lead.key", "lead.twin").join(asked, "node", "left_semi"))
     keyed = (rows.where("key is not null").join(lead.where("key is not null").hint("merge"), "key")
              .where(F.col("twin") == F.xxhash64("text")).select("node", "text"))
     # copies without a key collapse before they meet
@@ -308,10 +345,13 @@ def components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
     filled = frequent(rows, width)
     lists = index_lists(rows, width, percent, Hot(filled))
     pivoted = cut(with_pivots(lists, percent))
-    texts = texts_of(rows, classes, lists)
+    sketches = own.select(F.col("h").alias("node"), "n", "sketch").join(lists.select("node").distinct(), "node", "left_semi")
+    sketches = cut(sketches.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     star = pivoted.where("node <> pivot").where(possible("n", "pos", "pivot_n", "pivot_pos", percent))
-    first = compare(star.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), texts, width, True)
+    # pairs below a half are neither linked nor close
+    star = plausible(star.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sketches, min(50, percent))
+    first = compare(star, texts_of(rows, classes, star), width, True)
     linked = f"100 * both >= {percent} * (nx + ny - both)"
     links = first.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     part = connected(links)
@@ -331,7 +371,8 @@ def components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
     rest = (known.where("outside").join(other, "value").where("node_part <> o_node_part and (not o_outside or x < o_x) and not (near and o_near)")
             .where(possible("n", "pos", "o_n", "o_pos", percent)).select("x", F.col("o_x").alias("y")))
     rest = rest.union(derived_pairs(first, part, percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    second = compare(rest, texts, width)
+    rest = plausible(rest, sketches, percent)
+    second = compare(rest, texts_of(rows, classes, rest), width)
     links = links.union(second.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
     # from sets to the smallest keys of their components
     part = connected(links).withColumnRenamed("node", "h")
