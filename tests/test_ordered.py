@@ -50,8 +50,11 @@ def test_null_keys_are_one_key(spark, rows, monkeypatch):
     for hot_rows in (10, 1000):
         found = Ordered(frame, ["k"], ["at"], hot_rows).row_number("n").result().filter("k is null").orderBy("at")
         assert [r.n for r in found.collect()] == list(range(1, frame.filter("k is null").count() + 1))
-    with pytest.raises(Exception, match="without k"):
-        guarded_ledger(frame, "k", ["at"], "amount").collect()
+    found = guarded_ledger(frame, "k", ["at"], "amount")
+    assert found.columns == [*frame.columns, "accepted", "balance"] and found.count() == frame.count()
+    assert {tuple(r) for r in found.filter("k is null").select("accepted", "balance").collect()} == {(False, None)}
+    alone = guarded_ledger(frame.filter("k is not null"), "k", ["at"], "amount")
+    assert rows(found.filter("k is not null")) == rows(alone)
 
 
 def test_sessions_on_a_hot_user(spark, rows):

@@ -301,13 +301,16 @@ def test_pool_tables(spark, rows):
         ("topic_scrape", "scrape", "busy", "w"), ("topic_store", "store", "available", None)]
     held = spark.createDataFrame([("t1", True, "w1"), ("t2", True, "w2"), ("t3", False, "")],
                                  "topic_name string, assigned boolean, workflow_id string")
-    done = spark.createDataFrame([("w1",), ("w1",)], "workflow_id string")
+    done = spark.createDataFrame([("w1",), ("w1",), ("",), (None,)], "workflow_id string")
     assert rows(release(held, done)) == [("t1", False, ""), ("t2", True, "w2"), ("t3", False, "")]
+    nobody = spark.createDataFrame([("t4", False, None)], held.schema)
+    assert rows(release(held.union(nobody), done))[-1] == ("t4", False, None)
 
 
 def test_dedup(spark, rows):
     frame = spark.createDataFrame([("u", 2, "new"), ("u", 1, "old"), ("v", 1, None)], "url string, fetched_at int, html string")
     assert rows(first_content(frame)) == sorted([("u", "old"), ("v", None)], key=repr)
+
     assert rows(keep_first(frame, ["url"], ["fetched_at"])) == sorted([("u", 1, "old"), ("v", 1, None)], key=repr)
 
 
@@ -362,3 +365,35 @@ def test_classifier_scores_every_document(spark):
     labelled = spark.read.parquet(f"{folder}/labels.parquet").count()
     assert sorted(r["doc_id"] for r in found) == keys and all(r["prediction"] in (0.0, 1.0) for r in found)
     assert 0 < sum(r["label"] is not None for r in found) <= labelled and any(r["label"] is None for r in found)
+
+
+@pytest.mark.parametrize("wide", [[], ["html"]])
+@pytest.mark.parametrize("kind,keys", [
+    ("timestamp", ["2024-01-01 00:00:00.000100", "2024-01-01 00:00:00.000900", None]), ("decimal(38,20)", ["0.00000000000000000001", "0.00000000000000000002", None]),
+    ("double", ["0.1", "0.10000000000000002", None]), ("string", ["a", "a ", None]), ("binary", ["x", "y", None]),
+    ("struct<a:timestamp_ntz>", None)])
+def test_first_of_each_key_as_it_is(spark, kind, keys, wide):
+    """Keys differ wherever their values do; null is a key; nulls come last in the order; of equal rows any one."""
+    if keys is None:
+        made = [F.struct(F.lit(f"2024-01-01 00:00:00.00{i}").cast("timestamp_ntz").alias("a")) for i in ("0001", "0002")] + [F.lit(None).cast(kind)]
+    else:
+        made = [F.lit(k).cast(kind) for k in keys]
+    one = spark.range(4).crossJoin(spark.range(3).withColumnRenamed("id", "which"))
+    pick = F.when(F.col("which") == 0, made[0]).when(F.col("which") == 1, made[1]).otherwise(made[2])
+    frame = one.select(pick.alias("k"), "which", F.when(F.col("id") > 0, F.col("id")).alias("at"), F.col("id").alias("n"), F.concat(F.lit("h"), "id").alias("html"))
+    found = keep_first(frame, ["k"], ["at"], wide)
+    assert found.columns == frame.columns
+    assert sorted((r.which, r["at"], r.n, r.html) for r in found.collect()) == [(i, 1, 1, "h1") for i in range(3)]
+    slim = keep_first(frame.drop("html"), ["k"], ["at"])
+    assert sorted((r.which, r["at"], r.n) for r in slim.collect()) == [(i, 1, 1) for i in range(3)]
+    never = keep_first(frame.withColumn("at", F.lit(None).cast("int")), ["k"], ["at"], wide)
+    assert sorted(r.which for r in never.collect()) == [0, 1, 2]
+
+
+def test_first_of_each_key_takes_whole_rows(spark):
+    frame = spark.range(3000).select((F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("at"), F.col("id").alias("a"), (-F.col("id")).alias("b"),
+                                     F.col("id").cast("string").alias("c"))
+    for columns in (["k", "at", "a", "b"], ["k", "at", "a", "b", "c"]):
+        for wide in ([], ["b"]):
+            got = keep_first(frame.select(columns), ["k"], ["at"], wide).collect()
+            assert len(got) == 7 and all(r["at"] == 0 and r["a"] == -r["b"] and (len(r) == 4 or r["c"] == str(r["a"])) for r in got)

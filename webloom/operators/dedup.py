@@ -7,27 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """DDP-1: one row per key, the first in ``order``; of equal ones any.
+# A hash aggregate needs buffers of fixed width; these types have it.
+FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType,
+               T.TimestampType, T.TimestampNTZType)
 
-    For one order column of a number or time, the first of each key is a hash aggregate over a digest of the
-    keys, and the rows come in by a join on (digest, order): wide columns are in no aggregate, and the copies
-    of a key are spread over all tasks.  Other orders aggregate whole rows; there too copies
-    collapse before the shuffle.
+
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], wide: Sequence[str] = ()) -> DataFrame:
+    """DDP-1: one row per key, the first in ``order``, nulls last; of equal ones any.
+
+    The keys themselves are grouped, so they differ wherever their values do.  Copies of a key collapse in
+    the task that reads them, before the one shuffle: by a hash aggregate where the other columns have a fixed width,
+    otherwise by an aggregate of whole rows.  ``wide`` names columns that hold large values, such as pages: they stay out of
+    the aggregate and come in by a join on key and order.
     """
-    if len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.NumericType | T.DatetimeType):
-        name = f"c{df.columns.index(order[0])}"
-        rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        digest = F.sha2(F.to_json(F.struct(*[f"c{df.columns.index(k)}" for k in keys])), 256)
-        rows = rows.withColumn("_key", digest)
-        first = rows.groupBy("_key").agg(F.min(name).alias("_first")).withColumnRenamed("_key", "_of")
-        kept = rows.join(first, (F.col("_key") == F.col("_of")) & F.col(name).eqNullSafe(F.col("_first")), "left_semi")
-        nth = F.row_number().over(Window.partitionBy("_key", name).orderBy("_key"))
-        return kept.withColumn("_nth", nth).filter("_nth = 1").drop("_key", "_nth").toDF(*df.columns)
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(first).select(*[
-        F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    place = lambda c: f"c{df.columns.index(c)}"
+    group, by = [place(k) for k in keys], [place(o) for o in order]
+    rest = [c for c in rows.columns if c not in group]
+    if not rest:
+        return df.distinct()
+    if wide:
+        first = _one_per_key(rows.select(*group, *[c for c in by if c not in group]), group, by, [c for c in by if c not in group])
+        named = first.toDF(*[f"f_{c}" for c in first.columns])
+        same = [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in first.columns]
+        rows = rows.join(named, same, "left_semi")
+    return _one_per_key(rows, group, by, rest).select(*rows.columns).toDF(*df.columns)
+
+
+def _one_per_key(rows: DataFrame, group: list[str], by: list[str], rest: list[str]) -> DataFrame:
+    if not rest:
+        return rows.distinct()
+    if len(by) == 1 and all(isinstance(rows.schema[c].dataType, FIXED_WIDTH) for c in (*rest, *by)):
+        # all columns follow the same comparisons, so they come from the same row
+        none = F.min(by[0]).isNull()
+        picked = [F.when(none, F.first(c)).otherwise(F.min_by(c, by[0])).alias(c) for c in rest]
+        return rows.groupBy(*group).agg(*picked)
+    place = F.struct(*[x for c in by for x in (F.col(c).isNull(), F.col(c))])
+    first = rows.groupBy(*group).agg(F.min_by(F.struct(*rest), place).alias("row"))
+    return first.select(*group, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], event_time: str | None = None,
@@ -41,5 +58,5 @@ def distinct_on(df: DataFrame, keys: Sequence[str], event_time: str | None = Non
 
 
 def first_content(pages: DataFrame, url: str = "url", content: str = "html", order: str = "fetched_at") -> DataFrame:
-    """DDP-2: the first content seen for a URL wins; the content itself meets one join and no aggregate."""
-    return keep_first(pages.select(url, content, order), [url], [order]).select(url, content)
+    """DDP-2: the first content seen for a URL wins; which one that is is found without the content."""
+    return keep_first(pages.select(url, content, order), [url], [order], [content]).select(url, content)

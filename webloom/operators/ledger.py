@@ -12,8 +12,8 @@ CHUNK_ROWS = 20_000
 RUN_CHUNKS = 256
 
 
-def enrich_payments(sessions: DataFrame, intents: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JON-5: (accepted, rejected) payments.
+def judged_payments(sessions: DataFrame, intents: DataFrame, users: DataFrame) -> DataFrame:
+    """JON-5: completed payments with ``reject_reason``, null for those that are accepted.
 
     ``sessions(type, session_id, payment_intent_id, customer_email, ts)`` join
     ``intents(payment_intent_id, metadata)`` for the credit amount and ``users(email)``.
@@ -28,10 +28,14 @@ def enrich_payments(sessions: DataFrame, intents: DataFrame, users: DataFrame) -
                           F.when(F.col("metadata").isNull(), "payment intent not found")
                           .when(F.col("credits").isNull() | (F.col("credits") <= 0), "invalid credit amount")
                           .when(F.col("_known").isNull(), "user not found")))
-    columns = ["session_id", "customer_email", "credits", "ts"]
-    accepted = joined.filter(F.col("reject_reason").isNull()).select(*columns)
-    rejected = joined.filter(F.col("reject_reason").isNotNull()).select(*columns, "reject_reason")
-    return accepted, rejected
+    return joined.select("session_id", "customer_email", "credits", "ts", "reject_reason")
+
+
+def enrich_payments(sessions: DataFrame, intents: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JON-5: (accepted, rejected) payments; judged once and written, then split."""
+    judged = cut(judged_payments(sessions, intents, users))
+    accepted = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    return accepted, judged.filter(F.col("reject_reason").isNotNull())
 
 
 def distinct_payments(payments: DataFrame, session: str = "session_id", order: str = "ts") -> DataFrame:
@@ -67,15 +71,16 @@ def guarded_ledger(events: DataFrame, key: str, order: list[str], amount: str, o
     """WIN-3: apply signed amounts in order; a debit the balance cannot cover is rejected.
 
     Adds ``accepted`` and ``balance`` (after the event).  ``opening(key, balance)`` gives start
-    balances, 0 otherwise.  Amounts and balances are whole numbers; an event without a key raises.
+    balances, 0 otherwise.  Amounts and balances are whole numbers.  An event without a key has no balance: it
+    comes out as not accepted, with a null balance, and the others are applied as if it were not there.
 
     A key's events are cut into chunks of ``chunk_rows``.  Inside a chunk the fold is an
     expression over a bounded array.  Where all keys fit one chunk that is the whole plan; for
     larger keys the opening balance of every chunk is found first (``_chunk_openings``).
     """
     amount_col = F.col(amount).cast("bigint")
-    unkeyed = F.raise_error(F.lit(f"ledger event without {key}"))
-    events = events.withColumn(key, F.when(F.col(key).isNull(), unkeyed).otherwise(F.col(key)))
+    unkeyed = events.filter(F.col(key).isNull()).withColumns({"accepted": F.lit(False), "balance": F.lit(None).cast("bigint")})
+    events = events.filter(F.col(key).isNotNull())
     several_chunks = has_hot_key(events, [key], chunk_rows)
     numbered = Ordered(events, [key], order, hot_rows, split=None if several_chunks else False).row_number(
         "_seq").result()
@@ -94,7 +99,7 @@ def guarded_ledger(events: DataFrame, key: str, order: list[str], amount: str, o
         start = cut(start)
         found = _chunk_openings(start, key)
         start = start.join(found, [key, "_chunk"], "left").withColumn("_start", F.coalesce("_opening", "_start"))
-    return _fold_rows(start, key, columns)
+    return _fold_rows(start, key, columns).unionByName(unkeyed)
 
 
 def _fold_rows(chunks: DataFrame, key: str, columns: list[str]) -> DataFrame:

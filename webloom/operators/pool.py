@@ -41,11 +41,16 @@ def allot(requests: DataFrame, pool: DataFrame, request_order: list[str], pool_o
 
 
 def release(pool: DataFrame, finished: DataFrame) -> DataFrame:
-    """JON-4: rows held by a finished workflow become free."""
-    done = finished.select("workflow_id", F.lit(True).alias("_done")).distinct()
-    joined = pool.join(done, "workflow_id", "left")
+    """JON-4: rows held by a finished workflow become free.
+
+    Free rows hold no workflow (null or empty) and are most of a pool: they stay out of the join, where they
+    would all have one key.
+    """
+    done = finished.select("workflow_id", F.lit(True).alias("_done")).filter("workflow_id <> ''").distinct()
+    joined = pool.filter("workflow_id <> ''").join(done, "workflow_id", "left")
     freed = F.col("_done").isNotNull()
-    return joined.select(*[
+    held = joined.select(*[
         F.when(freed, F.lit(False)).otherwise(F.col(c)).alias(c) if c == "assigned"
         else F.when(freed, F.lit("")).otherwise(F.col(c)).alias(c) if c == "workflow_id"
         else F.col(c) for c in pool.columns])
+    return held.unionByName(pool.filter("workflow_id is null or workflow_id = ''"))

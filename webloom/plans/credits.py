@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators.classify import evaluate, held_out, predict, split_train_test, train
 from webloom.operators.ledger import (
-    balances, distinct_payments, enrich_payments, guarded_ledger, skip_immediate_repeats,
+    balances, distinct_payments, guarded_ledger, judged_payments, skip_immediate_repeats,
 )
 from webloom.operators.pool import add_missing_topics, allot, rank_within_type, release
 from webloom.operators.users import apply_subscriptions, look_up_credits, sign_up
@@ -133,14 +133,14 @@ def _payments(spark, sf_dir):
     credits = F.when(F.col("event_type") == "signup", "none").otherwise(F.get_json_object("props", "$.k"))
     intents = events.select(F.concat(F.lit("pi_"), F.col("event_id").cast("string")).alias("payment_intent_id"),
                             F.create_map(F.lit("credits"), credits).alias("metadata"))
-    return enrich_payments(sessions, intents, _users(spark, sf_dir))
+    return judged_payments(sessions, intents, _users(spark, sf_dir))
 
 
 @query("jon5_accepted_payments", "with " + PAYMENTS + """
 select session_id, customer_email, credits, ts from joined where reject_reason is null
 """)
 def accepted_payments(spark, sf_dir):
-    return _payments(spark, sf_dir)[0]
+    return _payments(spark, sf_dir).filter("reject_reason is null").drop("reject_reason")
 
 
 @query("jon5_rejected_payments", "with " + PAYMENTS + """
@@ -148,7 +148,7 @@ select session_id, customer_email, credits, ts, reject_reason from joined
 where reject_reason is not null
 """)
 def rejected_payments(spark, sf_dir):
-    return _payments(spark, sf_dir)[1]
+    return _payments(spark, sf_dir).filter("reject_reason is not null")
 
 
 @query("agg6_credit_balances", "with " + ACCOUNTS + "," + PAYMENTS + """
@@ -157,7 +157,7 @@ from accounts a left join joined j on j.customer_email = a.email and j.reject_re
 group by a.email, a.credits
 """)
 def credit_balances(spark, sf_dir):
-    paid = distinct_payments(_payments(spark, sf_dir)[0]).withColumnRenamed("customer_email", "email")
+    paid = distinct_payments(accepted_payments(spark, sf_dir)).withColumnRenamed("customer_email", "email")
     return balances(_users(spark, sf_dir), paid).select("email", "credits")
 
 

@@ -13,9 +13,12 @@ from webloom.plans.registry import query, table
 from webloom.runtime import working_path
 from webloom.sources.tables import stream_table
 from webloom.streaming.crawl import page_messages
+from webloom.streaming.generations import IdStore, once_sink, upsert_table
+from webloom.streaming.keyed_ledger import keyed_ledger
 from webloom.streaming.ledger import current_balances, ledger_sink, once_per_event
 from webloom.streaming.route import Routes, decode_tasks, transform_tasks
 from webloom.streaming.run import consume, latest_rows, routed_sink, start, start_batches, table_sink
+from webloom.streaming.steps import in_steps, time_part
 from webloom.streaming.windowed import windowed_aggregate
 
 
@@ -144,3 +147,82 @@ def stream_page_records(spark, sf_dir):
     messages = page_messages(stream_of(spark, sf_dir, "pages").select("page_id", "html"), "nav li",
                              {"link": "a"}, "page_id")
     return spark.read.parquet(run_to_table(messages, "records")).select("value")
+
+
+# -- several micro-batches -------------------------------------------------------
+def _arrivals(rows, time, event_id, parts, late):
+    """The part in which a row arrives: its part of the time span, and one in seven two parts later."""
+    span = rows.agg(F.min(time).alias("low"), F.max(time).alias("high")).first()     # one row
+    part = time_part(F.col(time), F.lit(span.low), F.lit(span.high), parts)
+    return part + F.when(F.lit(late) & (F.col(event_id) % 7 == 0), 2).otherwise(0)
+
+
+ARRIVED = """
+with span as (select epoch_us(min(ts)) as low, epoch_us(max(ts)) as high from events),
+arrived as (
+  select event_id, ts, event_type, user_id, (props->>'k')::double as k,
+         least(4, (epoch_us(ts) - low) * 5 // (high - low + 1)) + case when event_id % 7 = 0 then 2 else 0 end as part
+  from events, span),
+marks as (
+  select p.part, (select time_bucket(interval 1 millisecond, max(ts)) - interval 5 minutes from arrived a where a.part < p.part) as mark
+  from (select distinct part from arrived) p)
+"""
+
+
+@query("str5_late_rows", ARRIVED + """
+, parts as (
+  select time_bucket(interval 5 minutes, ts) - to_minutes(5 * o) as window_start, k, mark
+  from arrived join marks using (part), (values (0), (1)) v(o))
+select window_start, window_start + interval 10 minutes as window_end, count(*) as task_count, avg(k) as k_avg
+from parts where mark is null or window_start + interval 10 minutes > mark group by 1
+""")
+def late_rows(spark, sf_dir):
+    """STR-5, STR-3: events in seven parts, one in seven late; windows that the watermark has passed take none of them.
+
+    The windows are merged by key as they change.
+    """
+    events = table(spark, sf_dir, "events")
+    path = working_path(spark, "late")
+    windows = upsert_table(spark, f"{path}/windows", ["window"], compact_every=3)
+
+    def begin(stream):
+        result = windowed_aggregate(timed(window_events(stream)), {"task": "count", "k": "avg"})
+        return start_batches(result, windows.append, f"{path}/checkpoint", "update")
+
+    in_steps(events, _arrivals(events, "ts", "event_id", 5, True), 7, path, begin)
+    return windows.read().select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                                 F.col("window.end").cast("timestamp_ntz").alias("window_end"), "task_count", "k_avg")
+
+
+@query("str8_exact_dedup", ARRIVED + """
+select user_id, event_type, min_by(event_id, (part, ts, event_id)) as event_id from arrived group by user_id, event_type
+""")
+def exact_dedup(spark, sf_dir):
+    """STR-8, DDP-3: the first arrival of each user and type, over all batches and without a watermark."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    path = working_path(spark, "once")
+    store = IdStore(spark, f"{path}/ids", ["user_id", "event_type"], buckets=16, blocks=8, compact_every=3)
+    sink = once_sink(store, ["ts", "event_id"], table_sink(f"{path}/rows"))
+    in_steps(events, _arrivals(events, "ts", "event_id", 5, True), 7, path, lambda stream: start_batches(stream, sink, f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/rows").select("user_id", "event_type", "event_id")
+
+
+@query("str7_keyed_ledger", LEDGER + """
+select o_custkey, o_orderkey, amount, before + amount >= 0 as accepted, balance from entries
+""")
+def keyed_ledger_query(spark, sf_dir):
+    """STR-7, DDP-3, WIN-3: orders in four parts, the first of them sent again with the third, through keyed state."""
+    amount = F.when(F.col("o_orderstatus") == "F", F.floor(F.col("o_totalprice") / 100)).otherwise(
+        -F.floor(F.col("o_totalprice") / 90)).cast("bigint")
+    moves = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), amount.alias("amount"))
+    part = _arrivals(moves, "at", "o_orderkey", 4, False)
+    sent = moves.withColumn("part", part)
+    sent = sent.union(sent.filter("part = 0").withColumn("part", F.lit(2)))
+    path = working_path(spark, "keyed")
+
+    def begin(stream):
+        entries = keyed_ledger(stream.drop("part"), "o_custkey", "o_orderkey", "at", ["at", "o_orderkey"], "amount", "30 days")
+        return start_batches(entries, table_sink(f"{path}/rows"), f"{path}/checkpoint")
+
+    in_steps(sent, F.col("part"), 4, path, begin)
+    return spark.read.parquet(f"{path}/rows").drop("batch_id")
