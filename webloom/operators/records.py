@@ -20,9 +20,19 @@ def map_fields(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 
 def header(df: DataFrame, record: str) -> list[str]:
-    """PRJ-11: every key that occurs in a map column, sorted.  A header is a schema, so it comes to the driver."""
-    keys = df.select(F.explode(F.map_keys(record)).alias("k")).distinct()
-    return sorted(row.k for row in keys.collect())
+    """PRJ-11: every key that occurs in a map column, sorted.
+
+    Spark merges the keys into one schema, task by task; that schema is all that comes to the driver.
+    """
+    keyed = F.transform_values(record, lambda k, v: F.lit(True))
+    merged = df.filter(F.col(record).isNotNull()).agg(F.schema_of_variant_agg(F.to_variant_object(keyed)).alias("s")).first().s
+    kind = T._parse_datatype_string(merged.replace("OBJECT<", "struct<", 1)) if merged and merged.startswith("OBJECT<") else T.StructType()
+    return sorted(kind.names)
+
+
+def long_layout(df: DataFrame, record: str, row: str) -> DataFrame:
+    """PRJ-11 for very many keys: ``(row, key, value)``, one row per entry, instead of a column per key."""
+    return df.select(F.col(row), F.explode(record).alias("key", "value"))
 
 
 def widen(df: DataFrame, record: str, fields: Sequence[str] | None = None) -> DataFrame:

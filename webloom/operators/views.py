@@ -30,6 +30,43 @@ def create_view(df: DataFrame, user_id: str, workflow_id, column: str = "workflo
     return name
 
 
+def publish(df: DataFrame, name: str, path: str) -> DataFrame:
+    """SQL-1: write rows as a table of the catalog, for views and sessions beside this one."""
+    _checked(name)
+    df.write.mode("overwrite").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def typed_literal(value, kind: str) -> str:
+    """A value as SQL text of the given type. The text holds hexadecimal digits only, so no value can end it."""
+    if value is None:
+        return f"cast(null as {kind})"
+    return f"try_cast(decode(unhex('{str(value).encode().hex()}'), 'utf-8') as {kind})"
+
+
+def create_stored_view(spark: SparkSession, table: str, user_id: str, workflow_id, column: str = "workflow_id",
+                       columns: list[str] | None = None) -> str:
+    """SQL-1: create or replace the view ``<user>_view`` in the catalog, over one workflow of a table, and return its name.
+
+    The view stays for other sessions; the value is compared as the column's type.
+    """
+    name = _checked(f"{user_id}_view")
+    stored = spark.table(_checked(table))
+    kind = stored.schema[column].dataType.simpleString()
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    picked = ", ".join(quoted(c) for c in columns or stored.columns)
+    spark.sql(f"create or replace view {name} as select {picked} from {table} where {quoted(column)} = {typed_literal(workflow_id, kind)}")
+    if not view_exists(spark, name):
+        raise RuntimeError(f"view {name} was not created")
+    return name
+
+
+def _checked(name: str) -> str:
+    if not NAME.match(name):
+        raise ValueError(f"not a table or view name: {name!r}")
+    return name
+
+
 def view_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 

@@ -284,6 +284,15 @@ def page_predictions(spark, sf_dir):
     return _predictions(spark, sf_dir).select("doc_id", held_out("doc_id").alias("held_out"), "label", "prediction")
 
 
+@query("ml1_scored_documents", """
+select doc_id, (('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 1000) >= 800 as held_out, quality::double as label, true as scored
+from documents left join labels using (doc_id)
+""")
+def scored_documents(spark, sf_dir):
+    """ML-1: every document gets one of the two classes."""
+    return page_predictions(spark, sf_dir).select("doc_id", "held_out", "label", F.col("prediction").isin(0, 1).alias("scored"))
+
+
 @query("ml1_page_classifier", """
 with labelled as (
   select quality, (('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 1000) >= 800 as held_out

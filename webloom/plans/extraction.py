@@ -5,6 +5,8 @@ The SQL checks read the raw html with regular expressions and never see the node
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from webloom.dom.css import descendant_pairs, match_rows, matches, with_text
@@ -13,10 +15,12 @@ from webloom.dom.extract import (
     joined_text, link_titles, longest_field, page_fields, page_record, page_selectors, pages_without_matches,
     parent_records, positional_zip, raw_selectors, record_arrays, repeated_containers, single_field_rows, single_match_records,
 )
+from webloom.dom.node_table import children, containment, whole_buckets, write_nodes
 from webloom.dom.shred import register_dom_nodes, slice_text
 from webloom.functions.text import signature
 from webloom.functions.urls import absolute_link, absolute_links_in, origin
 from webloom.plans.registry import query, shredded_pages, wide_table
+from webloom.runtime import cut
 
 
 def _decoded(x: str) -> str:
@@ -81,7 +85,7 @@ def element_counts(spark, sf_dir):
     return nodes.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ext0_node_table", FACTS + """
+@query("ext0_node_places", FACTS + """
 , ids as (select page_id, links, unnest(range(len(links))) as i from facts),
 nodes as (
   select page_id, 'ul' as tag, 8 as pre, (8 + 2 * len(links))::int as last, array_to_string(links, '') as content
@@ -92,7 +96,7 @@ nodes as (
   union all select page_id, 'title', 3, 3, title from facts)
 select page_id, tag, pre, last, content from nodes
 """)
-def node_table(spark, sf_dir):
+def node_places(spark, sf_dir):
     """The interval table of all pages, for the tags whose ids plain text can predict."""
     tags = ("ul", "li", "a", "h1", "title")
     shredded = shredded_pages(spark, sf_dir)
@@ -102,6 +106,44 @@ def node_table(spark, sf_dir):
     return shredded.select("page_id", F.inline(rows))
 
 
+@query("ext0_node_table")
+def node_table(spark, sf_dir):
+    """All elements of all pages with their intervals and texts. Plain text cannot predict the ids inside paragraphs, so SQL checks
+    ``ext0_node_places`` and the tests the rest."""
+    shredded = shredded_pages(spark, sf_dir)
+    rows = with_text(lambda text: F.transform("nodes", lambda n: F.struct(
+        n["tag"].alias("tag"), n["pre"].alias("pre"), n["last"].alias("last"), slice_text(text, n).alias("content"))))
+    return shredded.select("page_id", F.inline(rows))
+
+
+def _stored_nodes(spark, sf_dir, use):
+    """What ``use`` makes of the written node table."""
+    name = f"nodes_{uuid.uuid4().hex}"
+    nodes = write_nodes(shredded_pages(spark, sf_dir), name, buckets=16)
+    try:
+        with whole_buckets(spark):
+            return cut(use(nodes))
+    finally:
+        spark.sql(f"drop table {name}")
+
+
+@query("jon6_node_table_pairs", FACTS + """
+, ids as (select page_id, links, unnest(range(len(links))) as i from facts)
+select page_id, 7 as outer_pre, (10 + 2 * i)::int as pre, links[i + 1] as content from ids
+""")
+def node_table_pairs(spark, sf_dir):
+    """JON-6 over a table of elements, bucketed by page: one pass, no shuffle."""
+    return _stored_nodes(spark, sf_dir, lambda nodes: containment(nodes, F.col("tag") == "nav", F.col("tag") == "a"))
+
+
+@query("jon7_node_table_children", FACTS + """
+select page_id, unnest(links) as content from facts
+""")
+def node_table_children(spark, sf_dir):
+    """JON-7 over a table of elements: links directly under list items."""
+    return _stored_nodes(spark, sf_dir, lambda nodes: children(nodes, F.col("tag") == "li", F.col("tag") == "a").select("page_id", "content"))
+
+
 @query("udf2_dom_nodes_lateral", FACTS + """
 select page_id, unnest(links) as content from facts
 """)

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from webloom.operators.dedup import distinct_on, first_content, keep_first
 from webloom.operators.paging import (
-    cap_pages, numbered_pages, page, page_after, page_count, preview, storage_order,
+    cap_pages, numbered_pages, page, page_after, page_count, preview, read_page, storage_order, write_pages,
 )
 from webloom.operators.records import (
     append_batches, credit_rules, map_fields, reject_reason, repair_pages, widen, workflow_rules,
 )
 from webloom.operators.sessions import collect_actions, sessions
-from webloom.operators.views import create_view, run_sql, visible_rows, workflow_rows
+from webloom.operators.views import create_stored_view, create_view, list_catalog, publish, run_sql, visible_rows, workflow_rows
 from webloom.operators.workflow import fan_out, root_tasks, terminal_tasks
 from webloom.plans.registry import query, table, wide_table
-from webloom.runtime import working_path
+from webloom.runtime import cut, working_path
 from webloom.sinks.tables import (
     action_logs, append_documents, append_long, document_rows, read_between, stamped, workflow_documents, write_action_logs,
     write_csv, write_workflows,
 )
+from webloom.sources.collections import read_collection, write_collection
 from webloom.sources.generators import page_urls, seed_pool, topic_names
 from webloom.sources.tables import apply_schema, declared_schema, explode_forms, read_forms, read_table
 
@@ -130,13 +132,13 @@ def long_form(spark, sf_dir):
 select o_orderkey::varchar as url,
        '{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' as content,
        o_orderdate as scraped_at
-from orders where o_orderdate >= '1995-01-01' and o_orderdate < '1997-01-01'
+from orders
 """)
 def document_append(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("url", F.col("o_orderkey").cast("string"))
     path = working_path(spark, "documents")
     append_documents(document_rows(orders, "url", ["o_orderstatus", "o_orderpriority"], F.col("o_orderdate")), path)
-    return read_between(spark, path, "1995-01-01", "1997-01-01")
+    return read_between(spark, path)
 
 
 @query("snk8_csv_export", """
@@ -214,6 +216,61 @@ def created_view(spark, sf_dir):
     return spark.table(name).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("sql1_stored_view", """
+select event_type, count(*) as n from events where user_id = 8 group by event_type
+""")
+def stored_view(spark, sf_dir):
+    """SQL-1: a table and a view of the catalog, read in a second session; written out before both are dropped."""
+    user = f"u{uuid.uuid4().hex}"
+    publish(table(spark, sf_dir, "events"), f"events_{user}", working_path(spark, "events"))
+    name = create_stored_view(spark, f"events_{user}", user, "8", "user_id")
+    try:
+        return cut(spark.newSession().table(name).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+    finally:
+        spark.sql(f"drop view {name}")
+        spark.sql(f"drop table events_{user}")
+
+
+@query("sql2_catalog", """
+select 'table' as kind, count(*) as n from (values ('t'), ('v'))
+""")
+def catalog_listing(spark, sf_dir):
+    """SQL-2: a table of the given events and a view of it are listed."""
+    user = f"u{uuid.uuid4().hex}"
+    publish(table(spark, sf_dir, "events").select("event_id", "user_id"), f"events_{user}", working_path(spark, "events"))
+    name = create_stored_view(spark, f"events_{user}", user, 8, "user_id")
+    try:
+        listed = list_catalog(spark).filter(F.col("name").isin(name, f"events_{user}"))
+        return cut(listed.groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+    finally:
+        spark.sql(f"drop view {name}")
+        spark.sql(f"drop table events_{user}")
+
+
+@query("src5_collection_scan", """
+select o_orderkey, o_totalprice, o_orderpriority from orders where o_orderkey >= 1000 and o_orderstatus = 'O'
+""")
+def collection_scan(spark, sf_dir):
+    """SRC-5, SRC-8: orders as a document collection, read in its declared schema; the reader itself filters."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"),
+                                                   "o_orderstatus", "o_orderpriority", F.lit("x").alias("internal"))
+    path = working_path(spark, "collection")
+    write_collection(orders, path, hidden=("internal",))
+    found = read_collection(spark, path)
+    return found.filter((F.col("o_orderkey") >= 1000) & (F.col("o_orderstatus") == "O")).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@query("srt3_deep_page", """
+select event_id, user_id, ts from events order by ts, event_id limit 100 offset (select 100 * (count(*) // 100 * 3 // 4 - 1) from events)
+""")
+def deep_page(spark, sf_dir):
+    """SRT-3: a page three quarters in, by the directory of written pages."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    path, order, size = working_path(spark, "pages"), ["ts", "event_id"], 100
+    write_pages(events, order, path, tasks=16)
+    return read_page(spark, path, order, events.count() // size * 3 // 4, size)
+
+
 @query("sql3_ad_hoc_sql", """
 select o_orderstatus, count(*) as n, max(o_totalprice) as max_price from orders
 where o_totalprice > 1000 group by o_orderstatus

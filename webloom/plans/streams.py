@@ -11,6 +11,7 @@ from webloom.plans.extraction import FACTS
 from webloom.plans.messages import TASKS, WINDOWED, task_messages_of, window_events
 from webloom.plans.registry import query, table
 from webloom.runtime import working_path
+from webloom.sources.folder_log import append_messages, log_stream
 from webloom.sources.tables import stream_table
 from webloom.streaming.crawl import page_messages
 from webloom.streaming.generations import IdStore, once_sink, upsert_table
@@ -226,3 +227,25 @@ def keyed_ledger_query(spark, sf_dir):
 
     in_steps(sent, F.col("part"), 4, path, begin)
     return spark.read.parquet(f"{path}/rows").drop("batch_id")
+
+
+@query("src4_offset_log", """
+select event_type, count(*) as n, sum((props->>'k')::bigint)::bigint as k_sum, count(*) as offsets from events group by event_type
+""")
+def offset_log(spark, sf_dir):
+    """SRC-3, SRC-4: events through a log of three partitions per topic, in two appends, read from the earliest offset and committed."""
+    path = working_path(spark, "log")
+    events = table(spark, sf_dir, "events")
+    messages = events.select(F.col("event_type").alias("topic"), F.col("user_id").alias("key"), F.col("props").alias("value"), "event_id")
+    query = None
+    try:
+        for half in (0, 1):
+            append_messages(messages.filter(F.col("event_id") % 2 == half), f"{path}/log")
+            query = query or start_batches(log_stream(spark, f"{path}/log", group="g"), table_sink(f"{path}/rows"), f"{path}/checkpoint")
+            query.processAllAvailable()
+    finally:
+        if query:
+            query.stop()
+    k = F.get_json_object("value", "$.k").cast("bigint")
+    return spark.read.parquet(f"{path}/rows").groupBy(F.col("topic").alias("event_type")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"), F.count_distinct("partition", "offset").alias("offsets"))

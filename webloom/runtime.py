@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-# What the library counts on: of repeated JSON keys the last one counts, and an Arrow batch of pages stays small.
+# What the library counts on: of repeated JSON keys the last one counts, an Arrow batch of pages stays small, and
+# data sources written in Python are asked for filters.
 SETTINGS = {"spark.sql.variant.allowDuplicateKeys": "true",
+            "spark.sql.python.filterPushdown.enabled": "true",
             "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024)}
 
 
