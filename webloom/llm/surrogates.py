@@ -29,6 +29,8 @@ from webloom.runtime import cut
 
 QUERY_SECRET = "key of the registered query"  # an application has its own, which it tells nobody
 
+FEW_ROWS, FEW_BYTES = 100_000, 16 << 20  # (text, entity drawn again) pairs that may be broadcast: some 100 bytes each beside the entity
+
 # Titles and given names tell a person; fixed values, by gender.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Signor", "Господин", "Κύριος"),
           "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Signora", "Госпожа", "Κυρία"),
@@ -280,7 +282,11 @@ def protect(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     # which texts hold an entity that was drawn again, or a person told elsewhere: short lists, by text
     hold = docs.where(may_hold_entity(body)).select(F.xxhash64(body).alias("h"), F.md5(body.cast("binary")).alias("m"), F.filter(matched(body), lambda e: e.isNotNull()).alias("found"))
     hold = hold.select("h", "m", F.explode(entities_of(F.col("found"))).alias("e")).select("h", "m", sort_of(F.col("e.kind")).alias("sort"), "e.norm").join(again, ["sort", "norm"])
+    hold = cut(hold)
+    rows, size = hold.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("norm")), F.lit(0))).first()
     hold = hold.groupBy("h", "m").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "sort", "norm"), F.struct("kind", "attempt")))).alias("told"))
+    if rows <= FEW_ROWS and size <= FEW_BYTES:
+        hold = F.broadcast(hold)  # the texts stay where they are
     names = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = f"c{names.index(text)}"
