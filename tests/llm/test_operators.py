@@ -136,15 +136,31 @@ def test_elias_fano_and_trie():
         assert (s.successor(asked) == np.searchsorted(values, asked)).all()
     pairs = np.unique(rng.integers(0, 1 << 40, (400, 1)).repeat(2, 1) % np.array([97, 89]), axis=0).astype(np.uint64)
     p = np.maximum(rng.random(len(pairs)) ** 8, 1e-11)
-    trie = Trie(pairs[:, 0], pairs[:, 1], quantised(p))
+    trie = Trie([pairs[:, 0], pairs[:, 1]], quantised(p))
     everything = np.array([(a, b) for a in range(100) for b in range(95)], np.uint64)
-    found = trie.lookup(everything[:, 0], np.ones(len(everything), int), everything[:, 1])
+    found = trie.lookup([everything[:, 0]], np.ones(len(everything), int), everything[:, 1])
     known = {tuple(x): c for x, c in zip(pairs.tolist(), quantised(p).tolist())}
     assert found.tolist() == [known.get(tuple(x), 0) for x in everything.tolist()]
     assert np.all(np.abs(np.log10(PROBABILITY[quantised(p)]) - np.log10(p)) < 0.024)
     trie.close()
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5])
+def test_trie_of_any_order(order):
+    """Tries of two to six words against a dictionary; the bits are read where they are."""
+    rng = np.random.default_rng(order)
+    grams = np.unique(rng.integers(0, 9, (3000, order + 1)).astype(np.uint64) * np.uint64(1 << 33), axis=0)
+    codes = rng.integers(1, 256, len(grams)).astype(np.uint8)
+    trie = Trie(list(grams.T), codes)
+    asked = np.concatenate([grams, rng.integers(0, 11, (4000, order + 1)).astype(np.uint64) * np.uint64(1 << 33)])
+    known = {tuple(g): c for g, c in zip(grams.tolist(), codes.tolist())}
+    sizes = np.ones(len(asked), int)
+    assert trie.lookup(list(asked.T[:-1]), sizes, asked[:, -1]).tolist() == [known.get(tuple(a), 0) for a in asked.tolist()]
+    plain = grams.size * 8 + len(codes)
+    assert trie.bytes < plain / 3 + 500 and sum(len(s.ones) * 8 for s in (trie.first, trie.words, *sum(trie.levels, ()))) < plain / 3 + 500  # and the least size of a sequence
+    trie.close()
+
+
 # ---- surrogates
 
 PRIVATE = [

@@ -16,7 +16,7 @@ once, and blocks and shards exchange sorted lists.
 3. Each block puts the answers together and sums log10 p over its texts.
 
 Words are told apart by 64-bit hashes. Null and empty texts are scored as the end token alone; rows
-without a key are learned from; rows that repeat a key are texts of their own. With no training text at all every
+without a key are learned from; rows that repeat a key are texts of their own; keys are cast to 64-bit integers. A very long text is a block of its own. With no training text at all every
 count is zero and p(w) = 1. An empty table gives an empty result. Only key and text are read.
 """
 
@@ -36,7 +36,8 @@ BLOCK = 4 << 20   # bytes of text in a block
 SHARD = 8 << 20   # bytes of text for each shard of the vocabulary and of the model
 STRENGTH = 100.0  # best on held-out prose between 50 and 200
 END, BEGIN = 0x0123456789ABCDEF, 0xFEDCBA9876543210  # hashes of the two marks; no word is asked to avoid them
-ID_BITS = 40
+ID_BYTES = 6  # of a word's number: its shard, and its place among the at most 2^24 words that a shard of text can have
+ID_BITS = 8 * ID_BYTES
 
 
 def pack(values: np.ndarray, size: int) -> bytes:
@@ -82,7 +83,7 @@ class Block:
         self.ids, self.counts = np.zeros(len(self.hashes), np.uint64), np.zeros(len(self.hashes), np.int64)
         self.total = self.vocabulary = 0
         for s, ids, counts, n, v in zip(*(answers.column(c).to_pylist() for c in ("shard", "ids", "counts", "n", "v"))):
-            self.ids[self.edges[s]:self.edges[s + 1]] = unpack(ids, 5)
+            self.ids[self.edges[s]:self.edges[s + 1]] = unpack(ids, ID_BYTES)
             self.counts[self.edges[s]:self.edges[s + 1]] = unpack(counts, 8).astype(np.int64)
             self.total += n
             self.vocabulary += v
@@ -125,15 +126,13 @@ def number_words(rows: pa.Table, bits: int) -> pa.Table:
     words, index = np.unique(np.concatenate(lists), return_inverse=True)
     counts = np.zeros(len(words), np.int64)
     np.add.at(counts, index, np.concatenate([unpack(x, 4) for x in rows.column("counts").to_pylist()]).astype(np.int64))
-    if len(words) >> (ID_BITS - bits):
-        raise OverflowError("more distinct words than numbers")
     shard = rows.column("shard")[0].as_py()
     ids = (np.uint64(shard) << np.uint64(ID_BITS - bits)) + np.arange(len(words), dtype=np.uint64)
     edges = np.cumsum([0, *map(len, lists)])
     parts = [index[a:b] for a, b in zip(edges[:-1], edges[1:])]
     # only training counts make a word known; marks of beginnings are never tokens and count zero
     n, v = int(counts.sum()), int((counts > 0).sum())
-    return pa.table({"shard": rows.column("shard"), "block": rows.column("block"), "ids": pa.array([pack(ids[p], 5) for p in parts], pa.binary()),
+    return pa.table({"shard": rows.column("shard"), "block": rows.column("block"), "ids": pa.array([pack(ids[p], ID_BYTES) for p in parts], pa.binary()),
                      "counts": pa.array([pack(counts[p], 8) for p in parts], pa.binary()),
                      "n": pa.array([n] * len(parts), pa.int64()), "v": pa.array([v] * len(parts), pa.int64())})
 
@@ -152,10 +151,10 @@ def send_pairs(rows: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
         at = np.flatnonzero(head)
         often = np.flatnonzero(seen >= 255)
         out["shard"].append(s)
-        out["contexts"].append(pack(block.ids[context[at]], 5))
+        out["contexts"].append(pack(block.ids[context[at]], ID_BYTES))
         out["totals"].append(pack(block.context_counts[context[at]], 8))
         out["sizes"].append(pack(np.diff(np.append(at, b - a)), 4))
-        out["words"].append(pack(block.ids[block.pair_word[a:b]], 5))
+        out["words"].append(pack(block.ids[block.pair_word[a:b]], ID_BYTES))
         out["seen"].append(np.minimum(seen, 255).astype(np.uint8).tobytes())
         out["often"].append(pack(np.concatenate([often, seen[often]]), 8))
     n = len(out["shard"])
@@ -171,7 +170,7 @@ def score_pairs(rows: pa.Table, strength: float) -> pa.Table:
         count = np.frombuffer(seen, np.uint8).astype(np.int64)
         many = unpack(often, 8).astype(np.int64).reshape(2, -1)
         count[many[0]] = many[1]
-        messages.append((unpack(contexts, 5), unpack(totals, 8), unpack(words, 5), count, size))
+        messages.append((unpack(contexts, ID_BYTES), unpack(totals, 8), unpack(words, ID_BYTES), count, size))
     seen = [m[3] > 0 for m in messages]
     context, total = (np.concatenate([np.repeat(m[i], m[4])[k] for m, k in zip(messages, seen)]) for i in (0, 1))
     word, count = (np.concatenate([m[i][k] for m, k in zip(messages, seen)]) for i in (2, 3))
@@ -181,8 +180,8 @@ def score_pairs(rows: pa.Table, strength: float) -> pa.Table:
     head[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
     at = np.flatnonzero(head)
     sums = np.add.reduceat(count, at) if len(at) else count
-    trie = Trie(context[at], word[at], quantised(sums / (total[at].astype(np.float64) + strength)))
-    codes = [trie.lookup(m[0], m[4], m[2]).tobytes() for m in messages]
+    trie = Trie([context[at], word[at]], quantised(sums / (total[at].astype(np.float64) + strength)))
+    codes = [trie.lookup([m[0]], m[4], m[2]).tobytes() for m in messages]
     trie.close()
     return pa.table({"shard": rows.column("shard"), "block": rows.column("block"), "codes": pa.array(codes, pa.binary())})
 
