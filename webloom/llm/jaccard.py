@@ -6,7 +6,8 @@ enters the index lists of its prefix shingles only, with its size and the shingl
 
 * Equal sets are one class and enter once.
 * In each list one set is the pivot, the one with least of its own, and every other set of the list is compared
-  with it: one row per entry, not one per pair. Entries whose sizes or positions rule the threshold out are skipped.
+  with it: one row per entry, not one per pair. A list is stored as blocks in order of position, with the least and
+  greatest position and size of each: blocks that cannot reach the threshold are skipped unopened, in the others the entries.
 * A set's further answers follow from the pivot's. Sets linked to the same component need no
   comparison. Two sets close to one pivot, one of which misses the threshold with it, can only be linked if
   their differences from the pivot overlap enough, so the (small) differences are joined instead of
@@ -155,6 +156,7 @@ def frequent(rows: DataFrame, width: int) -> list[tuple[int, int]]:
     return [tuple(r) for r in found.orderBy(F.desc("n"), "value").limit(HOT_MOST).collect()]
 
 
+BLOCK_ENTRIES = 128
 ENTRY = "value long, node long, n int, pos int"
 ENTRY_COLUMNS = ["value", "node", "n", "pos"]
 
@@ -177,8 +179,38 @@ def _entries(batches, width: int, percent: int, hot: Hot, want_hot: bool):
             yield value, np.repeat(np.array([p[1] for p in parts], np.int64), sizes), np.repeat(np.array([p[2] for p in parts], np.int32), sizes), pos
 
 
+def in_blocks(entries: DataFrame) -> DataFrame:
+    """Entries, in order of value and position within partitions, as blocks of a list.
+
+    A block has its list's value, the least and greatest position and size of its entries, and the entries' columns as arrays.
+    """
+    columns = [c for c in entries.columns if c != "value"]
+    kinds = {c: entries.schema[c].dataType.simpleString() for c in columns}
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            value, n, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("value", "n", "pos"))
+            place = np.arange(len(value))
+            new = np.append(True, value[1:] != value[:-1])
+            at = np.flatnonzero((place - np.maximum.accumulate(np.where(new, place, 0))) % BLOCK_ENTRIES == 0)
+            edges = pa.array(np.append(at, len(value)), pa.int32())
+            bounds = [f.reduceat(x, at) for x in (pos, n) for f in (np.minimum, np.maximum)]
+            yield pa.RecordBatch.from_arrays([pa.array(value[at]), *map(pa.array, bounds), *(pa.ListArray.from_arrays(edges, batch.column(c)) for c in columns)],
+                                             names=["value", "low_pos", "high_pos", "low_n", "high_n", *columns])
+
+    schema = "value long, low_pos int, high_pos int, low_n int, high_n int, " + ", ".join(f"{c} array<{kinds[c]}>" for c in columns)
+    return entries.sortWithinPartitions("value", "pos").mapInArrow(pack, schema)
+
+
+def entries_in(blocks: DataFrame, columns: list[str], *keep) -> DataFrame:
+    """The entries of blocks, a row each."""
+    return blocks.select(*keep, F.inline(F.arrays_zip(*columns)))
+
+
 def index_lists(rows: DataFrame, width: int, percent: int, hot: Hot) -> DataFrame:
-    """(value, node, n, pos): the entries of all lists that have two sets at least, each set once."""
+    """Blocks of all lists that have two sets at least, each set once: see ``in_blocks``."""
     def entries(want_hot: bool):
         def write(batches):
             for columns in _entries(batches, width, percent, hot, want_hot):
@@ -214,7 +246,7 @@ def index_lists(rows: DataFrame, width: int, percent: int, hot: Hot) -> DataFram
 
     rare = rows.mapInArrow(entries(False), ENTRY).repartition("value").sortWithinPartitions("value", "node")
     # frequent shingles are in several sets by how they were found; their entries need not meet
-    return cut(rare.mapInArrow(several, ENTRY).union(rows.mapInArrow(entries(True), ENTRY).distinct()))
+    return cut(in_blocks(rare.mapInArrow(several, ENTRY)).union(in_blocks(rows.mapInArrow(entries(True), ENTRY).distinct())))
 
 
 def sized(small: DataFrame) -> DataFrame:
@@ -223,16 +255,26 @@ def sized(small: DataFrame) -> DataFrame:
 
 
 def with_pivots(lists: DataFrame, percent: int) -> DataFrame:
-    """Adds to each entry the pivot of its list: the set with most of its prefix in lists.
+    """Adds to each block the pivot of its list: the set with most of its prefix in lists.
 
     Such a set has hardly a shingle of its own: it is the text the others were made from, or close to it.
     """
     size = F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1")
-    shares = lists.groupBy("node").agg(F.count(F.lit(1)).alias("lists"), F.max("n").alias("n")).select("node", (F.col("lists") / size).alias("share"))
-    ranked = lists.join(sized(cut(shares)), "node").groupBy("value").agg(F.max(F.struct("share", "node", "n", "pos")).alias("p"))
+    entries = entries_in(lists, ["node", "n", "pos"], "value")
+    shares = entries.groupBy("node").agg(F.count(F.lit(1)).alias("lists"), F.max("n").alias("n")).select("node", (F.col("lists") / size).alias("share"))
+    ranked = entries.join(sized(cut(shares)), "node").groupBy("value").agg(F.max(F.struct("share", "node", "n", "pos")).alias("p"))
     return lists.join(ranked.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos")), "value")
 
 
+def block_possible(m: str, at: str, percent: int) -> str:
+    """SQL: some entry of a block, by its bounds, can reach the threshold with a set of size m whose shingle stands at this place.
+
+    Blocks of which this does not hold are skipped unopened.
+    """
+    sizes = f"100L * high_n >= {percent}L * {m} and 100L * {m} >= {percent}L * low_n"
+    return f"{sizes} and {100 + percent}L * least(high_n - low_pos, {m} - {at}) >= {percent}L * (low_n + {m})"
+
+
 def possible(n: str, pos: str, m: str, at: str, percent: int) -> str:
     """SQL: two sets whose first common shingle stands at these positions can reach the threshold."""
     sizes = f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m})"
@@ -345,10 +387,12 @@ def components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
     filled = frequent(rows, width)
     lists = index_lists(rows, width, percent, Hot(filled))
     pivoted = cut(with_pivots(lists, percent))
-    sketches = own.select(F.col("h").alias("node"), "n", "sketch").join(lists.select("node").distinct(), "node", "left_semi")
+    listed = lists.select(F.explode("node").alias("node")).distinct()
+    sketches = own.select(F.col("h").alias("node"), "n", "sketch").join(listed, "node", "left_semi")
     sketches = cut(sketches.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    star = pivoted.where("node <> pivot").where(possible("n", "pos", "pivot_n", "pivot_pos", percent))
+    star = entries_in(pivoted.where(block_possible("pivot_n", "pivot_pos", percent)), ["node", "n", "pos"], "pivot", "pivot_n", "pivot_pos")
+    star = star.where("node <> pivot").where(possible("n", "pos", "pivot_n", "pivot_pos", percent))
     # pairs below a half are neither linked nor close
     star = plausible(star.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sketches, min(50, percent))
     first = compare(star, texts_of(rows, classes, star), width, True)
@@ -360,16 +404,19 @@ def components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
     # their places in it decide whether a pair is compared.
     parts = sized(part)
     near = first.where("apart is not null").select(F.col("x").alias("node"), F.col("y").alias("pivot"), F.lit(True).alias("near"))
-    known = (pivoted.join(parts.select("node", F.col("component").alias("node_part")), "node", "left")
+    known = (entries_in(pivoted, ["node", "n", "pos"], "value", "pivot").join(parts.select("node", F.col("component").alias("node_part")), "node", "left")
              .join(parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_part")), "pivot", "left")
              .withColumns({"node_part": F.coalesce("node_part", "node"), "pivot_part": F.coalesce("pivot_part", "pivot")}).join(near, ["node", "pivot"], "left")
              .select("value", F.col("node").alias("x"), "n", "pos", "node_part", (F.col("node_part") != F.col("pivot_part")).alias("outside"),
                      (F.coalesce("near", F.lit(False)) | (F.col("node") == F.col("pivot"))).alias("near")))
     known = cut(known)
     mixed = known.where("outside").select("value").distinct()
-    other = known.join(mixed, "value", "left_semi").select("value", *(F.col(c).alias(f"o_{c}") for c in ("x", "n", "pos", "node_part", "outside", "near")))
-    rest = (known.where("outside").join(other, "value").where("node_part <> o_node_part and (not o_outside or x < o_x) and not (near and o_near)")
-            .where(possible("n", "pos", "o_n", "o_pos", percent)).select("x", F.col("o_x").alias("y")))
+    other = in_blocks(known.join(mixed, "value", "left_semi"))
+    asking = known.where("outside").select("value", *(F.col(c).alias(f"a_{c}") for c in ("x", "n", "pos", "node_part", "near")))
+    met = asking.join(other, "value").where(block_possible("a_n", "a_pos", percent))
+    met = entries_in(met, ["x", "n", "pos", "node_part", "outside", "near"], "a_x", "a_n", "a_pos", "a_node_part", "a_near")
+    rest = (met.where("a_node_part <> node_part and (not outside or a_x < x) and not (a_near and near)")
+            .where(possible("a_n", "a_pos", "n", "pos", percent)).select(F.col("a_x").alias("x"), F.col("x").alias("y")))
     rest = rest.union(derived_pairs(first, part, percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     rest = plausible(rest, sketches, percent)
     second = compare(rest, texts_of(rows, classes, rest), width)
@@ -377,7 +424,7 @@ def components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
     # from sets to the smallest keys of their components
     part = connected(links).withColumnRenamed("node", "h")
     member = cut(classes.select("h", "g", "lead.key").join(part, "h", "left"))
-    least = member.where("component is not null").groupBy("component").agg(F.min("key").alias("least"))
+    least = sized(cut(member.where("component is not null").groupBy("component").agg(F.min("key").alias("least"))))
     component = member.join(least, "component", "left").select(
         "h", "g", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
     found = own.join(component, ["h", "g"], "left")
