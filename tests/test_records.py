@@ -18,6 +18,7 @@ from webloom.operators.records import (
     wrap_transformed,
 )
 from webloom.operators.users import apply_subscriptions, look_up_credits, sign_up
+from webloom.operators.sessions import collect_actions
 from webloom.operators.views import create_view, list_catalog, run_sql, view_exists, workflow_rows
 from webloom.operators.workflow import fan_out, root_tasks, terminal_tasks
 from webloom.sinks.messages import record_messages, task_messages
@@ -342,6 +343,9 @@ def test_sinks(spark, rows, tmp_path):
     back = spark.read.json(str(tmp_path / "logs"))
     assert rows(back, "site_key", "website", F.col("actions.type")) == [
         ("a_1", "https://a:1", ["click", "navigate"]), ("b", "http://b", ["click"])]
+    pieces = collect_actions(spark.range(25).select((F.col("id") % 2).alias("site"), F.col("id").alias("at")), ["site"], ["at"], ["at"], F.lit("d"), most=5)
+    assert rows(pieces, "site", "piece", F.col("actions.at")) == sorted(
+        (s, p, list(range(s, 25, 2))[p * 5:p * 5 + 5]) for s in (0, 1) for p in range(3) if list(range(s, 25, 2))[p * 5:])
     for _ in range(2):
         append_collection(actions, str(tmp_path / "coll"))
     assert spark.read.parquet(str(tmp_path / "coll")).count() == 6
@@ -367,12 +371,11 @@ def test_classifier_scores_every_document(spark):
     assert 0 < sum(r["label"] is not None for r in found) <= labelled and any(r["label"] is None for r in found)
 
 
-@pytest.mark.parametrize("wide", [[], ["html"]])
 @pytest.mark.parametrize("kind,keys", [
     ("timestamp", ["2024-01-01 00:00:00.000100", "2024-01-01 00:00:00.000900", None]), ("decimal(38,20)", ["0.00000000000000000001", "0.00000000000000000002", None]),
     ("double", ["0.1", "0.10000000000000002", None]), ("string", ["a", "a ", None]), ("binary", ["x", "y", None]),
     ("struct<a:timestamp_ntz>", None)])
-def test_first_of_each_key_as_it_is(spark, kind, keys, wide):
+def test_first_of_each_key_as_it_is(spark, kind, keys):
     """Keys differ wherever their values do; null is a key; nulls come last in the order; of equal rows any one."""
     if keys is None:
         made = [F.struct(F.lit(f"2024-01-01 00:00:00.00{i}").cast("timestamp_ntz").alias("a")) for i in ("0001", "0002")] + [F.lit(None).cast(kind)]
@@ -381,12 +384,12 @@ def test_first_of_each_key_as_it_is(spark, kind, keys, wide):
     one = spark.range(4).crossJoin(spark.range(3).withColumnRenamed("id", "which"))
     pick = F.when(F.col("which") == 0, made[0]).when(F.col("which") == 1, made[1]).otherwise(made[2])
     frame = one.select(pick.alias("k"), "which", F.when(F.col("id") > 0, F.col("id")).alias("at"), F.col("id").alias("n"), F.concat(F.lit("h"), "id").alias("html"))
-    found = keep_first(frame, ["k"], ["at"], wide)
+    found = keep_first(frame, ["k"], ["at"])
     assert found.columns == frame.columns
     assert sorted((r.which, r["at"], r.n, r.html) for r in found.collect()) == [(i, 1, 1, "h1") for i in range(3)]
     slim = keep_first(frame.drop("html"), ["k"], ["at"])
     assert sorted((r.which, r["at"], r.n) for r in slim.collect()) == [(i, 1, 1) for i in range(3)]
-    never = keep_first(frame.withColumn("at", F.lit(None).cast("int")), ["k"], ["at"], wide)
+    never = keep_first(frame.withColumn("at", F.lit(None).cast("int")), ["k"], ["at"])
     assert sorted(r.which for r in never.collect()) == [0, 1, 2]
 
 
@@ -394,6 +397,6 @@ def test_first_of_each_key_takes_whole_rows(spark):
     frame = spark.range(3000).select((F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("at"), F.col("id").alias("a"), (-F.col("id")).alias("b"),
                                      F.col("id").cast("string").alias("c"))
     for columns in (["k", "at", "a", "b"], ["k", "at", "a", "b", "c"]):
-        for wide in ([], ["b"]):
-            got = keep_first(frame.select(columns), ["k"], ["at"], wide).collect()
+        for order in (["at"], ["at", "a"]):
+            got = keep_first(frame.select(columns), ["k"], order).collect()
             assert len(got) == 7 and all(r["at"] == 0 and r["a"] == -r["b"] and (len(r) == 4 or r["c"] == str(r["a"])) for r in got)

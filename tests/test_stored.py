@@ -124,11 +124,14 @@ def test_deep_pages(spark, rows, tmp_path):
 def test_documents_of_a_stretch_of_months(spark, rows, tmp_path):
     import datetime as dt
 
-    from webloom.sinks.tables import append_documents, read_between
+    from webloom.sinks.tables import append_documents, compact_months, read_between
 
     data = [(f"u{i}", "c", dt.datetime(2020 + i // 12, i % 12 + 1, 15)) for i in range(60)]
     frame = spark.createDataFrame(data, "url string, content string, scraped_at timestamp_ntz")
-    append_documents(frame, str(tmp_path))
-    assert rows(read_between(spark, str(tmp_path))) == rows(frame)
-    some = read_between(spark, str(tmp_path), "2021-02-01", "2022-03-01")
+    loose, path = str(tmp_path / "loose"), str(tmp_path / "months")
+    append_documents(frame.repartition(6), loose)
+    compact_months(spark, loose, path)
+    assert rows(read_between(spark, loose)) == rows(read_between(spark, path)) == rows(frame)
+    assert len(spark.read.parquet(path).inputFiles()) <= len(spark.read.parquet(loose).inputFiles())
+    some = read_between(spark, path, "2021-02-01", "2022-03-01")
     assert rows(some) == rows(frame.filter("scraped_at >= '2021-02-01' and scraped_at < '2022-03-01'")) and "PartitionFilters: [isnotnull(scraped_month" in plan(some)

@@ -12,13 +12,13 @@ FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType
                T.TimestampType, T.TimestampNTZType)
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], wide: Sequence[str] = ()) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """DDP-1: one row per key, the first in ``order``, nulls last; of equal ones any.
 
-    The keys themselves are grouped, so they differ wherever their values do.  Copies of a key collapse in
-    the task that reads them, before the one shuffle: by a hash aggregate where the other columns have a fixed width,
-    otherwise by an aggregate of whole rows.  ``wide`` names columns that hold large values, such as pages: they stay out of
-    the aggregate and come in by a join on key and order.
+    The keys themselves are grouped, so they differ wherever their values do.  Where all else has a fixed width, one hash
+    aggregate is the whole plan: copies collapse in the task that reads them.  Values of any width, such as pages, are in
+    no aggregate: the first of each key is found by its order alone, and the rows come in by a join on both.
+    Orders of several columns aggregate whole rows.
     """
     rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     place = lambda c: f"c{df.columns.index(c)}"
@@ -26,25 +26,22 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], wide: S
     rest = [c for c in rows.columns if c not in group]
     if not rest:
         return df.distinct()
-    if wide:
-        first = _one_per_key(rows.select(*group, *[c for c in by if c not in group]), group, by, [c for c in by if c not in group])
-        named = first.toDF(*[f"f_{c}" for c in first.columns])
-        same = [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in first.columns]
-        rows = rows.join(named, same, "left_semi")
-    return _one_per_key(rows, group, by, rest).select(*rows.columns).toDF(*df.columns)
-
-
-def _one_per_key(rows: DataFrame, group: list[str], by: list[str], rest: list[str]) -> DataFrame:
-    if not rest:
-        return rows.distinct()
-    if len(by) == 1 and all(isinstance(rows.schema[c].dataType, FIXED_WIDTH) for c in (*rest, *by)):
+    fixed = lambda c: isinstance(rows.schema[c].dataType, FIXED_WIDTH)
+    if len(by) > 1 or not fixed(by[0]):
+        at = F.struct(*[x for c in by for x in (F.col(c).isNull(), F.col(c))])
+        first = rows.groupBy(*group).agg(F.min_by(F.struct(*rest), at).alias("row"))
+        kept = first.select(*group, *[F.col(f"row.{c}").alias(c) for c in rest])
+    elif all(fixed(c) for c in rest):
         # all columns follow the same comparisons, so they come from the same row
         none = F.min(by[0]).isNull()
-        picked = [F.when(none, F.first(c)).otherwise(F.min_by(c, by[0])).alias(c) for c in rest]
-        return rows.groupBy(*group).agg(*picked)
-    place = F.struct(*[x for c in by for x in (F.col(c).isNull(), F.col(c))])
-    first = rows.groupBy(*group).agg(F.min_by(F.struct(*rest), place).alias("row"))
-    return first.select(*group, *[F.col(f"row.{c}").alias(c) for c in rest])
+        kept = rows.groupBy(*group).agg(*[F.when(none, F.first(c)).otherwise(F.min_by(c, by[0])).alias(c) for c in rest])
+    else:
+        first = rows.groupBy(*group).agg(F.min(by[0]).alias("f")).toDF(*[f"f_{c}" for c in (*group, by[0])])
+        same = [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in (*group, by[0])]
+        kept = rows.join(first, same, "left_semi")
+        nth = F.row_number().over(Window.partitionBy(*group, by[0]).orderBy(F.lit(1)))
+        kept = kept.withColumn("n", nth).filter("n = 1").drop("n")
+    return kept.select(*rows.columns).toDF(*df.columns)
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], event_time: str | None = None,
@@ -59,4 +56,4 @@ def distinct_on(df: DataFrame, keys: Sequence[str], event_time: str | None = Non
 
 def first_content(pages: DataFrame, url: str = "url", content: str = "html", order: str = "fetched_at") -> DataFrame:
     """DDP-2: the first content seen for a URL wins; which one that is is found without the content."""
-    return keep_first(pages.select(url, content, order), [url], [order], [content]).select(url, content)
+    return keep_first(pages.select(url, content, order), [url], [order]).select(url, content)

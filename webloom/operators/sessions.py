@@ -19,14 +19,18 @@ def sessions(actions: DataFrame, user: str, site: str, order: Sequence[str],
     return ordered.running_sum(F.col("_changed").cast("bigint"), "session_id").result().drop("_changed")
 
 
+MOST_ACTIONS = 10_000
+
+
 def collect_actions(actions: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
-                    part: Column) -> DataFrame:
-    """AGG-7: the ordered action array of each group and ``part``.
+                    part: Column, most: int = MOST_ACTIONS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """AGG-7: the ordered action arrays of each group and ``part``, in pieces of at most ``most`` actions.
 
-    ``part`` is a stated column, such as the day: it follows from the action itself, so a log has the
-    same parts at any size, and concatenated in the order of the parts they are the whole log.
+    ``part`` is a stated column, such as the day; ``piece`` counts from 0 within it. Both follow from the actions and their
+    order, so a log has the same pieces at any size, and concatenated in this order they are the whole log.
     """
-    entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*fields).alias("_a"))
-    return (actions.withColumn("part", part).groupBy(*keys, "part")
-            .agg(F.array_sort(F.collect_list(entry)).alias("actions"))
+    placed = Ordered(actions.withColumn("part", part), [*keys, "part"], order, hot_rows).row_number("_n").result()
+    placed = placed.withColumn("piece", F.floor((F.col("_n") - 1) / most).cast("int"))
+    entry = F.struct("_n", F.struct(*fields).alias("_a"))
+    return (placed.groupBy(*keys, "part", "piece").agg(F.array_sort(F.collect_list(entry)).alias("actions"))
             .withColumn("actions", F.transform("actions", lambda a: a["_a"])))

@@ -156,9 +156,10 @@ SITE = "'https://site' || (props->>'k') || '.example'"
 
 
 @query("snk9_action_logs", f"""
-select 'site' || (props->>'k') || '.example' as site_key, {SITE} as website, ts::date::varchar as part,
-       count(*)::int as n_actions, md5(string_agg(event_type, ',' order by ts, event_id)) as log_md5
-from events group by 1, 2, 3
+select site_key, website, part, piece, count(*)::int as n_actions, md5(string_agg(event_type, ',' order by ts, event_id)) as log_md5
+from (select 'site' || (props->>'k') || '.example' as site_key, {SITE} as website, ts::date::varchar as part, ts, event_id, event_type,
+             ((row_number() over (partition by props->>'k', ts::date order by ts, event_id) - 1) // 10000)::int as piece from events)
+group by 1, 2, 3, 4
 """)
 def action_logs_query(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn(
@@ -166,9 +167,9 @@ def action_logs_query(spark, sf_dir):
     path = working_path(spark, "actions")
     day = F.to_date("ts").cast("string")
     write_action_logs(action_logs(events, "origin", ["ts", "event_id"], ["event_type", "ts"], day), path)
-    logs = spark.read.schema("website string, part string, actions array<struct<event_type:string>>, site_key string").json(
+    logs = spark.read.schema("website string, part string, piece int, actions array<struct<event_type:string>>, site_key string").json(
         path)
-    return logs.select("site_key", "website", "part", F.size("actions").alias("n_actions"),
+    return logs.select("site_key", "website", "part", "piece", F.size("actions").alias("n_actions"),
                        F.md5(F.array_join("actions.event_type", ",")).alias("log_md5"))
 
 
@@ -408,8 +409,10 @@ def sessions_query(spark, sf_dir):
 
 
 @query("agg7_session_actions", CHANGES + """
-select user_id, session_id, site, ts::date as part, string_agg(props->>'k', ',' order by ts, event_id) as actions
-from sessions group by user_id, session_id, site, ts::date
+select user_id, session_id, site, part, piece, string_agg(props->>'k', ',' order by ts, event_id) as actions
+from (select *, ts::date as part, ((row_number() over (partition by user_id, session_id, site, ts::date order by ts, event_id) - 1) // 10000)::int as piece
+      from sessions)
+group by user_id, session_id, site, part, piece
 """)
 def session_actions(spark, sf_dir):
     actions = _actions(spark, sf_dir)

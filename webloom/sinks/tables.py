@@ -19,14 +19,21 @@ def stamped(df: DataFrame, at: Column | None = None) -> DataFrame:
 MONTH = "scraped_month"
 
 
-def append_by_month(rows: DataFrame, path: str) -> None:
+def append_by_month(rows: DataFrame, path: str, gather: bool = False) -> None:
     """Append rows in one folder per month of ``scraped_at``, so a time filter opens only its months.
 
-    Rows meet by month before they are written: a few files a month, each sorted by time; a busy month is
-    split over several tasks by Spark's rebalancing.
+    Each task sorts its rows and writes them where they are, without a shuffle: an append of new rows holds few
+    months. With ``gather`` rows meet by month first, a few files a month, a busy month split by Spark's
+    rebalancing: for loading many months at once, and for ``compact_months``.
     """
     dated = rows.withColumn(MONTH, F.trunc("scraped_at", "month"))
-    dated.hint("rebalance", MONTH).sortWithinPartitions(MONTH, "scraped_at").write.mode("append").partitionBy(MONTH).parquet(path)
+    dated = dated.hint("rebalance", MONTH) if gather else dated
+    dated.sortWithinPartitions(MONTH, "scraped_at").write.mode("append").partitionBy(MONTH).parquet(path)
+
+
+def compact_months(spark: SparkSession, path: str, target: str) -> None:
+    """Rewrite what many appends left as a new table with few files a month."""
+    append_by_month(spark.read.parquet(path).drop(MONTH), target, gather=True)
 
 
 def read_between(spark: SparkSession, path: str, first=None, end=None) -> DataFrame:
@@ -69,9 +76,9 @@ def write_csv(records: DataFrame, path: str, record: str | None = None) -> None:
 
 
 def action_logs(actions: DataFrame, origin: str, order: Sequence[str], fields: Sequence[str], part: Column) -> DataFrame:
-    """SNK-9: ``(site_key, website, part, actions)`` per site and part, such as the day."""
+    """SNK-9: ``(site_key, website, part, piece, actions)`` per site and part, such as the day, in pieces of bounded length."""
     logs = collect_actions(actions, [origin], order, fields, part)
-    return logs.select(site_key(F.col(origin)).alias("site_key"), F.col(origin).alias("website"), "part", "actions")
+    return logs.select(site_key(F.col(origin)).alias("site_key"), F.col(origin).alias("website"), "part", "piece", "actions")
 
 
 def write_action_logs(logs: DataFrame, path: str) -> None:
