@@ -58,21 +58,21 @@ def test_a_view_survives_its_session(spark, rows, tmp_path):
     frame = spark.createDataFrame([(1, "a", odd), (2, "b", "plain"), (3, "a", "ünïcode")], "workflow_id long, user string, `od``d` string")
     publish(frame, "stored_runs", str(tmp_path / "runs"))
     try:
-        assert create_stored_view(spark, "stored_runs", "acme", "2") == "acme_view"
+        assert create_stored_view(spark, "stored_runs", "zeta", "2") == "zeta_view"
         other = spark.newSession()
-        assert rows(other.table("acme_view")) == [(2, "b", "plain")]
-        create_stored_view(other, "stored_runs", "acme", odd, "od`d", ["workflow_id"])      # replaced, from the other session
-        assert rows(spark.table("acme_view")) == [(1,)]
-        create_stored_view(spark, "stored_runs", "acme", "no number")
-        assert rows(spark.table("acme_view")) == []
+        assert rows(other.table("zeta_view")) == [(2, "b", "plain")]
+        create_stored_view(other, "stored_runs", "zeta", odd, "od`d", ["workflow_id"])      # replaced, from the other session
+        assert rows(spark.table("zeta_view")) == [(1,)]
+        create_stored_view(spark, "stored_runs", "zeta", "no number")
+        assert rows(spark.table("zeta_view")) == []
         names = {r.name for r in list_catalog(other).filter("kind = 'table'").collect()}
-        assert {"stored_runs", "acme_view"} <= names
-        assert "PushedFilters: [IsNotNull(workflow_id), EqualTo(workflow_id,2)]" in plan(spark.table(create_stored_view(spark, "stored_runs", "acme", 2)))
+        assert {"stored_runs", "zeta_view"} <= names
+        assert "PushedFilters: [IsNotNull(workflow_id), EqualTo(workflow_id,2)]" in plan(spark.table(create_stored_view(spark, "stored_runs", "zeta", 2)))
         for bad in ("a b", "x;y", ""):
             with pytest.raises(ValueError):
                 create_stored_view(spark, "stored_runs", f"{bad}-", 1)
     finally:
-        spark.sql("drop view if exists acme_view")
+        spark.sql("drop view if exists zeta_view")
         spark.sql("drop table stored_runs")
 
 

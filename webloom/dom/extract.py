@@ -107,8 +107,7 @@ def parent_records(shredded: DataFrame, fields: Mapping[str, str], *keep: str) -
     _check(fields)
     parents = F.concat(*[
         F.transform(F.filter(matches(s), lambda m: m["parent"] >= 0),
-                    lambda m: F.struct(F.get(F.col("nodes"), m["parent"])["pre"].alias("pre"),
-                                       F.get(F.col("nodes"), m["parent"])["last"].alias("last")))
+                    lambda m: F.struct(m["parent"].alias("pre"), F.get(F.col("nodes.last"), m["parent"]).alias("last")))
         for s in fields.values()])
 
     def value(field: Column) -> Column:
