@@ -411,12 +411,10 @@ def components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
                      (F.coalesce("near", F.lit(False)) | (F.col("node") == F.col("pivot"))).alias("near")))
     known = cut(known)
     mixed = known.where("outside").select("value").distinct()
-    other = in_blocks(known.join(mixed, "value", "left_semi"))
-    asking = known.where("outside").select("value", *(F.col(c).alias(f"a_{c}") for c in ("x", "n", "pos", "node_part", "near")))
-    met = asking.join(other, "value").where(block_possible("a_n", "a_pos", percent))
-    met = entries_in(met, ["x", "n", "pos", "node_part", "outside", "near"], "a_x", "a_n", "a_pos", "a_node_part", "a_near")
-    rest = (met.where("a_node_part <> node_part and (not outside or a_x < x) and not (a_near and near)")
-            .where(possible("a_n", "a_pos", "n", "pos", percent)).select(F.col("a_x").alias("x"), F.col("x").alias("y")))
+    # the positions decide inside the join, so that only pairs to be compared come out of it
+    other = known.join(mixed, "value", "left_semi").select("value", *(F.col(c).alias(f"o_{c}") for c in ("x", "n", "pos", "node_part", "outside", "near")))
+    rest = (known.where("outside").join(other, "value").where("node_part <> o_node_part and (not o_outside or x < o_x) and not (near and o_near)")
+            .where(possible("n", "pos", "o_n", "o_pos", percent)).select("x", F.col("o_x").alias("y")))
     rest = rest.union(derived_pairs(first, part, percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     rest = plausible(rest, sketches, percent)
     second = compare(rest, texts_of(rows, classes, rest), width)
