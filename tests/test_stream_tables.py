@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from test_streams import EVENTS, at, files_of, write_files
 from webloom.operators.ledger import guarded_ledger
+from webloom.plans import streams
 from webloom.streaming import generations
 from webloom.streaming.generations import IdStore, once_sink, upsert_table
 from webloom.streaming.keyed_ledger import keyed_ledger
@@ -157,3 +158,18 @@ def test_time_parts(spark, rows):
     frame = spark.createDataFrame([(at(m),) for m in (0, 1, 49, 50, 99)], "ts timestamp")
     parts = frame.select(time_part(F.col("ts"), F.lit(at(0)), F.lit(at(99)), 2).alias("p"))
     assert [r.p for r in parts.collect()] == [0, 0, 0, 1, 1]
+
+
+# -- given tables as streams -------------------------------------------------------
+
+def test_a_table_of_several_files_streams_whole(spark, rows, tmp_path):
+    html = "<nav><ul><li><a href='/{0}'>link {0}</a></li></ul></nav>"
+    pages = spark.createDataFrame([(i, f"u{i}", html.format(i)) for i in range(12)], "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "many/pages.parquet"))
+    pages.limit(0).write.parquet(str(tmp_path / "many/orders.parquet"))     # another table beside it
+    (tmp_path / "one").mkdir()
+    pages.coalesce(1).write.parquet(str(tmp_path / "part"))
+    next((tmp_path / "part").glob("part-*.parquet")).rename(tmp_path / "one/pages.parquet")
+    expected = sorted((f'{{"link":"link {i}","page_id":{i}}}',) for i in range(12))
+    for folder in ("many", "one"):
+        assert rows(streams.stream_page_records(spark, str(tmp_path / folder))) == expected

@@ -14,7 +14,7 @@ from webloom.runtime import working_path
 from webloom.sources.folder_log import append_messages, log_stream
 from webloom.sources.tables import stream_table
 from webloom.streaming.crawl import page_messages
-from webloom.streaming.generations import IdStore, once_sink, upsert_table
+from webloom.streaming.generations import Folder, IdStore, once_sink, upsert_table
 from webloom.streaming.keyed_ledger import keyed_ledger
 from webloom.streaming.ledger import current_balances, ledger_sink, once_per_event
 from webloom.streaming.route import Routes, decode_tasks, transform_tasks
@@ -24,8 +24,11 @@ from webloom.streaming.windowed import windowed_aggregate
 
 
 def stream_of(spark, sf_dir, name):
-    """A given table as a stream of its files."""
-    return stream_table(spark, sf_dir, table(spark, sf_dir, name).schema, pathGlobFilter=f"{name}.parquet")
+    """A given table, a folder of files or one file, as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    if Folder(spark, f"{sf_dir}/{name}.parquet").exists():
+        return stream_table(spark, f"{sf_dir}/{name}.parquet", schema)
+    return stream_table(spark, sf_dir, schema, pathGlobFilter=f"{name}.parquet")
 
 
 def timed(events):

@@ -26,6 +26,10 @@ class Folder:
         self.path = path
         self.fs = self._at(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def exists(self) -> bool:
+        at = self._at(self.path)
+        return self.fs.exists(at) and self.fs.getFileStatus(at).isDirectory()
+
     def names(self, below: str = "") -> list[str]:
         at = self._at(f"{self.path}/{below}".rstrip("/"))
         return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
