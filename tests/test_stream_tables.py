@@ -2,15 +2,16 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from test_streams import EVENTS, at, files_of, write_files
 from webloom.operators.ledger import guarded_ledger
 from webloom.plans import streams
 from webloom.streaming import generations
 from webloom.streaming.generations import IdStore, once_sink, upsert_table
-from webloom.streaming.keyed_ledger import keyed_ledger
+from webloom.streaming.keyed_ledger import Ledger, keyed_ledger
 from webloom.streaming.run import start_batches, table_sink
 from webloom.streaming.steps import in_steps, time_part
 from webloom.streaming.windowed import windowed_aggregate
@@ -139,6 +140,67 @@ def test_keyed_ledger_over_batches(spark, rows, tmp_path):
     assert left is None or not {x for x in left if x[0] == "u"}
 
 
+def test_keyed_ledger_buckets(spark, rows, tmp_path):
+    """Users share buckets: one key's null or late events leave the others' alone, and ids go when the watermark has passed them."""
+    files = [[("u", "a", at(1), 2**60 + 1), ("v", "a", at(2), None), ("v", "b", at(3), 4), ("u", "b", at(90), -1)],
+             [("u", "b", at(90), -1), ("v", "c", at(95), -4), ("v", "a", at(2), 9)],
+             [("w", "a", at(400), 1)]]
+    write_files(spark, tmp_path, MOVES, files)
+    found = {}
+    for buckets in (1, 64):
+        path = str(tmp_path / str(buckets))
+        entries = keyed_ledger(files_of(spark, tmp_path, MOVES), "email", "id", "timestamp", ["timestamp", "id"], "amount", "1 hour", buckets)
+        start_batches(entries, table_sink(f"{path}/rows"), f"{path}/checkpoint", once=True).awaitTermination()
+        found[buckets] = rows(spark.read.parquet(f"{path}/rows"), "email", "id", "amount", "accepted", "balance")
+        held = spark.read.format("statestore").option("stateVarName", "applied").option("flattenCollectionTypes", "true").load(f"{path}/checkpoint")
+        assert {u for r in held.select(F.col("list_element.users").alias("users")).collect() for u in r.users} == {"w"}
+    assert found[1] == found[64] == sorted([
+        ("u", "a", 2**60 + 1, True, 2**60 + 1), ("u", "b", -1, True, 2**60), ("v", "a", None, False, 0), ("v", "b", 4, True, 4),
+        ("v", "c", -4, True, 0), ("w", "a", 1, True, 1)], key=repr)
+
+
+class CountedState:
+    def __init__(self):
+        self.calls, self.value, self.elements = 0, None, []
+
+    def __getattr__(self, name):
+        def call(x=None, *_):
+            self.calls += 1
+            if name == "get":
+                return self.value
+            if name in ("getValueState", "getListState", "getMapState"):
+                return self
+            if name == "update":
+                self.value = x
+        return call
+
+
+def test_a_ledger_calls_its_state_for_a_bucket_not_for_an_event():
+    class Listed(CountedState):
+        def get(self):
+            self.calls += 1
+            return iter(self.elements)
+
+        def appendValue(self, x):
+            self.calls += 1
+            self.elements.append(x)
+
+    class Handle(CountedState):
+        def getListState(self, *_):
+            self.listed = Listed()
+            return self.listed
+
+    def batch(first):
+        n = 4000
+        return pd.DataFrame({"u": [i % 500 for i in range(n)], "id": range(first, first + n), "at": pd.to_datetime([i * 10**6 for i in range(n)], unit="us").astype("datetime64[us]"),
+                             "m": [i % 7 - 3 for i in range(n)]}).assign(amount_known=True, amount_whole=lambda d: d["m"])
+
+    handle, ledger = Handle(), Ledger("u", "id", "at", ["at", "id"], "m", T.LongType())
+    ledger.init(handle)
+    made = [len(out) for first in (0, 4000, 2000) for out in ledger.handleInputRows((0,), iter([batch(first)]), None)]
+    assert made == [4000, 4000] and handle.calls + handle.listed.calls <= 20      # before: three and more an event
+
+
 # -- steps -----------------------------------------------------------------------
 
 def test_steps_move_the_watermark(spark, tmp_path):
