@@ -11,6 +11,7 @@ work inside the row: no shuffle, and the page is the unit of parallelism.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -23,6 +24,7 @@ from webloom.dom.markup import page_nodes
 cloudpickle.register_pickle_by_value(markup)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+SLICE_BYTES = 1024 * 1024
 BLANKS = str.maketrans("\t\n\f\r", "    ")
 NODE = T.StructType([
     T.StructField("pre", T.IntegerType()),
@@ -47,14 +49,34 @@ def class_names(value: str) -> list[str]:
     return [part for part in value.translate(BLANKS).split(" ") if part]
 
 
+def page_slices(html: pa.Array) -> Iterator[list[bytes | None]]:
+    """The pages of a batch in slices of at most ``SLICE_BYTES``; a larger page is alone. An empty batch is one slice."""
+    slice_, size = [], 0
+    for value in html.cast(pa.binary()):     # bytes, since a column may hold text that is no valid UTF-8
+        source = value.as_py()
+        length = len(source or b"")
+        if slice_ and size + length > SLICE_BYTES:
+            yield slice_
+            slice_, size = [], 0
+        slice_.append(source)
+        size += length
+    yield slice_
+
+
 @F.arrow_udf(SHREDDED)
-def shred_html(html: pa.Array) -> pa.Array:
+def shred_html(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Memory holds the nodes of one slice of pages, however many pages a batch has."""
+    for html in batches:
+        for pages in page_slices(html):
+            yield shred_pages(pages)
+
+
+def shred_pages(pages: list[bytes | None]) -> pa.Array:
     texts, node_offsets = [], [0]
     columns = {f.name: [] for f in NODE}
     class_offsets, class_items = [0], []
     attr_offsets, attr_keys, attr_values = [0], [], []
-    for value in html.cast(pa.binary()):     # bytes, since a column may hold text that is no valid UTF-8
-        source = value.as_py()
+    for source in pages:
         if source is None:
             texts.append(None)
             node_offsets.append(node_offsets[-1])
