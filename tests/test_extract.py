@@ -1,6 +1,10 @@
 """Golden pages for the extraction operators."""
 
+from itertools import accumulate
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.dom.css import count_below, descendant_pairs, match_rows, matches, parse
 from webloom.dom.extract import (
@@ -8,7 +12,7 @@ from webloom.dom.extract import (
     link_titles, longest_field, page_fields, page_record, page_selectors, pages_without_matches, parent_records,
     positional_zip, raw_selectors, record_arrays, repeated_containers, single_field_rows, single_match_records,
 )
-from webloom.dom.shred import node_rows, register_dom_nodes, shred
+from webloom.dom.shred import SLICE_BYTES, node_rows, register_dom_nodes, shred, shred_html, shred_pages
 
 SHED = """<html lang="en"><head><title>Tool shed</title></head><body><section class="shelf"><h1>Tool shed</h1>
 <article class="tool"><h2>Rake</h2><p class="rent">4 a day</p><em>two left</em><a rel="item" href="/shed/rake">Reserve</a></article>
@@ -260,3 +264,20 @@ def test_attribute_values(spark, selector, expected):
     <a href="http://h/i.html" lang=en-GB title="a\\">c</a><a href="" rel=next title="it's">d</a></p>"""
     page = shred(spark.createDataFrame([(html,)], "html string"))
     assert "".join(sorted(r.content for r in match_rows(page, selector).collect())) == expected
+
+
+def test_pages_of_a_large_batch_are_parsed_in_slices(spark):
+    """What a worker holds of nodes follows a slice of pages, not the batch; every page keeps its place."""
+    def page(i):
+        return None if i % 97 == 5 else "" if i % 89 == 3 else f"<p class='c{i}'>{i}" + "<b>x</b>" * (40_000 if i == 400 else 250)
+
+    html = pa.array([page(i) for i in range(1500)], pa.string())
+    parts = list(shred_html.func(iter([html, html.slice(0, 0)])))
+    assert [len(x) for x in parts][-1] == 0 and sum(len(x) for x in parts) == len(html)
+    sizes = [sum(len(page(i) or "") for i in range(at, at + n)) for at, n in zip(accumulate([0, *map(len, parts)]), map(len, parts))]
+    assert len(parts) >= 4 and all(size <= SLICE_BYTES or n == 1 for size, n in zip(sizes, map(len, parts)))
+    whole = pa.concat_arrays(parts).to_pylist()
+    assert all(whole[i] == shred_pages([None if s is None else s.encode()]).to_pylist()[0] for i, s in enumerate(html.to_pylist()) if i % 7 == 0 or i in (3, 5, 400))
+    pages = spark.createDataFrame([(i, page(i)) for i in range(1500)], "page_id int, html string").coalesce(1)
+    found = {r.page_id: r for r in shred(pages).select("page_id", F.col("text").cast("string").alias("text"), F.size("nodes").alias("n")).collect()}
+    assert all(found[i].text == (None if whole[i]["text"] is None else whole[i]["text"].decode()) and found[i].n == len(whole[i]["nodes"]) for i in range(1500))
