@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
-from webloom.llm import compression, decontaminate, jaccard, language_model, lengths, mixing, parsing, secrets, surrogates, warc  # noqa: E402
+from webloom.llm import arrays, compression, decontaminate, jaccard, language_model, lengths, mixing, parsing, secrets, surrogates, warc  # noqa: E402
 from webloom.llm.components import connected  # noqa: E402
 from webloom.llm.eliasfano import PROBABILITY, Sequence, Trie, quantised  # noqa: E402
 from webloom.llm.queries import QUERIES  # noqa: E402
@@ -343,6 +343,54 @@ def test_repeats_around_a_common_line(spark):
     assert most[0] <= 4 < 100 < most[1]
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeats_take_no_loop_over_contexts(monkeypatch, collide):
+    """Contexts are compared, and settled strings become byte ranges, column by column: a few calls for each, not a dozen.
+
+    Hashes of contexts that collide change no result.
+    """
+    rng = random.Random(6)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(40)]
+    rows = [(k, "".join(rng.choice(pool) + "".join(rng.choice("ijkl") for _ in range(20)) for _ in range(12))) for k in range(200)]
+    pa = parsing.pa
+    block = pa.table({"block": pa.array([0] * 200, pa.int32()), "key": [k for k, _ in rows], "twin": list(range(200)), "text": [t for _, t in rows]})
+    empty = parsing._empty("block int, key long, twin long, begin long, end long, shard int, bits binary, split binary")
+    answer = parsing.meet(parsing.send(block, empty, 50, 26, 0), 10 ** 9)
+    told = pa.concat_tables([empty, pa.table({c: answer.column(c) if c in answer.column_names else pa.nulls(1, empty.schema.field(c).type) for c in empty.column_names})])
+
+    def counted(function, *args):
+        calls = [0]
+
+        def count(frame, event, arg):
+            calls[0] += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            return function(*args), calls[0]
+        finally:
+            sys.setprofile(None)
+
+    with monkeypatch.context() as patch:
+        if collide:
+            patch.setattr(parsing, "strong", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+        around, calls = counted(parsing.contexts, block, told, 50, 26, 0)
+    assert len(around) > 5000 and calls < len(around)
+    order = around.sort_by([("value", "ascending"), ("key", "ascending")]).combine_chunks()
+    strings = pa.Table.from_batches(list(parsing.settle(order.to_batches(), 50)))
+    found = pa.table({c: strings.column("bits" if c == "strings" else c) if c not in ("begin", "end") else pa.nulls(len(strings), pa.int64())
+                      for c in ("block", "key", "twin", "begin", "end", "begins", "strings")})
+    done, calls = counted(parsing.finish, block, found, 50)
+    assert len(strings) > 5000 and calls < 4 * len(strings)
+    assert {r["key"]: tuple(r.values())[1:] for r in done.to_pylist()} == brute.repeats(rows)
+
+
+def test_hashes_of_one_width():
+    for data in (np.zeros(0, np.uint8), np.arange(60, dtype=np.uint8)):
+        at = np.arange(max(len(data) - 25, 0))
+        hasher = arrays.Hasher(data)
+        assert (hasher.every(26) == hasher.of(at, at + 26)).all() and len(hasher.every(26)) == len(at)
+
+
 def test_repeats_without_or_with_equal_keys(spark):
     text = sentence(random.Random(2), 80)
     rows = [(5, text), (5, text), (None, text), (7, text), (5, "other " + text)]

@@ -145,6 +145,12 @@ class Hasher:
         value = (self.sums[ends] - self.sums[starts]) * self._inverse[starts]
         return mix(value ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
+    def every(self, width: int) -> np.ndarray:
+        """The hashes that ``of`` gives, of all ranges of ``width`` bytes in order."""
+        n = max(len(self.sums) - width, 0)
+        value = (self.sums[width:] - self.sums[:n]) * self._inverse[:n]
+        return mix(value ^ np.uint64(width * 0xD6E8FEB86659FD93 & MASK))
+
 
 def windows(values: np.ndarray, width: int) -> np.ndarray:
     """One hash for each ``width`` consecutive values."""

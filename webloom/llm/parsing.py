@@ -47,7 +47,7 @@ GRAM = 26
 TRIGGER = 256        # one position in so many triggers
 BLOCK = 8 << 20      # bytes of text in a block of documents
 SHARD = 4 << 20      # fingerprints, in bytes, that meet in a shard
-SEGMENT = 1 << 20    # bytes hashed at a time
+SEGMENT = 1 << 15    # bytes hashed at a time: arrays of so many numbers stay in the cache
 HOT = 4096           # a k-gram with more contexts than this is split by string
 OFTEN = 3            # up to so many contexts of a k-gram in a block count as one
 AT_ONCE = 1 << 15    # contexts of split k-grams held as strings at a time, if no single k-gram has more
@@ -71,8 +71,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int, trigger: int) -> t
         part = data[low:low + SEGMENT + length - 1]
         n = len(part) - length + 1
         if n > 0:
-            at = np.arange(n)
-            hit = Hasher(part).of(at, at + length) % np.uint64(trigger) == 0
+            hit = Hasher(part).every(length) % np.uint64(trigger) == 0
             triggers.append(np.flatnonzero(hit & valid[low:low + n]) + low)
     long_enough = np.diff(offsets) >= length
     begins = np.unique(np.concatenate([*triggers, offsets[:-1][long_enough]]))
@@ -102,8 +101,7 @@ def anchors(data: np.ndarray, wanted: np.ndarray, length: int, gram: int) -> tup
         chosen = np.flatnonzero(wanted[low:min(low + SEGMENT, low + len(part) - length + 1)]) if len(part) >= length else []
         if not len(chosen):
             continue
-        at = np.arange(len(part) - gram + 1)
-        h = Hasher(part).of(at, at + gram)
+        h = Hasher(part).every(gram)
         least = spread(h, width, np.minimum)
         asked = np.zeros(len(h) + width - 1, np.uint64)  # the least hash of each wanted string, at its start, after a margin
         asked[width - 1 + chosen] = least[chosen]
@@ -111,15 +109,22 @@ def anchors(data: np.ndarray, wanted: np.ndarray, length: int, gram: int) -> tup
         # runs of one letter: of neighbours with equal k-grams some are enough, if each string still has one
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
-        begin = np.maximum.accumulate(np.where(new, at, 0))
-        final = np.append(np.flatnonzero(new)[1:] - 1, len(h) - 1)[np.cumsum(new) - 1]
-        q = q[((q - begin[q]) % max(1, 2 * width // 3) == 0) | (q == final[q])]
+        if not new.all():
+            begin = np.flatnonzero(new)
+            final, run = np.append(begin[1:] - 1, len(h) - 1), (np.cumsum(new) - 1)[q]
+            q = q[((q - begin[run]) % max(1, 2 * width // 3) == 0) | (q == final[run])]
         places.append(q + low)
         values.append(h[q])
     place, first = np.unique(np.concatenate(places), return_index=True)
     return place, np.concatenate(values)[first]
 
 
+def expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items that count ``n`` each: the item, and the place within it, of everything counted."""
+    item = np.repeat(np.arange(len(n)), n)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Block:
     """The documents of a block in a fixed order, as one byte array."""
 
@@ -128,23 +133,29 @@ class Block:
         keys, twins, texts = (rows.column(c).combine_chunks() for c in ("key", "twin", "text"))
         self.keys, self.twins = keys.to_numpy(zero_copy_only=False), twins.to_numpy(zero_copy_only=False)
         self.data, self.offsets = flat(texts)
-        self.at: dict[tuple[int, int], list[int]] = {}
-        for i, name in enumerate(zip(self.keys.tolist(), self.twins.tolist())):
-            self.at.setdefault(name, []).append(i)
+        new = np.ones(len(self.keys), bool)
+        new[1:] = (self.keys[1:] != self.keys[:-1]) | (self.twins[1:] != self.twins[:-1])
+        first = np.flatnonzero(new)
+        self.names = {name: i for i, name in enumerate(zip(self.keys[first].tolist(), self.twins[first].tolist()))}
+        self.first, self.copies = np.append(first, 0), np.append(np.diff(first, append=len(new)), 0)  # the last is for other blocks' names
+
+    def rows(self, messages: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that messages name: pairs of a message and a document, one for each copy in the block."""
+        names = zip(*(messages.column(c).to_numpy().tolist() for c in ("key", "twin")))
+        name = np.fromiter((self.names.get(x, -1) for x in names), np.int64, len(messages))
+        message, copy = expand(self.copies[name])
+        return message, self.first[name][message] + copy
 
     def ranges(self, settled: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Settled phrases as positions in ``data``."""
-        low, high = [], []
-        for key, twin, begin, end in zip(*(settled.column(c).to_pylist() for c in ("key", "twin", "begin", "end"))):
-            for i in self.at.get((key, twin), ()):
-                low.append(self.offsets[i] + begin)
-                high.append(self.offsets[i] + end)
-        return np.array(low, np.int64), np.array(high, np.int64)
+        message, row = self.rows(settled)
+        begin, end = (settled.column(c).to_numpy()[message] for c in ("begin", "end"))
+        return self.offsets[row] + begin, self.offsets[row] + end
 
     def open_strings(self, settled: pa.Table, length: int) -> np.ndarray:
         """Starts of strings in phrases that their own document owns."""
         wanted = starts_of(self.offsets, length)
-        for low, high in zip(*self.ranges(settled)):
+        for low, high in zip(*(x.tolist() for x in self.ranges(settled))):
             wanted[low:high - length + 1] = False
         return wanted
 
@@ -153,11 +164,10 @@ class Block:
         return place, value, np.searchsorted(self.offsets, place, "right") - 1
 
 
-def fingerprints(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, where each shard begins among them, and 48 further bits of each."""
-    distinct = np.unique(value)
+def fingerprints(distinct: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each shard begins among distinct hashes in order, and 48 further bits of each."""
     edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.uint64)
-    return distinct, np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]]), (distinct << np.uint64(bits)) >> np.uint64(16)
+    return np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]]), (distinct << np.uint64(bits)) >> np.uint64(16)
 
 
 def pack48(values: np.ndarray) -> bytes:
@@ -178,8 +188,8 @@ def send(left: pa.Table, settled: pa.Table, length: int, gram: int, bits: int) -
     """A block's fingerprints, by shard."""
     block = Block(left)
     _, value, _ = block.anchors(settled, length, gram)
-    _, edges, prints = fingerprints(value, bits)
-    n = np.unique(value, return_counts=True)[1]
+    distinct, n = np.unique(value, return_counts=True)
+    edges, prints = fingerprints(distinct, bits)
     often = [np.flatnonzero(n[edges[s]:edges[s + 1]] > OFTEN) for s in range(1 << bits)]
     full = [s for s in range(1 << bits) if edges[s + 1] > edges[s]]
     return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([block_number(left)] * len(full), pa.int32()),
@@ -256,13 +266,13 @@ def contexts(left: pa.Table, messages: pa.Table, length: int, gram: int, bits: i
     block = Block(left)
     settled, answers = messages.filter(pc.is_null(messages.column("bits"))), messages.filter(pc.is_valid(messages.column("bits")))
     place, value, text = block.anchors(settled, length, gram)
-    distinct, edges, _ = fingerprints(value, bits)
+    distinct, which = np.unique(value, return_inverse=True)
+    edges, _ = fingerprints(distinct, bits)
     shared, many = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
     for s, answer, split in zip(*(answers.column(c).to_pylist() for c in ("shard", "bits", "split"))):
         many[edges[s] + np.frombuffer(split, np.int64)] = True
         n = int(edges[s + 1] - edges[s])
         shared[edges[s]:edges[s + 1]] = np.unpackbits(np.frombuffer(answer, np.uint8))[:n].astype(bool)
-    which = np.searchsorted(distinct, value)
     owner = block.keys[text]
     least, most = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
     np.minimum.at(least, which, owner)
@@ -274,23 +284,25 @@ def contexts(left: pa.Table, messages: pa.Table, length: int, gram: int, bits: i
     high = np.minimum(place + length, block.offsets[text + 1])
     hot = many[which[keep]]
     parts = split_strings(block, *(x[hot] for x in (place, value, text, low, high)), length)
-    value, text, low, high = (x[~hot] for x in (value, text, low, high))
+    place, value, text, low, high = (x[~hot] for x in (place, value, text, low, high))
     # Equal contexts of a block are compared here: only the smallest key's goes out, the others are settled by it.
-    raw, first, groups = block.data.tobytes(), {}, {}
-    for v, i, a, b in zip(value.view(np.int64).tolist(), text.tolist(), low.tolist(), high.tolist()):
-        groups.setdefault((v, raw[a:b], i), []).append(a)
-    for v, context, i in groups:  # in order of the keys
-        first.setdefault((v, context), block.keys[i])
-    out = {c: [] for c in ("value", "key", "twin", "begins", "context", "bits")}
-    for (v, context, i), places in groups.items():
-        late = block.keys[i] > first[v, context]
-        row = (v ^ int(block.keys[i]) if late else v, block.keys[i], block.twins[i], [a - int(block.offsets[i]) for a in places],
-               b"" if late else context, (1 << (len(context) - length + 1)) - 1 if late else 0)
-        for column, x in zip(out.values(), row):
-            column.append(x)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
-    found = {c: pa.array(x, k) for (c, x), k in zip(out.items(), kinds)}
-    whole = pa.concat_tables([pa.table(found), *parts])
+    order = np.lexsort((text, strong(block.data, low, high), value))  # stable: a document's places stay in order
+    place, value, text, low, high = place[order], value[order].view(np.int64), text[order], low[order], high[order]
+    raw = block.data.tobytes()
+    context = [raw[a:b] for a, b in zip(low.tolist(), high.tolist())]
+    other = np.ones(len(order), bool)  # hashes that collide only keep equal contexts apart
+    other[1:] = (value[1:] != value[:-1]) | np.array([x != y for x, y in zip(context, context[1:])], bool)
+    new = other.copy()
+    new[1:] |= text[1:] != text[:-1]
+    head = np.flatnonzero(new)
+    key = block.keys[text[head]]  # in order of the keys
+    late = key > key[np.flatnonzero(other[head])][np.cumsum(other[head]) - 1]
+    found = {"value": np.where(late, value[head] ^ key, value[head]), "key": key, "twin": block.twins[text[head]],
+             "begins": pa.ListArray.from_arrays(np.append(head, len(order)).astype(np.int32), pa.array(low - block.offsets[text])),
+             "context": pa.array([b"" if x else context[h] for x, h in zip(late.tolist(), head.tolist())], pa.binary()),
+             "bits": np.where(late, (1 << np.maximum(high - low - length + 1, 0)[head]) - 1, 0)}
+    in_place = pa.table(found).take(np.argsort(place[head]))  # neighbours share bytes, which the exchange packs
+    whole = pa.concat_tables([in_place, *parts])
     return whole.append_column("block", pa.array([block_number(left)] * len(whole), pa.int32())).select(CONTEXT_COLUMNS)
 
 
@@ -333,15 +345,15 @@ def finish(left: pa.Table, messages: pa.Table, length: int) -> pa.Table:
     np.add.at(cover, low, 1)
     np.add.at(cover, high, -1)
     part = messages.filter(pc.invert(whole))
-    for key, twin, begins, bits in zip(*(part.column(c).to_pylist() for c in ("key", "twin", "begins", "strings"))):
-        base = np.add.outer(block.offsets[block.at.get((key, twin), [])], begins).reshape(-1).astype(np.int64)
-        while bits:  # run by run
-            j = (bits & -bits).bit_length() - 1
-            rest = bits >> j
-            run = (~rest & (rest + 1)).bit_length() - 1
-            np.add.at(cover, base + j, 1)
-            np.add.at(cover, base + (j + run - 1 + length), -1)
-            bits &= ~(((1 << run) - 1) << j)
+    message, row = block.rows(part)
+    n = pc.list_value_length(part.column("begins")).to_numpy().astype(np.int64)
+    pair, place = expand(n[message])
+    base = block.offsets[row][pair] + pc.list_flatten(part.column("begins")).to_numpy()[(np.cumsum(n) - n)[message][pair] + place]
+    bits = part.column("strings").to_numpy()[message][pair]
+    first, last = bits & ~(bits << 1), bits & ~(bits >> 1)  # of each run of strings
+    for j in range(int(bits.max(initial=0)).bit_length()):
+        np.add.at(cover, base[first >> j & 1 == 1] + j, 1)
+        np.add.at(cover, base[last >> j & 1 == 1] + j + length, -1)
     gone = np.cumsum(cover[:-1]) > 0
     out = {"key": block.keys, "n_bytes": np.diff(block.offsets), "n_removed": [], "n_spans": [], "kept_sha256": []}
     for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
@@ -360,7 +372,7 @@ def settled_phrases(rows: DataFrame, length: int, trigger: int) -> DataFrame:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text", 2 << 20):
                 text, begins, ends, names = parse(data, offsets, length, trigger)
-                own = part.take(pa.array(text))
+                own = part.select(["block", "key", "twin"]).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays(
                     [own.column("block"), own.column("key"), own.column("twin"), pa.array(begins - offsets[text]), pa.array(ends - offsets[text]),
                      pa.array(names[:, 0].view(np.int64)), pa.array(names[:, 1].view(np.int64))],
